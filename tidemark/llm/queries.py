@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, language, quality
 
 #: Where the public vocabulary files are; the pattern is the one published with them.
 TOKENIZERS = os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers")
@@ -16,7 +16,12 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Rows that go to a Python worker at once; with texts of some kilobytes that is a few megabytes.
+ARROW_ROWS = 500
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,8 +41,30 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"))
 
 
+def remainder(n: int, id: str = "doc_id") -> F.Column:
+    return F.pmod(F.crc32(F.col(id).cast("string")), F.lit(n))
+
+
+def op5_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, learned from two thirds of them."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(remainder(3) != 1))
+    done = language.predict(docs.select("doc_id", "text"), model)
+    return done.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op7_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for each document, learned from the labels of four fifths of them."""
+    docs = table(spark, sf_dir, "documents")
+    weights = quality.fit(docs, table(spark, sf_dir, "labels").where(remainder(5) != 0))
+    done = quality.score(docs.select("doc_id", "text"), weights)
+    return done.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_language_crf": op5_language_crf,
+    "op7_quality_ftrl": op7_quality_ftrl,
 }
 
 ORACLES: dict[str, str] = {}
