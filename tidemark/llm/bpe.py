@@ -17,15 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Pre-tokens that a worker remembers at most; above that it starts anew, which changes no result.
-CACHE = 400_000
+CACHE = 150_000
 #: Ids that are turned into bytes at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def byte_characters() -> list[str]:
@@ -79,12 +80,7 @@ class Codec:
     """Encodes and decodes with the model; one for each Python worker."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        import regex
-        import sentencepiece
-
-        self.find = regex.compile(pattern).findall
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(ranks))
-        self.table = dict(enumerate(byte_characters()))
+        self.ranks, self.pattern, self.model = ranks, pattern, None
         tokens = sorted(ranks, key=ranks.get)
         self.rank = np.array([ranks[t] for t in tokens], np.uint32)
         self.piece = np.zeros(int(self.rank.max()) + 1, np.int64)
@@ -109,6 +105,13 @@ class Codec:
         self.ids = np.concatenate([self.ids, self.rank[flat]])
 
     def encode_many(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        if self.model is None:
+            import regex
+            import sentencepiece
+
+            self.find = regex.compile(self.pattern).findall
+            self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.ranks))
+            self.table = dict(enumerate(byte_characters()))
         cut = [self.find(t) if t else [] for t in texts]
         new = set().union(*cut).difference(self.index)
         if new:
@@ -132,16 +135,16 @@ def gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarra
     return values[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
 
 
-def groups(values: list, most: int = 4 << 20) -> Iterator[slice]:
-    """Slices of about `most` characters, so that no more than that is held as pre-tokens."""
+def groups(column: pa.Array, most: int = 1 << 19) -> Iterator[slice]:
+    """Slices of about `most` bytes, so that no more than that is held as pre-tokens or ids."""
     begin, held = 0, 0
-    for k, x in enumerate(values):
-        held += len(x or "")
+    for k, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        held += n
         if held >= most:
             yield slice(begin, k + 1)
             begin, held = k + 1, 0
-    if begin < len(values):
-        yield slice(begin, len(values))
+    if begin < len(column):
+        yield slice(begin, len(column))
 
 
 def _codec(vocabulary: bytes | str, pattern: str, kept: dict = {}) -> Codec:  # noqa: B006
@@ -172,11 +175,10 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(name, pattern)
         for batch in batches:
-            texts = batch.column(text).to_pylist()
-            ids = [i.astype("<u4").tobytes() for part in groups(texts) for i in codec.encode_many(texts[part])]
-            if not keep_text:
-                batch = batch.drop_columns([text])
-            yield _replaced(batch, out, pa.array(ids, pa.binary()))
+            for part in groups(batch.column(text)):
+                some = batch.slice(part.start, part.stop - part.start)
+                ids = [i.astype("<u4").tobytes() for i in codec.encode_many(some.column(text).to_pylist())]
+                yield _replaced(some if keep_text else some.drop_columns([text]), out, pa.array(ids, pa.binary()))
 
     fields = [f for f in df.schema if f.name != out and (keep_text or f.name != text)]
     return df.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.BinaryType())]))
@@ -189,8 +191,10 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(name, pattern)
         for batch in batches:
-            got = [codec.decode(np.frombuffer(x or b"", "<u4")) for x in batch.column(ids).to_pylist()]
-            yield _replaced(batch, out, pa.array(got, pa.binary()))
+            for part in groups(batch.column(ids), 4 << 19):
+                some = batch.slice(part.start, part.stop - part.start)
+                got = [codec.decode(np.frombuffer(x or b"", "<u4")) for x in some.column(ids).to_pylist()]
+                yield _replaced(some, out, pa.array(got, pa.binary()))
 
     fields = [f for f in df.schema if f.name != out]
     return df.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.BinaryType())]))
