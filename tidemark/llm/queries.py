@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, language, quality
+from tidemark.llm import bpe, language, pii, quality
 
 #: Where the public vocabulary files are; the pattern is the one published with them.
 TOKENIZERS = os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers")
@@ -61,10 +61,25 @@ def op7_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and places of personal data in each document."""
+    done = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = [k.name for k in pii.BASE]
+    of = lambda *names: F.filter("spans", lambda s: s["kind"].isin(*names))
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return done.select(
+        "doc_id",
+        *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in base),
+        F.sha2(written(of(*base)), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_language_crf": op5_language_crf,
     "op7_quality_ftrl": op7_quality_ftrl,
+    "op9_pii": op9_pii,
 }
 
 ORACLES: dict[str, str] = {}
