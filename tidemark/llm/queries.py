@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, language, pii, quality
+from tidemark.llm import bpe, language, licenses, pii, quality
 
 #: Where the public vocabulary files are; the pattern is the one published with them.
 TOKENIZERS = os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers")
@@ -53,6 +53,17 @@ def op5_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences that each document names, with the largest share of a template that a window holds."""
+    done = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select(
+        "doc_id",
+        F.size("licenses").cast("long").alias("n_licenses"),
+        F.array_join(F.array_sort(F.transform("licenses", lambda m: m["license"])), ",").alias("licenses"),
+        F.array_max(F.transform("licenses", lambda m: m["share"])).alias("share"),
+    )
+
+
 def op7_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score for each document, learned from the labels of four fifths of them."""
     docs = table(spark, sf_dir, "documents")
@@ -78,6 +89,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_language_crf": op5_language_crf,
+    "op6_license_scan": op6_license_scan,
     "op7_quality_ftrl": op7_quality_ftrl,
     "op9_pii": op9_pii,
 }
