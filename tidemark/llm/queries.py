@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, language, licenses, pii, quality
+from tidemark.llm import bpe, decontaminate, language, licenses, lines, pii, quality
 
 #: Where the public vocabulary files are; the pattern is the one published with them.
 TOKENIZERS = os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers")
@@ -45,6 +45,32 @@ def remainder(n: int, id: str = "doc_id") -> F.Column:
     return F.pmod(F.crc32(F.col(id).cast("string")), F.lit(n))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in all and deleted, and the digest of what stays, for each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("n"))
+    done = lines.dedup(docs)
+    gone = F.aggregate("removed_runs", F.lit(0), lambda a, r: a + r["end"] - r["first"])
+    return done.select("doc_id", F.col("n").cast("long").alias("n_lines"), gone.cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+#: The same by windows of lines: a window that also begins earlier takes its lines away.
+LINE_SQL = """
+WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL),
+line AS (SELECT doc_id, unnest(x) AS t, generate_subscripts(x, 1) - 1 AS k FROM cut),
+pair AS (SELECT doc_id, k, t, lead(t) OVER (PARTITION BY doc_id ORDER BY k) AS u FROM line),
+win AS (
+  SELECT doc_id, k, 2 AS n, t || chr(10) || u AS c FROM pair WHERE u IS NOT NULL
+  UNION ALL SELECT doc_id, k, 1, t FROM line WHERE length(t) - length(replace(t, ' ', '')) + 1 >= 20
+),
+later AS (SELECT doc_id, k, n FROM (SELECT *, row_number() OVER (PARTITION BY n, c ORDER BY doc_id, k) AS r FROM win) WHERE r > 1),
+gone AS (SELECT doc_id, k FROM later UNION SELECT doc_id, k + 1 FROM later WHERE n = 2)
+SELECT d.doc_id, count(l.k) AS n_lines, count(g.k) AS n_removed,
+  sha256(coalesce(string_agg(l.t, chr(10) ORDER BY l.k) FILTER (WHERE g.k IS NULL), '')) AS kept_sha256
+FROM documents d LEFT JOIN line l ON l.doc_id = d.doc_id LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.k = l.k
+GROUP BY d.doc_id
+"""
+
+
 def op5_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of each document, learned from two thirds of them."""
     docs = table(spark, sf_dir, "documents")
@@ -92,6 +118,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_line_dedup": op3_line_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_language_crf": op5_language_crf,
     "op6_license_scan": op6_license_scan,
@@ -100,4 +127,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_line_dedup": LINE_SQL}
