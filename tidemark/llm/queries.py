@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, language, licenses, lines, pii, quality
+from tidemark.llm import bpe, decontaminate, language, licenses, lines, neardup, pii, quality
 
 #: Where the public vocabulary files are; the pattern is the one published with them.
 TOKENIZERS = os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers")
@@ -45,6 +45,11 @@ def remainder(n: int, id: str = "doc_id") -> F.Column:
     return F.pmod(F.crc32(F.col(id).cast("string")), F.lit(n))
 
 
+def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of each vector with others of its label at a cosine of 0.93 or more, and its component."""
+    return neardup.find(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines in all and deleted, and the digest of what stays, for each document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("n"))
@@ -118,6 +123,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_neardup": op1_embedding_neardup,
     "op3_line_dedup": op3_line_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_language_crf": op5_language_crf,
