@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, language, licenses, lines, neardup, pii, quality
+from tidemark.llm import bpe, decontaminate, jaccard, language, licenses, lines, neardup, pii, quality
 
 #: Where the public vocabulary files are; the pattern is the one published with them.
 TOKENIZERS = os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers")
@@ -103,6 +103,11 @@ def op7_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the sets of 4-word shingles and components of documents with a similarity of 0.85 or more."""
+    return jaccard.find(table(spark, sf_dir, "documents"), shingle=4, percent=85)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and places of personal data in each document."""
     done = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -129,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_crf": op5_language_crf,
     "op6_license_scan": op6_license_scan,
     "op7_quality_ftrl": op7_quality_ftrl,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_pii": op9_pii,
     "op10_decontamination": op10_decontamination,
 }
