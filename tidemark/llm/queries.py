@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, jaccard, language, licenses, lines, neardup, pii, quality
+from tidemark.llm import bpe, decontaminate, jaccard, language, licenses, lines, neardup, pii, quality, substrings
 
 #: Where the public vocabulary files are; the pattern is the one published with them.
 TOKENIZERS = os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers")
@@ -54,6 +54,13 @@ def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.find(table(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document in strings of 100 that also start earlier, and the digest of the rest."""
+    done = substrings.dedup(table(spark, sf_dir, "documents"), length=100)
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"])
+    return done.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines in all and deleted, and the digest of what stays, for each document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("n"))
@@ -133,6 +140,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_neardup": op1_embedding_neardup,
+    "op2_suffix_array": op2_suffix_array,
     "op3_line_dedup": op3_line_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_language_crf": op5_language_crf,

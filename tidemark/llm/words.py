@@ -63,14 +63,14 @@ def spans(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return begin, end, np.searchsorted(at, begin, "right") - 1
 
 
-def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[begin:end]; spans must be in order, apart from each other and not empty."""
+def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, base: np.uint64 = BASE) -> np.ndarray:
+    """A 64-bit hash of each data[begin:end]; spans must not be empty. base: an odd number."""
     if not len(begin):
         return np.empty(0, np.uint64)
     size = end - begin
     at = np.cumsum(size) - size
     inner = np.arange(int(size.sum())) - np.repeat(at, size)
-    power = np.full(int(size.max()) + 1, BASE)
+    power = np.full(int(size.max()) + 1, base)
     power[0] = 1
     power = np.multiply.accumulate(power)
     values = data[inner + np.repeat(begin, size)].astype(np.uint64) + np.uint64(1)
