@@ -35,7 +35,7 @@ from tidemark.llm import blocks, words
 from tidemark.llm.shared import components, saved
 
 #: Groups of the count vectors with which points meet, and of those within a group of candidates.
-GROUPS, FINE = 32, 128
+GROUPS, FINE = 128, 256
 #: Points that share a piece, and documents of a group of candidates, that one task compares on one side.
 CHUNK, DOCS = 512, 512
 #: Sets below this size are cut into single shingles.
@@ -119,11 +119,19 @@ def percent_room(percent: int) -> float:
 
 
 def count_vectors(flat: np.ndarray, size: np.ndarray, groups: int) -> np.ndarray:
-    """A row of counts for each set; of sets too large for 16 bits a row of the largest numbers, which bounds nothing."""
+    """A row of counts for each set."""
     of = np.repeat(np.arange(len(size)), size)
-    n = np.bincount(of * groups + (flat & np.uint64(groups - 1)).astype(np.int64), minlength=len(size) * groups).reshape(len(size), groups)
-    n[n.max(1, initial=0) >= 65535] = 65535
-    return n.astype(np.uint16)
+    at = of * groups + (flat & np.uint64(groups - 1)).astype(np.int64)
+    return np.bincount(at, minlength=len(size) * groups).reshape(len(size), groups)
+
+
+def narrowed(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes; the rows that don't fit get 255 everywhere, which stands for no bound."""
+    return np.where(counts.max(1, initial=0)[:, None] >= 255, 255, counts).astype(np.uint8)
+
+
+def widened(counts: np.ndarray) -> np.ndarray:
+    return np.where((counts == 255).all(1)[:, None], 1 << 20, counts.astype(np.int32))
 
 
 class Tree:
@@ -209,8 +217,8 @@ def _candidates(t: pa.Table, begins: np.ndarray, percent: int) -> pa.Table:
     ends = np.append(begins[1:], len(t))
     ids, size = t.column("i").to_numpy(), t.column("n").to_numpy()
     piece = key >= 0
-    counts = np.zeros((len(t), GROUPS), np.uint16)
-    counts[piece] = np.frombuffer(b"".join(x for x in t.column("counts").to_pylist() if x is not None), np.uint16).reshape(-1, GROUPS)
+    counts = np.zeros((len(t), GROUPS), np.int32)
+    counts[piece] = widened(np.frombuffer(b"".join(x for x in t.column("counts").to_pylist() if x is not None), np.uint8).reshape(-1, GROUPS))
     links = []
     run = np.repeat(np.arange(len(begins)), ends - begins)
     length = ends - begins
@@ -244,7 +252,7 @@ def _candidates(t: pa.Table, begins: np.ndarray, percent: int) -> pa.Table:
 def _verified(t: pa.Table, begins: np.ndarray, percent: int, shingle: int) -> pa.Table:
     """The forest of true links of each run of documents, which are a group of candidates or a pair of its chunks."""
     ids, own = t.column("i").to_numpy(), t.column("own").to_numpy()
-    cross = t.column("c1").to_numpy() != t.column("c2").to_numpy()
+    cross = (t.column("c1").to_numpy() != t.column("c2").to_numpy()) | (t.column("l1").to_numpy() != t.column("l2").to_numpy())
     a, b = [], []
     for begin, end in zip(begins, np.append(begins[1:], len(t)), strict=True):
         if end - begin < 2:
@@ -284,6 +292,30 @@ def profiles(df: DataFrame, id: str, text: str, shingle: int) -> DataFrame:
     return df.select(F.col(id).cast("long"), text).mapInArrow(run, "i long, n long, key binary")
 
 
+def _dealt(member: DataFrame, percent: int) -> DataFrame:
+    """(component, l1, l2, c1, c2, own, i): the tasks that each document of a group of candidates goes to.
+
+    A group of at most DOCS is one task. A larger one is cut by levels of size, so that similar documents are in the same
+    level or in neighbouring ones, and each level in chunks; each pair of chunks that may hold a link is a task.
+    """
+    total = member.groupBy("component").agg(F.count("*").alias("total"))
+    level = F.when(F.col("total") <= DOCS, 0).otherwise(F.floor(F.log("n") / F.log(F.lit(100 / percent))))
+    member = member.join(total, "component").withColumn("level", level.cast("long"))
+    chunks = member.groupBy("component", "level").agg(F.ceil(F.count("*") / DOCS).alias("chunks"))
+    member = member.join(chunks, ["component", "level"]).withColumn("mine", F.pmod(F.xxhash64("i"), "chunks")).withColumn("own", F.col("level") * (1 << 32) + F.col("mine"))
+    low, high = (chunks.select("component", (F.col("level") + d).alias("level"), F.col("chunks").alias(name)) for d, name in ((1, "below"), (-1, "above")))
+    member = member.join(low, ["component", "level"], "left").join(high, ["component", "level"], "left")
+    to = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+    at = lambda l1, l2, c1, c2: F.struct(l1.alias("l1"), l2.alias("l2"), c1.alias("c1"), c2.alias("c2"))
+    here, mine = F.col("level"), F.col("mine")
+    tasks = F.concat(
+        F.transform(to(F.col("chunks")), lambda k: at(here, here, F.least(mine, k), F.greatest(mine, k))),
+        F.transform(to(F.coalesce("below", F.lit(0))), lambda k: at(here - 1, here, k, mine)),
+        F.transform(to(F.coalesce("above", F.lit(0))), lambda k: at(here, here + 1, mine, k)),
+    )
+    return member.select("i", "component", "own", F.explode(tasks).alias("t")).select("component", "t.*", "own", "i")
+
+
 def find(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4, percent: int = 85) -> DataFrame:
     """(id, n_shingles, component_id) of each row."""
     known = saved(profiles(df, id, text, shingle), "profiles")
@@ -317,7 +349,7 @@ def find(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4
             own = _chunk(ids[of], chunks)
             again = np.repeat(np.arange(len(of)), chunks)
             other = np.arange(len(again)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
-            counts = count_vectors(flat, n, GROUPS)
+            counts = narrowed(count_vectors(flat, n, GROUPS))
             vec = [counts[k].tobytes() for k in range(len(n))]
             out.append(pa.table({
                 "piece": value[again].view(np.int64), "c1": np.minimum(own[again], other), "c2": np.maximum(own[again], other), "own": own[again], "i": ids[of[again]],
@@ -338,12 +370,9 @@ def find(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4
     found = saved(blocks.in_runs(rows, ["piece", "c1", "c2"], lambda t, b: _candidates(t, b, percent), "a long, b long, text string"), "candidates")
 
     groups = components(found.where("b IS NOT NULL").select("a", "b"))
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / DOCS).alias("chunks"))
-    member = groups.join(sizes, "component").withColumnRenamed("node", "i")
-    member = member.withColumn("own", F.pmod(F.xxhash64("i"), "chunks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    member = member.select("i", "component", "own", F.least("own", "other").alias("c1"), F.greatest("own", "other").alias("c2"))
+    member = _dealt(groups.withColumnRenamed("node", "i").join(known.select("i", "n").distinct(), "i"), percent)
     texts = found.where("b IS NULL").select(F.col("a").alias("i"), "text").join(member, "i")
-    links = blocks.in_runs(texts.select("component", "c1", "c2", "own", "i", "text"), ["component", "c1", "c2"], lambda t, b: _verified(t, b, percent, shingle), "a long, b long", rows=1500)
+    links = blocks.in_runs(texts.select("component", "l1", "l2", "c1", "c2", "own", "i", "text"), ["component", "l1", "l2", "c1", "c2"], lambda t, b: _verified(t, b, percent, shingle), "a long, b long", rows=1500)
     parts = components(links)
 
     # equal sets share the component of the smallest id among them
