@@ -1,3 +1,3 @@
 """Importing this registers all queries."""
 
-from tidemark.plans import history  # noqa: F401
+from tidemark.plans import history, relational, scalars  # noqa: F401
