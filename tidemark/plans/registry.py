@@ -15,13 +15,13 @@ ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
-    """Registers fn(t), where t(name) is a table, under the function's name."""
+    """Registers fn(t), where t(name) is a table, under the function's name; other queries build on it as query.of(t)."""
 
     def add(fn) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return fn(lambda name: read(spark, sf_dir, name))
 
-        run.__doc__ = fn.__doc__
+        run.__doc__, run.of = fn.__doc__, fn
         QUERIES[fn.__name__] = run
         if sql is not None:
             ORACLES[fn.__name__] = sql
