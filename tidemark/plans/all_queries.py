@@ -1,3 +1,3 @@
 """Importing this registers all queries."""
 
-from tidemark.plans import features, graphs, history, labels, relational, scalars  # noqa: F401
+from tidemark.plans import features, graphs, history, labels, relational, scalars, training  # noqa: F401
