@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,14 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Temporary folders of sessions on one machine, by application.
+_OWN: dict[str, str] = {}
+
+
 def folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where it is unset, a temporary one, which only a session on one machine can use."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        app = spark.sparkContext.applicationId
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp()
-        spark.conf.set("spark.checkpoint.dir", found)
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="tidemark-")
+            atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+        found = _OWN[app]
     return found.rstrip("/")
 
 
