@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, jaccard, language, lines, queries
-from tidemark.llm.shared import saved
+from tidemark.llm.shared import dropped, saved
 
 #: A text whose best language is less likely than this has none that was learned.
 LEAST_SCORE = 0.3
@@ -65,7 +65,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = queries.table(spark, sf_dir, "documents")
+    docs, before = queries.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            dropped(before)
+        before = docs
     return docs

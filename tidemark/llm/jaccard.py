@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import blocks, words
-from tidemark.llm.shared import components, saved
+from tidemark.llm.shared import components, dropped, saved
 
 #: Groups of the count vectors with which points meet, and of those within a group of candidates.
 GROUPS, FINE = 128, 256
@@ -374,12 +374,16 @@ def find(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4
     texts = found.where("b IS NULL").select(F.col("a").alias("i"), "text").join(member, "i")
     links = blocks.in_runs(texts.select("component", "l1", "l2", "c1", "c2", "own", "i", "text"), ["component", "l1", "l2", "c1", "c2"], lambda t, b: _verified(t, b, percent, shingle), "a long, b long", rows=1500)
     parts = components(links)
+    dropped(found)
 
     # equal sets share the component of the smallest id among them
     least = known.where("n > 0 AND i IS NOT NULL").groupBy("key").agg(F.min("i").alias("least"))
     least = least.join(parts.withColumnRenamed("node", "least"), "least", "left").select("key", F.coalesce("component", "least").alias("component"))
     same = known.join(least, "key", "left").select("i", "n", F.when(F.col("i").isNotNull(), F.coalesce("component", "i")).alias("component_id"))
-    return same.select(F.col("i").alias(id), F.col("n").alias("n_shingles"), "component_id")
+    done = saved(same.select(F.col("i").alias(id), F.col("n").alias("n_shingles"), "component_id"), "jaccard")
+    for table in (known, groups, parts):
+        dropped(table)
+    return done
 
 
 _ROWS = pa.schema([("piece", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("own", pa.int64()), ("i", pa.int64()), ("n", pa.int64()), ("counts", pa.binary()), ("text", pa.string())])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import components, saved
+from tidemark.llm.shared import components, dropped, saved
 
 SAMPLE = 4096
 #: Vectors that a cell of the largest label has on average; the codebooks' size follows.
@@ -209,4 +209,7 @@ def find(df: DataFrame, id: str = "vec_id", vector: str = "embedding", label: st
     known = known.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "id").alias("component"))
     done = rows.select("id", "key").join(known, "key", "left")
     done = done.select(F.col("id").alias(id), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    return done.withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(True)))
+    done = saved(done.withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(True))), "neardup")
+    for table in (rows, once, placed, found, parts):
+        dropped(table)
+    return done
