@@ -162,6 +162,16 @@ def _joined(piece: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarr
     return piece[begin], place[begin], place[end] + length
 
 
+def _merged(i: np.ndarray, place: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of the same document that touch or overlap made one; a later span never ends before an earlier one."""
+    order = np.lexsort((end, place, i))
+    i, place, end = i[order], place[order], end[order]
+    new = np.ones(len(i), bool)
+    new[1:] = (i[1:] != i[:-1]) | (place[1:] > end[:-1])
+    begin = np.flatnonzero(new)
+    return i[begin], place[begin], end[np.append(begin[1:], len(i))[: len(begin)] - 1]
+
+
 _PIECE = "f1 long, f2 long, part int, kind int, batch int, i long, place long, size long, text binary"
 _ARROW = pa.schema([("f1", pa.int64()), ("f2", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("batch", pa.int32()), ("i", pa.int64()), ("place", pa.int64()), ("size", pa.int64()), ("text", pa.binary())])
 #: Rows are pieces to compare, pieces of a minimizer with many, single windows of such, and spans that go.
@@ -228,7 +238,7 @@ def _sent(docs: pa.Table, asked: pa.Table, length: int) -> pa.Table:
     parts = -(-times[k] // MANY)
     part = (words.mix(i[k].astype(np.uint64) * np.uint64(31) + place[k].astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int32)
     sent = _rows(_signed(key[k]), 0, part, np.where(parts > 1, SHARE, ONE), batch, i[k], place[k], size[k], text)
-    return pa.concat_tables([sent, _gone(batch, i[again], place[again], place[again] + size[again])])
+    return pa.concat_tables([sent, _gone(batch, *_merged(i[again], place[again], place[again] + size[again]))])
 
 
 def _compared(t: pa.Table, length: int) -> pa.Table:
@@ -239,10 +249,26 @@ def _compared(t: pa.Table, length: int) -> pa.Table:
     if not len(t):
         return passed
     i, place, size, batch, kind = (t.column(c).to_numpy() for c in ("i", "place", "size", "batch", "kind"))
-    # a minimizer with one piece needs no comparison; such pieces of shares still stand for their windows
+    f1, part = t.column("f1").to_numpy(), t.column("part").to_numpy()
     text = np.frombuffer(b"\0".join(t.column("text").to_pylist()) + b"\0", np.uint8)
     start = np.cumsum(size + 1) - (size + 1)
-    piece = np.repeat(np.arange(len(t)), size + 1)
+    # equal pieces go but for the first; where just one is left there is nothing to compare, if it is no share
+    h1, h2 = words.hashes(text, start, start + size), words.hashes(text, start, start + size, _SECOND)
+    order = np.lexsort((place, i, h2, h1))
+    again = np.zeros(len(t), bool)
+    again[order[1:]] = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
+    out = [passed]
+    for k in np.unique(batch[again]):
+        some = again & (batch == k)
+        out.append(_gone(k, *_merged(i[some], place[some], place[some] + size[some])))
+    group = np.cumsum(np.append(False, (f1[1:] != f1[:-1]) | (part[1:] != part[:-1])))
+    use = np.flatnonzero(~again & ((np.bincount(group[~again], minlength=group[-1] + 1)[group] > 1) | (kind == SHARE)))
+    if not len(use):
+        return pa.concat_tables(out)
+    text = np.concatenate([text[start[k] : start[k] + size[k] + 1] for k in use])
+    i, place, size, batch, kind = (x[use] for x in (i, place, size, batch, kind))
+    start = np.cumsum(size + 1) - (size + 1)
+    piece = np.repeat(np.arange(len(use)), size + 1)
     inner = np.arange(len(text)) - start[piece]
     window = inner + length <= size[piece]
     array = suffix_array(text, length)
@@ -253,7 +279,6 @@ def _compared(t: pa.Table, length: int) -> pa.Table:
     order = np.lexsort((spot, i[of], group))
     later = np.zeros(len(array), bool)
     later[order[1:]] = group[order[1:]] == group[order[:-1]]
-    out = [passed]
     gone = np.sort(array[later])
     p, a, b = _joined(piece[gone], place[piece[gone]] + inner[gone], length)
     out.append(_gone(batch[p], i[p], a, b))
