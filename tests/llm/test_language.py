@@ -66,6 +66,13 @@ def test_nothing_to_learn(spark):
     assert L.predict(docs.select("doc_id", "text"), model).first().lang_pred == "und"
 
 
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(k, TEXTS[k % 2], ["en", "de"][k % 2], 0, 0, 0) for k in range(40)], "doc_id long, text string, lang string, _i int, _l int, _t int")
+    model = L.fit(docs)
+    assert model.labels == ["de", "en"]
+    assert L.predict(docs, model).where("lang_pred = lang").count() == 40
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     truth = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")

@@ -66,6 +66,12 @@ def test_same_ids_and_empty_table(spark):
     assert L.dedup(df.limit(0)).count() == 0
 
 
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a\nb", 1, 2, 3), (2, "a\nb", 4, 5, 6)], "doc_id long, text string, _found_i long, __found_h long, name long")
+    got = sorted(tuple(r)[:5] for r in L.dedup(df).collect())
+    assert got == [(1, "a\nb", 1, 2, 3), (2, "", 4, 5, 6)]
+
+
 def test_sql(spark, sf):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")

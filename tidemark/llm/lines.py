@@ -87,9 +87,13 @@ def kept_lines(lines: Column, runs: Column) -> Column:
 
 def dedup(df: DataFrame, id: str = "doc_id", text: str = "text", run: int = RUN, words: int = WORDS, out: str = "removed_runs") -> DataFrame:
     """df with the text's repeated lines deleted and the runs of deleted lines, (first, end), in `out`."""
-    found = repeats(df, id, text, run, words).select(F.col("i").alias("_found_i"), F.col("h").alias("_found_h"), F.col("runs").alias("_found_runs"))
-    joined = df.join(found, df[id].eqNullSafe(F.col("_found_i")) & (F.xxhash64(df[text]) == F.col("_found_h")), "left")
-    left = F.when(F.col("_found_runs").isNull(), F.col(text)).otherwise(F.array_join(kept_lines(F.split(F.col(text), "\n", -1), F.col("_found_runs")), "\n"))
-    runs = F.coalesce("_found_runs", F.array().cast("array<struct<first:int,end:int>>"))
+    mark = "_found"
+    while any(c.lower().startswith(mark) for c in df.columns):
+        mark = f"_{mark}"
+    i, h, r = (f"{mark}_{c}" for c in "ihr")
+    found = repeats(df, id, text, run, words).toDF(i, h, r)
+    joined = df.join(found, df[id].eqNullSafe(F.col(i)) & (F.xxhash64(df[text]) == F.col(h)), "left")
+    left = F.when(F.col(r).isNull(), F.col(text)).otherwise(F.array_join(kept_lines(F.split(F.col(text), "\n", -1), F.col(r)), "\n"))
+    runs = F.coalesce(r, F.array().cast("array<struct<first:int,end:int>>"))
     columns = [left.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns if c != out]
     return joined.select(*columns, runs.alias(out))
