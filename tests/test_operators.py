@@ -49,6 +49,7 @@ def test_a_late_candidate_does_not_count_before_it_is_named(spark):
     for days in (0, 1, 5, 9, 30):
         cut = [v for v in data if (v[2] - DAY).days <= days]
         want = rows(consensus.at(consensus.timeline(spark.createDataFrame(cut, schema)), None))
+        assert rows(consensus.at_each(steps, [days]).drop("days")) == want
         assert rows(consensus.at(steps, days)) == want
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,14 @@ def at(steps: DataFrame, days: int | None, least: int = 2) -> DataFrame:
     return joins.first_row(agreed, ["item"], ["level", "time", "node"], ["node", "level", F.col("time").alias("decided"), "supporters", "total"])
 
 
+def at_each(steps: DataFrame, days: Sequence[int], least: int = 2) -> DataFrame:
+    """The rows of at() for several horizons at once, with the column `days`: one pass over one timeline."""
+    rows = steps.withColumn("days", F.explode(F.array(*map(F.lit, days))))
+    end = F.col("created") + F.make_dt_interval(F.col("days"))
+    agreed = rows.where((F.col("time") <= end) & (F.col("seen") <= end) & (3 * F.col("supporters") >= 2 * F.col("total")) & (F.col("supporters") >= least))
+    return joins.first_row(agreed, ["item", "days"], ["level", "time", "node"], ["node", "level", F.col("time").alias("decided"), "supporters", "total"])
+
+
 def label(items: DataFrame, agreed: DataFrame, submitted: str, usable, specific: int = 10) -> DataFrame:
     """items with the agreed node and is_positive: usable, and a specific node is agreed on that is the submitted one or none was submitted."""
     joined = items.join(agreed, "item", "left")
