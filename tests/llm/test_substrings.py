@@ -94,11 +94,12 @@ def test_many_pieces_of_a_minimizer(monkeypatch):
 
     numbered = list(enumerate(docs))
     batches = [table(numbered[k::4], k) for k in range(4)]
-    asked = pa.concat_tables([blocks.ask(k, np.concatenate([key for *_, key, _ in S._pieces(b, 100)]), 1) for k, b in enumerate(batches)])
+    ones = pa.table({"i": pa.array(range(40), pa.int64()), "key": [hashlib.md5(t.encode()).hexdigest() for t in docs]})
+    asked = pa.concat_tables([blocks.ask(k, np.concatenate([key for *_, key, _ in S._pieces(b, ones, 100)]), 1) for k, b in enumerate(batches)])
     keys = np.concatenate([np.frombuffer(h, "<u8") for h in asked.column("hashes").to_pylist()])
     counts = np.concatenate([np.frombuffer(h, "<u4") for h in asked.column("counts").to_pylist()])
     total = {k: int(counts[keys == k].sum()) for k in np.unique(keys)}
-    answer = pa.table({"hashes": [np.array([k for k, n in total.items() if n > 1], "<u8").tobytes()], "counts": [np.array([n for n in total.values() if n > 1], "<u4").tobytes()]})
+    answer = pa.table({"i": ones.column("i"), "key": ones.column("key"), "hashes": [None] * 38 + [b"", np.array([k for k, n in total.items() if n > 1], "<u8").tobytes()], "counts": [None] * 38 + [b"", np.array([n for n in total.values() if n > 1], "<u4").tobytes()]})
     sent = pa.concat_tables([S._sent(b, answer, 100) for b in batches])
     shares = {}
     for k, (f, p) in enumerate(zip(sent.column("f1").to_pylist(), sent.column("part").to_pylist(), strict=True)):
@@ -110,7 +111,8 @@ def test_many_pieces_of_a_minimizer(monkeypatch):
     got = {}
     for k, b in enumerate(batches):
         mine = spans.filter(pa.array(spans.column("batch").to_numpy() == k))
-        for r in S._left(b, mine).to_pylist():
+        mine = pa.concat_tables([mine.append_column("key", pa.nulls(len(mine), pa.string())), pa.table({"batch": pa.nulls(40, pa.int32()), "i": ones.column("i"), "place": pa.nulls(40, pa.int64()), "size": pa.nulls(40, pa.int64()), "key": ones.column("key")})])
+        for r in S._left(b, mine, 100).to_pylist():
             got[r["i"]] = [(s["begin"], s["end"]) for s in r["spans"]]
     assert [got[k] for k in range(len(docs))] == brute(numbered)
 

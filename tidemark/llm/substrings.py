@@ -8,6 +8,7 @@ So that no task needs all suffixes, windows are dealt out by their minimizer: th
 in a window. Equal windows have equal minimizers. Neighbouring windows with the same minimizer at the same place make a
 piece; two windows of a piece are never equal.
 
+0. A text that equals one of a smaller id goes as a whole, if it has LENGTH bytes; only the first copy is looked at further.
 1. Minimizers that occur once in all can't be of a repeated window; the others are found first, by their hashes.
 2. Equal pieces of a batch of documents are told at once: all but the first go, and only that is sent on.
 3. Pieces with the same minimizer meet in one task as a block of text, whose suffix array is built. If a
@@ -20,6 +21,8 @@ empty result.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -193,19 +196,24 @@ def _gone(batch, i, place, end) -> pa.Table:
     return _rows(_signed(words.mix(np.asarray(i).astype(np.uint64) + np.uint64(5))), 0, 0, GONE, batch, i, place, end - place)
 
 
-def _prepared(docs: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    """The documents of a batch by id, then text, with the ids and the numbers of rows of the same id; null ids last."""
+def _prepared(docs: pa.Table, ones: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """The documents of a batch by id, then text; their ids, numbers of rows of the same id and whether they are first copies. Null ids come last."""
     docs = docs.set_column(docs.schema.get_field_index("text"), "text", pc.fill_null(docs.column("text"), "")).sort_by([("i", "ascending"), ("text", "ascending")])
     valid = len(docs) - docs.column("i").null_count
     ids = docs.column("i").slice(0, valid).to_numpy()
     same = np.arange(valid) - np.searchsorted(ids, ids)
-    return docs, ids, same.astype(np.int64) << ROW
-
-
-def _pieces(docs: pa.Table, length: int):
-    """(documents' numbers, bytes, begin, end, key, places) of all pieces, in parts."""
-    docs, ids, row = _prepared(docs)
-    for k, data, at in words.parts(docs.column("text").slice(0, len(ids)), PART):
+    first = {(i, k) for i, k in zip(ones.column("i").to_pylist(), ones.column("key").to_pylist(), strict=True) if k}
+    texts = docs.column("text").slice(0, valid)
+    own = np.array([(i, hashlib.md5(t.as_buffer(), usedforsecurity=False).hexdigest()) in first for i, t in zip(ids.tolist(), texts, strict=True)], bool)
+    return docs, ids, same.astype(np.int64) << ROW, own
+
+
+def _pieces(docs: pa.Table, ones: pa.Table, length: int):
+    """(documents' numbers, bytes, begin, end, key, places) of all pieces of first copies, in parts."""
+    docs, ids, row, own = _prepared(docs, ones)
+    use = np.flatnonzero(own)
+    ids, row = ids[use], row[use]
+    for k, data, at in words.parts(docs.column("text").take(pa.array(use)), PART):
         begin, end, key = minimizers(data, at, length)
         of = np.searchsorted(at, begin, "right") - 1
         yield ids[k + of], data, begin, end, key, begin - at[of] + row[k + of]
@@ -217,7 +225,7 @@ def _sent(docs: pa.Table, asked: pa.Table, length: int) -> pa.Table:
         return _ARROW.empty_table()
     batch, answer = docs.column("batch")[0].as_py(), blocks.answers(asked)
     got = []
-    for i, data, begin, end, key, place in _pieces(docs, length):
+    for i, data, begin, end, key, place in _pieces(docs, asked, length):
         times = blocks.known(key, answer)
         some = np.flatnonzero(times > 1)
         a, b = begin[some], end[some]
@@ -308,9 +316,10 @@ def _settled(t: pa.Table, begins: np.ndarray, length: int) -> pa.Table:
     return pa.concat_tables([t.filter(pa.array(kind == GONE)), _gone(batch[one], i[one], a, b)]).select(["batch", "i", "place", "size"])
 
 
-def _left(docs: pa.Table, spans: pa.Table) -> pa.Table:
+def _left(docs: pa.Table, spans: pa.Table, length: int) -> pa.Table:
     """(id, bytes, spans, what is left) of the documents of a batch."""
-    docs, ids, row = _prepared(docs)
+    docs, ids, row, own = _prepared(docs, spans)
+    spans = spans.filter(pc.is_null(spans.column("key")))
     order = np.lexsort((spans.column("place").to_numpy(), spans.column("i").to_numpy()))
     i, a = spans.column("i").to_numpy()[order], spans.column("place").to_numpy()[order]
     b = a + spans.column("size").to_numpy()[order]
@@ -321,7 +330,9 @@ def _left(docs: pa.Table, spans: pa.Table) -> pa.Table:
         x = value.as_py()
         sizes.append(len(x))
         mine = []
-        if k < len(ids) and lo[k] < hi[k]:
+        if k < len(ids) and not own[k] and len(x) >= length:
+            mine.append([0, len(x)])
+        elif k < len(ids) and lo[k] < hi[k]:
             some = slice(lo[k], hi[k])
             for p, q in zip(a[some] - row[k], b[some] - row[k], strict=True):
                 if not 0 <= p < 1 << ROW:
@@ -342,14 +353,21 @@ def dedup(df: DataFrame, id: str = "doc_id", text: str = "text", length: int = 1
     docs, size = blocks.batched(df, id, text)
     buckets = max(1, size // 30 // blocks.BUCKET)
 
-    def asking(docs: pa.Table) -> pa.Table:
-        keys = [key for *_, key, _ in _pieces(docs, length)]
-        return blocks.ask(docs.column("batch")[0].as_py(), np.concatenate([np.empty(0, np.uint64), *keys]), buckets)
+    key = F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))
+    ones = df.where(F.col(id).isNotNull()).groupBy(key.alias("key")).agg(F.min(F.col(id).cast("long")).alias("i"))
+    ones = ones.select(blocks.batch_of("i", max(1, -(-size // blocks.BATCH))).alias("batch"), "i", "key")
+    none = lambda **kw: [F.lit(None).cast(t).alias(n) for n, t in kw.items()]
+
+    def asking(docs: pa.Table, ones: pa.Table) -> pa.Table:
+        keys = [key for *_, key, _ in _pieces(docs, ones, length)] if len(docs) and len(ones) else []
+        return blocks.ask(docs.column("batch")[0].as_py() if len(docs) else 0, np.concatenate([np.empty(0, np.uint64), *keys]), buckets)
 
     by = docs.groupBy("batch")
-    replies = blocks.repeated(by.applyInArrow(asking, blocks.ASKED))
+    replies = blocks.repeated(by.cogroup(ones.groupBy("batch")).applyInArrow(asking, blocks.ASKED))
+    replies = replies.select("batch", *none(i="long", key="string"), "hashes", "counts").unionAll(ones.select("batch", "i", "key", *none(hashes="binary", counts="binary")))
     sent = by.cogroup(replies.groupBy("batch")).applyInArrow(lambda d, a: _sent(d, a, length), _PIECE)
     found = blocks.in_runs(sent, ["f1", "part"], lambda t, b: _compared(t, length), _PIECE)
     spans = blocks.in_runs(found, ["f1", "f2"], lambda t, b: _settled(t, b, length), "batch int, i long, place long, size long", order=["i", "place"])
-    done = by.cogroup(spans.groupBy("batch")).applyInArrow(_left, "i long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
+    spans = spans.select("batch", "i", *none(key="string"), "place", "size").unionAll(ones.select("batch", "i", "key", F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("size")))
+    done = by.cogroup(spans.groupBy("batch")).applyInArrow(lambda d, s: _left(d, s, length), "i long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
     return done.withColumnRenamed("i", id)
