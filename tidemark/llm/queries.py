@@ -151,4 +151,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {"op3_line_dedup": LINE_SQL}
+#: Links by brute force; components by following them.
+REACH_SQL = """
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a, b FROM edge UNION SELECT r.a, x.b FROM reach r JOIN edge x ON x.a = r.b),
+least AS (SELECT a, min(least(a, b)) AS c FROM reach GROUP BY 1)
+"""
+
+VECTOR_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id AS i, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT p.i AS a, q.i AS b FROM v p JOIN v q ON p.label = q.label AND len(p.e) = len(q.e) AND p.i < q.i AND list_cosine_similarity(p.e, q.e) >= 0.93), {REACH_SQL},
+degree AS (SELECT a, count(*) AS n FROM edge GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, vec_id = coalesce(c, vec_id) AS kept
+FROM embeddings LEFT JOIN degree ON degree.a = vec_id LEFT JOIN least ON least.a = vec_id
+"""
+
+JACCARD_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id AS i, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT i, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k:k + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+one AS (SELECT i, len(s) AS n, unnest(s) AS x FROM s),
+link AS (SELECT p.i AS a, q.i AS b FROM one p JOIN one q ON p.x = q.x AND p.i < q.i GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(p.n) + any_value(q.n) - count(*))), {REACH_SQL}
+SELECT s.i AS doc_id, len(s.s) AS n_shingles, coalesce(c, s.i) AS component_id FROM s LEFT JOIN least ON least.a = s.i
+"""
+
+ORACLES: dict[str, str] = {"op1_embedding_neardup": VECTOR_SQL, "op3_line_dedup": LINE_SQL, "op8_ngram_jaccard": JACCARD_SQL}
