@@ -10,6 +10,8 @@ from tidemark.plans.registry import query, r
 
 #: Edges that a node keeps; it bounds the paths of two hops.
 MOST = 10
+#: The weight of the overall rate for nodes of fewer than 6 rows, fewer than 50, and more.
+FEW, SOME, WEIGHTS = 6, 50, (15.0, 5.0, 2.0)
 
 EDGES = """
 d AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
@@ -116,7 +118,7 @@ def node_rates(t):
     l = t("lineitem").withColumn("y", (F.col("l_returnflag") == "A").cast("int"))  # noqa: E741
     c = l.groupBy(F.col("l_partkey").alias("node")).agg(F.count("*").alias("n"), F.sum("y").alias("k"), F.avg("l_quantity").alias("q"))
     overall = l.agg(shrink.ratio(F.sum("y"), F.count("*")).alias("overall"))
-    weight = F.when(F.col("n") < 6, 15.0).when(F.col("n") < 50, 5.0).otherwise(2.0)
+    weight = F.when(F.col("n") < FEW, WEIGHTS[0]).when(F.col("n") < SOME, WEIGHTS[1]).otherwise(WEIGHTS[2])
     c = c.crossJoin(F.broadcast(overall))  # one row
     return c.select("node", "n", "q", ((weight * F.col("overall") + F.col("k")) / (weight + F.col("n"))).alias("rate"))
 

@@ -9,6 +9,11 @@ from tidemark.operators import windows as W
 from tidemark.plans.registry import query, r
 from tidemark.sources import tables
 
+#: The classes of a supplier's entropy (upper bounds), the least rows of a level that can be a prior, the prior's weight
+#: and the rows below which a node counts as new.
+ENTROPY_CLASSES = ((0.0001, "pure"), (0.5, "near"), (2.0, "mixed"))
+LEAST_GENUS, LEAST_FAMILY, PRIOR_WEIGHT, COLD = 20, 50, 5, 6
+
 
 @query("""
 WITH p AS (SELECT * FROM events WHERE event_type = 'purchase'), v AS (SELECT * FROM events WHERE event_type = 'view')
@@ -130,7 +135,8 @@ def group_entropy_class(t):
     w = W.whole(["l_suppkey"])
     c = c.withColumn("total", F.sum("n").over(w)).where("total > 5")
     h = c.groupBy("l_suppkey").agg(entropy.group_entropy(F.col("n") / F.col("total").cast("double")).alias("h"))
-    kind = F.when(F.col("h") <= 0.0001, "pure").when(F.col("h") < 0.5, "near").when(F.col("h") < 2.0, "mixed").otherwise("general")
+    (pure, one), (near, two), (mixed, three) = ENTROPY_CLASSES
+    kind = F.when(F.col("h") <= pure, one).when(F.col("h") < near, two).when(F.col("h") < mixed, three).otherwise("general")
     return h.select("l_suppkey", r("h", 5).alias("entropy"), kind.alias("kind"))
 
 
@@ -185,9 +191,9 @@ def hierarchical_prior(t):
     for k, keys in enumerate((["l_partkey"], ["p_type", "p_brand"], ["p_type"]), 1):
         w = W.before(keys, order)
         v = v.withColumns({f"n{k}": F.count(F.lit(1)).over(w), f"k{k}": F.coalesce(F.sum("y").over(w), F.lit(0))})
-    prior, source = shrink.prior_of([(F.col("k2"), F.col("n2"), 20), (F.col("k3"), F.col("n3"), 50)], F.lit(0.5))
-    rate = shrink.shrunk(F.col("k1"), F.col("n1"), prior, 5)
-    return v.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("n1").alias("n_before"), source.alias("prior_source"), r(prior).alias("prior"), r(rate).alias("rate"), (F.col("n1") < 6).alias("cold"))
+    prior, source = shrink.prior_of([(F.col("k2"), F.col("n2"), LEAST_GENUS), (F.col("k3"), F.col("n3"), LEAST_FAMILY)], F.lit(0.5))
+    rate = shrink.shrunk(F.col("k1"), F.col("n1"), prior, PRIOR_WEIGHT)
+    return v.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("n1").alias("n_before"), source.alias("prior_source"), r(prior).alias("prior"), r(rate).alias("rate"), (F.col("n1") < COLD).alias("cold"))
 
 
 @query("SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderdate, o_orderkey) AS keys FROM orders GROUP BY 1")
