@@ -23,6 +23,8 @@ from tidemark.llm import words
 
 #: Training rows of each language at most, taken by a hash of the id, and their size in bytes at most.
 SAMPLE, SAMPLE_BYTES = 300, 200_000
+#: Languages that are learned at most, the most frequent ones.
+LANGUAGES = 256
 #: Slots of the n-gram table and of the lexicon.
 BITS, LEXICON_BITS = 17, 16
 #: Times that a word occurs in the training texts to enter the lexicon.
@@ -192,11 +194,18 @@ def train(texts: list[str], langs: list[str], rounds: int = 6, batch: int = 64,
 
 def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE) -> Model | None:
     """A model of the languages of the labelled rows, learned on at most `rows` whole texts of each language."""
-    rank = F.row_number().over(Window.partitionBy("_l").orderBy(F.xxhash64("_i"), "_i"))
     fair = F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(id).isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES)
-    chosen = docs.where(fair).select(F.col(id).alias("_i"), F.col(lang).alias("_l"))
-    chosen = chosen.withColumn("_k", rank).where(F.col("_k") <= rows).drop("_k", "_l").distinct()
-    got = docs.where(fair).join(F.broadcast(chosen), F.col(id) == F.col("_i")).select("_i", text, lang).toArrow()
+    docs = docs.where(fair).select(F.col(id).alias("_i"), F.col(lang).alias("_l"), F.col(text).alias("_t"))
+    keys = docs.select("_i", "_l")
+    counts = keys.groupBy("_l").count().orderBy(F.desc("count"), "_l").limit(LANGUAGES).collect()
+    if not counts:
+        return None
+    # a share of each language by hash, about twice what is asked for, so that the window gets few rows however many there are
+    share = F.create_map(*(F.lit(x) for c in counts for x in (c["_l"], min(1.0, 2 * rows / c["count"] + 50 / c["count"]))))
+    part = F.pmod(F.xxhash64(F.lit(1), "_i"), F.lit(1 << 30)) / float(1 << 30)
+    chosen = keys.where(part < F.try_element_at(share, F.col("_l"))).withColumn("_k", F.row_number().over(Window.partitionBy("_l").orderBy(F.xxhash64("_i"), "_i")))
+    chosen = chosen.where(F.col("_k") <= rows).drop("_k", "_l").distinct()
+    got = docs.join(F.broadcast(chosen), "_i").select("_i", "_t", "_l").toArrow()
     got = sorted(zip(*(got.column(k).to_pylist() for k in range(3)), strict=True))
     return train([t for _, t, _ in got], [c for _, _, c in got])
 
