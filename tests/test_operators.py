@@ -100,6 +100,8 @@ def test_running_total_equals_a_global_window(spark):
     data = [(k, k % 4, float(k)) for k in range(20)] + [(20, None, 1.0)]
     df = spark.createDataFrame(data, "id long, t long, v double")
     got = {x.id: x.s for x in W.running_total(df, "t", "id", {"s": F.col("v")}).collect()}
+    halves = W.running_total(df, "t", "id", {"s": F.col("v")}, bucket=F.floor(F.col("t") / 2))
+    assert got == {x.id: x.s for x in halves.collect()}
     order = sorted(data, key=lambda d: (d[1] is not None, d[1] or 0, d[0]))
     assert got == {d[0]: sum(x[2] for x in order[:k]) for k, d in enumerate(order)}
 

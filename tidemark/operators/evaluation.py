@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import windows as W
+
+#: Buckets of a score from 0 to 1 that meet in one window.
+STEPS = 10_000
+
 
 def temporal_split(df: DataFrame, time: str, id: str, cutoff: str, val: tuple[str, str], test: str, most_val: int | None = None, most_test: int | None = None) -> DataFrame:
     """(id, split): train before the cutoff, val in [from, to), test from its start on; rows in the gaps are left out.
@@ -28,12 +33,10 @@ def temporal_split(df: DataFrame, time: str, id: str, cutoff: str, val: tuple[st
 def expanding_folds(df: DataFrame, time: str, id: str, folds: int, gap_days: int) -> DataFrame:
     """(fold, id, role): fold k validates on the k-th of folds + 1 chunks in order of time and trains on those before it, but for a gap.
 
-    Chunk sizes differ by one at most. Places come from counts for each time, so no task sorts all rows.
+    Chunk sizes differ by one at most. Places come from counts for each day, so no task sorts all rows.
     """
-    times = df.groupBy(time).agg(F.count("*").alias("_n"))
-    times = times.select(F.col(time).alias("_time"), F.coalesce(F.sum("_n").over(Window.orderBy(time).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    placed = df.select(id, time).join(times, F.col(time) == F.col("_time"))
-    placed = placed.withColumn("_k", F.col("_before") + F.row_number().over(Window.partitionBy(time).orderBy(id)) - 1)
+    placed = W.with_offsets(df.select(id, time, F.lit(1).alias("_one")), F.to_date(time), ["_one"])
+    placed = placed.withColumn("_k", F.col("_o__one") + F.row_number().over(Window.partitionBy("_b").orderBy(time, id)) - 1)
     total = df.count()
     small, large = total // (folds + 1), total % (folds + 1)
     edge = large * (small + 1)
@@ -46,15 +49,17 @@ def expanding_folds(df: DataFrame, time: str, id: str, folds: int, gap_days: int
     return each.select("fold", id, role.alias("role")).where("role IS NOT NULL")
 
 
+def step_of(score: str) -> Column:
+    """A bucket for scores that lie between 0 and 1."""
+    return F.floor(F.col(score) * STEPS)
+
+
 def ranked(df: DataFrame, score: str, label: str, id: str) -> DataFrame:
-    """df with `place`, `hits` (positives so far) by descending score, then id: counts for each score meet in one window, not the rows."""
-    by = df.groupBy(score).agg(F.count("*").alias("_n"), F.sum(label).alias("_h"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    by = by.select(F.col(score).alias("_score"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_n"), F.coalesce(F.sum("_h").over(w), F.lit(0)).alias("_h"))
-    inner = Window.partitionBy(score).orderBy(id)
-    rows = df.join(by, F.col(score) == F.col("_score"))
-    rows = rows.withColumn("place", F.col("_n") + F.row_number().over(inner)).withColumn("hits", F.col("_h") + F.sum(label).over(inner.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.drop("_score", "_n", "_h")
+    """df with `place`, `hits` (positives so far) by descending score, then id."""
+    rows = W.with_offsets(df.withColumn("_one", F.lit(1)), step_of(score), ["_one", label], descending=True)
+    inner = Window.partitionBy("_b").orderBy(F.desc(score), id)
+    rows = rows.withColumn("place", F.col("_o__one") + F.row_number().over(inner)).withColumn("hits", F.col(f"_o_{label}") + F.sum(label).over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.drop("_b", "_one", "_o__one", f"_o_{label}")
 
 
 def curve_at(df: DataFrame, shares: Sequence[float], score: str, label: str, id: str) -> DataFrame:
@@ -69,8 +74,9 @@ def curve_at(df: DataFrame, shares: Sequence[float], score: str, label: str, id:
 def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
     """(average_precision): the sum over distinct scores of the gain in recall times the precision there."""
     by = df.groupBy(score).agg(F.count("*").alias("n"), F.sum(label).alias("h"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    by = by.withColumns({"all": F.sum("n").over(w), "hits": F.sum("h").over(w)})
+    by = W.with_offsets(by, step_of(score), ["n", "h"], descending=True)
+    w = Window.partitionBy("_b").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    by = by.withColumns({"all": F.col("_o_n") + F.sum("n").over(w), "hits": F.col("_o_h") + F.sum("h").over(w)})
     return by.agg((F.sum(F.col("h") * F.col("hits") / F.col("all")) / F.sum("h")).alias("average_precision"))
 
 

@@ -52,17 +52,26 @@ def running_distinct(df: DataFrame, keys: Sequence[str], value: str, order: Sequ
     return marked.withColumn(out, F.coalesce(F.sum("_new").over(frame), F.lit(0))).drop("_new")
 
 
-def running_total(df: DataFrame, time: str, id: str, values: dict[str, Column]) -> DataFrame:
+def with_offsets(df: DataFrame, bucket: Column, sums: Sequence[str], descending: bool = False) -> DataFrame:
+    """df with `_b`, the row's bucket, and for each column of sums `_o_<column>`, its sum over all buckets before that one.
+
+    Only a row for each bucket meets in one window, so buckets should be few: days of a time, steps of a score. A
+    sequence of the whole table is then a window within each bucket plus the bucket's offset.
+    """
+    df = df.withColumn("_b", bucket)
+    totals = df.groupBy("_b").agg(*(F.sum(c).alias(c) for c in sums))
+    w = Window.orderBy(F.desc("_b") if descending else F.asc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(F.col("_b").alias("_bucket"), *(F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_o_{c}") for c in sums))
+    return df.join(totals, F.col("_b").eqNullSafe(F.col("_bucket"))).drop("_bucket")
+
+
+def running_total(df: DataFrame, time: str, id: str, values: dict[str, Column], bucket: Column | None = None) -> DataFrame:
     """df with sums over all earlier rows of the whole table by (time, id), without one task for all rows.
 
-    Totals for each time are summed up first; only these, one row for each distinct time, meet in one window.
+    bucket: a column that never falls as time rises, like its day; the time itself if it has few values.
     """
     named = {f"_v{k}": v for k, v in enumerate(values.values())}
-    df = df.withColumns(named)
-    totals = df.groupBy(time).agg(*(F.sum(n).alias(n) for n in named))
-    all_before = Window.orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(F.col(time).alias("_time"), *(F.coalesce(F.sum(n).over(all_before), F.lit(0)).alias(f"{n}_b") for n in named))
-    inner = before([time], [id])
-    joined = df.join(totals, df[time].eqNullSafe(F.col("_time")))
-    out = {o: F.col(f"{n}_b") + F.coalesce(F.sum(n).over(inner), F.lit(0)) for o, n in zip(values, named, strict=True)}
-    return joined.withColumns(out).drop("_time", *named, *(f"{n}_b" for n in named))
+    rows = with_offsets(df.withColumns(named), F.col(time) if bucket is None else bucket, list(named))
+    inner = Window.partitionBy("_b").orderBy(F.col(time).asc_nulls_first(), id).rowsBetween(Window.unboundedPreceding, -1)
+    out = {o: F.col(f"_o_{n}") + F.coalesce(F.sum(n).over(inner), F.lit(0)) for o, n in zip(values, named, strict=True)}
+    return rows.withColumns(out).drop("_b", *named, *(f"_o_{n}" for n in named))

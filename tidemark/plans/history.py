@@ -141,7 +141,7 @@ FROM orders WINDOW w AS ({SQL_BEFORE})
 """)
 def global_running_rate(t):
     """Over the whole table in order, from sums by date, so that no task gets all rows."""
-    o = W.running_total(t("orders"), "o_orderdate", "o_orderkey", {"n_before": F.lit(1), "k": positive()})
+    o = W.running_total(t("orders"), "o_orderdate", "o_orderkey", {"n_before": F.lit(1), "k": positive()}, bucket=F.to_date("o_orderdate"))
     return o.select("o_orderkey", F.col("n_before").cast("long"), r(shrink.ratio(F.col("k"), F.col("n_before"))).alias("rate_before"))
 
 
