@@ -103,6 +103,13 @@ def test_components_equal_brute_force(spark, monkeypatch, chunk, docs):
     assert len({c for _, _, c in want}) < 180
 
 
+def test_rows_of_one_id(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    docs = [(7, b), (7, a), (7, None), (9, a), (8, b), (9, a)]
+    got = run(spark, docs)
+    assert [r for r in got if r[0] == 7] == [(7, 0, 7), (7, 37, 7), (7, 37, 7)] and [r for r in got if r[0] == 9] == [(9, 37, 7)] * 2
+
+
 def test_empty_table(spark):
     assert J.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

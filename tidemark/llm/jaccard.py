@@ -18,7 +18,7 @@ Pieces and groups of candidates with many points are dealt out in chunks, and ea
 tasks return are forests of links, never all pairs.
 
 Defined results: a null or wordless text has an empty set and links with nothing; fewer words than a shingle are one shingle;
-rows with the same id are one node; a null id links with nothing; extra columns are not used; an empty table gives an empty result.
+rows with the same id are one node, which links by the first of their texts that isn't null; a null id links with nothing; extra columns are not used; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ CHUNK, DOCS = 512, 512
 #: Sets below this size are cut into single shingles.
 TINY = 32
 LEAF = 32
+#: Bytes of text whose shingles are held at once.
+PART = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -84,7 +86,7 @@ def pieces(flat: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray
     Pieces are ranges of hashes, as many as fit the class of the set's size (a power of two), so that pieces of two sets
     of a class can be compared; a set that may be similar to one of the next class is cut for that class too. A
     class has about a quarter more pieces than the largest of its sets needs; that a set has too few that aren't empty has a
-    probability below 1e-7 for the smallest class and falls fast, and then all of its pieces are given. Sets below TINY are cut into single shingles.
+    probability below 1e-6 for the smallest class and falls fast, and then all of its pieces are given. Sets below TINY are cut into single shingles.
     """
     first = np.cumsum(size) - size
     own = np.maximum(np.int64(np.log2(TINY)) - 1, np.log2(np.maximum(size, 1)).astype(np.int64))
@@ -258,7 +260,7 @@ def _verified(t: pa.Table, begins: np.ndarray, percent: int, shingle: int) -> pa
         if end - begin < 2:
             continue
         flat, size = [], []
-        for _, data, at in words.parts(t.column("text").slice(begin, end - begin)):
+        for _, data, at in words.parts(t.column("text").slice(begin, end - begin), PART):
             f, n = shingle_sets(data, at, shingle)
             flat.append(f)
             size.append(n)
@@ -282,7 +284,7 @@ def profiles(df: DataFrame, id: str, text: str, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, keys = [np.empty(0, np.int64)], []
-            for _, data, at in words.parts(batch.column(1)):
+            for _, data, at in words.parts(batch.column(1), PART):
                 flat, size = shingle_sets(data, at, shingle)
                 cut = np.append(0, np.cumsum(size))
                 sizes.append(size)
@@ -329,9 +331,12 @@ def find(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4
         """(ids, texts, hashes, sizes) of the chosen documents, once each, in parts."""
         want = np.unique(np.array([x for x in ids.to_pylist() if x is not None], np.int64))
         have, at = np.unique(t.column("i").to_numpy(), return_index=True)
+        if len(have) < len(t):  # of several rows of an id the first by its text
+            t = t.sort_by([("i", "ascending"), ("text", "ascending")])
+            have, at = np.unique(t.column("i").to_numpy(), return_index=True)
         at = np.sort(at[np.isin(have, want)])
         t = t.select(["i", "text"]).take(pa.array(at)).combine_chunks()
-        for k, data, begins in words.parts(t.column("text")):
+        for k, data, begins in words.parts(t.column("text"), PART):
             flat, n = shingle_sets(data, begins, shingle)
             yield t.column("i").to_numpy()[k : k + len(n)], t.column("text").slice(k, len(n)), flat, n
 
