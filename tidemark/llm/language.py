@@ -158,8 +158,10 @@ def train(texts: list[str], langs: list[str], rounds: int = 6, batch: int = 64,
 
     rng = np.random.default_rng(11)
     for _ in range(rounds):
+        # texts of a batch are alike in length, since the recursion takes as many steps as the longest has words; batches come in any order
         order = rng.permutation(len(texts))
-        for k in range(0, len(order), batch):
+        order = order[np.argsort(size[order], kind="stable")]
+        for k in rng.permutation(-(-len(order) // batch)) * batch:
             docs = np.sort(order[k : k + batch])
             docs = docs[size[docs] > 0]
             if not len(docs):
