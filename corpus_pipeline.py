@@ -14,6 +14,8 @@ from tidemark.llm.shared import dropped, saved
 
 #: A text whose best language is less likely than this has none that was learned.
 LEAST_SCORE = 0.3
+#: Words of a shingle, and the percentage of shared ones from which texts are copies.
+SHINGLE, SIMILAR = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def join_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of similar ones."""
     queries.small_batches(spark)
-    copies = jaccard.find(docs).where("doc_id != component_id").select("doc_id")
+    copies = jaccard.find(docs, shingle=SHINGLE, percent=SIMILAR).where("doc_id != component_id").select("doc_id")
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -52,3 +52,17 @@ def test_stages_with_odd_rows(spark, sf):
         left = [(r.doc_id, r.text) for r in P.STAGES[-1][1](spark, df, sf).join(df, "doc_id").collect()]
         assert left == ([(7, "the house and the cat")] if start is docs else [])
         assert df.count() == (2 if start is docs else 0)
+
+
+def test_near_copies_by_five_words_go(spark, sf):
+    words = [f"w{k}" for k in range(100)]
+    near = [*words]
+    near[30], near[60] = "other", "another"
+    have = [{tuple(w[k : k + 5]) for k in range(96)} for w in (words, near)]
+    four = [{tuple(w[k : k + 4]) for k in range(97)} for w in (words, near)]
+    share = lambda a, b: len(a & b) / len(a | b)
+    assert share(*have) >= 0.8 and share(*four) < 0.85
+    far = [f"v{k}" for k in range(100)]
+    rows = [(i, " ".join(w), "en", "s", len(" ".join(w))) for i, w in ((1, words), (2, near), (3, far))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in P.join_similar(spark, docs, sf).collect()) == [1, 3]
