@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import graph, shrink
 from tidemark.operators import windows as W
-from tidemark.plans.registry import query, r
+from tidemark.plans.registry import ORACLES, query, r
 
-#: Edges that a node keeps; it bounds the paths of two hops.
+#: Edges that a node keeps in the queries without _all; it bounds the paths of two hops.
 MOST = 10
 #: The weight of the overall rate for nodes of fewer than 6 rows, fewer than 50, and more.
 FEW, SOME, WEIGHTS = 6, 50, (15.0, 5.0, 2.0)
@@ -26,21 +26,23 @@ ends AS (SELECT e.*, a.p_type AS st, a.p_brand AS sb, a.p_size AS ss, b.p_type A
 TWO = "two AS (SELECT x.src, x.dst AS via, y.dst FROM e x JOIN e y ON y.src = x.dst WHERE x.src <> y.dst)"
 
 
-def edges(t):
+def edges(t, most=MOST):
+    """(src, dst, n): all edges, or the `most` heaviest of each node."""
     d = t("lineitem").select("l_orderkey", "l_partkey").distinct()
     pairs = d.withColumnRenamed("l_partkey", "src").join(d.withColumnRenamed("l_partkey", "dst"), "l_orderkey").where("src != dst")
-    return graph.top_edges(pairs.groupBy("src", "dst").agg(F.count("*").alias("n")), MOST)
+    found = pairs.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    return found if most is None else graph.top_edges(found, most)
 
 
-def with_ends(t):
-    e = graph.one_hop(edges(t), t("part"), "p_partkey", ["p_type", "p_brand", "p_size"])
+def with_ends(t, most=MOST):
+    e = graph.one_hop(edges(t, most), t("part"), "p_partkey", ["p_type", "p_brand", "p_size"])
     kind, brand = F.col("src_p_type") == F.col("dst_p_type"), F.col("src_p_brand") == F.col("dst_p_brand")
     return e.withColumn("boundary", F.when(kind & brand, 1).when(kind, 2).when(brand, 3).otherwise(4))
 
 
 @query(f"WITH {EDGES}, {BOUNDARY} SELECT src, dst, n, st AS src_type, dt AS dst_type, boundary FROM ends")
-def one_hop(t):
-    return with_ends(t).select("src", "dst", "n", F.col("src_p_type").alias("src_type"), F.col("dst_p_type").alias("dst_type"), "boundary")
+def one_hop(t, most=MOST):
+    return with_ends(t, most).select("src", "dst", "n", F.col("src_p_type").alias("src_type"), F.col("dst_p_type").alias("dst_type"), "boundary")
 
 
 @query(f"""
@@ -49,11 +51,12 @@ SELECT t.src AS node, count(DISTINCT t.dst) AS size, count(DISTINCT b.p_type) AS
   round(CAST(count(*) FILTER (a.p_type <> b.p_type) AS DOUBLE) / count(DISTINCT t.dst), 6) AS crossing_rate
 FROM two t JOIN part a ON a.p_partkey = t.src JOIN part b ON b.p_partkey = t.dst GROUP BY 1
 """)
-def two_hop_stats(t):
+def two_hop_stats(t, most=MOST):
     """Crossings count paths and the size counts nodes, so their ratio may exceed 1."""
     part = t("part").select("p_partkey", "p_type")
-    two = graph.two_hops(edges(t)).join(part.toDF("src", "st"), "src").join(part.toDF("dst", "dt"), "dst")
-    g = two.groupBy(F.col("src").alias("node")).agg(F.countDistinct("dst").alias("size"), F.countDistinct("dt").alias("types"), F.count_if(F.col("st") != F.col("dt")).alias("crossings"))
+    paths = graph.two_hops(edges(t, most)).groupBy("src", "dst").agg(F.count("*").alias("paths"))
+    two = paths.join(part.toDF("src", "st"), "src").join(part.toDF("dst", "dt"), "dst")
+    g = two.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("size"), F.countDistinct("dt").alias("types"), F.sum(F.when(F.col("st") != F.col("dt"), F.col("paths")).otherwise(0)).alias("crossings"))
     return g.withColumn("crossing_rate", r(shrink.ratio(F.col("crossings"), F.col("size"))))
 
 
@@ -62,8 +65,8 @@ WITH {EDGES}, {TWO}, x AS (SELECT DISTINCT src, dst FROM two EXCEPT SELECT src,
 SELECT s.src AS node, count(x.dst) AS exclusive, round(CAST(any_value(s.k) AS DOUBLE) / any_value(o.k), 6) AS expansion, round(CAST(count(x.dst) AS DOUBLE) / any_value(s.k), 6) AS hidden
 FROM s JOIN o ON o.src = s.src LEFT JOIN x ON x.src = s.src GROUP BY 1
 """)
-def exclusive_two_hop(t):
-    e = edges(t)
+def exclusive_two_hop(t, most=MOST):
+    e = edges(t, most)
     two = graph.two_hops(e).groupBy("src").agg(F.countDistinct("dst").alias("two"))
     one = e.groupBy("src").agg(F.count("*").alias("one"))
     only = graph.exclusive_two_hops(e).groupBy("src").agg(F.count("*").alias("only"))
@@ -75,8 +78,8 @@ def exclusive_two_hop(t):
 WITH {EDGES}, p AS (SELECT a.src AS node, a.dst AS b, c.dst AS c FROM e a JOIN e c ON c.src = a.src AND c.dst <> a.dst)
 SELECT p.node, count(*) AS pairs, count(e.src) AS connected, round(CAST(count(e.src) AS DOUBLE) / count(*), 4) AS coefficient FROM p LEFT JOIN e ON e.src = p.b AND e.dst = p.c GROUP BY 1
 """)
-def clustering_coefficient(t):
-    c = graph.clustering(edges(t)).where("pairs > 0")
+def clustering_coefficient(t, most=MOST):
+    c = graph.clustering(edges(t, most)).where("pairs > 0")
     return c.select("node", "pairs", "connected", r(shrink.ratio(F.col("connected"), F.col("pairs")), 4).alias("coefficient"))
 
 
@@ -84,13 +87,13 @@ def clustering_coefficient(t):
 WITH {EDGES}, o AS (SELECT src AS node, count(*) AS k FROM e GROUP BY 1), i AS (SELECT dst AS node, count(*) AS k FROM e GROUP BY 1)
 SELECT coalesce(o.node, i.node) AS node, o.k AS out_degree, i.k AS in_degree, i.k - o.k AS magnet FROM o FULL JOIN i ON i.node = o.node
 """)
-def degree_asymmetry(t):
-    return graph.degrees(edges(t))
+def degree_asymmetry(t, most=MOST):
+    return graph.degrees(edges(t, most))
 
 
 @query(f"WITH {EDGES}, {BOUNDARY} SELECT src, dst, boundary - 1 AS distance, abs(ss - ds) AS size_gap FROM ends")
-def rank_distance(t):
-    return with_ends(t).select("src", "dst", (F.col("boundary") - 1).alias("distance"), F.abs(F.col("src_p_size") - F.col("dst_p_size")).alias("size_gap"))
+def rank_distance(t, most=MOST):
+    return with_ends(t, most).select("src", "dst", (F.col("boundary") - 1).alias("distance"), F.abs(F.col("src_p_size") - F.col("dst_p_size")).alias("size_gap"))
 
 
 @query(f"""
@@ -98,8 +101,8 @@ WITH {EDGES}, {BOUNDARY}
 SELECT src AS node, count(*) AS neighbours, count(DISTINCT dt) AS types, count(DISTINCT db) AS brands, median(ds) AS size_median, max(ds) AS size_max, min(ds) AS size_min,
   count(*) FILTER (boundary = 1) AS near, count(*) FILTER (boundary > 2) AS far, max(boundary) AS widest, round(avg(boundary), 6) AS boundary_mean FROM ends GROUP BY 1
 """)
-def topology_aggregates(t):
-    return with_ends(t).groupBy(F.col("src").alias("node")).agg(
+def topology_aggregates(t, most=MOST):
+    return with_ends(t, most).groupBy(F.col("src").alias("node")).agg(
         F.count("*").alias("neighbours"), F.countDistinct("dst_p_type").alias("types"), F.countDistinct("dst_p_brand").alias("brands"), F.median("dst_p_size").alias("size_median"), F.max("dst_p_size").alias("size_max"),
         F.min("dst_p_size").alias("size_min"), F.count_if(F.col("boundary") == 1).alias("near"), F.count_if(F.col("boundary") > 2).alias("far"), F.max("boundary").alias("widest"), r(F.avg("boundary")).alias("boundary_mean"),
     )
@@ -129,8 +132,8 @@ SELECT b.src AS node, round(avg(b.rate), 6) AS rate_mean, round(max(b.rate), 6)
   round(sum(b.rate / b.boundary) / sum(1.0 / b.boundary), 6) AS rate_by_nearness, round((1 - avg(b.rate)) * log10(count(*) + 1), 6) AS difficulty, round(any_value(f.rate) - avg(b.rate), 6) AS rate_vs_neighbours
 FROM b JOIN v f ON f.node = b.src GROUP BY 1
 """)
-def neighbourhood_rates(t):
-    b = with_ends(t).select("src", "dst", "boundary").join(node_rates(t).withColumnRenamed("node", "dst"), "dst")
+def neighbourhood_rates(t, most=MOST):
+    b = with_ends(t, most).select("src", "dst", "boundary").join(node_rates(t).withColumnRenamed("node", "dst"), "dst")
     rate, d = F.col("rate"), F.col("boundary").cast("double")
     g = b.groupBy("src").agg(F.avg(rate).alias("m"), F.max(rate).alias("x"), F.stddev_samp(rate).alias("s"), (F.sum(rate * d) / F.sum(d)).alias("wd"), (F.sum(rate / d) / F.sum(1 / d)).alias("wn"), F.count("*").alias("c"))
     g = g.join(node_rates(t).select(F.col("node").alias("src"), F.col("rate").alias("own")), "src")
@@ -145,9 +148,9 @@ WITH {EDGES}, {RATES}, pool AS (SELECT src AS focal, dst AS node FROM e UNION AL
 k AS (SELECT focal, pool.node, percent_rank() OVER (PARTITION BY focal ORDER BY round(rate, 9) NULLS LAST) AS place, count(*) OVER (PARTITION BY focal) AS pool_size FROM pool JOIN v ON v.node = pool.node)
 SELECT focal AS node, round(place, 6) AS place_in_pool, pool_size FROM k WHERE focal = node
 """)
-def neighbourhood_pool_rank(t):
+def neighbourhood_pool_rank(t, most=MOST):
     """Where a part's own rate stands among its neighbours' and its own."""
-    e = edges(t)
+    e = edges(t, most)
     pool = e.select(F.col("src").alias("focal"), F.col("dst").alias("node")).unionByName(e.select(F.col("src").alias("focal"), F.col("src").alias("node")).distinct())
     k = pool.join(node_rates(t), "node").withColumn("rate", F.round("rate", 9))
     k = k.withColumns({"place": F.percent_rank().over(W.ordered(["focal"], ["rate"])), "pool_size": F.count(F.lit(1)).over(W.whole(["focal"]))})
@@ -163,3 +166,22 @@ def bipartite_edges(t):
     v = t("lineitem").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey"))
     x = v.groupBy("o_custkey", "l_suppkey").agg(F.count("*").alias("n"), F.countDistinct("l_orderkey").alias("orders"))
     return x.select("o_custkey", "l_suppkey", "n", "orders", r(shrink.ratio(F.col("n"), F.sum("n").over(W.whole(["l_suppkey"])))).alias("effort"), r(F.log1p("n")).alias("log_weight"))
+
+
+#: What keeps a node's heaviest edges in the SQL.
+KEPT = " QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) <= 10"
+
+
+def on_all_edges(run):
+    """Registers the query again under its name with _all, on every edge."""
+    name = run.of.__name__
+
+    def fn(t):
+        return run.of(t, most=None)
+
+    fn.__name__, fn.__doc__ = f"{name}_all", run.of.__doc__
+    return query(ORACLES[name].replace(KEPT, ""))(fn)
+
+
+for _run in (one_hop, two_hop_stats, exclusive_two_hop, clustering_coefficient, degree_asymmetry, rank_distance, topology_aggregates, neighbourhood_rates, neighbourhood_pool_rank):
+    on_all_edges(_run)
