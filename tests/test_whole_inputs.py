@@ -13,3 +13,7 @@ def test_degrees_count_every_edge(spark, sf):
         for a in parts:
             near.setdefault(a, set()).update(parts - {a})
     assert got == {a: len(x) for a, x in near.items() if x} and max(got.values()) > 10
+
+
+def test_every_event_is_there(spark, sf):
+    assert entry.queries()["chained_columns_all"](spark, sf).count() == spark.read.parquet(f"{sf}/events.parquet").count()
