@@ -20,7 +20,6 @@ SHINGLE, SIMILAR = 5, 80
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that have words in a language learned from the labelled ones."""
-    queries.small_batches(spark)
     model = language.fit(docs.where(queries.remainder(3) != 1))
     found = language.predict(docs, model, label="_lang", score="_score")
     return found.where((F.col("_lang") != "und") & (F.col("_score") >= LEAST_SCORE)).select(docs.columns)
@@ -36,21 +35,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def join_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of similar ones."""
-    queries.small_batches(spark)
     copies = jaccard.find(docs, shingle=SHINGLE, percent=SIMILAR).where("doc_id != component_id").select("doc_id")
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark item."""
-    queries.small_batches(spark)
     hit = decontaminate.find(docs, queries.table(spark, sf_dir, "benchmark")).select("doc_id")
     return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Counts and digests of the tokens, and of the bytes that they decode to."""
-    queries.small_batches(spark)
     return queries.token_digests(docs)
 
 
