@@ -6,13 +6,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text in a batch, on average.
 BATCH = 6 << 20
-#: Hashes that are compared in one task, on average.
-BUCKET = 1 << 16
+#: Bytes of sorted rows that are worked on at once, on average.
+RUNS = 32 << 20
+#: Counts are cut here; what matters of them is the number of parts that follow.
+MOST = 2**31 - 1
 
 
 def batched(df: DataFrame, id: str, text: str) -> tuple[DataFrame, int]:
@@ -26,54 +29,30 @@ def batch_of(id: str, count: int):
     return F.pmod(F.xxhash64(id), F.lit(count)).cast("int")
 
 
-def pack(x: np.ndarray, dtype: str) -> bytes:
-    return np.ascontiguousarray(x, dtype).tobytes()
+ASKED = "hash long, batch int, count int"
 
 
-ASKED = "bucket int, batch int, hashes binary, counts binary"
-
-
-def ask(batch: int, hashes: np.ndarray, buckets: int) -> pa.Table:
-    """The hashes of a batch, once each with the times that they occur, as a row for each bucket of hashes."""
+def ask(batch: int, hashes: np.ndarray) -> pa.Table:
+    """The hashes of a batch, once each with the times that they occur."""
     once, times = np.unique(hashes, return_counts=True)
-    bucket = (once >> np.uint64(32)).astype(np.int64) * buckets >> 32
-    cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(once))
-    rows = [(int(bucket[a]), batch, pack(once[a:b], "<u8"), pack(times[a:b], "<u4")) for a, b in zip(cut, cut[1:], strict=False)]
-    return table(rows, pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())]))
-
-
-def table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
+    return pa.table({"hash": once.view(np.int64), "batch": pa.array(np.full(len(once), batch, np.int32)), "count": np.minimum(times, MOST).astype(np.int32)})
 
 
 def repeated(asked: DataFrame) -> DataFrame:
-    """(batch, hashes, counts): for each batch those of its hashes that occur twice or more in all, with that count.
+    """(batch, hash, count): for each batch those of its hashes that occur twice or more in all, with that count.
 
     A batch sends each hash once, however often it has it, so a hash that all documents share costs a row for each batch.
     """
-
-    def meet(t: pa.Table) -> pa.Table:
-        part = [np.frombuffer(x, "<u8") for x in t.column("hashes").to_pylist()]
-        hashes = np.concatenate(part)
-        times = np.frombuffer(b"".join(t.column("counts").to_pylist()), "<u4").astype(np.int64)
-        once, back = np.unique(hashes, return_inverse=True)
-        total = np.minimum(np.bincount(back, times), 2**32 - 1)[back]
-        ends, rows = np.cumsum([len(x) for x in part]), []
-        for batch, a, b in zip(t.column("batch").to_pylist(), ends - [len(x) for x in part], ends, strict=True):
-            keep = total[a:b] >= 2
-            if keep.any():
-                rows.append((batch, pack(hashes[a:b][keep], "<u8"), pack(total[a:b][keep], "<u4")))
-        return table(rows, pa.schema([("batch", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())]))
-
-    return asked.groupBy("bucket").applyInArrow(meet, "batch int, hashes binary, counts binary")
+    total = F.sum("count").over(Window.partitionBy("hash"))
+    return asked.select("batch", "hash", F.least(total, F.lit(MOST)).cast("int").alias("count")).where("count >= 2")
 
 
 def answers(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """All (hashes, counts) of a batch's answers, by hash."""
-    hashes = np.frombuffer(b"".join(x for x in t.column("hashes").to_pylist() if x), "<u8")
-    counts = np.frombuffer(b"".join(x for x in t.column("counts").to_pylist() if x), "<u4")
+    t = t.select(["hash", "count"]).filter(pc.is_valid(t.column("hash")))
+    hashes = t.column("hash").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    return hashes[order], counts[order].astype(np.int64)
+    return hashes[order], t.column("count").to_numpy()[order].astype(np.int64)
 
 
 def known(hashes: np.ndarray, answer: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -85,20 +64,25 @@ def known(hashes: np.ndarray, answer: tuple[np.ndarray, np.ndarray]) -> np.ndarr
 
 
 def in_runs(df: DataFrame, keys: list[str], work: Callable[[pa.Table, np.ndarray], pa.Table | None], schema: str, order: list[str] = [], rows: int = 20_000) -> DataFrame:  # noqa: B006
-    """work(table, begins) over all rows, sorted by keys and order, in tables of whole runs of equal keys (long or int)."""
+    """work(table, begins) over all rows, sorted by keys and order, in tables of whole runs of equal keys (long or int).
+
+    A table has about `rows` rows or RUNS bytes, whichever comes first; a longer run makes one of its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
+        held, count, size, most, room = [], 0, 0, rows, RUNS
         for batch in batches:
             held.append(batch)
-            count += len(batch)
-            if count >= rows:
+            count, size = count + len(batch), size + batch.nbytes
+            if count >= most or size >= room:
                 t = pa.Table.from_batches(held)
                 begins = _begins(t, keys)
                 if begins[-1]:
                     yield from _out(work(t.slice(0, begins[-1]), begins[:-1]))
-                    t = t.slice(begins[-1])
-                held, count = t.to_batches(), len(t)
+                    t, most, room = t.slice(begins[-1]), rows, RUNS
+                else:  # one run so far: twice as much before the next look
+                    most, room = 2 * count, 2 * size
+                held, count, size = t.to_batches(), len(t), t.nbytes
         if held:
             t = pa.Table.from_batches(held)
             yield from _out(work(t, _begins(t, keys)))

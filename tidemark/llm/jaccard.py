@@ -12,7 +12,7 @@ To bring points together that can survive, without comparing all with all:
    most_apart + 1 pieces that aren't empty is the same in both sets. The pieces that occur twice are found
    first; the points that share one go to one task with their counts, and the R-tree bound leaves links between candidates.
 3. Documents that such links connect come together with their texts; an R-tree over finer counts gives
-   candidates and the sets decide. Points that are already connected needn't be verified against each other.
+   candidates and the sets decide, by their hashes first and then by the shingles themselves. Points that are already connected needn't be verified against each other.
 
 Pieces and groups of candidates with many points are dealt out in chunks, and each pair of chunks is a task of its own. What
 tasks return are forests of links, never all pairs.
@@ -24,6 +24,7 @@ rows with the same id are one node, which links by the first of their texts that
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,8 @@ from tidemark.llm.shared import components, dropped, saved
 GROUPS, FINE = 128, 256
 #: Points that share a piece, and documents of a group of candidates, that one task compares on one side.
 CHUNK, DOCS = 512, 512
+#: Shingles of those documents, on average.
+SHINGLES = 1 << 19
 #: Sets below this size are cut into single shingles.
 TINY = 32
 LEAF = 32
@@ -85,8 +88,9 @@ def pieces(flat: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray
 
     Pieces are ranges of hashes, as many as fit the class of the set's size (a power of two), so that pieces of two sets
     of a class can be compared; a set that may be similar to one of the next class is cut for that class too. A
-    class has about a quarter more pieces than the largest of its sets needs; that a set has too few that aren't empty has a
-    probability below 1e-6 for the smallest class and falls fast, and then all of its pieces are given. Sets below TINY are cut into single shingles.
+    class has about a quarter more pieces than the largest of its sets needs. Should a set still have too few that aren't empty,
+    two such sets might have all of them apart; then the n - ceil(n * percent / 100) + 1 least hashes are given as well, of which
+    two similar sets share one. Sets below TINY are cut into single shingles.
     """
     first = np.cumsum(size) - size
     own = np.maximum(np.int64(np.log2(TINY)) - 1, np.log2(np.maximum(size, 1)).astype(np.int64))
@@ -112,6 +116,12 @@ def pieces(flat: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray
         value = words.mix(sums + piece[begin] * np.uint64(0xC2B2AE3D27D4EB4F) + c[begin].astype(np.uint64) * np.uint64(0x165667B19E3779F9))
         out_hash.append(value[keep])
         out_set.append(some[owner[keep]])
+        few = np.bincount(owner, minlength=len(some)) <= most_apart(n, percent)
+        prefix = n + (-n * percent) // 100 + 1
+        inner = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+        keep = few[of] & (inner < prefix[of])
+        out_hash.append(words.mix(h[keep] + np.uint64(0x27D4EB2F165667C5)))
+        out_set.append(some[of[keep]])
     return (np.concatenate(out_hash), np.concatenate(out_set)) if out_hash else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
@@ -188,6 +198,13 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def surely_similar(a: str, b: str, size: int, percent: int) -> bool:
+    """Whether two texts reach the similarity by their shingles themselves."""
+    cut = [re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower()) for t in (a, b)]
+    x, y = ({tuple(w[k : k + size]) for k in range(max(len(w) - size, 0) + 1)} for w in cut)
+    return 100 * len(x & y) >= percent * len(x | y)
+
+
 def forest(tree: Tree, sides: np.ndarray | None, verify=None) -> tuple[np.ndarray, np.ndarray]:
     """(point, root) of the points that links connect with others; links join the two sides if there are sides.
 
@@ -267,8 +284,12 @@ def _verified(t: pa.Table, begins: np.ndarray, percent: int, shingle: int) -> pa
         flat, size = np.concatenate(flat), np.concatenate(size)
         cut = np.append(0, np.cumsum(size))
         tree = Tree(count_vectors(flat, size, FINE), size, percent)
-        sets = lambda k, flat=flat, cut=cut: flat[cut[k] : cut[k + 1]]
-        some, root = forest(tree, own[begin:end] if cross[begin] else None, lambda x, y, sets=sets: similar(sets(x), sets(y), percent))
+        texts = t.column("text").slice(begin, end - begin)
+
+        def linked(x: int, y: int, flat=flat, cut=cut, texts=texts) -> bool:
+            return similar(flat[cut[x] : cut[x + 1]], flat[cut[y] : cut[y + 1]], percent) and surely_similar(texts[x].as_py(), texts[y].as_py(), shingle, percent)
+
+        some, root = forest(tree, own[begin:end] if cross[begin] else None, linked)
         a.append(ids[begin:end][some])
         b.append(ids[begin:end][root])
     return pa.table({"a": np.concatenate(a) if a else np.empty(0, np.int64), "b": np.concatenate(b) if b else np.empty(0, np.int64)})
@@ -297,13 +318,14 @@ def profiles(df: DataFrame, id: str, text: str, shingle: int) -> DataFrame:
 def _dealt(member: DataFrame, percent: int) -> DataFrame:
     """(component, l1, l2, c1, c2, own, i): the tasks that each document of a group of candidates goes to.
 
-    A group of at most DOCS is one task. A larger one is cut by levels of size, so that similar documents are in the same
+    A group of at most DOCS documents and SHINGLES shingles is one task. A larger one is cut by levels of size, so that similar documents are in the same
     level or in neighbouring ones, and each level in chunks; each pair of chunks that may hold a link is a task.
     """
-    total = member.groupBy("component").agg(F.count("*").alias("total"))
-    level = F.when(F.col("total") <= DOCS, 0).otherwise(F.floor(F.log("n") / F.log(F.lit(100 / percent))))
+    share = F.greatest(F.count("*") / DOCS, F.sum("n") / SHINGLES)
+    total = member.groupBy("component").agg(share.alias("total"))
+    level = F.when(F.col("total") <= 1, 0).otherwise(F.floor(F.log("n") / F.log(F.lit(100 / percent))))
     member = member.join(total, "component").withColumn("level", level.cast("long"))
-    chunks = member.groupBy("component", "level").agg(F.ceil(F.count("*") / DOCS).alias("chunks"))
+    chunks = member.groupBy("component", "level").agg(F.ceil(share).alias("chunks"))
     member = member.join(chunks, ["component", "level"]).withColumn("mine", F.pmod(F.xxhash64("i"), "chunks")).withColumn("own", F.col("level") * (1 << 32) + F.col("mine"))
     low, high = (chunks.select("component", (F.col("level") + d).alias("level"), F.col("chunks").alias(name)) for d, name in ((1, "below"), (-1, "above")))
     member = member.join(low, ["component", "level"], "left").join(high, ["component", "level"], "left")
@@ -323,9 +345,8 @@ def find(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4
     known = saved(profiles(df, id, text, shingle), "profiles")
     docs, size = blocks.batched(df.where(F.col(id).isNotNull()), id, text)
     count = max(1, -(-size // blocks.BATCH))
-    buckets = max(1, size // 20 // blocks.BUCKET)
     one = known.where("n > 0 AND i IS NOT NULL").groupBy("key").agg(F.min("i").alias("i"))
-    one = one.select(blocks.batch_of("i", count).alias("batch"), "i", F.lit(None).cast("binary").alias("hashes"), F.lit(None).cast("binary").alias("counts"))
+    one = one.select(blocks.batch_of("i", count).alias("batch"), "i", F.lit(None).cast("long").alias("hash"), F.lit(None).cast("int").alias("count"))
 
     def chosen(t: pa.Table, ids: pa.ChunkedArray) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]]:
         """(ids, texts, hashes, sizes) of the chosen documents, once each, in parts."""
@@ -342,7 +363,7 @@ def find(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4
 
     def asking(docs: pa.Table, ones: pa.Table) -> pa.Table:
         got = [pieces(flat, n, percent)[0] for _, _, flat, n in chosen(docs, ones.column("i"))] if len(docs) else []
-        return blocks.ask(docs.column("batch")[0].as_py() if len(docs) else 0, np.concatenate([np.empty(0, np.uint64), *got]), buckets)
+        return blocks.ask(docs.column("batch")[0].as_py() if len(docs) else 0, np.concatenate([np.empty(0, np.uint64), *got]))
 
     def emitting(docs: pa.Table, asked: pa.Table) -> pa.Table:
         answer, out = blocks.answers(asked), []
@@ -370,7 +391,7 @@ def find(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4
 
     by = docs.groupBy("batch")
     asked = by.cogroup(one.groupBy("batch")).applyInArrow(asking, blocks.ASKED)
-    replies = blocks.repeated(asked).select("batch", F.lit(None).cast("long").alias("i"), "hashes", "counts").unionAll(one)
+    replies = blocks.repeated(asked).select("batch", F.lit(None).cast("long").alias("i"), "hash", "count").unionAll(one)
     rows = by.cogroup(replies.groupBy("batch")).applyInArrow(emitting, "piece long, c1 long, c2 long, own long, i long, n long, counts binary, text string")
     found = saved(blocks.in_runs(rows, ["piece", "c1", "c2"], lambda t, b: _candidates(t, b, percent), "a long, b long, text string"), "candidates")
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Temporary folders of sessions on one machine, by application.
 _OWN: dict[str, str] = {}
+#: Keys whose rows may be dealt out over several tasks, at most, and the rows of a key from which that pays.
+HOT, FREQUENT = 4096, 1000
 
 
 def folder(spark: SparkSession) -> str:
@@ -45,23 +47,43 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(rows: DataFrame, found: DataFrame, keys: list[str], total: int, by: list[str]) -> DataFrame:
+    """rows joined with `found`, which has one row for each key and the number `n` of its rows; frequent keys go to several tasks, dealt out by `by`.
+
+    Of at most `total` rows, fewer than HOT keys have more than total / HOT, so what is broadcast has a bound at any size.
+    """
+    most = max(FREQUENT, total // HOT)
+    if total <= most:
+        return rows.join(found.drop("n"), keys)
+    hot = F.broadcast(found.where(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).alias("_shares")))
+    dealt = rows.join(hot, keys, "left").withColumn("_share", F.coalesce(F.pmod(F.xxhash64(*by), F.col("_shares")), F.lit(0).cast("long")))
+    copies = found.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / most) - 1))).drop("n")
+    return dealt.drop("_shares").join(copies, [*keys, "_share"]).drop("_share")
+
+
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """(a, b, m): each edge with the smallest neighbour of a, a itself included."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    return spread(edges, least, ["a"], total, ["b"])
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that is reachable, for each node of `edges` (a, b).
 
     Alternates two steps until nothing changes: each node links its larger neighbours to its smallest one, then its
-    smaller neighbours and itself. Stars of any size stay one row for each leaf, and minima are combined before
-    they are shuffled; the skew of a join on a hub is left to adaptive execution.
+    smaller neighbours and itself. Stars of any size stay one row for each leaf, minima are combined before
+    they are shuffled, and the rows of a hub are dealt out over tasks.
     """
     e = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e, before = saved(e, "edges"), None
+    e = saved(e, "edges")
+    before = _state(e)
     for _ in range(rounds):
+        total = 2 * before[0]
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
+        large = _with_least(both, total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        small = _with_least(large, total).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
         new = saved(small.select("x.a", "x.b").where("a != b").distinct(), "edges")
-        state = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        state = _state(new)
         dropped(e)
         e = new
         if state == before:
@@ -71,3 +93,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("components didn't settle")
     nodes = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionAll(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

@@ -42,16 +42,6 @@ ROW = 40
 _SECOND = np.uint64(0xA24BAED4963EE407)
 
 
-def _word(x: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place on as one number, the first byte on top; short at the end."""
-    w = np.zeros(len(x) + 8, np.uint64)
-    w[: len(x)] = x
-    for k in (1, 2, 4):
-        w[:-k] = w[:-k] << np.uint64(8 * k) | w[k:]
-        w[-k:] <<= np.uint64(8 * k)
-    return w[: len(x)]
-
-
 def minimizers(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(begin, end, key) of the pieces of each text: runs of windows whose first least hash of GRAM bytes is at the same place."""
     count = len(data) - length + 1
@@ -59,7 +49,7 @@ def minimizers(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarra
     if count <= 0:
         return none, none, np.empty(0, np.uint64)
     gram = min(GRAM, length)
-    w = _word(data)
+    w = words.eight(data)
     g = np.zeros(len(data) - gram + 1, np.uint64)
     for k in range(0, gram - 7, 8):
         g = words.mix(g + w[k : k + len(g)] * np.uint64(0x9E3779B97F4A7C15))
@@ -116,7 +106,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """The suffixes in order of their first `depth` bytes at least, by two-stage sorting."""
     n = len(text)
     small = smaller_than_next(text)
-    direct = _sorted_directly(_word(text), np.flatnonzero(small), depth)
+    direct = _sorted_directly(words.eight(text), np.flatnonzero(small), depth)
     first = text[direct]
     cut = np.searchsorted(first, np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -144,7 +134,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 
 def same_windows(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """For each of the places `at` but the first whether its `length` bytes equal those at the place before it."""
-    word = np.append(_word(text), np.zeros(length + 8, np.uint64))
+    word = np.append(words.eight(text), np.zeros(length + 8, np.uint64))
     some = np.arange(1, len(at))
     for k in [*range(0, length - 7, 8), *([length - 8] if length % 8 and length >= 8 else [])]:
         some = some[word[at[some] + k] == word[at[some - 1] + k]]
@@ -197,14 +187,12 @@ def _gone(batch, i, place, end) -> pa.Table:
 
 
 def _prepared(docs: pa.Table, ones: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
-    """The documents of a batch by id, then text; their ids, numbers of rows of the same id and whether they are first copies. Null ids come last."""
+    """The documents of a batch by id, then text; their ids, numbers of rows of the same id and whether they are first copies."""
     docs = docs.set_column(docs.schema.get_field_index("text"), "text", pc.fill_null(docs.column("text"), "")).sort_by([("i", "ascending"), ("text", "ascending")])
-    valid = len(docs) - docs.column("i").null_count
-    ids = docs.column("i").slice(0, valid).to_numpy()
-    same = np.arange(valid) - np.searchsorted(ids, ids)
+    ids = docs.column("i").to_numpy()
+    same = np.arange(len(ids)) - np.searchsorted(ids, ids)
     first = {(i, k) for i, k in zip(ones.column("i").to_pylist(), ones.column("key").to_pylist(), strict=True) if k}
-    texts = docs.column("text").slice(0, valid)
-    own = np.array([(i, hashlib.md5(t.as_buffer(), usedforsecurity=False).hexdigest()) in first for i, t in zip(ids.tolist(), texts, strict=True)], bool)
+    own = np.array([(i, hashlib.md5(t.as_buffer(), usedforsecurity=False).hexdigest()) in first for i, t in zip(ids.tolist(), docs.column("text"), strict=True)], bool)
     return docs, ids, same.astype(np.int64) << ROW, own
 
 
@@ -293,11 +281,11 @@ def _compared(t: pa.Table, length: int) -> pa.Table:
     stay = ~later & (kind[of] == SHARE)
     if stay.any():
         at = array[stay]
-        word = np.append(_word(text), np.zeros(length + 8, np.uint64))
+        word = np.append(words.eight(text), np.zeros(length + 8, np.uint64))
         f1, f2 = np.zeros(len(at), np.uint64), np.full(len(at), 7, np.uint64)
         for k in [*range(0, length - 7, 8), max(0, length - 8)]:
             w = word[at + k] if length >= 8 else word[at] >> np.uint64(8 * (8 - length))
-            f1, f2 = words.mix(f1 + w * words.BASE), words.mix(f2 + w * _SECOND)
+            f1, f2 = words.mix(f1 + w * words.KEY), words.mix(f2 + w * _SECOND)
         out.append(_rows(_signed(f1), _signed(f2), 0, WINDOW, batch[of[stay]], i[of[stay]], spot[stay], length))
     return pa.concat_tables(out)
 
@@ -330,9 +318,9 @@ def _left(docs: pa.Table, spans: pa.Table, length: int) -> pa.Table:
         x = value.as_py()
         sizes.append(len(x))
         mine = []
-        if k < len(ids) and not own[k] and len(x) >= length:
+        if not own[k] and len(x) >= length:
             mine.append([0, len(x)])
-        elif k < len(ids) and lo[k] < hi[k]:
+        elif lo[k] < hi[k]:
             some = slice(lo[k], hi[k])
             for p, q in zip(a[some] - row[k], b[some] - row[k], strict=True):
                 if not 0 <= p < 1 << ROW:
@@ -350,8 +338,7 @@ def _left(docs: pa.Table, spans: pa.Table, length: int) -> pa.Table:
 
 def dedup(df: DataFrame, id: str = "doc_id", text: str = "text", length: int = 100) -> DataFrame:
     """(id, n_bytes, spans, kept): the removed spans of each text's UTF-8 bytes, as (begin, end), and the bytes that are left."""
-    docs, size = blocks.batched(df, id, text)
-    buckets = max(1, size // 30 // blocks.BUCKET)
+    docs, size = blocks.batched(df.where(F.col(id).isNotNull()), id, text)
 
     key = F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))
     ones = df.where(F.col(id).isNotNull()).groupBy(key.alias("key")).agg(F.min(F.col(id).cast("long")).alias("i"))
@@ -360,14 +347,16 @@ def dedup(df: DataFrame, id: str = "doc_id", text: str = "text", length: int = 1
 
     def asking(docs: pa.Table, ones: pa.Table) -> pa.Table:
         keys = [key for *_, key, _ in _pieces(docs, ones, length)] if len(docs) and len(ones) else []
-        return blocks.ask(docs.column("batch")[0].as_py() if len(docs) else 0, np.concatenate([np.empty(0, np.uint64), *keys]), buckets)
+        return blocks.ask(docs.column("batch")[0].as_py() if len(docs) else 0, np.concatenate([np.empty(0, np.uint64), *keys]))
 
     by = docs.groupBy("batch")
     replies = blocks.repeated(by.cogroup(ones.groupBy("batch")).applyInArrow(asking, blocks.ASKED))
-    replies = replies.select("batch", *none(i="long", key="string"), "hashes", "counts").unionAll(ones.select("batch", "i", "key", *none(hashes="binary", counts="binary")))
+    replies = replies.select("batch", *none(i="long", key="string"), "hash", "count").unionAll(ones.select("batch", "i", "key", *none(hash="long", count="int")))
     sent = by.cogroup(replies.groupBy("batch")).applyInArrow(lambda d, a: _sent(d, a, length), _PIECE)
     found = blocks.in_runs(sent, ["f1", "part"], lambda t, b: _compared(t, length), _PIECE)
     spans = blocks.in_runs(found, ["f1", "f2"], lambda t, b: _settled(t, b, length), "batch int, i long, place long, size long", order=["i", "place"])
     spans = spans.select("batch", "i", *none(key="string"), "place", "size").unionAll(ones.select("batch", "i", "key", F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("size")))
     done = by.cogroup(spans.groupBy("batch")).applyInArrow(lambda d, s: _left(d, s, length), "i long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
-    return done.withColumnRenamed("i", id)
+    raw = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
+    alone = df.where(F.col(id).isNull()).select(F.lit(None).cast("long").alias("i"), F.octet_length(raw).cast("long").alias("n_bytes"), F.array().cast(done.schema["spans"].dataType).alias("spans"), raw.alias("kept"))
+    return done.unionAll(alone).withColumnRenamed("i", id)

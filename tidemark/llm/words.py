@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-#: Base of the polynomial hash of a word; odd.
-BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Key of the hash of a word, and the bytes up to which it is worked out with numpy.
+KEY, LONG = np.uint64(0x9E3779B97F4A7C15), 512
 #: Bytes of text that are worked on at once; a longer text makes a part of its own.
 PART = 4 << 20
 
@@ -63,19 +64,36 @@ def spans(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return begin, end, np.searchsorted(at, begin, "right") - 1
 
 
-def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, base: np.uint64 = BASE) -> np.ndarray:
-    """A 64-bit hash of each data[begin:end]; spans must not be empty. base: an odd number."""
+def eight(x: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, the first byte on top; short at the end."""
+    w = np.zeros(len(x) + 8, np.uint64)
+    w[: len(x)] = x
+    for k in (1, 2, 4):
+        w[:-k] = w[:-k] << np.uint64(8 * k) | w[k:]
+        w[-k:] <<= np.uint64(8 * k)
+    return w[: len(x)]
+
+
+def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, key: np.uint64 = KEY) -> np.ndarray:
+    """A 64-bit hash of each data[begin:end]; spans must not be empty.
+
+    Eight bytes at a time are taken in by a bijection that isn't linear, after the length; longer spans get a keyed digest.
+    """
     if not len(begin):
         return np.empty(0, np.uint64)
     size = end - begin
-    at = np.cumsum(size) - size
-    inner = np.arange(int(size.sum())) - np.repeat(at, size)
-    power = np.full(int(size.max()) + 1, base)
-    power[0] = 1
-    power = np.multiply.accumulate(power)
-    values = data[inner + np.repeat(begin, size)].astype(np.uint64) + np.uint64(1)
-    values *= power[inner]
-    return mix(np.add.reduceat(values, at) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    word, value = eight(data), mix(size.astype(np.uint64) * key)
+    left = np.flatnonzero(size <= LONG)
+    for k in range(0, LONG, 8):
+        left = left[size[left] > k]
+        if not len(left):
+            break
+        spare = np.maximum(8 - (size[left] - k), 0).astype(np.uint64)
+        value[left] = mix((value[left] ^ (word[begin[left] + k] >> (spare * np.uint64(8)))) + key)
+    for k in np.flatnonzero(size > LONG):
+        digest = hashlib.blake2b(data[begin[k] : end[k]].tobytes(), digest_size=8, key=int(key).to_bytes(8, "little")).digest()
+        value[k] = int.from_bytes(digest, "little")
+    return value
 
 
 def lower(data: np.ndarray) -> np.ndarray:
