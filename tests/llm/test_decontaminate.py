@@ -37,7 +37,7 @@ def test_pieces_cover_the_item():
 def test_equal_to_the_plain_recursion(spark):
     rng = random.Random(5)
     words = ["the", "quick", "brown", "fox", "jumps", "over", "lazy", "dog", "and", "éa"]
-    items = [" ".join(rng.choices(words, k=rng.randrange(5, 30))) for _ in range(12)] + ["tiny", None]
+    items = [" ".join(rng.choices(words, k=rng.randrange(5, 30))) for _ in range(12)] + ["dog a", "", " ", None]
     docs = [None, "", "no", items[0].upper(), items[1].replace(" ", "\n"), items[2] + " " + items[2], items[2] + " " + items[2]]
     docs += [" ".join(rng.choices(words, k=30)) + " " + edited(items[k % 12], rng.randrange(0, 14), rng) + " tail" for k in range(60)]
     d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
@@ -45,7 +45,7 @@ def test_equal_to_the_plain_recursion(spark):
     want = {}
     for i, t in enumerate(docs):
         for k, x in enumerate(items):
-            if t and x and len(x) >= D.SHORTEST and (n := distance(D.normal(x), D.normal(t))) <= D.budget_of(x, D.RATE):
+            if t and x and x.strip() and (n := distance(D.normal(x), D.normal(t))) <= D.budget_of(x, D.RATE):
                 want[i, k] = n
     for block in (D.BLOCK, 200):
         got = {(r.doc_id, r.item_id): r.distance for r in D.find(d, b, block=block).collect()}
@@ -53,12 +53,19 @@ def test_equal_to_the_plain_recursion(spark):
     assert len(want) > 30 and D.find(d.limit(0), b).count() == 0 and D.find(d, b.limit(0)).count() == 0
 
 
+def test_items_with_several_texts_and_other_types(spark):
+    docs = spark.createDataFrame([("a", "xx the quick brown fox jumps yy", 1), ("b", "x " * 200_000 + "lazy dogs", 2), (None, "LAZY DOGS", 3)], "doc_id string, text string, item_id int")
+    bench = spark.createDataFrame([(1.5, "the quick brown fox jumped", "a"), (1.5, "the quick brown fox jumps", "b"), (2.5, "lazy dogs", None)], "item_id double, text string, distance string")
+    got = sorted(map(tuple, D.find(docs, bench).collect()), key=str)
+    assert got == sorted([("a", 1.5, 0, 28), ("b", 2.5, 0, 400_009), (None, 2.5, 0, 9)], key=str)
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     items = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     rows = queries.op10_decontamination(spark, sf).collect()
-    exact = {(d, i) for d, t in docs.items() for i, x in items.items() if len(x) >= D.SHORTEST and x in t}
+    exact = {(d, i) for d, t in docs.items() for i, x in items.items() if x in t}
     assert exact and exact <= {(r.doc_id, r.item_id) for r in rows}
     for r in rows:
         at = D.normal(docs[r.doc_id])[: r.end]

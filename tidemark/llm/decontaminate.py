@@ -3,27 +3,30 @@
 An item with an error budget of k edits is cut into k + 1 pieces. If a text holds the item within k edits, one piece
 is there unchanged. All pieces of a block of items are searched at once; around each hit Myers' bit-parallel recursion
 finds the smallest edit distance between the item and a part of the text. Case and kinds of white space don't count.
+Items too short for an edit have a budget of none and are found where they stand unchanged.
 
 Items come in blocks whose total size has a bound, so that what is sent to the executors doesn't grow; each block is a
-pass over the documents.
+pass over the documents. A worker builds the automaton of a block once and keeps it for its later tasks.
 
-Defined results: null texts and items match nothing, nor do items shorter than SHORTEST; copies of a document each get
-their own rows, an item that is given twice counts once; other columns are not used; an empty table on either side gives an empty result.
+Defined results: null texts and items match nothing, nor do items of white space alone; copies of a document each get
+their own rows; an item that is given twice counts once, and of several texts of an item the nearest; other columns are not used;
+ids may have any type; an empty table on either side gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Edits allowed for each character of an item.
 RATE = 0.08
-#: Characters that an item needs.
-SHORTEST = 24
 #: Characters of items that are searched for in one pass.
 BLOCK = 16 << 20
 
@@ -98,7 +101,9 @@ class Searcher:
         begins: dict[int, list[int]] = {}
         for end, (size, places) in self.found.iter(text):
             for k, a in places:
-                begins.setdefault(k, []).append(end + 1 - size - a)
+                # without a budget the first place is as good as any
+                if k not in begins or self.items[k][2]:
+                    begins.setdefault(k, []).append(end + 1 - size - a)
         for k, hits in begins.items():
             _, item, budget = self.items[k]
             self.myers[k] = self.myers[k] or Myers(item)
@@ -117,39 +122,47 @@ class Searcher:
                 yield k, *best
 
 
-def find(docs: DataFrame, bench: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = RATE, shortest: int = SHORTEST, block: int = BLOCK) -> DataFrame:
+#: The automaton of the block that this worker looked for last.
+_KEPT: dict[str, Searcher] = {}
+
+
+def _searcher(name: str, items: list[tuple], rate: float) -> Searcher:
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = Searcher(items, rate)
+    return _KEPT[name]
+
+
+def find(docs: DataFrame, bench: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = RATE, block: int = BLOCK) -> DataFrame:
     """(id, item, distance, end) for each document and item that it holds; `end` counts characters."""
-    good = bench.select(F.col(item).alias("_item"), F.col(item_text).alias("_text")).where(F.length("_text") >= shortest).distinct()
+    good = bench.select(F.col(item).alias("_item"), F.col(item_text).alias("_text")).where(F.col("_text").rlike(r"\S")).distinct()
     blocks = max(1, -(-(good.agg(F.sum(F.length("_text"))).first()[0] or 0) // block))
-    kind = docs.schema[id].dataType.simpleString(), bench.schema[item].dataType.simpleString()
-    schema = f"`{id}` {kind[0]}, `{item}` {kind[1]}, distance int, `end` long"
+    id_type, item_type = docs.schema[id].dataType, bench.schema[item].dataType
+    schema = T.StructType([T.StructField(id, id_type), T.StructField(item, item_type), T.StructField("distance", T.IntegerType()), T.StructField("end", T.LongType())])
+    arrow = to_arrow_type(item_type)
 
     def one(n: int) -> DataFrame:
-        # a block has about `block` characters
-        items = sorted((tuple(r) for r in good.where(F.pmod(F.xxhash64("_item", "_text"), F.lit(blocks)) == n).collect()), key=str)
+        # a block has about `block` characters; all texts of an item are in one
+        items = sorted((tuple(r) for r in good.where(F.pmod(F.xxhash64("_item"), F.lit(blocks)) == n).collect()), key=str)
+        sent, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            searcher = Searcher(items, rate) if items else None
+            searcher = _searcher(name, sent.value, rate) if sent.value else None
             for batch in batches:
-                ids, found = [], ([], [], [])
-                rows = []
+                rows, ids, distances, ends = [], [], [], []
                 for row, value in enumerate(batch.column(1)):
-                    if searcher is None or not value.is_valid:
-                        continue
-                    for k, distance, end in searcher.search(value.as_py()):
+                    best = {}
+                    for k, distance, end in searcher.search(value.as_py()) if searcher and value.is_valid else ():
+                        key = searcher.items[k][0]
+                        best[key] = min(best.get(key, (distance, end)), (distance, end))
+                    for key, (distance, end) in best.items():
                         rows.append(row)
-                        ids.append(items[k][0])
-                        found[0].append(distance)
-                        found[1].append(end)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(ids, _arrow(kind[1])), pa.array(found[0], pa.int32()), pa.array(found[1], pa.int64())],
-                    names=[id, item, "distance", "end"],
-                )
+                        ids.append(key)
+                        distances.append(distance)
+                        ends.append(end)
+                columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(ids, arrow), pa.array(distances, pa.int32()), pa.array(ends, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[id, item, "distance", "end"])
 
         return docs.select(id, text).mapInArrow(run, schema)
 
     return reduce(DataFrame.unionAll, (one(n) for n in range(blocks)))
-
-
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "string": pa.string()}[kind]
