@@ -6,7 +6,7 @@ words that are frequent in the training texts. Transitions between labels are le
 for each label; the text gets the label with the largest mean posterior, and that mean as its score.
 
 Defined results: a text that is null or has no letter is `und` with score 0, and so is every text if nothing could be
-learned; copies are labelled alike; training rows with a null text or label are skipped; columns besides the text are passed on.
+learned; every language is learned, however many there are, and texts of any length are drawn; copies are labelled alike; training rows with a null text or label are skipped; columns besides the text are passed on.
 """
 
 from __future__ import annotations
@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import words
 
-#: Training rows of each language at most, taken by a hash of the id, and their size in bytes at most.
-SAMPLE, SAMPLE_BYTES = 300, 200_000
-#: Languages that are learned at most, the most frequent ones.
-LANGUAGES = 256
-#: Slots of the n-gram table and of the lexicon.
-BITS, LEXICON_BITS = 17, 16
+#: Training rows of each language at most, taken by a hash of the id, and of all languages together (but one of each).
+SAMPLE, ROWS = 300, 24_000
+#: Characters of a training row that are learned whole; of a longer one, PIECES of PIECE characters spread evenly over it.
+LONG, PIECES, PIECE = 16_000, 8, 2_000
+#: Slots of the n-gram table and of the lexicon, for WIDE languages or fewer; with more of them slots are fewer, so that a model keeps its size.
+BITS, LEXICON_BITS, WIDE = 17, 16, 64
 #: Times that a word occurs in the training texts to enter the lexicon.
 FREQUENT = 4
 #: Words whose emissions are held at once.
@@ -57,8 +57,8 @@ def cut(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return low, begin, end, text
 
 
-def grams(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(slots of the n-grams, index of each word's first); each byte of a word and its end close n-grams of 2, 3 and 4 bytes."""
+def grams(data: np.ndarray, begin: np.ndarray, end: np.ndarray, slots: int = 1 << BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(slots of the n-grams, `slots` being a power of two, index of each word's first); each byte of a word and its end close n-grams of 2, 3 and 4 bytes."""
     size = end - begin + 1
     first = np.cumsum(size) - size
     inner = np.arange(int(size.sum())) - np.repeat(first, size)
@@ -71,11 +71,15 @@ def grams(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     for k in (1, 2, 3):
         value = value | byte[k] << np.uint64(8 * k)
         # one byte before the word is its edge; an n-gram that begins further left is left out
-        slot = (words.mix(value + np.uint64(k << 40)) >> np.uint64(64 - BITS)).astype(np.int32)
+        slot = (words.mix(value + np.uint64(k << 40)) >> np.uint64(65 - slots.bit_length())).astype(np.int32)
         out[:, k - 1] = np.where(inner >= k - 1, slot, 0)
     return out.ravel(), first * 3
 
 
+def lexicon_slots(model: Model, word: np.ndarray) -> np.ndarray:
+    return (word >> np.uint64(65 - len(model.tags).bit_length())).astype(np.int64)
+
+
 def emissions(model: Model, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A score of each word for each label; equal words are scored once."""
     if not len(begin):
@@ -86,11 +90,11 @@ def emissions(model: Model, data: np.ndarray, begin: np.ndarray, end: np.ndarray
     for k in range(0, len(one), WORDS // 8):
         some = np.sort(one[k : k + WORDS // 8])
         order = np.argsort(one[k : k + WORDS // 8], kind="stable")
-        slots, first = grams(data, begin[some], end[some])
+        slots, first = grams(data, begin[some], end[some], len(model.grams))
         table = np.empty((len(some), len(model.labels)), np.float32)
         for n in range(len(model.labels)):
             table[:, n] = np.add.reduceat(model.grams[:, n][slots], first)
-        slot = (word[some] >> np.uint64(64 - LEXICON_BITS)).astype(np.int64)
+        slot = lexicon_slots(model, word[some])
         table += model.lexicon[slot] * (model.tags[slot] == word[some])[:, None]
         out[k + order] = table
     return out[back]
@@ -126,8 +130,8 @@ def posteriors(model: Model, scores: np.ndarray, first: np.ndarray, size: np.nda
                 k = live[t + 1]
                 x = b[:k] * e[at[:k] + t + 1]
                 if pairs:
-                    joint = out[at[:k] + t][:, :, None] * moves * x[:, None, :]
-                    total += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+                    now = out[at[:k] + t]
+                    total += moves * (now.T @ (x / ((now @ moves) * x).sum(1, keepdims=True)))
                 b[:k] = x @ moves.T
                 b[:k] /= b[:k].sum(1, keepdims=True)
             p = out[at[:m] + t] * b[:m]
@@ -141,13 +145,15 @@ def train(texts: list[str], langs: list[str], rounds: int = 6, batch: int = 64,
     if not names:
         return None
     count = len(names)
-    model = Model(names, np.zeros((1 << BITS, count)), np.zeros(1 << LEXICON_BITS, np.uint64), np.zeros((1 << LEXICON_BITS, count)), np.zeros(count), np.zeros((count, count)))
+    less = max(0, (-(-count // WIDE) - 1).bit_length())
+    slots, entries = 1 << max(BITS - less, 10), 1 << max(LEXICON_BITS - less, 10)
+    model = Model(names, np.zeros((slots, count)), np.zeros(entries, np.uint64), np.zeros((entries, count)), np.zeros(count), np.zeros((count, count)))
     data, at = words.utf8(pa.array(texts, pa.large_string()))
     data, begin, end, text = cut(data, at)
     word = words.hashes(data, begin, end)
     once, times = np.unique(word, return_counts=True)
     kept = once[np.argsort(times, kind="stable")][np.sort(times) >= FREQUENT]
-    model.tags[(kept >> np.uint64(64 - LEXICON_BITS)).astype(np.int64)] = kept  # of words that meet in a slot, the most frequent
+    model.tags[lexicon_slots(model, kept)] = kept  # of words that meet in a slot, the most frequent
     size, first = words.place(text, len(texts))
     truth = np.array([names.index(x) for x in langs])
     sums = [np.full_like(x, 1e-2) for x in (model.grams, model.lexicon, model.start, model.moves)]
@@ -173,9 +179,9 @@ def train(texts: list[str], langs: list[str], rounds: int = 6, batch: int = 64,
             some = np.sort(mine[one])
             rank = np.empty(len(u), np.int64)
             rank[np.argsort(mine[one], kind="stable")] = np.arange(len(u))
-            slots, at0 = grams(data, begin[some], end[some])
+            slots, at0 = grams(data, begin[some], end[some], len(model.grams))
             of = np.repeat(np.arange(len(some)), np.diff(np.append(at0, len(slots))))
-            slot = (word[some] >> np.uint64(64 - LEXICON_BITS)).astype(np.int64)
+            slot = lexicon_slots(model, word[some])
             known = model.tags[slot] == word[some]
             e = np.add.reduceat(model.grams[slots], at0, axis=0) + model.lexicon[slot] * known[:, None]
             posterior, moved = posteriors(model, e[rank[back]], np.cumsum(n) - n, n, pairs=True)
@@ -194,20 +200,31 @@ def train(texts: list[str], langs: list[str], rounds: int = 6, batch: int = 64,
     return model
 
 
-def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE) -> Model | None:
-    """A model of the languages of the labelled rows, learned on at most `rows` whole texts of each language."""
-    fair = F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(id).isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES)
+def training_text(text: F.Column) -> F.Column:
+    """The text itself, or of a long one pieces that are spread evenly over it."""
+    far = F.length(text) - PIECE
+    piece = lambda k: F.substring(text, (far * k / (PIECES - 1)).cast("int") + 1, F.lit(PIECE))
+    return F.when(F.length(text) <= LONG, text).otherwise(F.concat_ws(" ", *(piece(k) for k in range(PIECES))))
+
+
+def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE, total: int = ROWS) -> Model | None:
+    """A model of the languages of the labelled rows, learned on at most `rows` texts of each language and about `total` in all.
+
+    A long text is cut down to LONG characters on the executors, so the driver gets total * LONG characters at most.
+    """
+    fair = F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(id).isNotNull()
     docs = docs.where(fair).select(F.col(id).alias("_i"), F.col(lang).alias("_l"), F.col(text).alias("_t"))
     keys = docs.select("_i", "_l")
-    counts = keys.groupBy("_l").count().orderBy(F.desc("count"), "_l").limit(LANGUAGES).collect()
+    counts = keys.groupBy("_l").count().collect()  # one row for each language
     if not counts:
         return None
+    rows = max(1, min(rows, total // len(counts)))
     # a share of each language by hash, about twice what is asked for, so that the window gets few rows however many there are
-    share = F.create_map(*(F.lit(x) for c in counts for x in (c["_l"], min(1.0, 2 * rows / c["count"] + 50 / c["count"]))))
+    share = keys.sparkSession.createDataFrame([(c["_l"], min(1.0, 2 * rows / c["count"] + 50 / c["count"])) for c in counts], "_l string, _share double")
     part = F.pmod(F.xxhash64(F.lit(1), "_i"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = keys.where(part < F.try_element_at(share, F.col("_l"))).withColumn("_k", F.row_number().over(Window.partitionBy("_l").orderBy(F.xxhash64("_i"), "_i")))
-    chosen = chosen.where(F.col("_k") <= rows).drop("_k", "_l").distinct()
-    got = docs.join(F.broadcast(chosen), "_i").select("_i", "_t", "_l").toArrow()
+    chosen = keys.join(F.broadcast(share), "_l").where(part < F.col("_share")).withColumn("_k", F.row_number().over(Window.partitionBy("_l").orderBy(F.xxhash64("_i"), "_i")))
+    chosen = chosen.where(F.col("_k") <= rows).select("_i").distinct()
+    got = docs.join(F.broadcast(chosen), "_i").select("_i", training_text(F.col("_t")).alias("_t"), "_l").toArrow()
     got = sorted(zip(*(got.column(k).to_pylist() for k in range(3)), strict=True))
     return train([t for _, t, _ in got], [c for _, _, c in got])
 
