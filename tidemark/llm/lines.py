@@ -1,16 +1,19 @@
-"""Line dedup: repeated runs of lines are found by prefix doubling and all but their first copy is deleted.
+"""Line dedup: repeated runs of lines are found by a suffix array over line sequences and all but their first copy is deleted.
 
-Each line of a document gets an identity from its content. The suffixes of all documents' line sequences are named by
-prefix doubling: the name of depth 2 d at a line is made of the names of depth d at it and d lines later, so that two suffixes have
-the same name at a depth exactly if they agree on so many lines. Suffixes with the same name form an interval of the
-suffix array in which the longest common prefix has that depth at least. Doubling ends at the least depth that
-a repeat needs: deeper names would only split intervals whose lines go anyway. The earliest suffix of an interval
-(smallest id, then line) stays; the lines that the others span go, and neighbouring spans join to maximal repeated runs.
+Each line gets an identity by its content. The suffixes of all documents' sequences of lines are ranked by distributed
+prefix doubling: the rank at depth 2 d orders suffixes by their ranks at depth d and, of equal ones, by the rank at depth d of the suffix
+that begins d lines later. Suffixes of equal rank at depth d are an interval of the suffix array in which adjacent common
+prefixes have d lines or more; a suffix that is alone in its interval agrees with no other on so many lines and is left
+out from there on. Doubling goes on until no interval has two suffixes.
 
-A repeat is a run of `run` lines, or a single line of `words` words (blanks plus one).
+In each interval the earliest suffix (smallest id, then line) stays. The others are later copies, d lines long at least, and go. Since the rest of
+a copy is one too, the spans of all depths overlap and join to the maximal repeated runs, whatever their length.
 
-Names are built inside each row, without a shuffle; what is shuffled has a row of fixed size for each suffix, and
-each interval is summed before it is shuffled, so that a line that a third of the documents hold costs no more than others.
+A repeat is a run of `run` lines, or a single line of `words` words (blanks plus one). Depths that are no power of two
+take one step more: depth `run` combines the deepest rank below it with itself.
+
+A line of each document is a row of fixed size when it is shuffled; intervals are counted before they are shuffled, and the rows of frequent ones
+are dealt out over tasks, so that a line which a third of the documents hold doesn't meet in one task.
 
 Defined results: a null text has no lines and stays null; an empty text has one empty line; rows of the same id and text
 are one document and are treated alike, rows of the same id and other texts are told apart; extra columns are kept, also those with names that
@@ -19,62 +22,80 @@ the operator uses inside; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import saved, spread
+
 RUN, WORDS = 2, 20
+#: Columns that tell a suffix: its document by id and text, and its first line.
+PLACE = ["i", "h", "k"]
 
 
-def _name(*parts: Column) -> Column:
-    return F.unhex(F.md5(F.concat(*parts)))
+def line_rows(df: DataFrame, id: str, text: str, words: int) -> DataFrame:
+    """(i, h, k, a, b, long): each line with two hashes of its content and whether it is a repeat alone."""
+    lines = F.split(F.col(text), "\n", -1)
+    blanks = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" ")))
+    each = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"), (blanks(x) + 1 >= words).alias("long")))
+    rows = df.where(F.col(text).isNotNull()).select(F.col(id).alias("i"), F.xxhash64(text).alias("h"), F.posexplode(each).alias("k", "x"))
+    return rows.select(*PLACE, "x.*")
 
 
-def depth_names(names: Column, have: int, add: int) -> Column:
-    """Names of depth have + add from those of depth `have`; at the end of a document there are fewer."""
-    return F.zip_with(F.slice(names, 1, F.greatest(F.size(names) - add, F.lit(0))), F.slice(names, 1 + add, F.greatest(F.size(names) - add, F.lit(0))), lambda a, b: _name(a, b))
+def ranked(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, n, rank) of the keys with two rows or more: ranks rise with the keys, and equal keys have equal ones."""
+    found = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    # rows are in order over partitions and inside them, and so are these ids; writing them down fixes them
+    return saved(found.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id()), name)
 
 
-def suffixes(lines: Column, run: int, words: int) -> Column:
-    """(name, first line, lines) of each suffix long enough to repeat, at the least depth that a repeat has."""
-    named = F.transform(lines, lambda x: _name(F.encode(x, "UTF-8")))
+def refined(suffixes: DataFrame, shift: int, total: int) -> DataFrame:
+    """(place, r): suffixes with the ranks of `suffixes` (place, r), refined by the rank of the suffix `shift` lines later; those alone are left out."""
+    later = Window.partitionBy("i", "h").orderBy("k").rangeBetween(shift, shift)
+    pairs = suffixes.select(*PLACE, "r", F.max("r").over(later).alias("s")).where("s IS NOT NULL")
+    classes = ranked(pairs, ["r", "s"], "line-ranks")
+    return saved(spread(pairs, classes, ["r", "s"], total, PLACE).select(*PLACE, F.col("rank").alias("r")), "line-suffixes")
 
-    def deep(names: Column) -> Column:
-        depth = 1
-        while 2 * depth <= run:
-            names, depth = depth_names(names, depth, depth), 2 * depth
-        if depth < run:
-            names = depth_names(names, depth, run - depth)
-        return F.transform(names, lambda n, k: F.struct(n.alias("name"), k.alias("line"), F.lit(run).alias("lines")))
 
-    single = F.filter(
-        F.transform(lines, lambda x, k: F.when(F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1 >= words, F.struct(_name(F.encode(x, "UTF-8")).alias("name"), k.alias("line"), F.lit(1).alias("lines")))),
-        lambda s: s.isNotNull(),
-    )
-    return F.concat(single, F.transform(F.array(named), deep)[0]) if run > 1 else F.transform(F.array(named), deep)[0]
+def copies(suffixes: DataFrame, depth: int, total: int) -> DataFrame:
+    """(i, h, first, end): the spans of `depth` lines of each interval's suffixes but the earliest."""
+    place = F.struct(*PLACE)
+    first = suffixes.groupBy("r").agg(F.min(place).alias("least"), F.count("*").alias("n"))
+    later = spread(suffixes, first, ["r"], total, PLACE).where(place != F.col("least"))
+    return later.select("i", "h", F.col("k").alias("first"), (F.col("k") + depth).alias("end"))
 
 
 def repeats(df: DataFrame, id: str = "doc_id", text: str = "text", run: int = RUN, words: int = WORDS) -> DataFrame:
     """(id, text's hash, runs): the maximal runs of lines, as (first, end), of each document that copies earlier ones."""
-    lines = F.split(F.col(text), "\n", -1)
-    all_suffixes = df.where(F.col(text).isNotNull()).select(F.col(id).alias("i"), F.xxhash64(text).alias("h"), F.explode(suffixes(lines, run, words)).alias("s"))
-    all_suffixes = all_suffixes.select(F.col("s.name").alias("name"), "i", "h", F.col("s.line").alias("line"), F.col("s.lines").alias("lines"))
-    place = F.struct("i", "h", "line")
-    intervals = all_suffixes.groupBy("name", "lines").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("name", "lines", "first")
-    later = all_suffixes.join(intervals, ["name", "lines"]).where(place != F.col("first"))
-    spans = F.collect_set(F.struct(F.col("line").alias("a"), (F.col("line") + F.col("lines")).alias("b")))
-    return later.groupBy("i", "h").agg(_joined(spans).alias("runs"))
-
-
-def _joined(spans: Column) -> Column:
-    """The maximal runs of the lines that the spans (a, b) cover."""
-    covered = F.array_sort(F.array_distinct(F.flatten(F.transform(spans, lambda x: F.sequence(x["a"], x["b"] - 1)))))
-
-    def cut(line: Column) -> Column:
-        opens = F.filter(line, lambda x, k: (k == 0) | (F.get(line, k - 1) < x - 1))
-        ends = F.filter(line, lambda x, k: (k == F.size(line) - 1) | (F.get(line, k + 1) > x + 1))
-        return F.zip_with(opens, ends, lambda x, y: F.struct(x.alias("first"), (y + 1).alias("end")))
-
-    return F.transform(F.array(covered), cut)[0]
+    lines = line_rows(df, id, text, words)
+    same = ranked(lines, ["a", "b"], "line-identities")
+    total = same.agg(F.sum("n")).first()[0] or 0
+    suffixes = saved(spread(lines, same, ["a", "b"], total, PLACE).select(*PLACE, F.col("rank").alias("r"), "long"), "line-suffixes")
+    spans = [copies(suffixes if run == 1 else suffixes.where("long"), 1, total)]
+    suffixes, depth = suffixes.drop("long"), 1
+    while total:
+        # a power of two, or the least length of a repeat on the way
+        shift = run - depth if depth < run < 2 * depth else depth
+        suffixes, depth = refined(suffixes, shift, total), depth + shift
+        total = suffixes.count()
+        if total and depth >= run:
+            spans.append(copies(suffixes, depth, total))
+    found = spans[0]
+    for s in spans[1:]:
+        found = found.unionAll(s)
+    return found.groupBy("i", "h").agg(joined(F.array_sort(F.collect_list(F.struct("first", "end")))).alias("runs"))
+
+
+def joined(spans: Column) -> Column:
+    """Sorted spans (first, end) with those that touch or overlap made one."""
+    span = lambda a, b: F.struct(a.alias("first"), b.alias("end"))
+    none = F.struct(F.array().cast("array<struct<first:int,end:int>>").alias("done"), F.lit(-1).alias("first"), F.lit(-1).alias("end"))
+
+    def add(state: Column, s: Column) -> Column:
+        more = F.struct(state["done"].alias("done"), state["first"].alias("first"), F.greatest(state["end"], s["end"]).alias("end"))
+        closed = F.when(state["end"] >= 0, F.concat(state["done"], F.array(span(state["first"], state["end"])))).otherwise(state["done"])
+        return F.when(s["first"] <= state["end"], more).otherwise(F.struct(closed.alias("done"), s["first"].alias("first"), s["end"].alias("end")))
+
+    return F.aggregate(spans, none, add, lambda state: F.concat(state["done"], F.array(span(state["first"], state["end"]))))
 
 
 def kept_lines(lines: Column, runs: Column) -> Column:
