@@ -3,11 +3,16 @@
 A text is cut into words and these into shingles of five. For each template, windows of the template's length and a
 quarter more start at every quarter of it, so that some window holds any copy whole. MinHash bands of a window retrieve
 the templates that share a band; then the share of the template's shingles that the window holds decides, exactly.
-A window that lacks all of a template's shingles can share no band with it but by a collision of hashes and fails
-the last step anyway, so windows are only built around the shingles that a template has.
 
-With one row in each band and BANDS bands, a window that holds 0.8 of a template is retrieved with a probability over
-0.9999: its Jaccard similarity with the template is 0.8 / (1.25 + 0.2) at least, and (1 - 0.55) ** 16 < 3e-6.
+A band has one row: the shingle of the set with the least hash of that band. A window shares a band with a template only if it holds the
+template's least shingle and none of its own has a smaller hash. So windows are built only around the least shingles of templates, of which each
+has BANDS at most, and there the window's own least hash is compared.
+
+A window that holds 0.8 of a template is retrieved with a probability over 0.9999: its Jaccard similarity with the template
+is 0.8 / (1.25 + 0.2) at least, and (1 - 0.55) ** 16 < 3e-6.
+
+The templates are one value of the plan, an array of structs over which the same expression goes, so the plan doesn't
+grow with their number. They are a bounded parameter; TEMPLATES and the public texts in `license_texts` are the default.
 
 Defined results: a null or short text has no match; copies get equal matches; several copies of a template in a text count once, with the
 first place; extra columns are kept, those with the name of the output are replaced; an empty table gives an empty result.
@@ -15,7 +20,10 @@ first place; extra columns are kept, those with the name of the output are repla
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from importlib import resources
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORDS = 5
@@ -24,17 +32,21 @@ CONTAINED = 0.8
 
 #: Short public notices by which texts name their licence.
 TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "CC-BY-4.0": "Licensed under CC BY 4.0",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "MIT": "Released under the MIT License",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "Apache-2.0-name": "Licensed under the Apache License, Version 2.0",
+    "CC-BY-4.0-name": "Licensed under CC BY 4.0",
+    "CC-BY-NC-4.0-name": "Licensed under CC BY-NC 4.0",
+    "CC-BY-SA-4.0-name": "Licensed under CC BY-SA 4.0",
+    "GPL-3.0-name": "This work is licensed under the GNU General Public License, version 3",
+    "MIT-name": "Released under the MIT License",
 }
 
 
+def templates() -> dict[str, str]:
+    """The short notices and the texts of the folder `license_texts` by name."""
+    files = resources.files("tidemark.llm").joinpath("license_texts").iterdir()
+    return TEMPLATES | {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in sorted(files, key=lambda f: f.name) if f.name.endswith(".txt")}
+
+
 def let(value: Column, use) -> Column:
     """use(value), with the value worked out once for all uses in lambdas."""
     return F.transform(F.array(value), use)[0]
@@ -53,40 +65,46 @@ def shingles(words: Column) -> Column:
     return let(hashed, five)
 
 
-def _signature(items: Column, tagged: bool = True) -> Column:
-    """The bands of a set of shingles: a least hash for each, with the band's number in it."""
-    return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda b: F.xxhash64(b, F.array_min(F.transform(items, lambda x: F.xxhash64(x, b)))))
-
-
-def _match(have: Column, name: str, want: list[int], bands: list[int], contained: float) -> Column:
-    """The first window that holds the template, as (license, first word, share), or null."""
-    size = len(want)
-    step = max(1, size // 4)
-    long = size + step
-    goal = F.array(*map(F.lit, want))
-    hit = F.transform(have, lambda x, k: F.when(F.array_contains(goal, x), k))
-    near = F.filter(F.array_distinct(F.transform(hit, lambda k: F.floor(k / step).cast("int"))), lambda k: k.isNotNull())
-    begins = lambda n: F.array_sort(F.array_distinct(F.flatten(F.transform(n, lambda k: F.transform(F.sequence(F.lit(0), F.lit(long // step)), lambda b: F.greatest((k - b) * step, F.lit(0)))))))
-    window = lambda k: F.slice(have, k + 1, long)
-    held = lambda w: F.size(F.array_intersect(w, goal)) / size
-    scored = lambda n: F.transform(
-        begins(n), lambda k: let(window(k), lambda w: F.when(F.arrays_overlap(_signature(w), F.array(*map(F.lit, bands))), F.struct(F.lit(name).alias("license"), k.alias("word"), held(w).alias("share"))))
+_KNOWN = "array<struct<name:string,n:int,step:int,long:int,s:array<bigint>,bands:array<struct<no:int,shingle:bigint>>>>"
+
+
+def table(spark: SparkSession, texts: dict[str, str]) -> list[dict]:
+    """Each template with its shingles, the sizes of its windows and the least shingle of each band."""
+    rows = spark.createDataFrame(sorted(texts.items()), "name string, text string").select("name", F.array_distinct(shingles(words_of(F.col("text")))).alias("s"))
+    least = lambda s: F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda b: F.array_min(F.transform(s, lambda x: F.struct(F.xxhash64(x, b).alias("h"), x.alias("x"), b.alias("b")))))
+    got = rows.select("name", "s", F.transform(least(F.col("s")), lambda m: m["x"]).alias("m")).collect()  # as many as there are templates
+    if short := [r.name for r in got if not r.s]:
+        raise ValueError(f"templates of fewer than {WORDS} words: {short}")
+    steps = {r.name: max(1, len(r.s) // 4) for r in got}
+    return [
+        {"name": r.name, "n": len(r.s), "step": steps[r.name], "long": len(r.s) + steps[r.name], "s": r.s, "bands": [{"no": k + 1, "shingle": x} for k, x in enumerate(r.m)]} for r in got
+    ]
+
+
+def _match(have: Column, hits: Column, t: Column, contained: float) -> Column:
+    """The first window that holds template t, as (license, word, share), or null; hits: places of least shingles."""
+    step, long = t["step"], t["long"]
+    own = F.filter(hits, lambda k: F.exists(t["bands"], lambda b: b["shingle"] == F.get(have, k)))
+    around = lambda k: F.transform(F.sequence(F.lit(0), F.floor(long / step).cast("int")), lambda b: F.greatest((F.floor(k / step).cast("int") - b) * step, F.lit(0)))
+    begins = F.array_sort(F.array_distinct(F.flatten(F.transform(own, around))))
+    shared = lambda w: F.exists(
+        t["bands"], lambda b: F.array_contains(w, b["shingle"]) & (F.array_min(F.transform(w, lambda x: F.xxhash64(x, b["no"]))) == F.xxhash64(b["shingle"], b["no"]))
     )
-    best = F.filter(let(near, scored), lambda m: m["share"] >= contained)
-    return F.when(F.arrays_overlap(have, goal), F.get(best, F.lit(0)))
+    found = lambda w, k: F.when(shared(w), F.struct(t["name"].alias("license"), k.alias("word"), (F.size(F.array_intersect(w, t["s"])) / t["n"]).alias("share")))
+    scored = F.transform(begins, lambda k: let(F.slice(have, k + 1, long), lambda w: found(w, k)))
+    return F.get(F.filter(scored, lambda m: m["share"] >= contained), F.lit(0))
 
 
-def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, text: str = "text", out: str = "licenses", contained: float = CONTAINED) -> DataFrame:
+def scan(df: DataFrame, texts: dict[str, str] | None = None, text: str = "text", out: str = "licenses", contained: float = CONTAINED) -> DataFrame:
     """df with an array of (license, word, share): each template of which a window holds that share of shingles or more.
 
-    Templates are a bounded parameter: they become literals of the plan. Each needs five words at least.
+    texts: templates by name, of five words at least; those of templates() if none are given.
     """
-    spark = df.sparkSession
-    rows = spark.createDataFrame(sorted(templates.items()), "name string, text string").select("name", F.array_distinct(shingles(words_of(F.col("text")))).alias("s"))
-    known = rows.select("name", "s", _signature(F.col("s")).alias("b")).collect()  # as many as there are templates
-    if short := [r.name for r in known if not r.s]:
-        raise ValueError(f"templates of fewer than {WORDS} words: {short}")
-    anything = F.array(*(F.lit(x) for x in sorted({x for r in known for x in r.s})))
-    found = lambda have: F.when(F.arrays_overlap(have, anything), F.filter(F.array(*(_match(have, r.name, r.s, r.b, contained) for r in known)), lambda m: m.isNotNull()))
+    known = table(df.sparkSession, templates() if texts is None else texts)
+    array = F.from_json(F.lit(json.dumps(known)), _KNOWN)  # folded to one value
+    least = sorted({b["shingle"] for t in known for b in t["bands"]})
+    hits = lambda have: F.filter(F.transform(have, lambda x, k: F.when(x.isin(least), k)), lambda k: k.isNotNull())
+    matches = lambda have, h: F.filter(F.transform(array, lambda t: _match(have, h, t, contained)), lambda m: m.isNotNull())
     none = F.array().cast("array<struct<license:string,word:int,share:double>>")
+    found = lambda have: let(hits(have), lambda h: F.when(F.size(h) > 0, matches(have, h)).otherwise(none))
     return df.withColumn(out, F.coalesce(let(shingles(words_of(F.coalesce(F.col(text), F.lit("")))), found), none))
