@@ -12,6 +12,8 @@ threshold with the target probability.
 Exact copies are summed up first and stand for one vector. Cells with many vectors or visitors are dealt out in
 blocks of bounded size, each pair of blocks to one task; a block returns sums and a forest of links, never its pairs.
 
+A vector moves once with its copies and once for each cell that it visits, as floats if it is given as such.
+
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and those without a label or an
 id, link with nothing and are components of their own; vectors of other lengths aren't compared; several rows of one id are vectors of
 their own that share a node; other columns are not used; an empty table gives an empty result.
@@ -25,38 +27,45 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.shared import components, dropped, saved
 
-SAMPLE = 4096
-#: Vectors that a cell of the largest label has on average; the codebooks' size follows.
-CELL = 256
-CODEWORDS = 512
+SAMPLE = 16_384
+#: Vectors that a cell of the largest label has on average; the codebooks' size follows. Every visit sends a vector, so that large cells with few visits cost less.
+CELL = 2048
+CODEWORDS = 2048
 #: Share of links at the threshold that one direction of visits has to reach; both directions are made.
-RECALL = 0.97
+RECALL = 0.9
 #: Vectors and visitors of a block at most, on average.
-BLOCK, VISITORS = 1024, 4096
+BLOCK, VISITORS = 4096, 8192
+#: Rows that are compared with a block, or with a codebook, at once.
+ROWS = 1024
+
 
+def raw(column: pa.Array) -> list[bytes | None]:
+    """The bytes of each vector, or None if it can have no links."""
+    flat = column.values
+    x = flat.fill_null(float("nan")).to_numpy(zero_copy_only=False)
+    bad = np.append(0, np.cumsum(~np.isfinite(x)))
+    some = np.append(0, np.cumsum(x != 0))
+    at = column.offsets.to_numpy()
+    good = column.is_valid().to_numpy(zero_copy_only=False) & (bad[at[1:]] == bad[at[:-1]]) & (some[at[1:]] > some[at[:-1]])
+    return [x[a:b].tobytes() if g else None for a, b, g in zip(at[:-1], at[1:], good, strict=True)]
 
-def unit(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray | None]]:
-    """For each row the vector as doubles of length one, or None."""
-    out = []
-    for x in column:
-        v = x.as_py()
-        if not v or any(c is None for c in v):
-            out.append(None)
-            continue
-        v = np.array(v, np.float64)
-        top = np.abs(v).max()
-        out.append(v / top / np.linalg.norm(v / top) if np.isfinite(v).all() and top > 0 else None)
-    return out
+
+def units(parts: list[bytes], kind: str) -> np.ndarray:
+    """Vectors of one length as rows of doubles of length one."""
+    x = np.frombuffer(b"".join(parts), kind).reshape(len(parts), -1).astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def codebook(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     rng = np.random.default_rng(17)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(rounds):
-        near = distances(x, c).argmin(1)
+        near = np.concatenate([distances(x[a : a + ROWS], c).argmin(1) for a in range(0, len(x), ROWS)])
         n = np.bincount(near, minlength=len(c))
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
@@ -91,10 +100,14 @@ def fit(sample: np.ndarray, words: int, cosine: float, recall: float) -> tuple[n
     noise -= (noise * sample).sum(1, keepdims=True) * sample
     noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-12)
     copy = cosine * sample + np.sqrt(1 - cosine**2) * noise
-    home = traverse(distances(copy[:, :half], c1), distances(copy[:, half:], c2), 1)[:, 0]
-    all_cells = distances(sample[:, :half], c1)[:, :, None] + distances(sample[:, half:], c2)[:, None, :]
-    all_cells = all_cells.reshape(len(sample), -1)
-    rank = (all_cells < np.take_along_axis(all_cells, home[:, None], 1)).sum(1)
+    # how many cells are nearer than the copy's: sums below its own, counted row by row in sorted distances
+    rank = np.empty(len(sample), np.int64)
+    for k in range(0, len(sample), ROWS):
+        some = slice(k, k + ROWS)
+        i, j = distances(copy[some, :half], c1).argmin(1), distances(copy[some, half:], c2).argmin(1)
+        d1, d2 = distances(sample[some, :half], c1), np.sort(d := distances(sample[some, half:], c2), 1)
+        for n in range(len(i)):
+            rank[k + n] = np.searchsorted(d2[n], d1[n, i[n]] + d[n, j[n]] - d1[n]).sum()
     return c1, c2, int(np.quantile(rank, recall)) + 1
 
 
@@ -102,21 +115,21 @@ def _links(v: np.ndarray, w: np.ndarray, cosine: float) -> np.ndarray:
     return v @ w.T >= cosine
 
 
-def _block(table: pa.Table, cosine: float) -> pa.Table:
+def _block(table: pa.Table, cosine: float, kind: str) -> pa.Table:
     """(id, links, root) of the vectors of a block that have links in it."""
     home = table.column("home").to_numpy(zero_copy_only=False).astype(bool)
     ids, weight, first = (table.column(c).to_numpy() for c in ("id", "copies", "first"))
-    x = np.frombuffer(b"".join(table.column("vec").to_pylist()), np.float64).reshape(len(ids), -1)
     h, o = np.flatnonzero(home), np.flatnonzero(~home)
     count = np.zeros(len(ids), np.int64)
     root = ids.copy()
     if not len(h):
         return pa.table({"id": ids[:0], "links": count[:0], "root": root[:0]})
+    x = units(table.column("vec").to_pylist(), kind)
     main = bool(table.column("main")[0].as_py())
-    inner = _links(x[h], x[h], cosine)
+    inner = np.concatenate([_links(x[h[k : k + ROWS]], x[h], cosine) for k in range(0, len(h), ROWS)])
     np.fill_diagonal(inner, False)
     if main:  # only one of the blocks that hold these vectors counts the links among them
-        count[h] += inner @ weight[h]
+        count[h] += np.array([weight[h][row].sum() for row in inner])
     # whether each of the block's own vectors visits the visitor's cell, where the pair counts for it then
     probes = table.column("probes").take(pa.array(h)).combine_chunks()
     cells, back = np.unique(first[o], return_inverse=True)
@@ -128,19 +141,20 @@ def _block(table: pa.Table, cosine: float) -> pa.Table:
         known = cells[place] == flat
         visits[at[known], place[known]] = True
     outer = np.zeros((len(o), len(h)), bool)
-    for k in range(0, len(o), 1024):
-        outer[k : k + 1024] = _links(x[o[k : k + 1024]], x[h], cosine)
-        count[o[k : k + 1024]] += outer[k : k + 1024] @ weight[h]
-        alone = outer[k : k + 1024] & ~visits[:, back[k : k + 1024]].T
-        count[h] += weight[o[k : k + 1024]] @ alone
+    for k in range(0, len(o), ROWS):
+        outer[k : k + ROWS] = _links(x[o[k : k + ROWS]], x[h], cosine)
+        count[o[k : k + ROWS]] += outer[k : k + ROWS] @ weight[h]
+        alone = outer[k : k + ROWS] & ~visits[:, back[k : k + ROWS]].T
+        count[h] += weight[o[k : k + ROWS]] @ alone
     top = np.iinfo(np.int64).max
+    linked = [(h, inner, np.flatnonzero(inner.any(1))), (o, outer, np.flatnonzero(outer.any(1)))]
     while True:
         old = root.copy()
-        root[h] = np.minimum(root[h], np.where(inner, root[h][None, :], top).min(1))
-        for k in range(0, len(o), 1024):
-            part = outer[k : k + 1024]
-            root[o[k : k + 1024]] = np.minimum(root[o[k : k + 1024]], np.where(part, root[h][None, :], top).min(1))
-            root[h] = np.minimum(root[h], np.where(part, root[o[k : k + 1024]][:, None], top).min(0))
+        for rows, links, some in linked:
+            for k in range(0, len(some), ROWS):
+                part, mine = links[some[k : k + ROWS]], rows[some[k : k + ROWS]]
+                root[mine] = np.minimum(root[mine], np.where(part, root[h][None, :], top).min(1))
+                root[h] = np.minimum(root[h], np.where(part, root[mine][:, None], top).min(0))
         if (root == old).all():
             break
     some = (count > 0) | (root != ids)
@@ -149,30 +163,30 @@ def _block(table: pa.Table, cosine: float) -> pa.Table:
 
 def find(df: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = 0.93, recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
     """(id, n_links, component_id, kept) of each row."""
-    spark = df.sparkSession
+    # vectors of floats stay floats until they are compared
+    double = df.schema[vector].dataType.elementType != T.FloatType()
+    kind = "<f8" if double else "<f4"
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = unit(batch.column(1))
-            vec = [None if v is None else v.tobytes() for v in got]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(vec, pa.binary())], names=["id", "label", "vec"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(raw(batch.column(1)), pa.binary())], names=["id", "label", "vec"])
 
-    rows = df.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("string").alias("label"))
+    rows = df.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>" if double else "array<float>").alias("v"), F.col(label).cast("string").alias("label"))
     rows = rows.mapInArrow(prepare, "id long, label string, vec binary")
-    rows = rows.withColumn("vec", F.when(F.col("label").isNotNull() & F.col("id").isNotNull(), F.col("vec"))).withColumn("key", F.md5(F.concat(F.encode("label", "UTF-8"), F.lit(b"\0"), "vec")))
-    rows = saved(rows, "vectors")
-    once = rows.where("vec IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vec").alias("vec"))
-    once = saved(once.withColumn("size", F.octet_length("vec")), "once")
-    groups = once.groupBy("label", "size").count()
+    rows = rows.withColumn("vec", F.when(F.col("label").isNotNull() & F.col("id").isNotNull(), F.col("vec"))).withColumn("size", F.octet_length("vec"))
+    rows = rows.withColumn("key", F.unhex(F.md5(F.concat(F.encode("label", "UTF-8"), F.lit(b"\0"), "vec"))))
+    keys = saved(rows.select("id", "key", F.when(F.col("key").isNotNull(), F.col("label")).alias("label"), "size"), "vectors")
+    groups = keys.where("key IS NOT NULL").groupBy("label", "size").agg(F.approx_count_distinct("key").alias("count"))
     largest = groups.agg(F.max("count")).first()[0]
     if not largest:
-        return rows.select(F.col("id").alias(id), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+        return keys.select(F.col("id").alias(id), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    good = rows.where("key IS NOT NULL")
+    once = good.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vec").alias("vec"), F.first("size").alias("size"))
     words = int(np.clip(np.ceil(np.sqrt(largest / CELL)), 1, CODEWORDS))
     books = {}
-    for (size,) in once.select("size").distinct().collect():  # the lengths of vectors are few
-        got = once.where(F.col("size") == size).orderBy(F.xxhash64("id"), "id").limit(sample).select("vec").toArrow().column(0).to_pylist()
-        x = np.frombuffer(b"".join(got), np.float64).reshape(len(got), -1)
-        books[size] = fit(x, words, cosine, recall)
+    for (size,) in keys.where("key IS NOT NULL").select("size").distinct().collect():  # the lengths of vectors are few
+        got = good.where(F.col("size") == size).orderBy(F.xxhash64("id"), "id").limit(sample).select("vec").toArrow().column(0).to_pylist()
+        books[size] = fit(units(got, kind), words, cosine, recall)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,15 +194,16 @@ def find(df: DataFrame, id: str = "vec_id", vector: str = "embedding", label: st
             probes: list = [None] * len(vec)
             for s in np.unique(size):
                 at = np.flatnonzero(size == s)
-                x = np.frombuffer(b"".join(vec[k] for k in at), np.float64).reshape(len(at), -1)
                 c1, c2, visits = books[int(s)]
-                half = x.shape[1] // 2
-                for k, row in zip(at, traverse(distances(x[:, :half], c1), distances(x[:, half:], c2), visits), strict=True):
-                    probes[k] = row.astype(np.int32)
-            columns = [batch.column(n) for n in ("id", "copies", "label", "size", "vec")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([p[0] for p in probes], pa.int32()), pa.array(probes, pa.list_(pa.int32()))], names=["id", "copies", "label", "size", "vec", "first", "probes"])
-
-    placed = saved(once.select("id", "copies", "label", "size", "vec").mapInArrow(assign, "id long, copies long, label string, size int, vec binary, first int, probes array<int>"), "placed")
+                for n in range(0, len(at), ROWS):
+                    x = units([vec[k] for k in at[n : n + ROWS]], kind)
+                    half = x.shape[1] // 2
+                    for k, row in zip(at[n : n + ROWS], traverse(distances(x[:, :half], c1), distances(x[:, half:], c2), visits), strict=True):
+                        probes[k] = row.astype(np.int32)
+            columns = [batch.column(n) for n in ("id", "copies", "label", "size", "vec", "key")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([p[0] for p in probes], pa.int32()), pa.array(probes, pa.list_(pa.int32()))], names=["id", "copies", "label", "size", "vec", "key", "first", "probes"])
+
+    placed = saved(once.select("id", "copies", "label", "size", "vec", "key").mapInArrow(assign, "id long, copies long, label string, size int, vec binary, key binary, first int, probes array<int>"), "placed")
     place = ["label", "size", "cell"]
     visits = placed.select("id", "label", "size", F.explode("probes").alias("cell"), "first")
     cells = visits.groupBy(place).agg(F.count_if(F.col("first") == F.col("cell")).alias("own"), F.count("*").alias("all"))
@@ -202,14 +217,14 @@ def find(df: DataFrame, id: str = "vec_id", vector: str = "embedding", label: st
     go = go.withColumn("probes", F.array().cast("array<int>"))
     columns = [*place, "sub", "share", "home", "id", "copies", "first", "vec", "probes", (F.col("share") == 0).alias("main")]
     blocks = stay.select(*columns).unionAll(go.select(*columns))
-    found = saved(blocks.groupBy(*place, "sub", "share").applyInArrow(lambda t: _block(t, cosine), "id long, links long, root long"), "links")
+    found = saved(blocks.groupBy(*place, "sub", "share").applyInArrow(lambda t: _block(t, cosine, kind), "id long, links long, root long"), "links")
     sums = found.groupBy("id").agg(F.sum("links").alias("links"))
     parts = components(found.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "id")
-    known = once.select("key", "id", "copies").join(sums, "id", "left").join(parts, "id", "left")
+    known = placed.select("key", "id", "copies").join(sums, "id", "left").join(parts, "id", "left")
     known = known.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "id").alias("component"))
-    done = rows.select("id", "key").join(known, "key", "left")
+    done = keys.select("id", "key").join(known, "key", "left")
     done = done.select(F.col("id").alias(id), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     done = saved(done.withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(True))), "neardup")
-    for table in (rows, once, placed, found, parts):
+    for table in (keys, placed, found, parts):
         dropped(table)
     return done
