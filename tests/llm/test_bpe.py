@@ -1,12 +1,13 @@
 import hashlib
 
+import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, queries
 
-PATH = f"{queries.TOKENIZERS}/{queries.VOCABULARY}"
+PATH = str(public_tokenizers.path(queries.VOCABULARY))
 TEXTS = [
     None,
     "",
@@ -25,12 +26,12 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def known():
-    return tiktoken.Encoding("own", pat_str=queries.PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
 
 
 def test_ids_equal_the_public_library_and_decode_to_the_text(spark, known):
     df = spark.createDataFrame([(k, t, "en", t) for k, t in enumerate(TEXTS)], "doc_id long, text string, ids string, decoded string")
-    done = bpe.decode(bpe.encode(df, PATH, queries.PATTERN), PATH, queries.PATTERN)
+    done = bpe.decode(bpe.encode(df, PATH, public_tokenizers.PATTERN), PATH, public_tokenizers.PATTERN)
     assert done.columns == ["doc_id", "ids", "decoded"]
     for row in done.withColumn("n", bpe.unpack()).collect():
         text = TEXTS[row.doc_id] or ""
@@ -51,9 +52,9 @@ def test_digests(spark, sf, known):
 
 def test_empty_table_and_forgetting(spark, monkeypatch):
     empty = spark.createDataFrame([], "doc_id long, text string")
-    assert bpe.encode(empty, PATH, queries.PATTERN).count() == 0
+    assert bpe.encode(empty, PATH, public_tokenizers.PATTERN).count() == 0
     monkeypatch.setattr(bpe, "CACHE", 3)
-    codec = bpe.Codec(bpe.read_ranks(PATH), queries.PATTERN)
+    codec = bpe.Codec(bpe.read_ranks(PATH), public_tokenizers.PATTERN)
     got = [list(codec.encode_many([t])) for t in ("a b c", "d e f", "a b c")]
     assert got[0][0].tolist() == got[2][0].tolist()
 

@@ -2,6 +2,7 @@ import hashlib
 import importlib.util
 from pathlib import Path
 
+import public_tokenizers
 import tiktoken
 
 from tests.llm.test_decontaminate import distance
@@ -21,7 +22,7 @@ def test_stages_equal_brute_force(spark, sf):
     cut = without_repeats(sorted(kept.items()))
     cut = {i: t for i, t in cut.items() if t == kept[i] or t.strip()}
     one = {i: cut[i] for i, _, c in similar(sorted(cut.items())) if i == c}
-    items = [decontaminate.normal(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if len(r.text) >= decontaminate.SHORTEST]
+    items = [decontaminate.normal(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     # the plain recursion is slow, so exact copies are settled first and far texts aren't tried
     words = [set(x.split()) for x in items]
     clean = {}
@@ -31,7 +32,7 @@ def test_stages_equal_brute_force(spark, sf):
         near = (x in low or (len(w & have) >= 0.5 * len(w) and distance(x, low) <= decontaminate.budget_of(x, decontaminate.RATE)) for x, w in zip(items, words, strict=True))
         if not any(near):
             clean[i] = t
-    known = tiktoken.Encoding("own", pat_str=queries.PATTERN, mergeable_ranks=bpe.read_ranks(f"{queries.TOKENIZERS}/{queries.VOCABULARY}"), special_tokens={})
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(str(public_tokenizers.path(queries.VOCABULARY))), special_tokens={})
     want = {}
     for i, t in clean.items():
         ids = known.encode_ordinary(t)

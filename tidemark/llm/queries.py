@@ -2,36 +2,24 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, jaccard, language, licenses, lines, neardup, pii, quality, substrings
 
-#: Where the public vocabulary files are; the pattern is the one published with them.
-TOKENIZERS = os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
-#: Rows that go to a Python worker at once; with texts of some kilobytes that is a few megabytes.
-ARROW_ROWS = 500
-
-
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def token_digests(docs: DataFrame) -> DataFrame:
-    path = f"{TOKENIZERS}/{VOCABULARY}"
-    done = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path, PATTERN), path, PATTERN)
+    path, pattern = str(public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN
+    done = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path, pattern), path, pattern)
     return done.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
@@ -46,6 +34,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def remainder(n: int, id: str = "doc_id") -> F.Column:
+    """crc32 of the id as text modulo n; null for a null id, which is in no part and held out of none."""
     return F.pmod(F.crc32(F.col(id).cast("string")), F.lit(n))
 
 
@@ -175,4 +164,69 @@ link AS (SELECT p.i AS a, q.i AS b FROM one p JOIN one q ON p.x = q.x AND p.i <
 SELECT s.i AS doc_id, len(s.s) AS n_shingles, coalesce(c, s.i) AS component_id FROM s LEFT JOIN least ON least.a = s.i
 """
 
-ORACLES: dict[str, str] = {"op1_embedding_neardup": VECTOR_SQL, "op3_line_dedup": LINE_SQL, "op8_ngram_jaccard": JACCARD_SQL}
+#: Windows of 100 bytes (200 hexadecimal digits) that also start earlier, joined to runs; then what lies between the runs.
+SUBSTRING_SQL = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (SELECT doc_id, 100 * j AS k, x[200 * j + 1:200 * j + 398] AS y FROM (SELECT doc_id, x, unnest(range((len(x) // 2 - 99 + 99) // 100)) AS j FROM d WHERE len(x) >= 200)),
+w AS (SELECT doc_id, k, y, unnest(range(len(y) // 2 - 99)) AS j FROM b WHERE len(y) >= 200),
+c AS (SELECT doc_id, k + j AS k, md5_number(y[2 * j + 1:2 * j + 200]) AS c FROM w),
+later AS (SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY c ORDER BY doc_id, k) AS r FROM c) WHERE r > 1),
+cut AS (SELECT doc_id, k, CASE WHEN k > lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 100 THEN 1 ELSE 0 END AS new FROM later),
+run AS (SELECT doc_id, min(k) AS a, max(k) + 100 AS b FROM (SELECT doc_id, k, sum(new) OVER (PARTITION BY doc_id ORDER BY k) AS r FROM cut) GROUP BY doc_id, r),
+part AS (SELECT d.doc_id, coalesce(lag(b) OVER (PARTITION BY d.doc_id ORDER BY a), 0) AS p, a, b, x, lead(a) OVER (PARTITION BY d.doc_id ORDER BY a) IS NULL AS last FROM run JOIN d ON d.doc_id = run.doc_id),
+kept AS (SELECT doc_id, count(*) AS n, sum(b - a) AS gone, string_agg(x[2 * p + 1:2 * a] || CASE WHEN last THEN x[2 * b + 1:] ELSE '' END, '' ORDER BY a) AS x FROM part GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(kept.x, d.x))) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+_LUHN = "list_sum(list_transform(range(1, len(g) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse(g)[i] AS INT) ELSE 2 * CAST(reverse(g)[i] AS INT) - CASE WHEN CAST(reverse(g)[i] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+_MOD97 = "list_reduce(list_prepend(0, list_transform(range(1, len(m) + 1), lambda i: CASE WHEN (m[5:] || m[1:4])[i] BETWEEN '0' AND '9' THEN ascii((m[5:] || m[1:4])[i]) - 48 ELSE ascii((m[5:] || m[1:4])[i]) - 55 END)), lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1"
+#: (kind, pattern of maximal candidates, which of them the kind's pattern takes, which of those are valid)
+_KINDS = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true", "true"),
+    ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "true", "list_max(list_transform(string_split(m, '.'), lambda p: CAST(p AS HUGEINT))) <= 255"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+", "true", f"len(g) BETWEEN 16 AND 19 AND {_LUHN}"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "true", "len(g) BETWEEN 8 AND 15"),
+    ("iban", "[A-Za-z0-9]+", "regexp_full_match(m, '[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}')", _MOD97),
+    ("ssn", "[0-9-]+", "regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}')", "NOT regexp_matches(m, '^(000|666|9..)|-00-|-0000$') AND regexp_matches(near, '(?i)ssn|social|security')"),
+]
+
+
+def _spans_sql(no: int, kind: str, pattern: str, takes: str, valid: str) -> str:
+    return f"""
+c{no} AS (SELECT doc_id, t, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS p FROM d WHERE regexp_matches(t, '{pattern}')),
+e{no} AS (SELECT doc_id, t, unnest(m) AS m, unnest(p[:len(m)]) AS p, generate_subscripts(m, 1) AS k FROM c{no}),
+f{no} AS (SELECT *, sum(len(p) + len(m)) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM e{no}),
+g{no} AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY k), 0) AS before FROM f{no} WHERE {takes}),
+s{no} AS (SELECT doc_id, {no} AS no, '{kind}' AS kind, e - len(m) AS a, e AS b FROM
+  (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS g, CASE WHEN {int(kind == "ssn")} = 1 THEN t[CAST(greatest(before, e - len(m) - 48) AS BIGINT) + 1:CAST(e - len(m) AS BIGINT)] END AS near FROM g{no}) WHERE {valid})"""
+
+
+PII_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {",".join(_spans_sql(k, *x) for k, x in enumerate(_KINDS))},
+s AS (SELECT *, kind || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT) AS x FROM ({" UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(len(_KINDS)))}))
+SELECT d.doc_id, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k, *_ in _KINDS[:4])},
+  sha256(coalesce(string_agg(x, ',' ORDER BY no, a) FILTER (WHERE no < 4), '')) AS base_sha256, coalesce(string_agg(x, ',' ORDER BY no, a), '') AS spans
+FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+#: Every window that holds a shingle of a template, without bands.
+LICENSE_SQL = f"""
+WITH template AS MATERIALIZED (SELECT * FROM (VALUES {", ".join("({}, '{}', '{}')".format(k, n, t.replace("'", "''")) for k, (n, t) in enumerate(sorted(licenses.templates().items())))}) AS v(k, name, t)),
+text AS (SELECT doc_id AS i, coalesce(text, '') AS t FROM documents UNION ALL SELECT -1 - k, t FROM template),
+word AS (SELECT i, list_filter(string_split_regex(lower(t), '[^a-z0-9\\x{{80}}-\\x{{10ffff}}]+'), lambda w: w <> '') AS w FROM text),
+five AS MATERIALIZED (SELECT i, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS x, unnest(range(len(w) - 4)) AS k FROM word WHERE len(w) >= 5),
+want AS (SELECT DISTINCT -1 - i AS t, x FROM five WHERE i < 0),
+sized AS (SELECT t, count(*) AS n, greatest(1, count(*) // 4) AS step FROM want GROUP BY t),
+hit AS (SELECT i, want.t, five.x, k, n, step FROM five JOIN want USING (x) JOIN sized ON sized.t = want.t WHERE i >= 0),
+enough AS (SELECT i, t FROM hit GROUP BY i, t, n HAVING count(DISTINCT x) >= 0.8 * n),
+win AS (SELECT i, t, x, k, n, step, unnest(range(greatest(0, (k - n - step) // step), k // step + 1)) * step AS s FROM hit SEMI JOIN enough USING (i, t)),
+held AS (SELECT i, t, s, count(DISTINCT x) / n AS share FROM win WHERE s <= k AND k < s + n + step GROUP BY i, t, s, n HAVING count(DISTINCT x) / n >= 0.8),
+first AS (SELECT i, t, arg_min(share, s) AS share FROM held GROUP BY i, t)
+SELECT doc_id, count(name) AS n_licenses, coalesce(string_agg(name, ',' ORDER BY name), '') AS licenses, max(share) AS share
+FROM documents LEFT JOIN first ON first.i = doc_id LEFT JOIN template ON template.k = first.t GROUP BY doc_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_embedding_neardup": VECTOR_SQL, "op2_suffix_array": SUBSTRING_SQL, "op3_line_dedup": LINE_SQL, "op6_license_scan": LICENSE_SQL, "op8_ngram_jaccard": JACCARD_SQL, "op9_pii": PII_SQL,
+}
