@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import saved, spread
+from tidemark.llm.shared import dropped, saved, spread
 
 RUN, WORDS = 2, 20
 #: Columns that tell a suffix: its document by id and text, and its first line.
@@ -48,12 +48,12 @@ def ranked(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     return saved(found.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id()), name)
 
 
-def refined(suffixes: DataFrame, shift: int, total: int) -> DataFrame:
-    """(place, r): suffixes with the ranks of `suffixes` (place, r), refined by the rank of the suffix `shift` lines later; those alone are left out."""
+def refined(suffixes: DataFrame, shift: int, total: int) -> tuple[DataFrame, DataFrame]:
+    """(place, r): the ranks of `suffixes` (place, r), refined by the rank of the suffix `shift` lines later; those alone are left out. Also the table of ranks."""
     later = Window.partitionBy("i", "h").orderBy("k").rangeBetween(shift, shift)
     pairs = suffixes.select(*PLACE, "r", F.max("r").over(later).alias("s")).where("s IS NOT NULL")
     classes = ranked(pairs, ["r", "s"], "line-ranks")
-    return saved(spread(pairs, classes, ["r", "s"], total, PLACE).select(*PLACE, F.col("rank").alias("r")), "line-suffixes")
+    return saved(spread(pairs, classes, ["r", "s"], total, PLACE).select(*PLACE, F.col("rank").alias("r")), "line-suffixes"), classes
 
 
 def copies(suffixes: DataFrame, depth: int, total: int) -> DataFrame:
@@ -71,18 +71,23 @@ def repeats(df: DataFrame, id: str = "doc_id", text: str = "text", run: int = RU
     total = same.agg(F.sum("n")).first()[0] or 0
     suffixes = saved(spread(lines, same, ["a", "b"], total, PLACE).select(*PLACE, F.col("rank").alias("r"), "long"), "line-suffixes")
     spans = [copies(suffixes if run == 1 else suffixes.where("long"), 1, total)]
+    tables = [same, suffixes]
     suffixes, depth = suffixes.drop("long"), 1
     while total:
         # a power of two, or the least length of a repeat on the way
         shift = run - depth if depth < run < 2 * depth else depth
-        suffixes, depth = refined(suffixes, shift, total), depth + shift
+        (suffixes, ranks), depth = refined(suffixes, shift, total), depth + shift
+        tables += [suffixes, ranks]
         total = suffixes.count()
         if total and depth >= run:
             spans.append(copies(suffixes, depth, total))
     found = spans[0]
     for s in spans[1:]:
         found = found.unionAll(s)
-    return found.groupBy("i", "h").agg(joined(F.array_sort(F.collect_list(F.struct("first", "end")))).alias("runs"))
+    runs = saved(found.groupBy("i", "h").agg(joined(F.array_sort(F.collect_list(F.struct("first", "end")))).alias("runs")), "line-runs")
+    for table in tables:
+        dropped(table)
+    return runs
 
 
 def joined(spans: Column) -> Column:
