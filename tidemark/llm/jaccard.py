@@ -40,7 +40,7 @@ GROUPS, FINE = 128, 256
 #: Points that share a piece, and documents of a group of candidates, that one task compares on one side.
 CHUNK, DOCS = 512, 512
 #: Shingles of those documents, on average.
-SHINGLES = 1 << 19
+SHINGLES = 1 << 22
 #: Sets below this size are cut into single shingles.
 TINY = 32
 LEAF = 32
