@@ -17,15 +17,19 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
+VOTES = "item long, created timestamp_ntz, time timestamp_ntz, path array<struct<node:string,level:int>>, vote long, user long"
+
+
 def agree(spark, votes, days):
     """votes: (days after creation, path of nodes)."""
     path = {
         "S1": [("S1", 10), ("G", 20), ("F", 30)], "S2": [("S2", 10), ("G", 20), ("F", 30)],
         "S1a": [("S1a", 5), ("G", 20), ("F", 30)], "S1b": [("S1b", 5), ("G", 20), ("F", 30)],
     }
-    data = [(1, DAY, DAY + dt.timedelta(days=d), path[n]) for d, n in votes]
-    df = spark.createDataFrame(data, "item long, created timestamp_ntz, time timestamp_ntz, path array<struct<node:string,level:int>>")
+    data = [(1, DAY, DAY + dt.timedelta(days=d), path[n], k, 100 + k) for k, (d, n) in enumerate(votes)]
+    df = spark.createDataFrame(data, VOTES)
     got = consensus.at(consensus.timeline(df), days).collect()
+    assert not got or (got[0].user == 100 + got[0].vote and got[0].decided == data[got[0].vote][2])
     return (got[0].node, (got[0].decided - DAY).days) if got else None
 
 
@@ -43,8 +47,8 @@ def test_consensus_cases(spark):
 
 def test_a_late_candidate_does_not_count_before_it_is_named(spark):
     sub = [("S1a", 5), ("S1", 10), ("G", 20)], [("S1b", 5), ("S1", 10), ("G", 20)], [("S1", 10), ("G", 20)]
-    data = [(1, DAY, DAY + dt.timedelta(days=d), p) for d, p in zip((0, 1, 9), sub, strict=True)]
-    schema = "item long, created timestamp_ntz, time timestamp_ntz, path array<struct<node:string,level:int>>"
+    data = [(1, DAY, DAY + dt.timedelta(days=d), p, d, 7) for d, p in zip((0, 1, 9), sub, strict=True)]
+    schema = VOTES
     steps = consensus.timeline(spark.createDataFrame(data, schema))
     for days in (0, 1, 5, 9, 30):
         cut = [v for v in data if (v[2] - DAY).days <= days]
@@ -181,3 +185,47 @@ def test_split_is_disjoint_and_bounded(spark):
     got = evaluation.temporal_split(df, "t", "id", "2024-01-06", ("2024-01-08", "2024-01-20"), "2024-01-25", 7, None).collect()
     assert len({x.id for x in got}) == len(got) and statistics.mode(x.split for x in got)
     assert {s: sum(x.split == s for x in got) for s in ("train", "val", "test")} == {"train": 15, "val": 7, "test": 18}
+
+
+def test_labels_need_the_submitted_node(spark):
+    data = [(1, "a", True), (2, "b", True), (3, None, True), (4, "a", False)]
+    items = spark.createDataFrame([(i, DAY, n, ok) for i, n, ok in data], "item long, created timestamp_ntz, submitted string, ok boolean")
+    agreed = spark.createDataFrame([(i, "a", 10, DAY + dt.timedelta(days=2)) for i in (1, 2, 4)], "item long, node string, level int, decided timestamp_ntz")
+    got = {r.item: (r.is_positive, r.days_to_positive) for r in consensus.label(items, agreed, "submitted", F.col("ok")).collect()}
+    assert got == {1: (True, 2), 2: (False, None), 3: (False, None), 4: (False, None)}
+
+
+def test_priors_fall_back_level_by_level(spark):
+    from tidemark.operators import shrink
+
+    df = spark.createDataFrame([(20, 5, 9, 9, 900, 90), (19, 5, 50, 10, 900, 90), (19, 5, 49, 10, 500, 100), (19, 5, 49, 10, 499, 100), (0, 0, 0, 0, 0, 0)], "n2 int, k2 int, n3 int, k3 int, n4 int, k4 int")
+    levels = [(F.col(f"k{k}"), F.col(f"n{k}"), least) for k, least in ((2, 20), (3, 50), (4, 500))]
+    rate, source = shrink.prior_of(levels, F.lit(0.4))
+    assert [tuple(r) for r in df.select(rate, source).collect()] == [(0.25, 1), (0.2, 2), (0.2, 3), (0.4, 4), (0.4, 4)]
+
+
+def test_keyed_running_totals_and_ranks(spark):
+    from pyspark.sql import Window
+
+    data = [(k, k % 3 if k % 7 else None, k // 4, (k * 37) % 11 if k % 5 else None) for k in range(120)]
+    df = spark.createDataFrame(data, "id long, g long, t long, v long")
+    w = Window.partitionBy("g").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, -1)
+    want = {r.id: (r.n, r.s) for r in df.select("id", F.count(F.lit(1)).over(w).alias("n"), F.coalesce(F.sum("v").over(w), F.lit(0)).alias("s")).collect()}
+    for step in (1, 3, 100):
+        got = W.running_totals(df, ["g"], ["t", "id"], {"n": F.lit(1), "s": F.col("v")}, F.floor(F.col("t") / step))
+        assert {r.id: (r.n, r.s) for r in got.collect()} == want
+    p = F.percent_rank().over(Window.partitionBy("g").orderBy(F.col("v").asc_nulls_last()))
+    want = {r.id: round(r.p, 9) for r in df.select("id", p.alias("p")).collect()}
+    assert {r.id: round(r.p, 9) for r in W.percent_rank(df, ["g"], "v", F.floor(F.col("v") / 3), "p").collect()} == want
+    alone = spark.createDataFrame([(1, 1, 1, 5)], "id long, g long, t long, v long")
+    assert W.percent_rank(alone, ["g"], "v", F.col("v"), "p").first().p == 0
+
+
+def test_flatten_names_and_zones(spark):
+    from tidemark.functions import structs, times
+
+    df = spark.sql("SELECT 1 AS id, named_struct('id', 2, 'user', named_struct('id', 3, 'name', 'x'), 'tags', array(1)) AS payload, 4 AS name")
+    assert structs.flattened(df).columns == ["id", "id_1", "id_2", "name", "tags", "name_1"] and tuple(structs.flattened(df).first()) == (1, 2, 3, "x", [1], 4)
+    texts = ["2024-01-01 00:00:00 -0400", "2024-01-01 00:00:00 UTC", "2024-01-01", "no", None]
+    got = spark.createDataFrame([(x,) for x in texts], "s string").select(F.unix_seconds(times.zoned(F.col("s")))).collect()
+    assert [r[0] for r in got] == [1704081600, 1704067200, 1704067200, None, None]

@@ -27,3 +27,22 @@ def test_pipeline_learns_and_explains(spark):
     assert best["maxIter"] == 3 and mean > 0.7
     assert training.correlation(df.selectExpr("t", "-t AS u", "coalesce(x, 0) AS x"), ["t", "u", "x"], 0.9) == [("t", "u", -1.0)]
     assert training.feature_changes(["a", "b"], ["b", "c"]) == {"added": ["c"], "removed": ["a"]}
+
+
+def test_imputers_components_and_svd(spark):
+    import numpy as np
+    from pyspark.ml import feature as mf
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 4)) * [5, 3, 0.1, 0.01]
+    df = spark.createDataFrame([(k, None if k % 9 == 0 else float(r[0]), float(r[1]), float(r[2]), float(r[3]), None if k % 5 == 0 else "ab"[k % 2], int(k % 2)) for k, r in enumerate(x)], "id long, a double, b double, c double, d double, s string, y int")
+    model = training.pipeline(["a", "b", "c", "d"], ["s"], impute=-1.0, maxIter=2).fit(df)
+    done = model.transform(df)
+    assert {r.a_i for r in done.where("a IS NULL").collect()} == {-1.0} and {r.s_f for r in done.where("s IS NULL").collect()} == {"missing"}
+    v = mf.VectorAssembler(inputCols=["a_i", "b", "c", "d"], outputCol="v").transform(done.select("id", "a_i", "b", "c", "d"))
+    pca = training.components_for(v, "v", 0.999)
+    assert pca.getK() == 2 and training.loadings(pca, ["a", "b", "c", "d"], 1)[0][0][0] == "a"
+    got, values = training.truncated_svd(v, "v", 2, "p")
+    plain = np.array([r.v.toArray() for r in v.orderBy("id").collect()])
+    _, want, vt = np.linalg.svd(plain, full_matrices=False)
+    assert np.allclose(values, want[:2]) and np.allclose(np.abs([r.p for r in got.orderBy("id").collect()]), np.abs(plain @ vt[:2].T))

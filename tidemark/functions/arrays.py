@@ -52,3 +52,8 @@ def circular_lag(a: Column, b: Column, period: int) -> Column:
 def ordered_list(order: Column, value: Column) -> Column:
     """An aggregate: the values in order."""
     return F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v")))), lambda s: s["v"])
+
+
+def histogram(map: Column, first: int, last: int) -> Column:
+    """The values of a map with integer keys as an array from the first to the last key, 0 where a key is missing."""
+    return F.transform(F.sequence(F.lit(first), F.lit(last)), lambda k: F.coalesce(F.try_element_at(map, k), F.lit(0)))

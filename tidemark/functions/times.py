@@ -24,3 +24,12 @@ def cyclic(value: Column, period: float) -> tuple[Column, Column]:
 def parsed(text: Column, *formats: str) -> Column:
     """The first format that fits, then a plain cast, else null."""
     return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in formats), text.try_cast("timestamp"))
+
+
+#: The formats of times with an offset and with the name of a zone.
+ZONED = ("yyyy-MM-dd HH:mm:ss Z", "yyyy-MM-dd HH:mm:ss VV")
+
+
+def zoned(text: Column) -> Column:
+    """A time with an offset such as -0400 or a zone such as UTC, else what a plain cast gives, else null."""
+    return parsed(text, *ZONED)

@@ -12,40 +12,49 @@ from tidemark.operators import windows as W
 
 
 def timeline(votes: DataFrame) -> DataFrame:
-    """(item, created, node, level, seen, time, supporters, total): how support for each candidate grows with each vote time.
+    """(item, created, node, level, seen, time, supporters, total, vote, user): how support for each candidate grows with each vote time.
 
-    votes: (item, created, time, path), path being an array of (node, level) from a vote's own node to its ancestors. Candidates
-    are the nodes of all paths; `seen` is the first vote time that names one. Votes of the same time count together.
-    The timeline holds for every horizon: see at().
+    votes: (item, created, time, path, vote, user), path being an array of (node, level) from a vote's own node to its ancestors. Candidates
+    are the nodes of all paths; `seen` is the first vote time that names one. Votes of the same time count together, the least of them
+    stands for the time. Votes are dealt out by item once, which serves all sums. The timeline holds for every horizon: see at().
     """
-    one = votes.groupBy("item", "created", "time").agg(F.count("*").alias("n"))
+    votes = votes.repartition("item")
+    first = F.min(F.struct("vote", "user")).alias("first")
+    one = votes.groupBy("item", "created", "time").agg(F.count("*").alias("n"), first)
     one = one.withColumn("total", F.sum("n").over(W.peers(["item"], "time")))
     per_node = votes.select("item", "time", F.explode("path").alias("p")).select("item", "time", "p.node", "p.level").groupBy("item", "node", "level", "time").agg(F.count("*").alias("for_it"))
     named = per_node.groupBy("item", "node", "level").agg(F.min("time").alias("seen"))
     steps = named.join(one, "item").join(per_node, ["item", "node", "level", "time"], "left")
     support = F.sum(F.coalesce("for_it", F.lit(0))).over(W.peers(["item", "node", "level"], "time"))
-    return steps.select("item", "created", "node", "level", "seen", "time", support.alias("supporters"), "total")
+    return steps.select("item", "created", "node", "level", "seen", "time", support.alias("supporters"), "total", "first.vote", "first.user")
+
+
+def _agreed(steps: DataFrame, least: int) -> DataFrame:
+    return steps.where((3 * F.col("supporters") >= 2 * F.col("total")) & (F.col("supporters") >= least))
+
+
+def _decided(agreed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return joins.first_row(agreed, keys, ["level", "time", "node"], ["node", "level", F.col("time").alias("decided"), "supporters", "total", "vote", "user"])
 
 
 def at(steps: DataFrame, days: int | None, least: int = 2) -> DataFrame:
-    """(item, node, level, decided, supporters, total): the most specific node with two thirds of at least `least` votes at some time
-    up to the horizon, and when it was first so. A node once agreed on stays, whatever comes later.
+    """(item, node, level, decided, supporters, total, vote, user): the most specific node with two thirds of at least `least` votes at some time
+    up to the horizon, when it was first so, and the vote that decided. A node once agreed on stays, whatever comes later.
 
     Only candidates that were named within the horizon count, so the result is that of a timeline of just these votes.
     """
+    agreed = _agreed(steps, least)
     if days is not None:
         end = F.col("created") + F.make_dt_interval(F.lit(days))
-        steps = steps.where((F.col("time") <= end) & (F.col("seen") <= end))
-    agreed = steps.where((3 * F.col("supporters") >= 2 * F.col("total")) & (F.col("supporters") >= least))
-    return joins.first_row(agreed, ["item"], ["level", "time", "node"], ["node", "level", F.col("time").alias("decided"), "supporters", "total"])
+        agreed = agreed.where((F.col("time") <= end) & (F.col("seen") <= end))
+    return _decided(agreed, ["item"])
 
 
 def at_each(steps: DataFrame, days: Sequence[int], least: int = 2) -> DataFrame:
-    """The rows of at() for several horizons at once, with the column `days`: one pass over one timeline."""
-    rows = steps.withColumn("days", F.explode(F.array(*map(F.lit, days))))
+    """The rows of at() for several horizons at once, with the column `days`: what is agreed on is found once, then multiplied."""
+    rows = _agreed(steps, least).withColumn("days", F.explode(F.array(*map(F.lit, days))))
     end = F.col("created") + F.make_dt_interval(F.col("days"))
-    agreed = rows.where((F.col("time") <= end) & (F.col("seen") <= end) & (3 * F.col("supporters") >= 2 * F.col("total")) & (F.col("supporters") >= least))
-    return joins.first_row(agreed, ["item", "days"], ["level", "time", "node"], ["node", "level", F.col("time").alias("decided"), "supporters", "total"])
+    return _decided(rows.where((F.col("time") <= end) & (F.col("seen") <= end)), ["item", "days"])
 
 
 def label(items: DataFrame, agreed: DataFrame, submitted: str, usable, specific: int = 10) -> DataFrame:

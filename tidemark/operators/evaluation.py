@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import windows as W
+from tidemark.operators.shrink import ratio
 
 #: Buckets of a score from 0 to 1 that meet in one window.
 STEPS = 10_000
@@ -16,18 +17,18 @@ STEPS = 10_000
 def temporal_split(df: DataFrame, time: str, id: str, cutoff: str, val: tuple[str, str], test: str, most_val: int | None = None, most_test: int | None = None) -> DataFrame:
     """(id, split): train before the cutoff, val in [from, to), test from its start on; rows in the gaps are left out.
 
-    val and test keep their earliest rows by time, then by the digest of the id.
+    val and test keep their earliest rows by time, then by the digest of the id. Places come from counts for each day, so no task sorts a split.
     """
     t = F.col(time)
-    split = F.when(t < F.lit(cutoff).cast("timestamp_ntz"), "train").when((t >= F.lit(val[0]).cast("timestamp_ntz")) & (t < F.lit(val[1]).cast("timestamp_ntz")), "val").when(t >= F.lit(test).cast("timestamp_ntz"), "test")
+    at = lambda x: F.lit(x).cast("timestamp_ntz")
+    split = F.when(t < at(cutoff), "train").when((t >= at(val[0])) & (t < at(val[1])), "val").when(t >= at(test), "test")
     rows = df.select(id, time).withColumn("split", split).where("split IS NOT NULL")
-    out = rows.where("split = 'train'").select(id, "split")
-    for name, most in (("val", most_val), ("test", most_test)):
-        part = rows.where(F.col("split") == name)
-        if most is not None:
-            part = part.orderBy(time, F.md5(F.col(id).cast("string"))).limit(most)
-        out = out.unionByName(part.select(id, "split"))
-    return out
+    if most_val is None and most_test is None:
+        return rows.select(id, "split")
+    placed = W.with_offsets(rows.withColumn("_one", F.lit(1)), F.to_date(time), ["_one"], keys=["split"])
+    place = F.col("_o__one") + F.row_number().over(Window.partitionBy("split", "_b").orderBy(time, F.md5(F.col(id).cast("string"))))
+    most = F.when(F.col("split") == "val", F.lit(most_val)).when(F.col("split") == "test", F.lit(most_test))
+    return placed.withColumn("_place", place).where(most.isNull() | (F.col("_place") <= most)).select(id, "split")
 
 
 def expanding_folds(df: DataFrame, time: str, id: str, folds: int, gap_days: int) -> DataFrame:
@@ -71,13 +72,62 @@ def curve_at(df: DataFrame, shares: Sequence[float], score: str, label: str, id:
     return found.select("k_pct", F.col("place").alias("n_reviewed"), (F.col("hits") / positives).alias("recall"), (F.col("hits") / F.col("place")).alias("precision"), (F.col("hits") / F.col("place") / (positives / n)).alias("lift"))
 
 
-def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
-    """(average_precision): the sum over distinct scores of the gain in recall times the precision there."""
+def thresholds(df: DataFrame, score: str, label: str) -> DataFrame:
+    """(score, n, h, all, hits): for each distinct score its rows and positives, and those of it and all higher scores."""
     by = df.groupBy(score).agg(F.count("*").alias("n"), F.sum(label).alias("h"))
     by = W.with_offsets(by, step_of(score), ["n", "h"], descending=True)
     w = Window.partitionBy("_b").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    by = by.withColumns({"all": F.col("_o_n") + F.sum("n").over(w), "hits": F.col("_o_h") + F.sum("h").over(w)})
-    return by.agg((F.sum(F.col("h") * F.col("hits") / F.col("all")) / F.sum("h")).alias("average_precision"))
+    return by.select(F.col(score).alias("score"), "n", "h", (F.col("_o_n") + F.sum("n").over(w)).alias("all"), (F.col("_o_h") + F.sum("h").over(w)).alias("hits"))
+
+
+def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
+    """(average_precision): the sum over distinct scores of the gain in recall times the precision there."""
+    return thresholds(df, score, label).agg((F.sum(F.col("h") * F.col("hits") / F.col("all")) / F.sum("h")).alias("average_precision"))
+
+
+def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
+    """(roc_auc): the share of pairs of a positive and a negative row in which the positive scores higher; ties count half."""
+    higher = F.col("all") - F.col("hits") - (F.col("n") - F.col("h"))  # negatives above
+    lost = F.sum(F.col("h") * (higher + 0.5 * (F.col("n") - F.col("h"))))
+    positives, negatives = F.sum("h"), F.sum(F.col("n") - F.col("h"))
+    return thresholds(df, score, label).agg((1 - lost / F.nullif((positives * negatives).cast("double"), F.lit(0.0))).alias("roc_auc"))
+
+
+def report(df: DataFrame, score: str, label: str, threshold: float) -> DataFrame:
+    """(class, precision, recall, f1, support, accuracy) of both classes, rows at the threshold or above being predicted positive."""
+    said, true = F.col(score) >= threshold, F.col(label) > 0
+    g = df.agg(F.count_if(said & true).alias("tp"), F.count_if(said & ~true).alias("fp"), F.count_if(~said & ~true).alias("tn"), F.count_if(~said & true).alias("fn"))
+    side = lambda c, hit, wrong, missed: F.struct(F.lit(c).alias("class"), F.col(hit).alias("hit"), F.col(wrong).alias("wrong"), F.col(missed).alias("missed"))
+    g = g.select(F.explode(F.array(side(0, "tn", "fn", "fp"), side(1, "tp", "fp", "fn"))).alias("s"), ratio(F.col("tp") + F.col("tn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")).alias("accuracy"))
+    hit, wrong, missed = (F.col(f"s.{c}") for c in ("hit", "wrong", "missed"))
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    return g.select(F.col("s.class").alias("class"), zero(ratio(hit, hit + wrong)).alias("precision"), zero(ratio(hit, hit + missed)).alias("recall"), zero(ratio(2 * hit, 2 * hit + wrong + missed)).alias("f1"), (hit + missed).alias("support"), "accuracy")
+
+
+def recall_area(df: DataFrame, score: str, label: str, id: str) -> DataFrame:
+    """(recall_area): the area under recall over the share of rows reviewed, by trapezoids between rows."""
+    n = F.count("*")
+    g = ranked(df, score, label, id).agg(F.sum("hits").alias("s"), F.max("hits").alias("p"), F.min_by("hits", "place").alias("first"), n.alias("n"))
+    return g.select((ratio(F.col("s") - (F.col("first") + F.col("p")) / 2, F.col("p") * F.col("n"))).alias("recall_area"))
+
+
+def precision_at(df: DataFrame, share: float, score: str, label: str, id: str) -> DataFrame:
+    """(n_reviewed, precision) of the first floor(share * n) rows; of none there is no precision."""
+    rows = ranked(df, score, label, id)
+    most = F.floor(F.lit(share) * df.count())
+    g = rows.where(F.col("place") <= most).agg(F.count("*").alias("n_reviewed"), F.sum(label).alias("k"))
+    return g.select("n_reviewed", ratio(F.col("k"), F.col("n_reviewed")).alias("precision"))
+
+
+def operating_points(df: DataFrame, targets: Sequence[float], score: str, label: str) -> DataFrame:
+    """(target, threshold, precision, recall): for each target the threshold whose precision is nearest, the lowest of equals."""
+    by = thresholds(df, score, label)
+    total = df.agg(F.sum(label).alias("positives"))  # one row
+    by = by.crossJoin(F.broadcast(total)).select("score", ratio(F.col("hits"), F.col("all")).alias("precision"), ratio(F.col("hits"), F.col("positives")).alias("recall"))
+    point = F.struct(F.col("score").alias("threshold"), "precision", "recall")
+    best = by.agg(*(F.min_by(point, F.struct(F.round(F.abs(F.col("precision") - t), 12), "score")).alias(f"t{k}") for k, t in enumerate(targets)))
+    each = F.array(*(F.struct(F.lit(float(t)).alias("target"), F.col(f"t{k}.threshold").alias("threshold"), F.col(f"t{k}.precision").alias("precision"), F.col(f"t{k}.recall").alias("recall")) for k, t in enumerate(targets)))
+    return best.select(F.explode(each).alias("x")).select("x.*")
 
 
 def calibration(df: DataFrame, score: str, label: str, bins: int) -> DataFrame:

@@ -8,20 +8,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, payload: Sequence[str], ties: Sequence[str], inner: bool = True) -> DataFrame:
-    """left with the payload of the last row of right with the same keys and a time that isn't later.
+def asof_joins(left: DataFrame, keys: Sequence[str], left_time: str, sides: Sequence[tuple[DataFrame, str, Sequence[str], Sequence[str]]]) -> DataFrame:
+    """left with the payload of each side's last row with the same keys and a time that isn't later, null where there is none.
 
-    Of right rows at the same time the last by `ties` counts. Both sides go through one shuffle by the keys as one
-    sequence; the last payload so far is carried along. Rows of left without a match stay if `inner` is off.
+    sides: (rows, time, payload, ties); of rows at the same time the last by `ties` counts. All go through one shuffle by the
+    keys as one sequence; the last payloads so far are carried along.
     """
-    one = left.select(*keys, F.col(left_time).alias("_time"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"), F.lit(None).alias("_right"), *(F.lit(None).alias(f"_t{k}") for k in range(len(ties))))
-    two = right.select(*keys, F.col(right_time).alias("_time"), F.lit(0).alias("_side"), F.lit(None).alias("_left"), F.struct(*payload).alias("_right"), *(F.col(c).alias(f"_t{k}") for k, c in enumerate(ties)))
-    rows = two.unionByName(one)
-    frame = Window.partitionBy(*keys).orderBy("_time", "_side", *(f"_t{k}" for k in range(len(ties)))).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = rows.withColumn("_last", F.last("_right", ignorenulls=True).over(frame)).where("_side = 1")
-    if inner:
-        found = found.where("_last IS NOT NULL")
-    return found.select("_left.*", *(F.col(f"_last.{c}").alias(c) for c in payload))
+    most = max(len(s[3]) for s in sides)
+    none = lambda names: [F.lit(None).alias(n) for n in names]
+    slots = [f"_right{k}" for k in range(len(sides))]
+    rows = left.select(*keys, F.col(left_time).alias("_time"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"), *none(slots), *none(f"_t{k}" for k in range(most)))
+    for n, (right, time, payload, ties) in enumerate(sides):
+        tie = [F.col(c).alias(f"_t{k}") for k, c in enumerate(ties)] + none(f"_t{k}" for k in range(len(ties), most))
+        mine = [F.struct(*payload).alias(s) if s == slots[n] else F.lit(None).alias(s) for s in slots]
+        rows = right.select(*keys, F.col(time).alias("_time"), F.lit(0).alias("_side"), F.lit(None).alias("_left"), *mine, *tie).unionByName(rows)
+    frame = Window.partitionBy(*keys).orderBy("_time", "_side", *(f"_t{k}" for k in range(most))).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.withColumns({s: F.last(s, ignorenulls=True).over(frame) for s in slots}).where("_side = 1")
+    return found.select("_left.*", *(F.col(f"{s}.{c}").alias(c) for s, (_, _, payload, _) in zip(slots, sides, strict=True) for c in payload), *(F.col(s).isNotNull().alias(f"_found{n}") for n, s in enumerate(slots)))
+
+
+def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, payload: Sequence[str], ties: Sequence[str], inner: bool = True) -> DataFrame:
+    """asof_joins() with one side. Rows of left without a match stay if `inner` is off."""
+    found = asof_joins(left, keys, left_time, [(right, right_time, payload, ties)])
+    return (found.where("_found0") if inner else found).drop("_found0")
 
 
 def dense(df: DataFrame, keys: Sequence[str], slot: str, first: int, last: int, values: Sequence[str]) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,6 +26,12 @@ def prior_of(levels: Sequence[tuple[Column, Column, int]], default: Column) -> t
     return rate, source
 
 
-def mean_of_others(value: Column, window) -> Column:
-    """The sum of the window without this row's value, over the number of other rows; null values count as rows."""
-    return (F.sum(value).over(window) - value) / F.nullif(F.count(F.lit(1)).over(window) - 1, F.lit(0)).cast("double")
+def mean_of_others(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """df with the sum of the key's values without this row's, over the number of its other rows; null values count as rows.
+
+    Sums are combined before they are shuffled and joined back, so a key may hold any share of the rows.
+    """
+    named = {k: f"_k{n}" for n, k in enumerate(keys)}
+    sums = df.groupBy(*keys).agg(F.sum(value).alias("_sum"), F.count(F.lit(1)).alias("_n")).select(*(F.col(k).alias(n) for k, n in named.items()), "_sum", "_n")
+    same = reduce(lambda a, b: a & b, (df[k].eqNullSafe(sums[n]) for k, n in named.items()))
+    return df.join(sums, same).withColumn(out, (F.col("_sum") - F.col(value)) / F.nullif(F.col("_n") - 1, F.lit(0)).cast("double")).drop("_sum", "_n", *named.values())

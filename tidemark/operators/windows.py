@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -52,26 +53,45 @@ def running_distinct(df: DataFrame, keys: Sequence[str], value: str, order: Sequ
     return marked.withColumn(out, F.coalesce(F.sum("_new").over(frame), F.lit(0))).drop("_new")
 
 
-def with_offsets(df: DataFrame, bucket: Column, sums: Sequence[str], descending: bool = False) -> DataFrame:
-    """df with `_b`, the row's bucket, and for each column of sums `_o_<column>`, its sum over all buckets before that one.
+def with_offsets(df: DataFrame, bucket: Column, sums: Sequence[str], descending: bool = False, keys: Sequence[str] = ()) -> DataFrame:
+    """df with `_b`, the row's bucket, and for each column of sums `_o_<column>`, its sum over all buckets of the key before that one.
 
-    Only a row for each bucket meets in one window, so buckets should be few: days of a time, steps of a score. A
-    sequence of the whole table is then a window within each bucket plus the bucket's offset.
+    Only a row for each key and bucket meets in one window, so buckets should be few: days of a time, steps of a score. A
+    sequence of a whole table, or of a key with a large share of it, is then a window within each bucket plus the bucket's offset.
     """
     df = df.withColumn("_b", bucket)
-    totals = df.groupBy("_b").agg(*(F.sum(c).alias(c) for c in sums))
-    w = Window.orderBy(F.desc("_b") if descending else F.asc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(F.col("_b").alias("_bucket"), *(F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_o_{c}") for c in sums))
-    return df.join(totals, F.col("_b").eqNullSafe(F.col("_bucket"))).drop("_bucket")
+    totals = df.groupBy(*keys, "_b").agg(*(F.sum(c).alias(c) for c in sums))
+    w = Window.partitionBy(*keys).orderBy(F.desc("_b") if descending else F.asc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    named = {k: f"_k{n}" for n, k in enumerate([*keys, "_b"])}
+    totals = totals.select(*(F.col(k).alias(n) for k, n in named.items()), *(F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_o_{c}") for c in sums))
+    same = [df[k].eqNullSafe(totals[n]) for k, n in named.items()]
+    return df.join(totals, reduce(lambda a, b: a & b, same)).drop(*named.values())
 
 
-def running_total(df: DataFrame, time: str, id: str, values: dict[str, Column], bucket: Column | None = None) -> DataFrame:
-    """df with sums over all earlier rows of the whole table by (time, id), without one task for all rows.
+def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], bucket: Column) -> DataFrame:
+    """df with sums over all earlier rows of the key by `order`, for keys of which one may hold a large share of the table.
 
-    bucket: a column that never falls as time rises, like its day; the time itself if it has few values.
+    bucket: a column that never falls as rows go on, like their day. No task gets more than the rows of a key and bucket.
     """
     named = {f"_v{k}": v for k, v in enumerate(values.values())}
-    rows = with_offsets(df.withColumns(named), F.col(time) if bucket is None else bucket, list(named))
-    inner = Window.partitionBy("_b").orderBy(F.col(time).asc_nulls_first(), id).rowsBetween(Window.unboundedPreceding, -1)
+    rows = with_offsets(df.withColumns(named), bucket, list(named), keys=keys)
+    inner = Window.partitionBy(*keys, "_b").orderBy(*(F.col(c).asc_nulls_first() for c in order)).rowsBetween(Window.unboundedPreceding, -1)
     out = {o: F.col(f"_o_{n}") + F.coalesce(F.sum(n).over(inner), F.lit(0)) for o, n in zip(values, named, strict=True)}
     return rows.withColumns(out).drop("_b", *named, *(f"_o_{n}" for n in named))
+
+
+def running_total(df: DataFrame, time: str, id: str, values: dict[str, Column], bucket: Column | None = None) -> DataFrame:
+    """running_totals() of the whole table by (time, id); the time itself is the bucket if none is given and it has few values."""
+    return running_totals(df, [], [time, id], values, F.col(time) if bucket is None else bucket)
+
+
+def percent_rank(df: DataFrame, keys: Sequence[str], value: str, step: Column, out: str) -> DataFrame:
+    """df with the share of the key's other rows that have a smaller value; nulls come last, a row alone is at 0.
+
+    step: a coarse value that never falls as the value rises, so that a key's rows are ranked step by step.
+    """
+    rows = with_offsets(df.withColumn("_one", F.lit(1)), F.coalesce(step.cast("long"), F.lit(2**63 - 1)), ["_one"], keys=keys)
+    n = df.groupBy(*keys).agg(F.count("*").alias("_n")).select(*(F.col(k).alias(f"_g{j}") for j, k in enumerate(keys)), "_n")
+    rows = rows.join(n, reduce(lambda a, b: a & b, (rows[k].eqNullSafe(n[f"_g{j}"]) for j, k in enumerate(keys))))
+    smaller = F.col("_o__one") + F.rank().over(ordered([*keys, "_b"], [value])) - 1
+    return rows.withColumn(out, F.when(F.col("_n") > 1, smaller / (F.col("_n") - 1)).otherwise(0.0)).drop("_one", "_b", "_o__one", "_n", *(f"_g{j}" for j in range(len(keys))))

@@ -29,21 +29,19 @@ def role_timeline(t):
 
 
 @query(f"""
-WITH {ROLE}, a AS (SELECT o_orderkey, tl.role, tl.events, tl.agree FROM orders JOIN tl ON tl.user_id = o_custkey AND tl.ts <= o_orderdate
-  QUALIFY row_number() OVER (PARTITION BY o_orderkey, tl.role ORDER BY tl.ts DESC, tl.l_orderkey DESC, tl.l_linenumber DESC, tl.l_partkey DESC, tl.other DESC) = 1)
+WITH {ROLE}, a AS (SELECT user_id, role, ts, events, agree FROM tl
+  QUALIFY row_number() OVER (PARTITION BY user_id, role, ts ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, other DESC) = 1)
 SELECT o.o_orderkey, coalesce(x.events, 0) AS received, round((coalesce(x.agree, 0) + 10 * 0.33) / (coalesce(x.events, 0) + 10), 6) AS received_rate, coalesce(y.events, 0) AS given,
   round(CAST(coalesce(y.events, 0) AS DOUBLE) / nullif(x.events, 0), 6) AS reciprocity
-FROM orders o LEFT JOIN a x ON x.o_orderkey = o.o_orderkey AND x.role = 'observer' LEFT JOIN a y ON y.o_orderkey = o.o_orderkey AND y.role = 'identifier'
+FROM orders o ASOF LEFT JOIN (SELECT * FROM a WHERE role = 'observer') x ON x.user_id = o.o_custkey AND o.o_orderdate >= x.ts
+  ASOF LEFT JOIN (SELECT * FROM a WHERE role = 'identifier') y ON y.user_id = o.o_custkey AND o.o_orderdate >= y.ts
 """)
 def role_features(t):
-    """What a customer had received and given, in either role, as of each order."""
+    """What a customer had received and given, in either role, as of each order: orders and both roles in one sequence."""
     tl = role_timeline(t)
-    o = t("orders")
-    left = o.select(F.col("o_custkey").alias("user_id"), "o_orderdate", "o_orderkey")
-    for role, name in (("observer", "x"), ("identifier", "y")):
-        side = tl.where(F.col("role") == role).select("user_id", *ORDER, F.col("events").alias(f"{name}_n"), F.col("agree").alias(f"{name}_k"))
-        got = joins.asof_join(left, side, ["user_id"], "o_orderdate", "ts", [f"{name}_n", f"{name}_k"], ORDER[1:])
-        o = o.join(got.select("o_orderkey", f"{name}_n", f"{name}_k"), "o_orderkey", "left")
+    side = lambda role, name: tl.where(F.col("role") == role).select("user_id", *ORDER, F.col("events").alias(f"{name}_n"), F.col("agree").alias(f"{name}_k"))
+    left = t("orders").select(F.col("o_custkey").alias("user_id"), "o_orderdate", "o_orderkey")
+    o = joins.asof_joins(left, ["user_id"], "o_orderdate", [(side(role, n), "ts", [f"{n}_n", f"{n}_k"], ORDER[1:]) for role, n in (("observer", "x"), ("identifier", "y"))])
     received, given = F.coalesce("x_n", F.lit(0)), F.coalesce("y_n", F.lit(0))
     return o.select("o_orderkey", received.alias("received"), r(shrink.shrunk(F.col("x_k"), F.col("x_n"), F.lit(0.33), 10)).alias("received_rate"), given.alias("given"), r(shrink.ratio(given, F.col("x_n"))).alias("reciprocity"))
 
@@ -151,6 +149,54 @@ def brier_calibration(t):
     return c.select("bin", "n", *(r(x).alias(x) for x in ("mean_score", "positive_rate", "brier")))
 
 
+@query(f"""
+WITH {SCORED}, g AS (SELECT score, count(*) AS n, sum(y) AS h FROM sc GROUP BY 1), c AS (SELECT *, sum(n - h) OVER (ORDER BY score) - (n - h) AS lower FROM g)
+SELECT round(sum(h * (lower + 0.5 * (n - h))) / (sum(h) * CAST(sum(n - h) AS DOUBLE)), 6) AS roc_auc FROM c
+""")
+def roc_auc(t):
+    return evaluation.roc_auc(scored(t), "score", "y").select(r("roc_auc").alias("roc_auc"))
+
+
+@query(f"""
+WITH {SCORED}, c AS (SELECT count(*) FILTER (score >= 0.3 AND y = 1) AS tp, count(*) FILTER (score >= 0.3 AND y = 0) AS fp, count(*) FILTER (score < 0.3 AND y = 0) AS tn, count(*) FILTER (score < 0.3 AND y = 1) AS fn FROM sc),
+s AS (SELECT 0 AS class, tn AS hit, fn AS wrong, fp AS missed FROM c UNION ALL SELECT 1, tp, fp, fn FROM c)
+SELECT class, round(hit / (hit + wrong), 6) AS precision, round(hit / (hit + missed), 6) AS recall, round(2 * hit / (2 * hit + wrong + missed), 6) AS f1, hit + missed AS support, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy FROM s, c
+""")
+def classification_report(t):
+    g = evaluation.report(scored(t), "score", "y", 0.3)
+    return g.select("class", *(r(c).alias(c) for c in ("precision", "recall", "f1")), "support", r("accuracy").alias("accuracy"))
+
+
+@query(f"""
+WITH {SCORED}, k AS (SELECT row_number() OVER w AS place, sum(y) OVER w AS hits FROM sc WINDOW w AS (ORDER BY score DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), n AS (SELECT count(*) AS n, sum(y) AS p FROM sc),
+c AS (SELECT CAST(hits AS DOUBLE) / p AS recall, lead(CAST(hits AS DOUBLE) / p) OVER (ORDER BY place) AS next, n FROM k, n)
+SELECT round(sum((recall + next) / 2 / n), 6) AS recall_area FROM c
+""")
+def recall_area(t):
+    return evaluation.recall_area(scored(t), "score", "y", "id").select(r("recall_area").alias("recall_area"))
+
+
+@query(f"""
+WITH {SCORED}, k AS (SELECT y, row_number() OVER (ORDER BY score DESC, id) AS place FROM sc)
+SELECT count(*) AS n_reviewed, round(avg(y), 6) AS precision FROM k WHERE place <= (SELECT floor(0.05 * count(*)) FROM sc)
+""")
+def precision_at_share(t):
+    return evaluation.precision_at(scored(t), 0.05, "score", "y", "id").select("n_reviewed", r("precision").alias("precision"))
+
+
+TARGETS = (0.48, 0.52)
+
+
+@query(f"""
+WITH {SCORED}, g AS (SELECT score, count(*) AS n, sum(y) AS h FROM sc GROUP BY 1), c AS (SELECT score, CAST(sum(h) OVER w AS DOUBLE) / sum(n) OVER w AS p, CAST(sum(h) OVER w AS DOUBLE) / (SELECT sum(y) FROM sc) AS q FROM g WINDOW w AS (ORDER BY score DESC)),
+t AS (SELECT unnest([{", ".join(f"CAST({x} AS DOUBLE)" for x in TARGETS)}]) AS target)
+SELECT target, score AS threshold, round(p, 6) AS precision, round(q, 6) AS recall FROM t, c QUALIFY row_number() OVER (PARTITION BY target ORDER BY round(abs(p - target), 12), score) = 1
+""")
+def operating_points(t):
+    """The thresholds with a precision nearest to each target."""
+    return evaluation.operating_points(scored(t), TARGETS, "score", "y").select("target", "threshold", r("precision").alias("precision"), r("recall").alias("recall"))
+
+
 @query("""
 SELECT round(corr(l_quantity, l_extendedprice), 6) AS quantity_price, round(corr(l_quantity, l_discount), 6) AS quantity_discount, round(corr(l_extendedprice, l_tax), 6) AS price_tax FROM lineitem
 """)
@@ -161,9 +207,7 @@ def feature_correlation(t):
 
 def matrix(t):
     """One row for each order of a split: its customer's history, season, roles, community and agreed level, with the label."""
-    o = t("orders").join(t("customer").select("c_custkey", "c_nationkey"), F.col("c_custkey") == F.col("o_custkey")).withColumn("y", history.positive())
-    mine, nation = W.before(["o_custkey"], ["o_orderdate", "o_orderkey"]), W.before(["c_nationkey"], ["o_orderdate", "o_orderkey"])
-    o = o.withColumns({"n_before": F.count(F.lit(1)).over(mine), "k": F.coalesce(F.sum("y").over(mine), F.lit(0)), "prior": F.coalesce(F.avg("y").over(nation), F.lit(0.5)), "price_before": r(F.avg("o_totalprice").over(mine), 4)})
+    o = history.with_history(t).withColumns({"k": F.col("positives_before"), "prior": F.col("p"), "price_before": r(F.avg("o_totalprice").over(W.before(*history.BY_CUSTOMER)), 4)})
     week = times.cyclic(F.weekofyear("o_orderdate"), 52)
     o = o.select(
         "o_orderkey", "o_totalprice", "n_before", r("prior").alias("prior"), r(shrink.shrunk(F.col("k"), F.col("n_before"), F.col("prior"), 10)).alias("rate_before"), "price_before",

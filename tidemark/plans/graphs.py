@@ -168,6 +168,27 @@ def bipartite_edges(t):
     return x.select("o_custkey", "l_suppkey", "n", "orders", r(shrink.ratio(F.col("n"), F.sum("n").over(W.whole(["l_suppkey"])))).alias("effort"), r(F.log1p("n")).alias("log_weight"))
 
 
+#: Lines that the rates of neighbours are learned from end before this day.
+KNOWN_UNTIL = "2000-01-01"
+
+
+@query(f"""
+WITH {EDGES}, c AS (SELECT l_partkey AS node, count(*) AS n, CAST(sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS rate FROM lineitem WHERE l_shipdate < TIMESTAMP '{KNOWN_UNTIL}' GROUP BY 1),
+b AS (SELECT src, dst, c.n AS m, rate, CASE WHEN c.n < 6 THEN 15.0 WHEN c.n < 50 THEN 5.0 ELSE 2.0 END AS a FROM e JOIN c ON c.node = dst),
+q AS (SELECT *, (sum(rate) OVER (PARTITION BY src) - rate) / nullif(count(*) OVER (PARTITION BY src) - 1, 0) AS pool FROM b)
+SELECT src AS node, count(*) AS neighbours, round(avg(pool), 6) AS pool_mean, round(avg((m * rate + a * pool) / (m + a)), 6) AS shrunk_mean, round(max((m * rate + a * pool) / (m + a)), 6) AS shrunk_max FROM q GROUP BY 1
+""")
+def pool_shrunk_rates(t, most=MOST):
+    """Neighbours' rates up to a day, each drawn towards the mean of the node's other neighbours, the more so the fewer lines it has."""
+    l = t("lineitem").where(F.col("l_shipdate") < F.lit(KNOWN_UNTIL).cast("timestamp_ntz")).withColumn("y", (F.col("l_returnflag") == "A").cast("int"))  # noqa: E741
+    c = l.groupBy(F.col("l_partkey").alias("dst")).agg(F.count("*").alias("m"), shrink.ratio(F.sum("y"), F.count("*")).alias("rate"))
+    b = shrink.mean_of_others(edges(t, most).select("src", "dst").join(c, "dst"), ["src"], "rate", "pool")
+    weight = F.when(F.col("m") < FEW, WEIGHTS[0]).when(F.col("m") < SOME, WEIGHTS[1]).otherwise(WEIGHTS[2])
+    drawn = (F.col("m") * F.col("rate") + weight * F.col("pool")) / (F.col("m") + weight)
+    g = b.withColumn("drawn", drawn).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("neighbours"), F.avg("pool").alias("p"), F.avg("drawn").alias("d"), F.max("drawn").alias("x"))
+    return g.select("node", "neighbours", r("p").alias("pool_mean"), r("d").alias("shrunk_mean"), r("x").alias("shrunk_max"))
+
+
 #: What keeps a node's heaviest edges in the SQL.
 KEPT = " QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) <= 10"
 
@@ -183,5 +204,5 @@ def on_all_edges(run):
     return query(ORACLES[name].replace(KEPT, ""))(fn)
 
 
-for _run in (one_hop, two_hop_stats, exclusive_two_hop, clustering_coefficient, degree_asymmetry, rank_distance, topology_aggregates, neighbourhood_rates, neighbourhood_pool_rank):
+for _run in (one_hop, two_hop_stats, exclusive_two_hop, clustering_coefficient, degree_asymmetry, rank_distance, topology_aggregates, neighbourhood_rates, neighbourhood_pool_rank, pool_shrunk_rates):
     on_all_edges(_run)

@@ -18,6 +18,18 @@ BY_CUSTOMER = (["o_custkey"], ["o_orderdate", "o_orderkey"])
 SQL_BEFORE = "ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
 
+def with_history(t):
+    """Orders with y, the customer's orders and positives so far and p, the rate so far of their nation.
+
+    Nations are few and hold many orders each, so theirs are sums by day; a customer's are a window.
+    """
+    o = t("orders").join(t("customer").select("c_custkey", "c_nationkey"), F.col("c_custkey") == F.col("o_custkey")).withColumn("y", positive())
+    o = W.running_totals(o, ["c_nationkey"], BY_CUSTOMER[1], {"nation_n": F.lit(1), "nation_k": F.col("y")}, F.to_date("o_orderdate"))
+    mine = W.before(*BY_CUSTOMER)
+    p = F.coalesce(shrink.ratio(F.col("nation_k"), F.col("nation_n")), F.lit(0.5))
+    return o.withColumns({"n_before": F.count(F.lit(1)).over(mine), "positives_before": F.coalesce(F.sum("y").over(mine), F.lit(0)), "p": p})
+
+
 @query(f"""
 WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate, c_nationkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y
   FROM orders JOIN customer ON c_custkey = o_custkey),
@@ -28,9 +40,7 @@ SELECT o_orderkey, o_custkey, n AS n_before, CAST(k AS BIGINT) AS positives_befo
 """)
 def observer_history_shrunk(t):
     """Each customer's positive rate so far, drawn towards the rate so far of their nation."""
-    o = t("orders").join(t("customer").select("c_custkey", "c_nationkey"), F.col("c_custkey") == F.col("o_custkey")).withColumn("y", positive())
-    mine, nation = W.before(*BY_CUSTOMER), W.before(["c_nationkey"], BY_CUSTOMER[1])
-    o = o.withColumns({"n_before": F.count(F.lit(1)).over(mine), "positives_before": F.coalesce(F.sum("y").over(mine), F.lit(0)), "p": F.coalesce(F.avg("y").over(nation), F.lit(0.5))})
+    o = with_history(t)
     return o.select("o_orderkey", "o_custkey", "n_before", "positives_before", r("p").alias("prior"), r(shrink.shrunk(F.col("positives_before"), F.col("n_before"), F.col("p"), 10)).alias("rate_shrunk"))
 
 
@@ -86,8 +96,9 @@ def running_distinct(t):
 SELECT o_orderkey, round(percent_rank() OVER (PARTITION BY date_trunc('month', o_orderdate) ORDER BY o_totalprice NULLS LAST), 6) AS place FROM orders
 """)
 def percent_rank_month(t):
+    """Months are few and hold many orders, so prices are ranked in steps of a thousand."""
     o = t("orders").withColumn("month", F.date_trunc("month", "o_orderdate"))
-    return o.select("o_orderkey", r(F.percent_rank().over(W.ordered(["month"], ["o_totalprice"]))).alias("place"))
+    return W.percent_rank(o, ["month"], "o_totalprice", F.floor(F.col("o_totalprice") / 1000), "place").select("o_orderkey", r("place").alias("place"))
 
 
 @query("""
@@ -150,7 +161,8 @@ WITH p AS (SELECT p_partkey, p_brand, CAST(p_size AS DOUBLE) AS x FROM part)
 SELECT p_partkey, round((sum(x) OVER (PARTITION BY p_brand) - x) / nullif(count(*) OVER (PARTITION BY p_brand) - 1, 0), 6) AS others FROM p
 """)
 def leave_one_out_mean(t):
-    return t("part").select("p_partkey", r(shrink.mean_of_others(F.col("p_size").cast("double"), W.whole(["p_brand"]))).alias("others"))
+    p = t("part").withColumn("x", F.col("p_size").cast("double"))
+    return shrink.mean_of_others(p, ["p_brand"], "x", "others").select("p_partkey", r("others").alias("others"))
 
 
 @query("""
@@ -172,3 +184,26 @@ def running_entropy(t):
 
     e = run(t("events"), ["user_id"], "event_type", ["ts", "event_id"], "h").where("h IS NOT NULL")
     return e.select("event_id", F.col("h_kinds").alias("kinds"), r("h", 5).alias("entropy"), r("h_norm", 5).alias("entropy_norm"))
+
+
+_LINES_BEFORE = "ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+
+@query(f"""
+WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, o_custkey, p_type, CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS y
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey),
+h AS (SELECT *, count(*) OVER a AS n, coalesce(sum(y) OVER a, 0) AS k, count(*) OVER b AS all_n, coalesce(avg(y) OVER c, 0.5) AS p FROM v
+  WINDOW a AS (PARTITION BY o_custkey, p_type {_LINES_BEFORE}), b AS (PARTITION BY o_custkey {_LINES_BEFORE}), c AS (PARTITION BY p_type {_LINES_BEFORE}))
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, n AS n_before, round(coalesce(CAST(k AS DOUBLE) / nullif(n, 0), 0), 6) AS rate_raw, round((15 * p + k) / (15 + n), 6) AS rate_shrunk,
+  round(CAST(n AS DOUBLE) / nullif(all_n, 0), 6) AS focus FROM h
+""")
+def observer_taxon_shrunk(t):
+    """Each customer's rate so far with a type, drawn towards the type's rate so far, and the share of their lines in it."""
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    v = t("lineitem").join(t("orders").select("o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("part").select("p_partkey", "p_type"), F.col("p_partkey") == F.col("l_partkey"))
+    v = W.running_totals(v.withColumn("y", (F.col("l_returnflag") == "A").cast("int")), ["p_type"], order, {"type_n": F.lit(1), "type_k": F.col("y")}, F.to_date("l_shipdate"))
+    mine, theirs = W.before(["o_custkey", "p_type"], order), W.before(["o_custkey"], order)
+    v = v.withColumns({"n": F.count(F.lit(1)).over(mine), "k": F.coalesce(F.sum("y").over(mine), F.lit(0)), "all_n": F.count(F.lit(1)).over(theirs)})
+    prior = F.coalesce(shrink.ratio(F.col("type_k"), F.col("type_n")), F.lit(0.5))
+    raw = F.coalesce(shrink.ratio(F.col("k"), F.col("n")), F.lit(0.0))
+    return v.select(*order[1:], F.col("n").alias("n_before"), r(raw).alias("rate_raw"), r(shrink.shrunk(F.col("k"), F.col("n"), prior, 15)).alias("rate_shrunk"), r(shrink.ratio(F.col("n"), F.col("all_n"))).alias("focus"))

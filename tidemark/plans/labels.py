@@ -11,7 +11,7 @@ from tidemark.plans.registry import query, r
 HORIZON = 400
 
 VOTES = """
-v AS (SELECT o_orderkey AS item, o_orderdate AS created, l_shipdate AS time, 'p' || l_partkey AS leaf, 'g' || p_type || '|' || p_brand AS genus, 'f' || p_type AS family
+v AS (SELECT o_orderkey AS item, o_orderdate AS created, l_shipdate AS time, l_linenumber * 100000000 + l_partkey AS vote, l_suppkey AS "user", 'p' || l_partkey AS leaf, 'g' || p_type || '|' || p_brand AS genus, 'f' || p_type AS family
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey WHERE l_shipdate >= o_orderdate)
 """
 
@@ -21,10 +21,10 @@ def agreed_sql(days: int | None, name: str = "agreed") -> str:
     return f"""
 {name}_v AS (SELECT * FROM v {end}),
 {name}_c AS (SELECT DISTINCT item, leaf AS node, 10 AS level FROM {name}_v UNION SELECT item, genus, 20 FROM {name}_v UNION SELECT item, family, 30 FROM {name}_v),
-{name}_t AS (SELECT c.item, c.node, c.level, v.time, sum(CASE WHEN c.node IN (v.leaf, v.genus, v.family) THEN 1 ELSE 0 END) OVER w AS supporters, count(*) OVER w AS total
+{name}_t AS (SELECT c.item, c.node, c.level, v.time, sum(CASE WHEN c.node IN (v.leaf, v.genus, v.family) THEN 1 ELSE 0 END) OVER w AS supporters, count(*) OVER w AS total, v.vote, v."user"
   FROM {name}_c c JOIN {name}_v v ON v.item = c.item WINDOW w AS (PARTITION BY c.item, c.node ORDER BY v.time)),
-{name} AS (SELECT item, node, level, time AS decided, CAST(supporters AS BIGINT) AS supporters, total FROM {name}_t WHERE 3 * supporters >= 2 * total AND supporters >= 2
-  QUALIFY row_number() OVER (PARTITION BY item ORDER BY level, time, node) = 1)
+{name} AS (SELECT item, node, level, time AS decided, CAST(supporters AS BIGINT) AS supporters, total, vote, "user" FROM {name}_t WHERE 3 * supporters >= 2 * total AND supporters >= 2
+  QUALIFY row_number() OVER (PARTITION BY item ORDER BY level, time, node, vote, "user") = 1)
 """
 
 
@@ -32,7 +32,7 @@ def votes(t):
     v = t("lineitem").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).where("l_shipdate >= o_orderdate").join(t("part"), F.col("p_partkey") == F.col("l_partkey"))
     node = lambda x, level: F.struct(x.alias("node"), F.lit(level).alias("level"))
     path = F.array(node(F.concat(F.lit("p"), F.col("l_partkey").cast("string")), 10), node(F.concat(F.lit("g"), "p_type", F.lit("|"), "p_brand"), 20), node(F.concat(F.lit("f"), "p_type"), 30))
-    return v.select(F.col("o_orderkey").alias("item"), F.col("o_orderdate").alias("created"), F.col("l_shipdate").alias("time"), path.alias("path"))
+    return v.select(F.col("o_orderkey").alias("item"), F.col("o_orderdate").alias("created"), F.col("l_shipdate").alias("time"), path.alias("path"), (F.col("l_linenumber") * 100_000_000 + F.col("l_partkey")).alias("vote"), F.col("l_suppkey").alias("user"))
 
 
 @query(f"WITH {VOTES}, {agreed_sql(HORIZON)} SELECT * FROM agreed")
@@ -40,23 +40,30 @@ def consensus_windowed(t):
     return consensus.at(consensus.timeline(votes(t)), HORIZON)
 
 
+#: An order submits the type and brand of its first line.
 LABELS = """
-l AS (SELECT o_orderkey AS item, o_orderdate AS created, o_custkey, coalesce(agreed.level <= 20, FALSE) AND o_totalprice > 0 AS is_positive, agreed.decided, agreed.node
-  FROM orders LEFT JOIN agreed ON agreed.item = o_orderkey)
+own AS (SELECT l_orderkey, arg_min('g' || p_type || '|' || p_brand, (l_linenumber, l_partkey)) AS submitted FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1),
+l AS (SELECT o_orderkey AS item, o_orderdate AS created, o_custkey, o_totalprice > 0 AND coalesce(agreed.level <= 20, FALSE) AND coalesce(agreed.node = submitted, FALSE) AS is_positive, agreed.decided, agreed.node, agreed.level
+  FROM orders LEFT JOIN agreed ON agreed.item = o_orderkey LEFT JOIN own ON l_orderkey = o_orderkey)
 """
 
 
 def labelled(t, days=HORIZON):
+    """Orders with the node that is agreed on and whether it is specific and the submitted one."""
     items = t("orders").select(F.col("o_orderkey").alias("item"), F.col("o_orderdate").alias("created"), "o_custkey", "o_totalprice", "o_orderstatus")
-    agreed = consensus.at(consensus.timeline(votes(t)), days)
-    # an order submits no node of its own, so the agreed one stands for it
-    joined = items.join(agreed.select("item", F.col("node").alias("submitted")), "item", "left")
-    return consensus.label(joined, agreed, "submitted", F.col("o_totalprice") > 0, specific=20)
+    lines = t("lineitem").join(t("part"), F.col("p_partkey") == F.col("l_partkey"))
+    own = lines.groupBy(F.col("l_orderkey").alias("item")).agg(F.min_by(F.concat(F.lit("g"), "p_type", F.lit("|"), "p_brand"), F.struct("l_linenumber", "l_partkey")).alias("submitted"))
+    return consensus.label(items.join(own, "item", "left"), consensus.at(consensus.timeline(votes(t)), days), "submitted", F.col("o_totalprice") > 0, specific=20)
 
 
-@query(f"WITH {VOTES}, {agreed_sql(HORIZON)}, {LABELS} SELECT item, is_positive, CASE WHEN is_positive THEN CAST(date_part('day', decided - created) AS BIGINT) END AS days_to_positive FROM l")
+@query(f"""
+WITH {VOTES}, {agreed_sql(HORIZON)}, {LABELS}
+SELECT item, is_positive, CASE WHEN is_positive THEN CAST(date_part('day', decided - created) AS BIGINT) END AS days_to_positive, coalesce(level <= 20, FALSE) AND NOT is_positive AS disagrees FROM l
+""")
 def label_windowed(t):
-    return labelled(t).select("item", "is_positive", "days_to_positive")
+    """Also whether a specific node is agreed on that isn't the submitted one."""
+    other = F.coalesce(F.col("level") <= 20, F.lit(False)) & ~F.col("is_positive")
+    return labelled(t).select("item", "is_positive", "days_to_positive", other.alias("disagrees"))
 
 
 SETTLE = (30, 90, 180, 365, 730)

@@ -12,7 +12,7 @@ from tidemark.sources import tables
 #: The classes of a supplier's entropy (upper bounds), the least rows of a level that can be a prior, the prior's weight
 #: and the rows below which a node counts as new.
 ENTROPY_CLASSES = ((0.0001, "pure"), (0.5, "near"), (2.0, "mixed"))
-LEAST_GENUS, LEAST_FAMILY, PRIOR_WEIGHT, COLD = 20, 50, 5, 6
+LEAST_GENUS, LEAST_FAMILY, LEAST_ORDER, PRIOR_WEIGHT, COLD = 20, 50, 500, 5, 6
 
 
 @query("""
@@ -177,21 +177,28 @@ _BEFORE = "ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey R
 
 
 @query(f"""
-WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, p_brand, p_type, CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS y FROM lineitem JOIN part ON p_partkey = l_partkey),
-h AS (SELECT *, count(*) OVER a AS n1, coalesce(sum(y) OVER a, 0) AS k1, count(*) OVER b AS n2, coalesce(sum(y) OVER b, 0) AS k2, count(*) OVER c AS n3, coalesce(sum(y) OVER c, 0) AS k3 FROM v
-  WINDOW a AS (PARTITION BY l_partkey {_BEFORE}), b AS (PARTITION BY p_type, p_brand {_BEFORE}), c AS (PARTITION BY p_type {_BEFORE})),
-p AS (SELECT *, CASE WHEN n2 >= 20 THEN CAST(k2 AS DOUBLE) / n2 WHEN n3 >= 50 THEN CAST(k3 AS DOUBLE) / n3 ELSE 0.5 END AS prior,
-  CASE WHEN n2 >= 20 THEN 1 WHEN n3 >= 50 THEN 2 ELSE 3 END AS source FROM h)
+WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, p_brand, p_type, p_type[1] AS p_order, CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS y FROM lineitem JOIN part ON p_partkey = l_partkey),
+h AS (SELECT *, count(*) OVER a AS n1, coalesce(sum(y) OVER a, 0) AS k1, count(*) OVER b AS n2, coalesce(sum(y) OVER b, 0) AS k2, count(*) OVER c AS n3, coalesce(sum(y) OVER c, 0) AS k3,
+  count(*) OVER d AS n4, coalesce(sum(y) OVER d, 0) AS k4, avg(y) OVER ({_BEFORE}) AS overall FROM v
+  WINDOW a AS (PARTITION BY l_partkey {_BEFORE}), b AS (PARTITION BY p_type, p_brand {_BEFORE}), c AS (PARTITION BY p_type {_BEFORE}), d AS (PARTITION BY p_order {_BEFORE})),
+p AS (SELECT *, coalesce(CASE WHEN n2 >= 20 THEN CAST(k2 AS DOUBLE) / n2 WHEN n3 >= 50 THEN CAST(k3 AS DOUBLE) / n3 WHEN n4 >= 500 THEN CAST(k4 AS DOUBLE) / n4 END, overall, 0.5) AS prior,
+  CASE WHEN n2 >= 20 THEN 1 WHEN n3 >= 50 THEN 2 WHEN n4 >= 500 THEN 3 ELSE 4 END AS source FROM h)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, n1 AS n_before, source AS prior_source, round(prior, 6) AS prior, round((5 * prior + k1) / (5 + n1), 6) AS rate, n1 < 6 AS cold FROM p
 """)
 def hierarchical_prior(t):
-    """A part's rate so far, drawn towards that of its type and brand, else of its type."""
-    v = t("lineitem").join(t("part").select("p_partkey", "p_brand", "p_type"), F.col("p_partkey") == F.col("l_partkey")).withColumn("y", (F.col("l_returnflag") == "A").cast("int"))
+    """A part's rate so far, drawn towards that of its type and brand, else of its type, else of the types' initial, else of all.
+
+    Parts are many, so theirs is a window; the other levels have few keys with many rows and are sums by day.
+    """
+    v = t("lineitem").join(t("part").select("p_partkey", "p_brand", "p_type"), F.col("p_partkey") == F.col("l_partkey"))
+    v = v.withColumns({"y": (F.col("l_returnflag") == "A").cast("int"), "p_order": F.substring("p_type", 1, 1)})
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    for k, keys in enumerate((["l_partkey"], ["p_type", "p_brand"], ["p_type"]), 1):
-        w = W.before(keys, order)
-        v = v.withColumns({f"n{k}": F.count(F.lit(1)).over(w), f"k{k}": F.coalesce(F.sum("y").over(w), F.lit(0))})
-    prior, source = shrink.prior_of([(F.col("k2"), F.col("n2"), LEAST_GENUS), (F.col("k3"), F.col("n3"), LEAST_FAMILY)], F.lit(0.5))
+    w = W.before(["l_partkey"], order)
+    v = v.withColumns({"n1": F.count(F.lit(1)).over(w), "k1": F.coalesce(F.sum("y").over(w), F.lit(0))})
+    for k, keys in enumerate((["p_type", "p_brand"], ["p_type"], ["p_order"], []), 2):
+        v = W.running_totals(v, keys, order, {f"n{k}": F.lit(1), f"k{k}": F.col("y")}, F.to_date("l_shipdate"))
+    levels = [(F.col("k2"), F.col("n2"), LEAST_GENUS), (F.col("k3"), F.col("n3"), LEAST_FAMILY), (F.col("k4"), F.col("n4"), LEAST_ORDER)]
+    prior, source = shrink.prior_of(levels, F.coalesce(shrink.ratio(F.col("k5"), F.col("n5")), F.lit(0.5)))
     rate = shrink.shrunk(F.col("k1"), F.col("n1"), prior, PRIOR_WEIGHT)
     return v.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("n1").alias("n_before"), source.alias("prior_source"), r(prior).alias("prior"), r(rate).alias("rate"), (F.col("n1") < COLD).alias("cold"))
 

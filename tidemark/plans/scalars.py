@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import arrays, times
+from tidemark.functions import arrays, structs, times
 from tidemark.operators import joins
 from tidemark.plans.registry import query, r
 from tidemark.sources import tables
@@ -46,12 +46,16 @@ def timestamp_parse_cascade(t):
     return t("events").withColumn("text", text).select("event_id", F.unix_seconds(found).alias("seconds"))
 
 
+def slot_vectors(df, key: str, slot, first: int, last: int):
+    """(key, counts): how many rows of each key fall in each slot from first to last; key and slot are any columns."""
+    w = df.groupBy(key, slot.alias("slot")).agg(F.count("*").alias("n"))
+    return joins.dense(w, [key], "slot", first, last, ["n"]).groupBy(key).agg(arrays.ordered_list(F.col("slot"), F.col("n")).alias("counts"))
+
+
 def week_vectors(t):
     """(nation, counts): how many orders of each nation fall in each of 53 weeks."""
     o = t("orders").join(t("customer"), F.col("c_custkey") == F.col("o_custkey"))
-    w = o.groupBy(F.col("c_nationkey").alias("nation"), F.weekofyear("o_orderdate").alias("week")).agg(F.count("*").alias("n"))
-    full = joins.dense(w, ["nation"], "week", 1, 53, ["n"])
-    return full.groupBy("nation").agg(arrays.ordered_list(F.col("week"), F.col("n")).alias("counts"))
+    return slot_vectors(o.withColumnRenamed("c_nationkey", "nation"), "nation", F.weekofyear("o_orderdate"), 1, 53)
 
 
 WEEKS = """
@@ -125,3 +129,49 @@ def struct_list_flatten(t):
     nested = t("lineitem").groupBy(F.col("l_orderkey").alias("item")).agg(F.collect_list(vote).alias("votes"))
     e = nested.select("item", F.explode("votes").alias("v"))
     return e.select("item", F.col("v.line").alias("vote_line"), F.col("v.user.id").alias("vote_user"), F.col("v.kind").alias("vote_kind"), F.col("v.user.weight").alias("vote_weight"))
+
+
+@query("""
+SELECT event_type, string_agg(CAST(n AS VARCHAR), ',' ORDER BY slot) AS counts FROM (SELECT k.event_type, slot, count(e.event_id) AS n FROM (SELECT DISTINCT event_type FROM events) k CROSS JOIN (SELECT unnest(range(0, 24)) AS slot)
+  LEFT JOIN events e ON e.event_type = k.event_type AND hour(e.ts) = slot GROUP BY 1, 2) GROUP BY 1
+""")
+def hour_histogram(t):
+    """The same histogram by another key and slot."""
+    v = slot_vectors(t("events"), "event_type", F.hour("ts"), 0, 23)
+    return v.select("event_type", F.array_join(F.transform("counts", lambda n: n.cast("string")), ",").alias("counts"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS first_value, 'k=' || CAST(json_extract(props, '$.k') AS BIGINT) AS entries, 1 AS entries_n, CAST(json_extract(props, '$.k') AS BIGINT) AS total FROM events")
+def map_functions(t):
+    """Keys, values and entries of a map read from JSON, and a histogram from it."""
+    m = t("events").withColumn("m", F.from_json("props", "map<string,bigint>"))
+    entries = F.transform(F.map_entries("m"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    by_number = arrays.histogram(F.map_from_arrays(F.transform(F.map_keys("m"), F.length), F.map_values("m")), 1, 3)
+    return m.select("event_id", F.element_at(F.map_values("m"), 1).alias("first_value"), F.array_join(entries, ",").alias("entries"), F.size("m").alias("entries_n"), F.aggregate(by_number, F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
+
+
+@query("""
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(epoch(date_trunc('second', ts)) AS BIGINT) + 14400 WHEN 3 THEN NULL ELSE CAST(epoch(date_trunc('second', ts)) AS BIGINT) END AS seconds FROM events
+""")
+def timestamp_zones(t):
+    """Times with an offset, with a zone, without either, and none."""
+    plain = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    k = F.col("event_id") % 4
+    text = F.when(k == 0, F.concat(plain, F.lit(" -0400"))).when(k == 1, F.concat(plain, F.lit(" UTC"))).when(k == 2, plain).otherwise("no date")
+    return t("events").select("event_id", F.unix_seconds(times.zoned(text)).alias("seconds"))
+
+
+@query("""
+SELECT o_orderkey AS id, c_custkey AS id_1, n_nationkey AS id_2, n_name AS name, c_name AS name_1, o_orderstatus AS status FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+""")
+def recursive_flatten(t):
+    """Structs in structs as columns, with numbers behind names that clash."""
+    o = t("orders").join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    nation = F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    payload = F.struct(F.col("c_custkey").alias("id"), nation.alias("nation"), F.col("c_name").alias("name"))
+    return structs.flattened(o.select(F.col("o_orderkey").alias("id"), payload.alias("user"), F.col("o_orderstatus").alias("status")))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderdate FROM orders ORDER BY o_custkey, o_orderdate, o_orderkey")
+def ordered_output(t):
+    return tables.ordered(t("orders").select("o_orderkey", "o_custkey", "o_orderdate"), ["o_custkey", "o_orderdate", "o_orderkey"])

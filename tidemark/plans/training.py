@@ -32,11 +32,20 @@ def columns(df: DataFrame, leave: Sequence[str]) -> tuple[list[str], list[str]]:
     return [c for c, t in kinds.items() if t != "string"], [c for c, t in kinds.items() if t == "string"]
 
 
-def pipeline(numbers: Sequence[str], texts: Sequence[str], impute: str = "median", scale: str | None = None, components: int | None = None, classifier: str = "trees", **kw) -> Pipeline:
-    """Imputes numbers, encodes texts (unknown values get a slot of their own), scales and reduces if asked, classifies."""
-    stages: list = [mf.Imputer(strategy=impute, inputCols=list(numbers), outputCols=[f"{c}_i" for c in numbers])]
+def pipeline(numbers: Sequence[str], texts: Sequence[str], impute: str | float = "median", missing: str = "missing", scale: str | None = None, components: int | None = None, classifier: str = "trees", **kw) -> Pipeline:
+    """Imputes numbers and texts, encodes texts (unknown values get a slot of their own), scales and reduces if asked, classifies.
+
+    impute: "mean", "median", "mode" or a constant; missing texts are a value of their own.
+    """
+    if isinstance(impute, str):
+        stages: list = [mf.Imputer(strategy=impute, inputCols=list(numbers), outputCols=[f"{c}_i" for c in numbers])]
+    else:
+        filled = ", ".join(f"coalesce(nullif(`{c}`, double('NaN')), double({impute!r})) AS `{c}_i`" for c in numbers)
+        stages = [mf.SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")]
     if texts:
-        stages += [mf.StringIndexer(inputCols=list(texts), outputCols=[f"{c}_x" for c in texts], handleInvalid="keep"), mf.OneHotEncoder(inputCols=[f"{c}_x" for c in texts], outputCols=[f"{c}_o" for c in texts])]
+        known = ", ".join(f"coalesce(`{c}`, '{missing}') AS `{c}_f`" for c in texts)
+        stages.append(mf.SQLTransformer(statement=f"SELECT *, {known} FROM __THIS__"))
+        stages += [mf.StringIndexer(inputCols=[f"{c}_f" for c in texts], outputCols=[f"{c}_x" for c in texts], handleInvalid="keep"), mf.OneHotEncoder(inputCols=[f"{c}_x" for c in texts], outputCols=[f"{c}_o" for c in texts])]
     stages.append(mf.VectorAssembler(inputCols=[f"{c}_i" for c in numbers] + [f"{c}_o" for c in texts], outputCol="raw"))
     last = "raw"
     if scale:
@@ -49,6 +58,41 @@ def pipeline(numbers: Sequence[str], texts: Sequence[str], impute: str = "median
     return Pipeline(stages=[*stages, CLASSIFIERS[classifier](**kw)])
 
 
+def components_for(df: DataFrame, column: str, share: float) -> mf.PCAModel:
+    """The PCA with the fewest components that explain a share of the variance."""
+    size = len(df.select(column).first()[0])
+    whole = mf.PCA(k=size, inputCol=column, outputCol=f"{column}_pca").fit(df)
+    explained = whole.explainedVariance.toArray().cumsum()
+    k = min(size, int((explained < share - 1e-12).sum()) + 1)
+    return mf.PCA(k=k, inputCol=column, outputCol=f"{column}_pca").fit(df)
+
+
+def loadings(model: mf.PCAModel, names: Sequence[str], most: int) -> list[list[tuple[str, float]]]:
+    """For each component the names that weigh most in it, with their signed weights."""
+    weights = model.pc.toArray()
+    return [sorted(zip(names, map(float, weights[:, k]), strict=True), key=lambda x: -abs(x[1]))[:most] for k in range(weights.shape[1])]
+
+
+def truncated_svd(df: DataFrame, column: str, k: int, out: str) -> tuple[DataFrame, list[float]]:
+    """df with its vectors projected on the first k right singular vectors, without centring, and the singular values.
+
+    The Gram matrix is one row: sums of products over all rows, combined before they are shuffled.
+    """
+    import numpy as np
+
+    size = len(df.select(column).first()[0])
+    v = df.select(vector_to_array(column).alias("v"))
+    sums = v.select(*(F.sum(F.col("v")[i] * F.col("v")[j]).alias(f"g{i}_{j}") for i in range(size) for j in range(i, size))).first()
+    gram = np.zeros((size, size))
+    for (i, j), x in zip(((i, j) for i in range(size) for j in range(i, size)), sums, strict=True):
+        gram[i, j] = gram[j, i] = x
+    values, vectors = np.linalg.eigh(gram)
+    order = np.argsort(-values)[:k]
+    array = vector_to_array(column)
+    parts = [sum((array[i] * float(vectors[i, c]) for i in range(1, size)), array[0] * float(vectors[0, c])) for c in order]
+    return df.withColumn(out, F.array(*parts)), [float(np.sqrt(max(values[c], 0.0))) for c in order]
+
+
 def as_numbers(df: DataFrame, leave: Sequence[str]) -> DataFrame:
     numbers, _ = columns(df, leave)
     return df.withColumns({c: F.col(c).cast("double") for c in numbers})

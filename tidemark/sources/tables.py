@@ -39,6 +39,16 @@ def overwrite(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> Non
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def ordered(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """df in a total order, nulls last: ranges of rows are sorted one beside the other."""
+    return df.orderBy(*(F.col(c).asc_nulls_last() for c in columns))
+
+
+def write_sorted(df: DataFrame, path: str, columns: Sequence[str]) -> None:
+    """Writes df in ranges of the columns, each file sorted, so that filters on them skip files and row groups."""
+    df.repartitionByRange(*columns).sortWithinPartitions(*columns).write.mode("overwrite").parquet(path)
+
+
 def save_table(df: DataFrame, name: str) -> None:
     df.write.mode("overwrite").saveAsTable(name)
 
