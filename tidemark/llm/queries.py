@@ -13,7 +13,15 @@ from tidemark.llm import bpe, decontaminate, jaccard, language, licenses, lines,
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+#: Bytes of rows that go to a Python worker at once; the session's own setting stays where it is smaller.
+ARROW_BYTES = 1 << 20
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Whole texts go through Python workers, so the session's Arrow batches are bounded by bytes."""
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > ARROW_BYTES:
+        spark.conf.set(_ARROW, str(ARROW_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
