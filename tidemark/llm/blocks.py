@@ -10,10 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm import words
+
 #: Bytes of text in a batch, on average.
 BATCH = 6 << 20
 #: Bytes of sorted rows that are worked on at once, on average.
-RUNS = 32 << 20
+RUNS = 16 << 20
 #: Counts are cut here; what matters of them is the number of parts that follow.
 MOST = 2**31 - 1
 
@@ -34,6 +36,7 @@ ASKED = "hash long, batch int, count int"
 
 def ask(batch: int, hashes: np.ndarray) -> pa.Table:
     """The hashes of a batch, once each with the times that they occur."""
+    words.trim()
     once, times = np.unique(hashes, return_counts=True)
     return pa.table({"hash": once.view(np.int64), "batch": pa.array(np.full(len(once), batch, np.int32)), "count": np.minimum(times, MOST).astype(np.int32)})
 
@@ -87,7 +90,7 @@ def in_runs(df: DataFrame, keys: list[str], work: Callable[[pa.Table, np.ndarray
             t = pa.Table.from_batches(held)
             yield from _out(work(t, _begins(t, keys)))
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(words.trimmed(run), schema)
 
 
 def _out(t: pa.Table | None) -> Iterator[pa.RecordBatch]:

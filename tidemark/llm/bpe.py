@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm import words
+
 #: Pre-tokens that a worker remembers at most; above that it starts anew, which changes no result.
 CACHE = 150_000
 #: Ids that are turned into bytes at once.
@@ -181,7 +183,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
                 yield _replaced(some if keep_text else some.drop_columns([text]), out, pa.array(ids, pa.binary()))
 
     fields = [f for f in df.schema if f.name != out and (keep_text or f.name != text)]
-    return df.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.BinaryType())]))
+    return df.mapInArrow(words.trimmed(run), T.StructType([*fields, T.StructField(out, T.BinaryType())]))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -197,7 +199,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
                 yield _replaced(some, out, pa.array(got, pa.binary()))
 
     fields = [f for f in df.schema if f.name != out]
-    return df.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.BinaryType())]))
+    return df.mapInArrow(words.trimmed(run), T.StructType([*fields, T.StructField(out, T.BinaryType())]))
 
 
 def unpack(ids: str = "ids") -> F.Column:

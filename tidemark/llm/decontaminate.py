@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tidemark.llm import words
+
 #: Edits allowed for each character of an item.
 RATE = 0.08
 #: Characters of items that are searched for in one pass.
@@ -163,6 +165,6 @@ def find(docs: DataFrame, bench: DataFrame, id: str = "doc_id", text: str = "tex
                 columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(ids, arrow), pa.array(distances, pa.int32()), pa.array(ends, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[id, item, "distance", "end"])
 
-        return docs.select(id, text).mapInArrow(run, schema)
+        return docs.select(id, text).mapInArrow(words.trimmed(run), schema)
 
     return reduce(DataFrame.unionAll, (one(n) for n in range(blocks)))

@@ -312,7 +312,7 @@ def profiles(df: DataFrame, id: str, text: str, shingle: int) -> DataFrame:
                 keys += [hashlib.blake2b(flat[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes), pa.int64()), pa.array(keys, pa.binary())], names=["i", "n", "key"])
 
-    return df.select(F.col(id).cast("long"), text).mapInArrow(run, "i long, n long, key binary")
+    return df.select(F.col(id).cast("long"), text).mapInArrow(words.trimmed(run), "i long, n long, key binary")
 
 
 def _dealt(member: DataFrame, percent: int) -> DataFrame:

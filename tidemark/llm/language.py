@@ -272,4 +272,4 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", label: str =
                 sure += np.where(good, np.minimum(mean.max(1), 1), 0.0).tolist()
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(found, pa.string()), pa.array(sure, pa.float64())], names=[*(f.name for f in fields), label, score])
 
-    return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{label}` string, `{score}` double")
+    return df.mapInArrow(words.trimmed(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{label}` string, `{score}` double")

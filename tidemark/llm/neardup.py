@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm import words
 from tidemark.llm.shared import components, dropped, saved
 
 SAMPLE = 16_384
@@ -91,10 +92,10 @@ def traverse(d1: np.ndarray, d2: np.ndarray, visits: int) -> np.ndarray:
     return np.take_along_axis(o1[:, a] * d2.shape[1] + o2[:, b], best, 1)
 
 
-def fit(sample: np.ndarray, words: int, cosine: float, recall: float) -> tuple[np.ndarray, np.ndarray, int]:
+def fit(sample: np.ndarray, codewords: int, cosine: float, recall: float) -> tuple[np.ndarray, np.ndarray, int]:
     """Codebooks of the two halves and the number of visits."""
     half = sample.shape[1] // 2
-    c1, c2 = codebook(sample[:, :half], words), codebook(sample[:, half:], words)
+    c1, c2 = codebook(sample[:, :half], codewords), codebook(sample[:, half:], codewords)
     rng = np.random.default_rng(23)
     noise = rng.normal(size=sample.shape)
     noise -= (noise * sample).sum(1, keepdims=True) * sample
@@ -172,7 +173,7 @@ def find(df: DataFrame, id: str = "vec_id", vector: str = "embedding", label: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(raw(batch.column(1)), pa.binary())], names=["id", "label", "vec"])
 
     rows = df.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>" if double else "array<float>").alias("v"), F.col(label).cast("string").alias("label"))
-    rows = rows.mapInArrow(prepare, "id long, label string, vec binary")
+    rows = rows.mapInArrow(words.trimmed(prepare), "id long, label string, vec binary")
     rows = rows.withColumn("vec", F.when(F.col("label").isNotNull() & F.col("id").isNotNull(), F.col("vec"))).withColumn("size", F.octet_length("vec"))
     rows = rows.withColumn("key", F.unhex(F.md5(F.concat(F.encode("label", "UTF-8"), F.lit(b"\0"), "vec"))))
     keys = saved(rows.select("id", "key", F.when(F.col("key").isNotNull(), F.col("label")).alias("label"), "size"), "vectors")
@@ -182,11 +183,11 @@ def find(df: DataFrame, id: str = "vec_id", vector: str = "embedding", label: st
         return keys.select(F.col("id").alias(id), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     good = rows.where("key IS NOT NULL")
     once = good.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vec").alias("vec"), F.first("size").alias("size"))
-    words = int(np.clip(np.ceil(np.sqrt(largest / CELL)), 1, CODEWORDS))
+    codewords = int(np.clip(np.ceil(np.sqrt(largest / CELL)), 1, CODEWORDS))
     books = {}
     for (size,) in keys.where("key IS NOT NULL").select("size").distinct().collect():  # the lengths of vectors are few
         got = good.where(F.col("size") == size).orderBy(F.xxhash64("id"), "id").limit(sample).select("vec").toArrow().column(0).to_pylist()
-        books[size] = fit(units(got, kind), words, cosine, recall)
+        books[size] = fit(units(got, kind), codewords, cosine, recall)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,7 +204,7 @@ def find(df: DataFrame, id: str = "vec_id", vector: str = "embedding", label: st
             columns = [batch.column(n) for n in ("id", "copies", "label", "size", "vec", "key")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([p[0] for p in probes], pa.int32()), pa.array(probes, pa.list_(pa.int32()))], names=["id", "copies", "label", "size", "vec", "key", "first", "probes"])
 
-    placed = saved(once.select("id", "copies", "label", "size", "vec", "key").mapInArrow(assign, "id long, copies long, label string, size int, vec binary, key binary, first int, probes array<int>"), "placed")
+    placed = saved(once.select("id", "copies", "label", "size", "vec", "key").mapInArrow(words.trimmed(assign), "id long, copies long, label string, size int, vec binary, key binary, first int, probes array<int>"), "placed")
     place = ["label", "size", "cell"]
     visits = placed.select("id", "label", "size", F.explode("probes").alias("cell"), "first")
     cells = visits.groupBy(place).agg(F.count_if(F.col("first") == F.col("cell")).alias("own"), F.count("*").alias("all"))

@@ -120,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
                 ], names=["id", "y", "at", "x"])
 
     got = labelled(docs, labels, id, text, label, rows).select(F.col(id).cast("string").alias(id), "_y", "_text")
-    got = got.mapInArrow(run, "id string, y double, at array<int>, x array<float>").toArrow().to_pydict()
+    got = got.mapInArrow(words.trimmed(run), "id string, y double, at array<int>, x array<float>").toArrow().to_pydict()
     order = np.random.default_rng(7).permutation(np.argsort(np.array(got["id"], dtype=object), kind="stable")) if got["id"] else []
     model = Ftrl()
     for _ in range(rounds):
@@ -142,4 +142,4 @@ def score(df: DataFrame, weights: np.ndarray, text: str = "text", out: str = "sc
                 got.append(sigmoid(16 * np.bincount(doc, weights[feature], len(at) - 1) / np.maximum(n, 1)))
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(np.concatenate(got))], names=[*(f.name for f in fields), out])
 
-    return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{out}` double")
+    return df.mapInArrow(words.trimmed(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{out}` double")
