@@ -78,3 +78,16 @@ def test_held_out_accuracy(spark):
     truth = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
     got = queries.op5_language_crf(spark, sf).join(truth, "doc_id").where("held_out")
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
+
+
+def test_texts_of_no_learned_language_are_known_as_such(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = L.fit(docs.where(queries.remainder(3) != 1))
+    foreign = "kaksi suomalaista lähti metsään katsomaan miten karhut nukkuvat talven yli pesässään " * 4
+    mixed = foreign + docs.where("lang = 'en'").orderBy("doc_id").first().text
+    rows = [(1, foreign), (2, mixed), (3, "kaksi suomalaista"), (4, None), (5, "12 !!"), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.good for r in L.predict(df, model, known="good").collect()}
+    assert got == {1: False, 2: True, 3: True, 4: False, 5: False, 6: False}
+    assert L.predict(docs.where("text IS NOT NULL"), model, known="good").where("NOT good AND lang_pred != 'und'").count() == 0
+    assert [r.good for r in L.predict(df, None, known="good").collect()] == [False] * 6

@@ -18,7 +18,7 @@ _SPEC.loader.exec_module(P)
 def test_stages_equal_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = language.fit(docs.where(queries.remainder(3) != 1))
-    kept = {r.doc_id: r.text for r in language.predict(docs, model).where("lang_pred != 'und' AND score >= 0.3").collect()}
+    kept = {r.doc_id: r.text for r in language.predict(docs, model, known="good").where("lang_pred != 'und' AND score >= 0.3 AND good").collect()}
     cut = without_repeats(sorted(kept.items()))
     cut = {i: t for i, t in cut.items() if t == kept[i] or t.strip()}
     one = {i: cut[i] for i, _, c in similar(sorted(cut.items())) if i == c}
@@ -67,3 +67,11 @@ def test_near_copies_by_five_words_go(spark, sf):
     rows = [(i, " ".join(w), "en", "s", len(" ".join(w))) for i, w in ((1, words), (2, near), (3, far))]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in P.join_similar(spark, docs, sf).collect()) == [1, 3]
+
+
+def test_texts_of_no_learned_language_go(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    foreign = "kaksi suomalaista lähti metsään katsomaan miten karhut nukkuvat talven yli pesässään " * 4
+    more = spark.createDataFrame([(-1, foreign, None, "s", len(foreign))], docs.schema)
+    left = {r.doc_id for r in P.identify_language(spark, docs.unionByName(more), sf).select("doc_id").collect()}
+    assert -1 not in left and len(left) >= 0.95 * docs.count()

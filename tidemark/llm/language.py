@@ -29,6 +29,8 @@ LONG, PIECES, PIECE = 16_000, 8, 2_000
 BITS, LEXICON_BITS, WIDE = 17, 16, 64
 #: Times that a word occurs in the training texts to enter the lexicon.
 FREQUENT = 4
+#: A text of this many words or more is in no learned language if the lexicon has less than that part of the usual share of its words.
+MANY, STRANGE = 20, 0.1
 #: Words whose emissions are held at once.
 WORDS = 1 << 19
 
@@ -44,6 +46,7 @@ class Model:
     lexicon: np.ndarray  # (slots, labels)
     start: np.ndarray
     moves: np.ndarray
+    usual: float = 0.0  # the share of the training texts' words that the lexicon has
 
 
 def cut(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -80,6 +83,11 @@ def lexicon_slots(model: Model, word: np.ndarray) -> np.ndarray:
     return (word >> np.uint64(65 - len(model.tags).bit_length())).astype(np.int64)
 
 
+def in_lexicon(model: Model, word: np.ndarray) -> np.ndarray:
+    """Whether the lexicon has each word, given by its hash."""
+    return model.tags[lexicon_slots(model, word)] == word
+
+
 def emissions(model: Model, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A score of each word for each label; equal words are scored once."""
     if not len(begin):
@@ -154,6 +162,7 @@ def train(texts: list[str], langs: list[str], rounds: int = 6, batch: int = 64,
     once, times = np.unique(word, return_counts=True)
     kept = once[np.argsort(times, kind="stable")][np.sort(times) >= FREQUENT]
     model.tags[lexicon_slots(model, kept)] = kept  # of words that meet in a slot, the most frequent
+    model.usual = float(in_lexicon(model, word).mean()) if len(word) else 0.0
     size, first = words.place(text, len(texts))
     truth = np.array([names.index(x) for x in langs])
     sums = [np.full_like(x, 1e-2) for x in (model.grams, model.lexicon, model.start, model.moves)]
@@ -242,26 +251,32 @@ def label_words(model: Model, text: str) -> list[tuple[str, str, float]]:
 
 def _letters(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Whether each text has a letter; only texts without an ASCII letter are decoded."""
-    ascii_letter = np.concatenate([[0], np.cumsum(_LETTER[data] & (data < 128))])
-    high = np.concatenate([[0], np.cumsum(data >= 128)])
+    ascii_letter = np.concatenate([[0], np.cumsum(_LETTER[data] & (data < 128), dtype=np.int32)])
+    high = np.concatenate([[0], np.cumsum(data >= 128, dtype=np.int32)])
     out = ascii_letter[at[1:]] > ascii_letter[at[:-1]]
     for k in np.flatnonzero(~out & (high[at[1:]] > high[at[:-1]])):
         out[k] = any(c.isalpha() for c in data[at[k] : at[k + 1]].tobytes().decode(errors="replace"))
     return out
 
 
-def predict(df: DataFrame, model: Model | None, text: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:
-    """df with the predicted label and its score; columns of these names are replaced."""
-    fields = [f for f in df.schema if f.name not in (label, score)]
+def predict(df: DataFrame, model: Model | None, text: str = "text", label: str = "lang_pred", score: str = "score", known: str | None = None) -> DataFrame:
+    """df with the predicted label and its score; columns of these names are replaced.
+
+    With `known`, that column says of each text whether its words are those of a learned language: not so if it has MANY
+    words or more and the lexicon has less than STRANGE of the share of them that it has in the training texts.
+    """
+    added = [label, score, *([known] if known else [])]
+    fields = [f for f in df.schema if f.name not in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, sure = [], []
+            found, sure, like = [], [], []
             for _, data, at in words.parts(batch.column(text)):
                 count = len(at) - 1
                 if model is None:
                     found += ["und"] * count
                     sure += [0.0] * count
+                    like += [False] * count
                     continue
                 low, begin, end, doc = cut(data, at)
                 n, first = words.place(doc, count)
@@ -270,6 +285,11 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", label: str =
                 good = _letters(data, at) & (n > 0)
                 found += [model.labels[k] if g else "und" for k, g in zip(mean.argmax(1), good, strict=True)]
                 sure += np.where(good, np.minimum(mean.max(1), 1), 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(found, pa.string()), pa.array(sure, pa.float64())], names=[*(f.name for f in fields), label, score])
-
-    return df.mapInArrow(words.trimmed(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{label}` string, `{score}` double")
+                if known:
+                    have = np.bincount(doc, in_lexicon(model, words.hashes(low, begin, end)), count)
+                    like += (good & ((n < MANY) | (have >= STRANGE * model.usual * n))).tolist()
+            columns = [pa.array(found, pa.string()), pa.array(sure, pa.float64()), *([pa.array(like, pa.bool_())] if known else [])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), *columns], names=[*(f.name for f in fields), *added])
+
+    types = [f"`{n}` {t}" for n, t in zip(added, ("string", "double", "boolean"), strict=False)]
+    return df.mapInArrow(words.trimmed(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *types]))
