@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm import words
 
-#: Pre-tokens that a worker remembers at most; above that it starts anew, which changes no result.
+#: Pre-tokens that a task remembers at most; above that it starts anew, which changes no result.
 CACHE = 150_000
 #: Ids that are turned into bytes at once.
 SLICE = 1 << 18
@@ -181,6 +181,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
                 some = batch.slice(part.start, part.stop - part.start)
                 ids = [i.astype("<u4").tobytes() for i in codec.encode_many(some.column(text).to_pylist())]
                 yield _replaced(some if keep_text else some.drop_columns([text]), out, pa.array(ids, pa.binary()))
+        codec.forget()
 
     fields = [f for f in df.schema if f.name != out and (keep_text or f.name != text)]
     return df.mapInArrow(words.trimmed(run), T.StructType([*fields, T.StructField(out, T.BinaryType())]))
