@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import decontaminate, jaccard, language, lines, queries
 from tidemark.llm.shared import dropped, saved
 
-#: A text whose best language is less likely than this has none that was learned.
+#: A text whose best language is less likely than this has none that was learned, nor has one of many words that hardly any learned text has.
 LEAST_SCORE = 0.3
 #: Words of a shingle, and the percentage of shared ones from which texts are copies.
 SHINGLE, SIMILAR = 5, 80
@@ -21,8 +21,8 @@ SHINGLE, SIMILAR = 5, 80
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that have words in a language learned from the labelled ones."""
     model = language.fit(docs.where(queries.remainder(3) != 1))
-    found = language.predict(docs, model, label="_lang", score="_score")
-    return found.where((F.col("_lang") != "und") & (F.col("_score") >= LEAST_SCORE)).select(docs.columns)
+    found = language.predict(docs, model, label="_lang", score="_score", known="_known")
+    return found.where((F.col("_lang") != "und") & (F.col("_score") >= LEAST_SCORE) & F.col("_known")).select(docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
