@@ -37,6 +37,9 @@ def test_ids_equal_the_public_library_and_decode_to_the_text(spark, known):
         text = TEXTS[row.doc_id] or ""
         assert row.n == known.encode_ordinary(text)
         assert bytes(row.decoded) == text.encode()
+    at_once = bpe.encode(df, PATH, public_tokenizers.PATTERN, decoded="decoded")
+    assert at_once.columns == ["doc_id", "ids", "decoded"]
+    assert sorted(at_once.collect()) == sorted(done.collect())
 
 
 def test_digests(spark, sf, known):

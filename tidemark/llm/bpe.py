@@ -167,10 +167,11 @@ def _replaced(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), values], names=[*keep, name])
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", keep_text: bool = False) -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", keep_text: bool = False, decoded: str | None = None) -> DataFrame:
     """df with the ids of `text` as packed little-endian unsigned 32-bit integers in the binary column `out`.
 
-    `unpack` makes an array of them. The text column is dropped unless keep_text is set.
+    `unpack` makes an array of them. The text column is dropped unless keep_text is set. With `decoded`, that binary
+    column has the bytes that the ids stand for, as `decode` would give them, without a second pass of workers.
     """
     name = share(df.sparkSession, path)
 
@@ -180,11 +181,15 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
             for part in groups(batch.column(text)):
                 some = batch.slice(part.start, part.stop - part.start)
                 ids = [i.astype("<u4").tobytes() for i in codec.encode_many(some.column(text).to_pylist())]
-                yield _replaced(some if keep_text else some.drop_columns([text]), out, pa.array(ids, pa.binary()))
+                done = _replaced(some if keep_text else some.drop_columns([text]), out, pa.array(ids, pa.binary()))
+                if decoded:
+                    done = _replaced(done, decoded, pa.array([codec.decode(np.frombuffer(x, "<u4")) for x in ids], pa.binary()))
+                yield done
         codec.forget()
 
-    fields = [f for f in df.schema if f.name != out and (keep_text or f.name != text)]
-    return df.mapInArrow(words.trimmed(run), T.StructType([*fields, T.StructField(out, T.BinaryType())]))
+    added = [out, *([decoded] if decoded else [])]
+    fields = [f for f in df.schema if f.name not in added and (keep_text or f.name != text)]
+    return df.mapInArrow(words.trimmed(run), T.StructType([*fields, *(T.StructField(n, T.BinaryType()) for n in added)]))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

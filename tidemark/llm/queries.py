@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def token_digests(docs: DataFrame) -> DataFrame:
     path, pattern = str(public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN
-    done = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path, pattern), path, pattern)
+    done = bpe.encode(docs.select("doc_id", "text"), path, pattern, decoded="decoded")
     return done.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
