@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, jaccard, language, licenses, lines, neardup, pii, quality, substrings
+from tidemark.llm import bpe, decontaminate, fingerprints, jaccard, language, licenses, lines, neardup, pii, quality, substrings
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -135,6 +135,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of each document and of its edited text, and how alike they and the next document's are."""
+    return fingerprints.compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_neardup": op1_embedding_neardup,
     "op2_suffix_array": op2_suffix_array,
@@ -146,6 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_pii": op9_pii,
     "op10_decontamination": op10_decontamination,
+    "op13_imatch": op13_imatch,
 }
 
 #: Links by brute force; components by following them.

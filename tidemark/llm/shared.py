@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -61,6 +62,36 @@ def spread(rows: DataFrame, found: DataFrame, keys: list[str], total: int, by: l
     return dealt.drop("_shares").join(copies, [*keys, "_share"]).drop("_share")
 
 
+#: Ranges that rows are dealt out to at most, rows looked at for each, and bounds that are compared at a time.
+RANGES, LOOKS, STEP = 16_384, 20, 128
+
+
+def ranges(df: DataFrame, by: list[str], count: int) -> Column:
+    """The index, from 0, of the range of `by` (bigint columns, nulls first) that a row falls in: about `count` ranges of about as many rows.
+
+    The bounds come from LOOKS sampled rows for each range, so what the driver gets has a bound.
+    """
+    count = min(count, RANGES)
+    n = df.count() if count > 1 else 0
+    if n < 2:
+        return F.lit(0)
+    seen = df.select(*(F.col(c).cast("long") for c in by)).sample(min(1.0, LOOKS * count / n), seed=7).collect()
+    low = lambda row: [(v is not None, v or 0) for v in row]
+    seen = sorted((tuple(r) for r in seen), key=low)
+    step = max(1, len(seen) // count)
+    bounds = sorted(set(seen[step::step]), key=low)
+    if not bounds:
+        return F.lit(0)
+    kind = f"struct<{','.join(f'c{k}:bigint' for k in range(len(by)))}>"
+    fixed = lambda rows, kind: F.from_json(F.lit(json.dumps(rows)), kind)
+    named = [{f"c{k}": v for k, v in enumerate(b)} for b in bounds]
+    groups = [named[k : k + STEP] for k in range(0, len(named), STEP)]
+    key = F.struct(*(F.col(c).cast("long").alias(f"c{k}") for k, c in enumerate(by)))
+    below = lambda array: F.size(F.filter(array, lambda b: b <= key))
+    group = F.greatest(below(fixed([g[0] for g in groups], f"array<{kind}>")) - 1, F.lit(0))
+    return group * STEP + below(F.get(fixed(groups, f"array<array<{kind}>>"), group))
+
+
 def _with_least(edges: DataFrame, total: int) -> DataFrame:
     """(a, b, m): each edge with the smallest neighbour of a, a itself included."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
