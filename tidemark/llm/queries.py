@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, fingerprints, jaccard, language, licenses, lines, neardup, pii, quality, substrings
+from tidemark.llm import bpe, decontaminate, fingerprints, jaccard, language, licenses, lines, neardup, pii, quality, substrings, tries
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -135,6 +135,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of conversations that begin like every fifth one."""
+    return tries.trie(tries.branched(tries.numbered(table(spark, sf_dir, "conversations"))))
+
+
 def op13_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fingerprint of each document and of its edited text, and how alike they and the next document's are."""
     return fingerprints.compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -151,6 +156,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_pii": op9_pii,
     "op10_decontamination": op10_decontamination,
+    "op11_conversation_trie": op11_conversation_trie,
     "op13_imatch": op13_imatch,
 }
 
@@ -241,6 +247,26 @@ SELECT doc_id, count(name) AS n_licenses, coalesce(string_agg(name, ',' ORDER BY
 FROM documents LEFT JOIN first ON first.i = doc_id LEFT JOIN template ON template.k = first.t GROUP BY doc_id
 """
 
+#: Paths as lists of digests of turns. DuckDB has no crc32, so the table's polynomial is worked out bit by bit over the decimal digits.
+TRIE_SQL = """
+WITH RECURSIVE
+t AS (SELECT conv_id AS c, CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '') AS m, strlen(coalesce(text, '')) AS b, turn FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list({'m': md5(m), 'b': b} ORDER BY turn NULLS FIRST, md5(m)) AS p FROM t GROUP BY c),
+crc AS (SELECT c, 0 AS k, CAST(4294967295 AS BIGINT) AS v FROM own
+  UNION ALL SELECT c, k + 1, CASE WHEN u % 2 = 1 THEN xor(u // 2, 3988292384) ELSE u // 2 END FROM
+    (SELECT c, k, CASE WHEN k % 8 = 0 THEN xor(v, CAST(ascii(CAST(c AS VARCHAR)[k // 8 + 1]) AS BIGINT)) ELSE v END AS u FROM crc WHERE k < 8 * length(CAST(c AS VARCHAR)))),
+h AS (SELECT c, xor(v, CAST(4294967295 AS BIGINT)) % 9 AS h FROM crc WHERE k = 8 * length(CAST(c AS VARCHAR))),
+path AS (SELECT own.c, coalesce(base.p[1:h], []) || own.p[h + 1:] AS p FROM own JOIN h ON h.c = own.c LEFT JOIN own base ON base.c = own.c - own.c % 5),
+step AS (SELECT c, d, p, len(p) AS n, array_to_string([x.m FOR x IN p[1:d]], '') AS node, array_to_string([x.m FOR x IN p[1:d - 1]], '') AS up FROM (SELECT c, p, unnest(range(len(p) + 1)) AS d FROM path)),
+node AS (SELECT d, node, any_value(up) AS up, min(c) AS c, count(*) AS n, max(n) AS deep, (count(*) - 1) * (CASE WHEN d = 0 THEN 0 ELSE any_value(p[d].b) END) AS s, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d) AS ends FROM step GROUP BY d, node),
+above AS (SELECT node[1:32 * k] AS node, s, deep = d AS leaf FROM (SELECT *, unnest(range(d + 1)) AS k FROM node)),
+total AS (SELECT node, sum(s) AS s, count(*) FILTER (WHERE leaf) AS leaves FROM above GROUP BY node),
+child AS (SELECT up, count(*) AS n FROM node WHERE d > 0 GROUP BY up)
+SELECT node.c AS conv_id, node.d AS depth, CASE WHEN node.d > 0 THEN parent.c END AS parent_conv_id, node.n AS n_convs, coalesce(child.n, 0) AS n_children, leaves AS n_leaves, CAST(total.s AS BIGINT) AS saved_tokens, sha256(coalesce(node.ends, '')) AS ends_sha256
+FROM node JOIN total ON total.node = node.node LEFT JOIN child ON child.up = node.node LEFT JOIN node parent ON parent.node = node.up AND parent.d = node.d - 1
+"""
+
 ORACLES: dict[str, str] = {
     "op1_embedding_neardup": VECTOR_SQL, "op2_suffix_array": SUBSTRING_SQL, "op3_line_dedup": LINE_SQL, "op6_license_scan": LICENSE_SQL, "op8_ngram_jaccard": JACCARD_SQL, "op9_pii": PII_SQL,
+    "op11_conversation_trie": TRIE_SQL,
 }
