@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, fingerprints, jaccard, language, licenses, lines, neardup, pii, quality, substrings, tries
+from tidemark.llm import alignment, bpe, decontaminate, fingerprints, jaccard, language, licenses, lines, neardup, pii, quality, substrings, tries
+from tidemark.llm.shared import saved
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -140,6 +141,15 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.trie(tries.branched(tries.numbered(table(spark, sf_dir, "conversations"))))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens of two public tokenizers in each document, with the corpus-wide counts of linked ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    a, b = (str(public_tokenizers.path(name)) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    counts = ["n_a", "n_b", "n_groups", "n_links"]
+    aligned = alignment.align(docs, a, b, public_tokenizers.PATTERN).select("doc_id", *counts, F.coalesce(F.sha2("groups", 256), F.lit("")).alias("groups_sha256"), "pairs")
+    return alignment.scored(saved(aligned, "aligned"), ["doc_id", *counts, "groups_sha256"])
+
+
 def op13_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fingerprint of each document and of its edited text, and how alike they and the next document's are."""
     return fingerprints.compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -157,6 +167,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_decontamination": op10_decontamination,
     "op11_conversation_trie": op11_conversation_trie,
+    "op12_token_alignment": op12_token_alignment,
     "op13_imatch": op13_imatch,
 }
 
