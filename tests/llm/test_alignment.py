@@ -87,7 +87,7 @@ def run(spark, docs):
     return sorted((tuple(r) for r in alignment.scored(done, ["doc_id", *counts, "groups"]).collect()), key=str)
 
 
-@pytest.mark.parametrize("batch, broadcast", [(16 << 20, 4_000_000), (2000, 0)])
+@pytest.mark.parametrize("batch, broadcast", [(32 << 20, 4_000_000), (2000, 0)])
 def test_equal_to_the_public_libraries_and_brute_force(spark, monkeypatch, both, batch, broadcast):
     monkeypatch.setattr(alignment, "BATCH", batch)
     monkeypatch.setattr(alignment, "BROADCAST", broadcast)

@@ -2,7 +2,7 @@
 
 A text is cut where a space follows a character that is neither white space nor control. Both tokenizers end a
 token at every such place, and neither looks across it (`Pieces` checks that of its vocabulary), so a part
-gets the same tokens wherever it stands. Texts go to batches of BATCH bytes, and each distinct part of a batch is tokenized and aligned once:
+gets the same tokens wherever it stands. Each distinct part of a batch of about BATCH characters, which never leaves its task, is tokenized and aligned once:
 
 - tokens are exploded with their places, and a window sums their lengths to the byte at which each ends;
 - both tokenizers' tokens meet by an equi-join on part and end, written as one group-by of both lists;
@@ -10,8 +10,8 @@ gets the same tokens wherever it stands. Texts go to batches of BATCH bytes, and
 - the same window gives, for each end, the token of either side that covers the bytes up to it. Two tokens overlap
   just where both cover such a stretch, so a group's links are its ends: a range join without a join.
 
-Then the parts' results go back to the places they came from, and each document is put together in order. The texts are
-shuffled once, to their batches; everything up to the document's row stays in the task of the batch.
+Then the parts' results go back to the places they came from, and each document is put together in order. Distinct parts' tokens and
+places are shuffled once, by batch; texts never are, and all windows and groups up to the document's row stay in the task of the batch.
 
 Counts of linked id pairs are those of documents that hold them; they are broadcast after their number is checked, beyond BROADCAST joined
 by a shuffle.
@@ -23,18 +23,19 @@ tokens. Repeated rows each have their own row and count as documents of their ow
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, words
 from tidemark.llm.shared import saved
 
-#: Bytes of text in a batch, on average, and entries that are broadcast at most.
-BATCH, BROADCAST = 16 << 20, 4_000_000
+#: Characters of a batch's texts from which the next one begins, and entries that are broadcast at most.
+BATCH, BROADCAST = 32 << 20, 4_000_000
 #: Bits of the packed length and id of a token.
 BITS, MASK = 31, (1 << 31) - 1
 #: Between these characters a text is cut; all that comes before is neither white space nor control.
@@ -106,37 +107,93 @@ def _spelled(tokenizer: Bytes | Pieces, parts: list[str], data: np.ndarray, at:
     return ids << BITS | size, n, right
 
 
-def tokens(a: str, b: str, pattern: str):
-    """A UDF that gives the packed (side, id, length) of a part's tokens, A's first; null for a part that either doesn't spell."""
+def cut(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """(parts of all texts, each after a space; number of parts of each text)."""
+    import regex
+
+    found = [regex.split(CUT, " " + t, flags=regex.V0) for t in texts]
+    return [p for x in found for p in x], np.array([len(x) for x in found], np.int64)
+
+
+class Batch:
+    """The distinct parts of some documents, and where they stand."""
+
+    def __init__(self):
+        self.index: dict[str, int] = {}
+        self.part, self.row, self.place = [], [], []
+        self.rows, self.size = 0, 0
+
+    def add(self, texts: list[str]) -> None:
+        found, n = cut(texts)
+        for p in found:
+            self.index.setdefault(p, len(self.index))
+        self.part.append(np.fromiter(map(self.index.__getitem__, found), np.int32, len(found)))
+        self.row.append(np.repeat(np.arange(self.rows, self.rows + len(texts), dtype=np.int32), n))
+        self.place.append((np.arange(len(found)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32))
+        self.rows += len(texts)
+
+    def tables(self, one: Bytes, two: Pieces, most: int = 20_000) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
+        """(packed tokens of both sides, rows, places) of all parts, `most` at a time; null tokens where either side doesn't spell a part."""
+        part, row, place = map(np.concatenate, (self.part, self.row, self.place))
+        order = np.argsort(part, kind="stable")
+        row, place, at = row[order], place[order], np.append(0, np.cumsum(np.bincount(part, minlength=len(self.index))))
+        names = list(self.index)
+        for k in range(0, len(names), most):
+            some = pa.array(names[k : k + most], pa.large_string())
+            begin = at[k : k + len(some) + 1]
+            offsets, low, high = pa.array((begin - begin[0]).astype(np.int32)), begin[0], begin[-1]
+            listed = [pa.ListArray.from_arrays(offsets, pa.array(x[low:high])) for x in (row, place)]
+            yield packed(some, one, two), *listed
+            one.codec.forget()
+
+
+def packed(parts: pa.Array, one: Bytes, two: Pieces) -> pa.Array:
+    """The packed (side, id, length) of each part's tokens, A's first; null for a part that either side doesn't spell."""
+    data, at = words.utf8(parts)
+    texts = parts.to_pylist()
+    x, n, ok = _spelled(one, texts, data, at)
+    y, m, also = _spelled(two, texts, data, at)
+    both = np.empty(len(x) + len(y), np.int64)
+    begin = np.cumsum(n + m) - n - m
+    both[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(len(x))] = x
+    both[np.repeat(begin + n - (np.cumsum(m) - m), m) + np.arange(len(y))] = y | 1 << 2 * BITS
+    return pa.ListArray.from_arrays(pa.array(np.append(begin, len(both)).astype(np.int32)), pa.array(both), mask=pa.array(~(ok & also)))
+
+
+def tokenized(docs: DataFrame, a: str, b: str, pattern: str) -> DataFrame:
+    """(batch, ids, tokens, rows, places): each distinct part of a batch of documents (id, text) with its tokens and where it stands.
+
+    Besides, each batch has one row with the ids of its documents, at place -1 of each.
+    """
 
-    def run(parts: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = _loaded(a, b, pattern)
-        out = []
-        for piece in bpe.groups(parts):
-            some = parts.slice(piece.start, piece.stop - piece.start)
-            data, at = words.utf8(some)
-            texts = some.to_pylist()
-            x, n, ok = _spelled(one, texts, data, at)
-            y, m, also = _spelled(two, texts, data, at)
-            both = np.empty(len(x) + len(y), np.int64)
-            begin = np.cumsum(n + m) - n - m
-            both[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(len(x))] = x
-            both[np.repeat(begin + n - (np.cumsum(m) - m), m) + np.arange(len(y))] = y | 1 << 2 * BITS
-            offsets = np.append(begin, len(both)).astype(np.int32)
-            out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(both), mask=pa.array(~(ok & also))))
-        one.codec.forget()
-        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int64()))
-
-    def typed(parts):  # the annotations of a nested function are read as text here
-        return run(parts)
-
-    typed.__annotations__ = {"parts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(typed, "array<bigint>")
-
-
-def parts(text: Column) -> Column:
-    """The parts of a text after a space."""
-    return F.split(F.concat(F.lit(" "), text), CUT, -1)
+        number = TaskContext.get().partitionId() << 32
+        held, ids = Batch(), []
+
+        def out():
+            rows = range(len(ids))
+            yield pa.RecordBatch.from_pylist([{"batch": number, "ids": ids, "tokens": None, "rows": list(rows), "places": [-1] * len(rows)}], schema)
+            for tokens, rows, places in held.tables(one, two):
+                some = len(tokens)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(some, number)), pa.nulls(some, schema.field("ids").type), tokens, rows, places], schema=schema)
+
+        for batch in batches:
+            for piece in bpe.groups(batch.column("text")):
+                some = batch.slice(piece.start, piece.stop - piece.start)
+                texts = some.column("text").to_pylist()
+                held.add(texts)
+                ids += some.column("id").to_pylist()
+                held.size += sum(map(len, texts))
+                if held.size >= BATCH:
+                    yield from out()
+                    number, held, ids = number + 1, Batch(), []
+        if ids:
+            yield from out()
+
+    longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+    schema = pa.schema([("batch", pa.int64()), ("ids", longs), ("tokens", longs), ("rows", ints), ("places", ints)])
+    return docs.select("id", "text").mapInArrow(words.trimmed(run), "batch long, ids array<long>, tokens array<long>, rows array<int>, places array<int>")
 
 
 def _written(ends: Column) -> Column:
@@ -148,31 +205,31 @@ def _written(ends: Column) -> Column:
     return joined[0]
 
 
-def _parts(docs: DataFrame, split, id: str, text: str, size: int) -> DataFrame:
-    """(batch, row, id, place, part's results) of each part of each text."""
-    row = F.monotonically_increasing_id()
-    dealt = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).where("text != ''").withColumn("row", row)
-    dealt = dealt.withColumn("batch", F.pmod(F.xxhash64("row"), F.lit(max(1, -(-size // BATCH))))).repartition("batch")
-    placed = dealt.select("batch", F.struct("row", "id").alias("doc"), F.posexplode(parts(F.col("text"))).alias("place", "part"))
-    once = placed.groupBy("batch", "part").agg(F.collect_list(F.struct("doc", "place")).alias("places"))
-    once = once.select("batch", F.monotonically_increasing_id().alias("u"), "places", split("part").alias("tokens"))
+def _aligned(parts: DataFrame) -> DataFrame:
+    """(batch, row, place, part's results) of each part at each of its places; parts: as `tokenized` has them."""
+    dealt = parts.repartition("batch").withColumn("u", F.monotonically_increasing_id())
     # a row for the places, then one for each token; only the first has them
-    each = F.concat(F.array(F.lit(-1).cast("long")), F.coalesce("tokens", F.lit([]).cast("array<bigint>")))
-    flat = once.select("batch", "u", F.posexplode(each).alias("k", "x"), "places").withColumn("places", F.when(F.col("k") == 0, F.col("places")))
-    flat = flat.select("batch", "u", "k", "places", F.shiftright("x", 2 * BITS).alias("side"), F.shiftright("x", BITS).bitwiseAND(MASK).alias("id"), F.when(F.col("k") > 0, F.col("x").bitwiseAND(MASK)).otherwise(0).alias("n"))
+    about = F.struct("ids", "rows", "places")
+    flat = dealt.select("batch", "u", F.posexplode(F.concat(F.array(F.lit(-1).cast("long")), F.coalesce("tokens", F.lit([]).cast("array<bigint>")))).alias("k", "x"), about.alias("about"))
+    flat = flat.select(
+        "batch", "u", "k", F.when(F.col("k") == 0, F.col("about")).alias("about"), F.shiftright("x", 2 * BITS).alias("side"),
+        F.shiftright("x", BITS).bitwiseAND(MASK).alias("id"), F.when(F.col("k") > 0, F.col("x").bitwiseAND(MASK)).otherwise(0).alias("n"),
+    )
     flat = flat.withColumn("end", F.sum("n").over(Window.partitionBy("batch", "u", "side").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)))
     pick = lambda s: F.max(F.when(F.col("side") == s, F.col("id"))).alias("ab"[s])
-    ends = flat.groupBy("batch", "u", "end").agg(pick(0), pick(1), F.first("places", ignorenulls=True).alias("places"))
+    ends = flat.groupBy("batch", "u", "end").agg(pick(0), pick(1), F.first("about", ignorenulls=True).alias("about"))
     back = Window.partitionBy("batch", "u").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
-    cut = F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).over(back)
+    common = F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).over(back)
     cover = F.last("a", ignorenulls=True).over(back) * (1 << BITS) + F.last("b", ignorenulls=True).over(back)
-    ends = ends.withColumns({"g": -cut, "link": F.when(F.col("end") > 0, cover)})
+    ends = ends.withColumns({"g": -common, "link": F.when(F.col("end") > 0, cover)})
     done = ends.groupBy("batch", "u").agg(
-        F.first("places", ignorenulls=True).alias("places"), F.count("a").alias("n_a"), F.count("b").alias("n_b"), (-F.min("g")).alias("n_groups"),
+        F.first("about", ignorenulls=True).alias("about"), F.count("a").alias("n_a"), F.count("b").alias("n_b"), (-F.min("g")).alias("n_groups"),
         F.collect_list("link").alias("links"), F.collect_list(F.when(F.col("end") > 0, F.struct("g", "end", "a", "b"))).alias("ends"),
     )
-    done = done.select("batch", "places", "n_a", "n_b", "n_groups", "links", _written(F.col("ends")).alias("groups"))
-    return done.select("batch", F.explode("places").alias("at"), "n_a", "n_b", "n_groups", "links", "groups").select("batch", "at.doc.row", "at.doc.id", "at.place", "n_a", "n_b", "n_groups", "links", "groups")
+    at = F.arrays_zip("about.rows", "about.places", F.coalesce("about.ids", F.lit([]).cast("array<bigint>")).alias("ids"))
+    done = done.select("batch", at.alias("at"), "n_a", "n_b", "n_groups", "links", _written(F.col("ends")).alias("groups"))
+    done = done.select("batch", F.explode("at").alias("at"), "n_a", "n_b", "n_groups", "links", "groups")
+    return done.select("batch", F.col("at.rows").alias("row"), F.col("at.places").alias("place"), F.col("at.ids").alias("id"), "n_a", "n_b", "n_groups", "links", "groups")
 
 
 def align(docs: DataFrame, a: str, b: str, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -182,11 +239,12 @@ def align(docs: DataFrame, a: str, b: str, pattern: str, id: str = "doc_id", tex
     as `a1,a2|b1;a3|b2,b3`; pairs: array of (pair, n), the id pairs (A's above B's 31 bits) that are linked with how often they are.
     """
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
-    found = _parts(docs, tokens(bpe.share(spark, a), bpe.share(spark, b), pattern), id, text, size)
+    keyed = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("text != ''")
+    found = _aligned(tokenized(keyed, bpe.share(spark, a), bpe.share(spark, b), pattern))
+    here = F.col("place") >= 0
     whole = found.groupBy("batch", "row").agg(
-        F.first("id").alias("id"), *(F.sum(n).alias(n) for n in ("n_a", "n_b", "n_groups")), (F.min("n_a") > 0).alias("valid"),
-        F.collect_list(F.struct("place", "groups")).alias("groups"), F.array_sort(F.flatten(F.collect_list("links"))).alias("links"),
+        F.max("id").alias("id"), *(F.sum(n).alias(n) for n in ("n_a", "n_b", "n_groups")), (F.min(F.when(here, F.col("n_a"))) > 0).alias("valid"),
+        F.collect_list(F.when(here, F.struct("place", "groups"))).alias("groups"), F.array_sort(F.flatten(F.collect_list("links"))).alias("links"),
     )
     none = F.lit([]).cast("array<struct<pair:bigint,n:int>>")
     first = F.filter(F.sequence(F.lit(0), F.size("links") - 1), lambda k: (k == 0) | (F.get("links", k) != F.get("links", k - 1)))
