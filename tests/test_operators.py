@@ -204,6 +204,23 @@ def test_priors_fall_back_level_by_level(spark):
     assert [tuple(r) for r in df.select(rate, source).collect()] == [(0.25, 1), (0.2, 2), (0.2, 3), (0.4, 4), (0.4, 4)]
 
 
+def test_clustering_of_any_directed_graph(spark):
+    import random
+
+    rng = random.Random(1)
+    for loops in (0, 4):
+        edges = {(rng.randrange(14), rng.randrange(14)) for _ in range(70)}
+        edges = {(a, b) for a, b in edges if a != b} | {(k, k) for k in range(loops)} | {(0, k) for k in range(14) if k}
+        near = {}
+        for a, b in edges:
+            near.setdefault(a, set()).add(b)
+        want = {a: (len(x) * (len(x) - 1), sum((b, c) in edges for b in x for c in x if b != c)) for a, x in near.items()}
+        df = spark.createDataFrame([*edges, *list(edges)[:5]], "src long, dst long")
+        assert {r.node: (r.pairs, r.connected) for r in graph.clustering(df).collect()} == want
+        some = graph.two_hops(spark.createDataFrame(list(edges), "src long, dst long"), F.col("src") % 5 == 0).collect()
+        assert sorted(map(tuple, some)) == sorted((a, b, d) for a, b in edges for c, d in edges if b == c and a != d and a % 5 == 0)
+
+
 def test_keyed_running_totals_and_ranks(spark):
     from pyspark.sql import Window
 

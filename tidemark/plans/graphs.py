@@ -6,27 +6,28 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import graph, shrink
 from tidemark.operators import windows as W
-from tidemark.plans.registry import ORACLES, query, r
+from tidemark.plans.registry import query, r
 
-#: Edges that a node keeps in the queries without _all; it bounds the paths of two hops.
+#: Edges that a node keeps if a caller asks for a bound, as edges(t, MOST); the queries see every edge.
 MOST = 10
+#: Two hops are looked at from the nodes whose id this divides, over the edges of all nodes.
+EVERY = 100
 #: The weight of the overall rate for nodes of fewer than 6 rows, fewer than 50, and more.
 FEW, SOME, WEIGHTS = 6, 50, (15.0, 5.0, 2.0)
 
 EDGES = """
 d AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
-pairs AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*) AS n FROM d a JOIN d b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey GROUP BY 1, 2),
-e AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) <= 10)
+e AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*) AS n FROM d a JOIN d b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey GROUP BY 1, 2)
 """
 BOUNDARY = """
 ends AS (SELECT e.*, a.p_type AS st, a.p_brand AS sb, a.p_size AS ss, b.p_type AS dt, b.p_brand AS db, b.p_size AS ds,
   CASE WHEN a.p_type = b.p_type AND a.p_brand = b.p_brand THEN 1 WHEN a.p_type = b.p_type THEN 2 WHEN a.p_brand = b.p_brand THEN 3 ELSE 4 END AS boundary
   FROM e JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst)
 """
-TWO = "two AS (SELECT x.src, x.dst AS via, y.dst FROM e x JOIN e y ON y.src = x.dst WHERE x.src <> y.dst)"
+TWO = "two AS (SELECT x.src, x.dst AS via, y.dst FROM e x JOIN e y ON y.src = x.dst WHERE x.src <> y.dst AND x.src % 100 = 0)"
 
 
-def edges(t, most=MOST):
+def edges(t, most=None):
     """(src, dst, n): all edges, or the `most` heaviest of each node."""
     d = t("lineitem").select("l_orderkey", "l_partkey").distinct()
     pairs = d.withColumnRenamed("l_partkey", "src").join(d.withColumnRenamed("l_partkey", "dst"), "l_orderkey").where("src != dst")
@@ -34,29 +35,40 @@ def edges(t, most=MOST):
     return found if most is None else graph.top_edges(found, most)
 
 
-def with_ends(t, most=MOST):
+def sources(node):
+    return node % EVERY == 0
+
+
+def boundary(type, brand, other_type, other_brand):
+    """How far apart two parts are: 1 of one type and brand, 2 of one type, 3 of one brand, 4."""
+    kind, same = F.col(type) == F.col(other_type), F.col(brand) == F.col(other_brand)
+    return F.when(kind & same, 1).when(kind, 2).when(same, 3).otherwise(4)
+
+
+def with_ends(t, most=None):
     e = graph.one_hop(edges(t, most), t("part"), "p_partkey", ["p_type", "p_brand", "p_size"])
-    kind, brand = F.col("src_p_type") == F.col("dst_p_type"), F.col("src_p_brand") == F.col("dst_p_brand")
-    return e.withColumn("boundary", F.when(kind & brand, 1).when(kind, 2).when(brand, 3).otherwise(4))
+    return e.withColumn("boundary", boundary("src_p_type", "src_p_brand", "dst_p_type", "dst_p_brand"))
 
 
 @query(f"WITH {EDGES}, {BOUNDARY} SELECT src, dst, n, st AS src_type, dt AS dst_type, boundary FROM ends")
-def one_hop(t, most=MOST):
+def one_hop(t, most=None):
     return with_ends(t, most).select("src", "dst", "n", F.col("src_p_type").alias("src_type"), F.col("dst_p_type").alias("dst_type"), "boundary")
 
 
 @query(f"""
 WITH {EDGES}, {TWO}
 SELECT t.src AS node, count(DISTINCT t.dst) AS size, count(DISTINCT b.p_type) AS types, count(*) FILTER (a.p_type <> b.p_type) AS crossings,
-  round(CAST(count(*) FILTER (a.p_type <> b.p_type) AS DOUBLE) / count(DISTINCT t.dst), 6) AS crossing_rate
+  round(CAST(count(*) FILTER (a.p_type <> b.p_type) AS DOUBLE) / count(DISTINCT t.dst), 6) AS crossing_rate,
+  max(CASE WHEN a.p_type = b.p_type AND a.p_brand = b.p_brand THEN 1 WHEN a.p_type = b.p_type THEN 2 WHEN a.p_brand = b.p_brand THEN 3 ELSE 4 END) AS widest
 FROM two t JOIN part a ON a.p_partkey = t.src JOIN part b ON b.p_partkey = t.dst GROUP BY 1
 """)
-def two_hop_stats(t, most=MOST):
-    """Crossings count paths and the size counts nodes, so their ratio may exceed 1."""
-    part = t("part").select("p_partkey", "p_type")
-    paths = graph.two_hops(edges(t, most)).groupBy("src", "dst").agg(F.count("*").alias("paths"))
-    two = paths.join(part.toDF("src", "st"), "src").join(part.toDF("dst", "dt"), "dst")
-    g = two.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("size"), F.countDistinct("dt").alias("types"), F.sum(F.when(F.col("st") != F.col("dt"), F.col("paths")).otherwise(0)).alias("crossings"))
+def two_hop_stats(t, most=None):
+    """For every hundredth node, over all edges. Crossings count paths and the size counts nodes, so their ratio may exceed 1."""
+    part = t("part").select("p_partkey", "p_type", "p_brand")
+    paths = graph.two_hops(edges(t, most), sources(F.col("src"))).groupBy("src", "dst").agg(F.count("*").alias("paths"))
+    two = paths.join(part.toDF("src", "st", "sb"), "src").join(part.toDF("dst", "dt", "db"), "dst")
+    crossing = F.sum(F.when(F.col("st") != F.col("dt"), F.col("paths")).otherwise(0))
+    g = two.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("size"), F.countDistinct("dt").alias("types"), crossing.alias("crossings"), F.max(boundary("st", "sb", "dt", "db")).alias("widest"))
     return g.withColumn("crossing_rate", r(shrink.ratio(F.col("crossings"), F.col("size"))))
 
 
@@ -65,12 +77,13 @@ WITH {EDGES}, {TWO}, x AS (SELECT DISTINCT src, dst FROM two EXCEPT SELECT src,
 SELECT s.src AS node, count(x.dst) AS exclusive, round(CAST(any_value(s.k) AS DOUBLE) / any_value(o.k), 6) AS expansion, round(CAST(count(x.dst) AS DOUBLE) / any_value(s.k), 6) AS hidden
 FROM s JOIN o ON o.src = s.src LEFT JOIN x ON x.src = s.src GROUP BY 1
 """)
-def exclusive_two_hop(t, most=MOST):
+def exclusive_two_hop(t, most=None):
+    """For every hundredth node, over all edges: what it reaches at two hops, and not at one. One pass tells both, as each pair knows its least number of hops."""
     e = edges(t, most)
-    two = graph.two_hops(e).groupBy("src").agg(F.countDistinct("dst").alias("two"))
-    one = e.groupBy("src").agg(F.count("*").alias("one"))
-    only = graph.exclusive_two_hops(e).groupBy("src").agg(F.count("*").alias("only"))
-    j = two.join(one, "src").join(only, "src", "left").withColumn("only", F.coalesce("only", F.lit(0)))
+    near = e.where(sources(F.col("src"))).select("src", "dst", F.lit(1).alias("hops"))
+    far = graph.two_hops(e, sources(F.col("src"))).select("src", "dst", F.lit(2).alias("hops"))
+    pairs = near.unionAll(far).groupBy("src", "dst").agg(F.min("hops").alias("least"), F.max("hops").alias("most"))
+    j = pairs.groupBy("src").agg(F.count_if(F.col("most") == 2).alias("two"), F.count_if(F.col("least") == 1).alias("one"), F.count_if(F.col("least") == 2).alias("only")).where("two > 0")
     return j.select(F.col("src").alias("node"), F.col("only").alias("exclusive"), r(shrink.ratio(F.col("two"), F.col("one"))).alias("expansion"), r(shrink.ratio(F.col("only"), F.col("two"))).alias("hidden"))
 
 
@@ -78,7 +91,7 @@ def exclusive_two_hop(t, most=MOST):
 WITH {EDGES}, p AS (SELECT a.src AS node, a.dst AS b, c.dst AS c FROM e a JOIN e c ON c.src = a.src AND c.dst <> a.dst)
 SELECT p.node, count(*) AS pairs, count(e.src) AS connected, round(CAST(count(e.src) AS DOUBLE) / count(*), 4) AS coefficient FROM p LEFT JOIN e ON e.src = p.b AND e.dst = p.c GROUP BY 1
 """)
-def clustering_coefficient(t, most=MOST):
+def clustering_coefficient(t, most=None):
     c = graph.clustering(edges(t, most)).where("pairs > 0")
     return c.select("node", "pairs", "connected", r(shrink.ratio(F.col("connected"), F.col("pairs")), 4).alias("coefficient"))
 
@@ -87,12 +100,12 @@ def clustering_coefficient(t, most=MOST):
 WITH {EDGES}, o AS (SELECT src AS node, count(*) AS k FROM e GROUP BY 1), i AS (SELECT dst AS node, count(*) AS k FROM e GROUP BY 1)
 SELECT coalesce(o.node, i.node) AS node, o.k AS out_degree, i.k AS in_degree, i.k - o.k AS magnet FROM o FULL JOIN i ON i.node = o.node
 """)
-def degree_asymmetry(t, most=MOST):
+def degree_asymmetry(t, most=None):
     return graph.degrees(edges(t, most))
 
 
 @query(f"WITH {EDGES}, {BOUNDARY} SELECT src, dst, boundary - 1 AS distance, abs(ss - ds) AS size_gap FROM ends")
-def rank_distance(t, most=MOST):
+def rank_distance(t, most=None):
     return with_ends(t, most).select("src", "dst", (F.col("boundary") - 1).alias("distance"), F.abs(F.col("src_p_size") - F.col("dst_p_size")).alias("size_gap"))
 
 
@@ -101,7 +114,7 @@ WITH {EDGES}, {BOUNDARY}
 SELECT src AS node, count(*) AS neighbours, count(DISTINCT dt) AS types, count(DISTINCT db) AS brands, median(ds) AS size_median, max(ds) AS size_max, min(ds) AS size_min,
   count(*) FILTER (boundary = 1) AS near, count(*) FILTER (boundary > 2) AS far, max(boundary) AS widest, round(avg(boundary), 6) AS boundary_mean FROM ends GROUP BY 1
 """)
-def topology_aggregates(t, most=MOST):
+def topology_aggregates(t, most=None):
     return with_ends(t, most).groupBy(F.col("src").alias("node")).agg(
         F.count("*").alias("neighbours"), F.countDistinct("dst_p_type").alias("types"), F.countDistinct("dst_p_brand").alias("brands"), F.median("dst_p_size").alias("size_median"), F.max("dst_p_size").alias("size_max"),
         F.min("dst_p_size").alias("size_min"), F.count_if(F.col("boundary") == 1).alias("near"), F.count_if(F.col("boundary") > 2).alias("far"), F.max("boundary").alias("widest"), r(F.avg("boundary")).alias("boundary_mean"),
@@ -132,7 +145,7 @@ SELECT b.src AS node, round(avg(b.rate), 6) AS rate_mean, round(max(b.rate), 6)
   round(sum(b.rate / b.boundary) / sum(1.0 / b.boundary), 6) AS rate_by_nearness, round((1 - avg(b.rate)) * log10(count(*) + 1), 6) AS difficulty, round(any_value(f.rate) - avg(b.rate), 6) AS rate_vs_neighbours
 FROM b JOIN v f ON f.node = b.src GROUP BY 1
 """)
-def neighbourhood_rates(t, most=MOST):
+def neighbourhood_rates(t, most=None):
     b = with_ends(t, most).select("src", "dst", "boundary").join(node_rates(t).withColumnRenamed("node", "dst"), "dst")
     rate, d = F.col("rate"), F.col("boundary").cast("double")
     g = b.groupBy("src").agg(F.avg(rate).alias("m"), F.max(rate).alias("x"), F.stddev_samp(rate).alias("s"), (F.sum(rate * d) / F.sum(d)).alias("wd"), (F.sum(rate / d) / F.sum(1 / d)).alias("wn"), F.count("*").alias("c"))
@@ -148,7 +161,7 @@ WITH {EDGES}, {RATES}, pool AS (SELECT src AS focal, dst AS node FROM e UNION AL
 k AS (SELECT focal, pool.node, percent_rank() OVER (PARTITION BY focal ORDER BY round(rate, 9) NULLS LAST) AS place, count(*) OVER (PARTITION BY focal) AS pool_size FROM pool JOIN v ON v.node = pool.node)
 SELECT focal AS node, round(place, 6) AS place_in_pool, pool_size FROM k WHERE focal = node
 """)
-def neighbourhood_pool_rank(t, most=MOST):
+def neighbourhood_pool_rank(t, most=None):
     """Where a part's own rate stands among its neighbours' and its own."""
     e = edges(t, most)
     pool = e.select(F.col("src").alias("focal"), F.col("dst").alias("node")).unionByName(e.select(F.col("src").alias("focal"), F.col("src").alias("node")).distinct())
@@ -178,7 +191,7 @@ b AS (SELECT src, dst, c.n AS m, rate, CASE WHEN c.n < 6 THEN 15.0 WHEN c.n < 50
 q AS (SELECT *, (sum(rate) OVER (PARTITION BY src) - rate) / nullif(count(*) OVER (PARTITION BY src) - 1, 0) AS pool FROM b)
 SELECT src AS node, count(*) AS neighbours, round(avg(pool), 6) AS pool_mean, round(avg((m * rate + a * pool) / (m + a)), 6) AS shrunk_mean, round(max((m * rate + a * pool) / (m + a)), 6) AS shrunk_max FROM q GROUP BY 1
 """)
-def pool_shrunk_rates(t, most=MOST):
+def pool_shrunk_rates(t, most=None):
     """Neighbours' rates up to a day, each drawn towards the mean of the node's other neighbours, the more so the fewer lines it has."""
     l = t("lineitem").where(F.col("l_shipdate") < F.lit(KNOWN_UNTIL).cast("timestamp_ntz")).withColumn("y", (F.col("l_returnflag") == "A").cast("int"))  # noqa: E741
     c = l.groupBy(F.col("l_partkey").alias("dst")).agg(F.count("*").alias("m"), shrink.ratio(F.sum("y"), F.count("*")).alias("rate"))
@@ -187,22 +200,3 @@ def pool_shrunk_rates(t, most=MOST):
     drawn = (F.col("m") * F.col("rate") + weight * F.col("pool")) / (F.col("m") + weight)
     g = b.withColumn("drawn", drawn).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("neighbours"), F.avg("pool").alias("p"), F.avg("drawn").alias("d"), F.max("drawn").alias("x"))
     return g.select("node", "neighbours", r("p").alias("pool_mean"), r("d").alias("shrunk_mean"), r("x").alias("shrunk_max"))
-
-
-#: What keeps a node's heaviest edges in the SQL.
-KEPT = " QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) <= 10"
-
-
-def on_all_edges(run):
-    """Registers the query again under its name with _all, on every edge."""
-    name = run.of.__name__
-
-    def fn(t):
-        return run.of(t, most=None)
-
-    fn.__name__, fn.__doc__ = f"{name}_all", run.of.__doc__
-    return query(ORACLES[name].replace(KEPT, ""))(fn)
-
-
-for _run in (one_hop, two_hop_stats, exclusive_two_hop, clustering_coefficient, degree_asymmetry, rank_distance, topology_aggregates, neighbourhood_rates, neighbourhood_pool_rank, pool_shrunk_rates):
-    on_all_edges(_run)

@@ -35,25 +35,14 @@ def null_safe_tests(t):
 
 @query("""
 WITH v AS (SELECT event_id, value, CASE WHEN value > 10 THEN 'high' ELSE 'low' END AS band FROM events)
-SELECT event_id, band, band = 'high' AND event_id % 2 = 0 AS chosen, TRY_CAST(CASE WHEN event_id % 2 = 0 THEN CAST(event_id AS VARCHAR) ELSE 'x' END AS BIGINT) AS even_id FROM v WHERE event_id BETWEEN 10 AND 500
+SELECT event_id, band, band = 'high' AND event_id % 2 = 0 AS chosen, TRY_CAST(CASE WHEN event_id % 2 = 0 THEN CAST(event_id AS VARCHAR) ELSE 'x' END AS BIGINT) AS even_id, value BETWEEN 10 AND 500 AS middling FROM v
 """)
 def chained_columns(t):
-    return _chained(t("events").where(F.col("event_id").between(10, 500)))
-
-
-def _chained(e, *more):
-    e = e.withColumn("band", F.when(F.col("value") > 10, "high").otherwise("low"))
+    """Columns that build on each other, and a range of a value as a flag."""
+    e = t("events").withColumn("band", F.when(F.col("value") > 10, "high").otherwise("low"))
     text = F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).otherwise("x")
-    return e.withColumn("chosen", (F.col("band") == "high") & (F.col("event_id") % 2 == 0)).select("event_id", "band", "chosen", text.try_cast("bigint").alias("even_id"), *more)
-
-
-@query("""
-WITH v AS (SELECT event_id, value, CASE WHEN value > 10 THEN 'high' ELSE 'low' END AS band FROM events)
-SELECT event_id, band, band = 'high' AND event_id % 2 = 0 AS chosen, TRY_CAST(CASE WHEN event_id % 2 = 0 THEN CAST(event_id AS VARCHAR) ELSE 'x' END AS BIGINT) AS even_id, value BETWEEN 10 AND 500 AS middling FROM v
-""")
-def chained_columns_all(t):
-    """The columns of chained_columns for every event, and a range of a value as a flag."""
-    return _chained(t("events"), F.col("value").between(10, 500).alias("middling"))
+    e = e.withColumn("chosen", (F.col("band") == "high") & (F.col("event_id") % 2 == 0))
+    return e.select("event_id", "band", "chosen", text.try_cast("bigint").alias("even_id"), F.col("value").between(10, 500).alias("middling"))
 
 
 @query("""
