@@ -187,12 +187,12 @@ def test_split_is_disjoint_and_bounded(spark):
     assert {s: sum(x.split == s for x in got) for s in ("train", "val", "test")} == {"train": 15, "val": 7, "test": 18}
 
 
-def test_labels_need_the_submitted_node(spark):
-    data = [(1, "a", True), (2, "b", True), (3, None, True), (4, "a", False)]
+def test_labels_need_the_submitted_node_if_there_is_one(spark):
+    data = [(1, "a", True), (2, "b", True), (3, None, True), (4, "a", False), (5, None, True), (6, "a", True)]
     items = spark.createDataFrame([(i, DAY, n, ok) for i, n, ok in data], "item long, created timestamp_ntz, submitted string, ok boolean")
-    agreed = spark.createDataFrame([(i, "a", 10, DAY + dt.timedelta(days=2)) for i in (1, 2, 4)], "item long, node string, level int, decided timestamp_ntz")
+    agreed = spark.createDataFrame([(i, "a", 10, DAY + dt.timedelta(days=2)) for i in (1, 2, 4, 5)], "item long, node string, level int, decided timestamp_ntz")
     got = {r.item: (r.is_positive, r.days_to_positive) for r in consensus.label(items, agreed, "submitted", F.col("ok")).collect()}
-    assert got == {1: (True, 2), 2: (False, None), 3: (False, None), 4: (False, None)}
+    assert got == {1: (True, 2), 2: (False, None), 3: (False, None), 4: (False, None), 5: (True, 2), 6: (False, None)}  # 5 submitted nothing
 
 
 def test_priors_fall_back_level_by_level(spark):

@@ -58,9 +58,9 @@ def at_each(steps: DataFrame, days: Sequence[int], least: int = 2) -> DataFrame:
 
 
 def label(items: DataFrame, agreed: DataFrame, submitted: str, usable, specific: int = 10) -> DataFrame:
-    """items with the agreed node and is_positive: usable, and a specific node is agreed on that is the submitted one or none was submitted."""
+    """items with the agreed node and is_positive: usable, and a specific node is agreed on that isn't another one than was submitted; where none was, any does."""
     joined = items.join(agreed, "item", "left")
-    same = F.col("node").eqNullSafe(F.col(submitted))
+    same = F.coalesce(F.col("node") == F.col(submitted), F.lit(True))
     good = usable & F.coalesce(F.col("level") <= specific, F.lit(False)) & same
     days = F.when(good, F.timestamp_diff("DAY", F.col("created"), F.col("decided")))
     return joined.withColumn("is_positive", good).withColumn("days_to_positive", days)

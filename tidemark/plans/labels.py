@@ -40,10 +40,10 @@ def consensus_windowed(t):
     return consensus.at(consensus.timeline(votes(t)), HORIZON)
 
 
-#: An order submits the type and brand of its first line.
+#: An order submits the type and brand of its first line, nothing if that was returned.
 LABELS = """
-own AS (SELECT l_orderkey, arg_min('g' || p_type || '|' || p_brand, (l_linenumber, l_partkey)) AS submitted FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1),
-l AS (SELECT o_orderkey AS item, o_orderdate AS created, o_custkey, o_totalprice > 0 AND coalesce(agreed.level <= 20, FALSE) AND coalesce(agreed.node = submitted, FALSE) AS is_positive, agreed.decided, agreed.node, agreed.level
+own AS (SELECT l_orderkey, arg_min(CASE WHEN l_returnflag = 'R' THEN 'nothing' ELSE 'g' || p_type || '|' || p_brand END, (l_linenumber, l_partkey, l_suppkey, l_returnflag)) AS first FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1),
+l AS (SELECT o_orderkey AS item, o_orderdate AS created, o_custkey, o_totalprice > 0 AND coalesce(agreed.level <= 20, FALSE) AND coalesce(agreed.node = nullif(own.first, 'nothing'), TRUE) AS is_positive, agreed.decided, agreed.node, agreed.level
   FROM orders LEFT JOIN agreed ON agreed.item = o_orderkey LEFT JOIN own ON l_orderkey = o_orderkey)
 """
 
@@ -52,7 +52,8 @@ def labelled(t, days=HORIZON):
     """Orders with the node that is agreed on and whether it is specific and the submitted one."""
     items = t("orders").select(F.col("o_orderkey").alias("item"), F.col("o_orderdate").alias("created"), "o_custkey", "o_totalprice", "o_orderstatus")
     lines = t("lineitem").join(t("part"), F.col("p_partkey") == F.col("l_partkey"))
-    own = lines.groupBy(F.col("l_orderkey").alias("item")).agg(F.min_by(F.concat(F.lit("g"), "p_type", F.lit("|"), "p_brand"), F.struct("l_linenumber", "l_partkey")).alias("submitted"))
+    own = lines.groupBy(F.col("l_orderkey").alias("item")).agg(F.min_by(F.struct("l_returnflag", F.concat(F.lit("g"), "p_type", F.lit("|"), "p_brand").alias("kind")), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")).alias("first"))
+    own = own.select("item", F.when(F.col("first.l_returnflag") != "R", F.col("first.kind")).alias("submitted"))
     return consensus.label(items.join(own, "item", "left"), consensus.at(consensus.timeline(votes(t)), days), "submitted", F.col("o_totalprice") > 0, specific=20)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import entropy, joins, shrink
+from tidemark.operators import entropy, joins, running, shrink
 from tidemark.operators import windows as W
 from tidemark.plans.registry import query, r
 from tidemark.sources import tables
@@ -173,6 +173,7 @@ def argmin_row_per_key(t):
     return joins.first_row(t("orders"), ["o_custkey"], ["o_orderdate", "o_totalprice", "o_orderkey"], ["o_orderkey", "o_totalprice"])
 
 
+BY_SHIPDATE = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 _BEFORE = "ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
 
@@ -188,21 +189,46 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, n1 AS n_before, source AS
 def hierarchical_prior(t):
     """A part's rate so far, drawn towards that of its type and brand, else of its type, else of the types' initial, else of all.
 
-    Parts are many, so theirs is a window; the other levels have few keys with many rows and are sums by day.
+    Parts are many, so theirs is a window; the other levels have few keys with many rows and are sums by day, all from one pass.
     """
     v = t("lineitem").join(t("part").select("p_partkey", "p_brand", "p_type"), F.col("p_partkey") == F.col("l_partkey"))
     v = v.withColumns({"y": (F.col("l_returnflag") == "A").cast("int"), "p_order": F.substring("p_type", 1, 1)})
-    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    order = BY_SHIPDATE
     w = W.before(["l_partkey"], order)
     v = v.withColumns({"n1": F.count(F.lit(1)).over(w), "k1": F.coalesce(F.sum("y").over(w), F.lit(0))})
-    for k, keys in enumerate((["p_type", "p_brand"], ["p_type"], ["p_order"], []), 2):
-        v = W.running_totals(v, keys, order, {f"n{k}": F.lit(1), f"k{k}": F.col("y")}, F.to_date("l_shipdate"))
+    levels = {"2": ["p_type", "p_brand", "p_order"], "3": ["p_type", "p_order"], "4": ["p_order"], "5": []}
+    v = running.before(v, levels, order, F.to_date("l_shipdate"), {"y": F.col("y")}, stats=["n", "sum"])
+    v = v.withColumns({f"{new}{k}": F.col(f"{k}_y_{old}") for k in levels for new, old in (("n", "n"), ("k", "sum"))})
     levels = [(F.col("k2"), F.col("n2"), LEAST_GENUS), (F.col("k3"), F.col("n3"), LEAST_FAMILY), (F.col("k4"), F.col("n4"), LEAST_ORDER)]
     prior, source = shrink.prior_of(levels, F.coalesce(shrink.ratio(F.col("k5"), F.col("n5")), F.lit(0.5)))
     rate = shrink.shrunk(F.col("k1"), F.col("n1"), prior, PRIOR_WEIGHT)
     return v.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("n1").alias("n_before"), source.alias("prior_source"), r(prior).alias("prior"), r(rate).alias("rate"), (F.col("n1") < COLD).alias("cold"))
 
 
+@query(f"""
+WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, ln(l_extendedprice) AS x, p_type, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {", ".join(f"count(x) OVER {w} AS {n}_n, round(avg(x) OVER {w}, 6) AS {n}_mean, round(max(x) OVER {w}, 6) AS {n}_max, round(stddev_samp(x) OVER {w}, 6) AS {n}_spread" for n, w in (("type", "a"), ("brand", "b")))}
+FROM v WINDOW a AS (PARTITION BY p_type {_BEFORE}), b AS (PARTITION BY p_brand {_BEFORE})
+""")
+def running_levels(t):
+    """Mean, maximum and deviation of the logarithms of prices so far of a part's type and of its brand: few keys, each with a large share of all lines."""
+    v = t("lineitem").join(t("part").select("p_partkey", "p_brand", "p_type"), F.col("p_partkey") == F.col("l_partkey"))
+    v = running.before(v, {"type": ["p_type"], "brand": ["p_brand"]}, BY_SHIPDATE, F.to_date("l_shipdate"), {"x": F.log("l_extendedprice")})
+    each = lambda n: [F.col(f"{n}_x_n").alias(f"{n}_n"), r(running.mean(f"{n}_x")).alias(f"{n}_mean"), r(f"{n}_x_max").alias(f"{n}_max"), r(running.stddev(f"{n}_x")).alias(f"{n}_spread")]
+    return v.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *each("type"), *each("brand"))
+
+
+@query(f"""
+WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice AS x, p_type, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(quantile_cont(x, 0.5) OVER (PARTITION BY p_type {_BEFORE}), 4) AS type_middle, round(quantile_cont(x, 0.5) OVER (PARTITION BY p_brand {_BEFORE}), 4) AS brand_middle FROM v
+""")
+def running_median_levels(t):
+    """The median of the prices so far of a part's type and of its brand, exact though prices have as many values as rows."""
+    v = t("lineitem").join(t("part").select("p_partkey", "p_brand", "p_type"), F.col("p_partkey") == F.col("l_partkey"))
+    of = lambda key, out: running.median(v, [key], BY_SHIPDATE, running.spans(v, [key], "l_shipdate"), "l_extendedprice", out).drop(key)
+    return of("p_type", "a").join(of("p_brand", "b"), BY_SHIPDATE).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r("a", 4).alias("type_middle"), r("b", 4).alias("brand_middle"))
+
+
 @query("SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderdate, o_orderkey) AS keys FROM orders GROUP BY 1")
 def ordered_list_agg(t):
     from tidemark.functions import arrays

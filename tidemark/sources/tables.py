@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,3 +84,13 @@ def updated(df: DataFrame, changes: DataFrame, key: str, columns: Sequence[str])
 def kept_in(df: DataFrame, sample: DataFrame, key: str) -> DataFrame:
     """The rows of df whose key is in the sample."""
     return df.join(sample.select(key), key, "left_semi")
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """df written in the folder that spark.checkpoint.dir names and read again, for what several branches of a plan read; df itself where none is set."""
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
