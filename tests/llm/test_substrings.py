@@ -73,8 +73,8 @@ def want(docs, length=100):
     return out
 
 
-@pytest.mark.parametrize("batch, many, length", [(6 << 20, 256, 100), (3000, 256, 100), (3000, 4, 100), (2000, 3, 33)])
-def test_equal_to_brute_force(spark, monkeypatch, batch, many, length):
+@pytest.mark.parametrize("batch, length", [(6 << 20, 100), (3000, 100), (2000, 33)])
+def test_equal_to_brute_force(spark, monkeypatch, batch, length):
     monkeypatch.setattr(blocks, "BATCH", batch)
     rng = random.Random(3)
     docs = list(enumerate(documents(rng, 60)))
@@ -95,11 +95,12 @@ def test_many_pieces_of_a_minimizer(monkeypatch):
     numbered = list(enumerate(docs))
     batches = [table(numbered[k::4], k) for k in range(4)]
     ones = pa.table({"i": pa.array(range(40), pa.int64()), "key": [hashlib.md5(t.encode()).hexdigest() for t in docs]})
-    asked = pa.concat_tables([blocks.ask(k, np.concatenate([key for *_, key, _ in S._pieces(b, ones, 100)]), 1) for k, b in enumerate(batches)])
-    keys = np.concatenate([np.frombuffer(h, "<u8") for h in asked.column("hashes").to_pylist()])
-    counts = np.concatenate([np.frombuffer(h, "<u4") for h in asked.column("counts").to_pylist()])
-    total = {k: int(counts[keys == k].sum()) for k in np.unique(keys)}
-    answer = pa.table({"i": ones.column("i"), "key": ones.column("key"), "hashes": [None] * 38 + [b"", np.array([k for k, n in total.items() if n > 1], "<u8").tobytes()], "counts": [None] * 38 + [b"", np.array([n for n in total.values() if n > 1], "<u4").tobytes()]})
+    asked = pa.concat_tables([blocks.ask(k, np.concatenate([key for *_, key, _ in S._pieces(b, ones, 100)])) for k, b in enumerate(batches)])
+    hashes, counts = asked.column("hash").to_numpy(), asked.column("count").to_numpy()
+    total = {int(k): int(counts[hashes == k].sum()) for k in np.unique(hashes)}
+    twice = {k: n for k, n in total.items() if n > 1}
+    assert max(twice.values()) > 2 * S.MANY
+    answer = pa.table({"i": pa.array([*range(40), *[None] * len(twice)], pa.int64()), "key": [*ones.column("key").to_pylist(), *[None] * len(twice)], "hash": pa.array([*[None] * 40, *twice], pa.int64()), "count": pa.array([*[None] * 40, *twice.values()], pa.int32())})
     sent = pa.concat_tables([S._sent(b, answer, 100) for b in batches])
     shares = {}
     for k, (f, p) in enumerate(zip(sent.column("f1").to_pylist(), sent.column("part").to_pylist(), strict=True)):
@@ -117,6 +118,14 @@ def test_many_pieces_of_a_minimizer(monkeypatch):
     assert [got[k] for k in range(len(docs))] == brute(numbered)
 
 
+def test_shares_of_a_frequent_piece_in_spark(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BATCH", 20_000)
+    rng = random.Random(6)
+    docs = [(k, f"{rng.random()} " + "a passage that more documents share than one task compares, " * 3 + str(rng.random())) for k in range(3 * S.MANY)]
+    got, rows = run(spark, docs)
+    assert rows == len(docs) and got == want(docs)
+
+
 def test_same_and_null_ids(spark):
     t = "x" * 50 + "yz" * 60
     docs = [(1, t), (1, t), (None, t), (None, t), (2, "q" + t)]
