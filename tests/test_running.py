@@ -7,7 +7,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import running
+from tidemark.operators import joins, running
 
 DAY = dt.date(2024, 1, 1)
 
@@ -65,3 +65,24 @@ def test_no_task_holds_a_key(spark):
     plan = running.before(df, {"coarse": ["g"]}, ["day", "id"], F.col("day"), {"v": F.col("v")})._jdf.queryExecution().optimizedPlan().toString()
     windows = [x for x in plan.split("\n") if "Window [" in x and "id#" in x.split("windowspecdefinition")[1]]
     assert windows and all("windowspecdefinition(_b#" in x for x in windows)
+
+
+def test_asof_of_a_key_with_most_rows(spark):
+    rng = random.Random(8)
+    start = dt.datetime(2024, 1, 1)
+    at = lambda: rng.choice([start + dt.timedelta(hours=rng.randrange(24 * 40)), None]) if rng.random() < 0.1 else start + dt.timedelta(hours=rng.randrange(24 * 40))
+    user = lambda: "hot" if rng.random() < 0.9 else rng.choice(["a", "b", None])
+    left = [(k, user(), at()) for k in range(400)]
+    right = [(user(), at(), k, rng.choice([k, None])) for k in range(150)]
+    l, r = spark.createDataFrame(left, "id long, u string, t timestamp_ntz"), spark.createDataFrame(right, "u string, s timestamp_ntz, k long, x long")  # noqa: E741
+    low = lambda t: (t is not None, t or start)
+    want = {}
+    for i, u, t in left:
+        mine = [y for y in right if y[0] == u and low(y[1]) <= low(t)]
+        want[i] = max(mine, key=lambda y: (low(y[1]), y[2]))[2:] if mine else None
+    for piece in (None, lambda t: F.date_trunc("hour", t), lambda t: F.lit(1)):
+        done = joins.asof_join(l, r, ["u"], "t", "s", ["k", "x"], ["k"], inner=False, piece=piece)
+        assert {y.id: (y.k, y.x) if y.k is not None else None for y in done.collect()} == want
+    plan = joins.asof_join(l, r, ["u"], "t", "s", ["k"], ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    rows = [y for y in plan.split("\n") if "Window [" in y and "_side#" in y.split("windowspecdefinition")[1]]
+    assert rows and all("_piece#" in y.split("windowspecdefinition")[1].split("ASC")[0] for y in rows)
