@@ -35,9 +35,9 @@ from tidemark.llm import bpe, words
 from tidemark.llm.shared import saved
 
 #: Characters of a batch's texts from which the next one begins, and entries that are broadcast at most.
-BATCH, BROADCAST = 32 << 20, 4_000_000
-#: Bits of the packed length and id of a token.
-BITS, MASK = 31, (1 << 31) - 1
+BATCH, BROADCAST = 16 << 20, 4_000_000
+#: Bits of an id in an id pair; a token is packed in one int, its length in the last bits below its id, and is negative on side B.
+BITS, SIZE = 31, 10
 #: Between these characters a text is cut; all that comes before is neither white space nor control.
 CUT = r"(?<=[^\s\p{Z}\p{C}])(?= )"
 
@@ -54,8 +54,8 @@ class Bytes:
 
     def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all parts, number of ids of each)."""
-        found = list(self.codec.encode_many(parts))
-        return np.concatenate([*found, np.empty(0, np.uint32)]).astype(np.int64), np.array([len(x) for x in found], np.int64)
+        ids, n = self.codec.encode_flat(parts)
+        return ids.astype(np.int64), n
 
     def spell(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, length in bytes of each id)."""
@@ -104,7 +104,9 @@ def _spelled(tokenizer: Bytes | Pieces, parts: list[str], data: np.ndarray, at:
         first, place = np.cumsum(n) - n, np.append(0, np.cumsum(size))
         raw, want = spelled.tobytes(), data.tobytes()
         right = np.array([raw[place[f] : place[f + k]] == want[x:y] for f, k, x, y in zip(first, n, at, at[1:], strict=False)], bool)
-    return ids << BITS | size, n, right
+    if len(ids) and (int(size.max()) >= 1 << SIZE or int(ids.max()) >= 1 << BITS - SIZE):
+        raise ValueError("a token's id or length is too large to be packed")
+    return (ids << SIZE | size).astype(np.int32), n, right
 
 
 def cut(texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -132,18 +134,17 @@ class Batch:
         self.place.append((np.arange(len(found)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32))
         self.rows += len(texts)
 
-    def tables(self, one: Bytes, two: Pieces, most: int = 20_000) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
-        """(packed tokens of both sides, rows, places) of all parts, `most` at a time; null tokens where either side doesn't spell a part."""
+    def tables(self, one: Bytes, two: Pieces, most: int = 20_000) -> Iterator[tuple[pa.Array, pa.Array]]:
+        """(packed tokens of both sides, places: row above 32 bits of the place in it) of all parts, `most` at a time; null tokens where either side doesn't spell a part."""
         part, row, place = map(np.concatenate, (self.part, self.row, self.place))
         order = np.argsort(part, kind="stable")
-        row, place, at = row[order], place[order], np.append(0, np.cumsum(np.bincount(part, minlength=len(self.index))))
+        spot = row[order].astype(np.int64) << 32 | place[order]
+        at = np.append(0, np.cumsum(np.bincount(part, minlength=len(self.index))))
         names = list(self.index)
         for k in range(0, len(names), most):
             some = pa.array(names[k : k + most], pa.large_string())
             begin = at[k : k + len(some) + 1]
-            offsets, low, high = pa.array((begin - begin[0]).astype(np.int32)), begin[0], begin[-1]
-            listed = [pa.ListArray.from_arrays(offsets, pa.array(x[low:high])) for x in (row, place)]
-            yield packed(some, one, two), *listed
+            yield packed(some, one, two), pa.ListArray.from_arrays(pa.array((begin - begin[0]).astype(np.int32)), pa.array(spot[begin[0] : begin[-1]]))
             one.codec.forget()
 
 
@@ -153,17 +154,17 @@ def packed(parts: pa.Array, one: Bytes, two: Pieces) -> pa.Array:
     texts = parts.to_pylist()
     x, n, ok = _spelled(one, texts, data, at)
     y, m, also = _spelled(two, texts, data, at)
-    both = np.empty(len(x) + len(y), np.int64)
+    both = np.empty(len(x) + len(y), np.int32)
     begin = np.cumsum(n + m) - n - m
     both[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(len(x))] = x
-    both[np.repeat(begin + n - (np.cumsum(m) - m), m) + np.arange(len(y))] = y | 1 << 2 * BITS
+    both[np.repeat(begin + n - (np.cumsum(m) - m), m) + np.arange(len(y))] = ~y
     return pa.ListArray.from_arrays(pa.array(np.append(begin, len(both)).astype(np.int32)), pa.array(both), mask=pa.array(~(ok & also)))
 
 
 def tokenized(docs: DataFrame, a: str, b: str, pattern: str) -> DataFrame:
-    """(batch, ids, tokens, rows, places): each distinct part of a batch of documents (id, text) with its tokens and where it stands.
+    """(batch, ids, tokens, places): each distinct part of a batch of documents (id, text) with its tokens and where it stands.
 
-    Besides, each batch has one row with the ids of its documents, at place -1 of each.
+    Besides, each batch has one row with the ids of its documents, in order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,11 +173,9 @@ def tokenized(docs: DataFrame, a: str, b: str, pattern: str) -> DataFrame:
         held, ids = Batch(), []
 
         def out():
-            rows = range(len(ids))
-            yield pa.RecordBatch.from_pylist([{"batch": number, "ids": ids, "tokens": None, "rows": list(rows), "places": [-1] * len(rows)}], schema)
-            for tokens, rows, places in held.tables(one, two):
-                some = len(tokens)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(some, number)), pa.nulls(some, schema.field("ids").type), tokens, rows, places], schema=schema)
+            yield pa.RecordBatch.from_pylist([{"batch": number, "ids": ids}], schema)
+            for tokens, places in held.tables(one, two):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), number)), pa.nulls(len(tokens), schema.field("ids").type), tokens, places], schema=schema)
 
         for batch in batches:
             for piece in bpe.groups(batch.column("text")):
@@ -191,9 +190,9 @@ def tokenized(docs: DataFrame, a: str, b: str, pattern: str) -> DataFrame:
         if ids:
             yield from out()
 
-    longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
-    schema = pa.schema([("batch", pa.int64()), ("ids", longs), ("tokens", longs), ("rows", ints), ("places", ints)])
-    return docs.select("id", "text").mapInArrow(words.trimmed(run), "batch long, ids array<long>, tokens array<long>, rows array<int>, places array<int>")
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("batch", pa.int64()), ("ids", longs), ("tokens", pa.list_(pa.int32())), ("places", longs)])
+    return docs.select("id", "text").mapInArrow(words.trimmed(run), "batch long, ids array<long>, tokens array<int>, places array<long>")
 
 
 def _written(ends: Column) -> Column:
@@ -208,16 +207,18 @@ def _written(ends: Column) -> Column:
 def _aligned(parts: DataFrame) -> DataFrame:
     """(batch, row, place, part's results) of each part at each of its places; parts: as `tokenized` has them."""
     dealt = parts.repartition("batch").withColumn("u", F.monotonically_increasing_id())
-    # a row for the places, then one for each token; only the first has them
-    about = F.struct("ids", "rows", "places")
-    flat = dealt.select("batch", "u", F.posexplode(F.concat(F.array(F.lit(-1).cast("long")), F.coalesce("tokens", F.lit([]).cast("array<bigint>")))).alias("k", "x"), about.alias("about"))
-    flat = flat.select(
-        "batch", "u", "k", F.when(F.col("k") == 0, F.col("about")).alias("about"), F.shiftright("x", 2 * BITS).alias("side"),
-        F.shiftright("x", BITS).bitwiseAND(MASK).alias("id"), F.when(F.col("k") > 0, F.col("x").bitwiseAND(MASK)).otherwise(0).alias("n"),
-    )
-    flat = flat.withColumn("end", F.sum("n").over(Window.partitionBy("batch", "u", "side").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)))
-    pick = lambda s: F.max(F.when(F.col("side") == s, F.col("id"))).alias("ab"[s])
-    ends = flat.groupBy("batch", "u", "end").agg(pick(0), pick(1), F.first("about", ignorenulls=True).alias("about"))
+    # a row for the places, of length 0, then one for each token; only the first has the places
+    about = F.struct("ids", "places")
+    flat = dealt.select("batch", "u", F.posexplode(F.concat(F.array(F.lit(0)), F.coalesce("tokens", F.lit([]).cast("array<int>")))).alias("k", "x"), about.alias("about"))
+    flat = flat.withColumn("about", F.when(F.col("k") == 0, F.col("about")))
+    second = F.col("x") < 0
+    token = F.when(second, -1 - F.col("x")).otherwise(F.col("x"))
+    own = Window.partitionBy("batch", "u", second).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    flat = flat.withColumn("end", F.sum(token.bitwiseAND((1 << SIZE) - 1)).over(own))
+    id_of = F.shiftright(token, SIZE).cast("long")
+    real = F.col("k") > 0
+    a, b = F.max(F.when(real & ~second, id_of)).alias("a"), F.max(F.when(real & second, id_of)).alias("b")
+    ends = flat.groupBy("batch", "u", "end").agg(a, b, F.first("about", ignorenulls=True).alias("about"))
     back = Window.partitionBy("batch", "u").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
     common = F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).over(back)
     cover = F.last("a", ignorenulls=True).over(back) * (1 << BITS) + F.last("b", ignorenulls=True).over(back)
@@ -226,10 +227,12 @@ def _aligned(parts: DataFrame) -> DataFrame:
         F.first("about", ignorenulls=True).alias("about"), F.count("a").alias("n_a"), F.count("b").alias("n_b"), (-F.min("g")).alias("n_groups"),
         F.collect_list("link").alias("links"), F.collect_list(F.when(F.col("end") > 0, F.struct("g", "end", "a", "b"))).alias("ends"),
     )
-    at = F.arrays_zip("about.rows", "about.places", F.coalesce("about.ids", F.lit([]).cast("array<bigint>")).alias("ids"))
-    done = done.select("batch", at.alias("at"), "n_a", "n_b", "n_groups", "links", _written(F.col("ends")).alias("groups"))
-    done = done.select("batch", F.explode("at").alias("at"), "n_a", "n_b", "n_groups", "links", "groups")
-    return done.select("batch", F.col("at.rows").alias("row"), F.col("at.places").alias("place"), F.col("at.ids").alias("id"), "n_a", "n_b", "n_groups", "links", "groups")
+    # the ids of a batch go to place -1 of each row
+    at = lambda row, place, id: F.struct(row.cast("int").alias("row"), place.cast("int").alias("place"), id.cast("long").alias("id"))
+    named = F.transform("about.ids", lambda i, k: at(k, F.lit(-1), i))
+    spots = F.transform("about.places", lambda p: at(F.shiftright(p, 32), p.bitwiseAND((1 << 32) - 1), F.lit(None)))
+    done = done.select("batch", F.coalesce(named, spots).alias("at"), "n_a", "n_b", "n_groups", "links", _written(F.col("ends")).alias("groups"))
+    return done.select("batch", F.explode("at").alias("at"), "n_a", "n_b", "n_groups", "links", "groups").select("batch", "at.*", "n_a", "n_b", "n_groups", "links", "groups")
 
 
 def align(docs: DataFrame, a: str, b: str, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -107,6 +107,20 @@ class Codec:
         self.ids = np.concatenate([self.ids, self.rank[flat]])
 
     def encode_many(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        for tokens in self.known(texts):
+            at = np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens))
+            yield gather(self.ids, self.start[at], self.size[at])
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each), for many short texts."""
+        cut = self.known(texts)
+        tokens = [t for c in cut for t in c]
+        at = np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens))
+        last = np.cumsum([len(c) for c in cut], dtype=np.int64)
+        return gather(self.ids, self.start[at], self.size[at]), np.diff(np.append(0, np.cumsum(self.size[at]))[last], prepend=0)
+
+    def known(self, texts: list[str | None]) -> list[list[str]]:
+        """The pre-tokens of each text, all of which are in the index afterwards."""
         if self.model is None:
             import regex
             import sentencepiece
@@ -121,9 +135,7 @@ class Codec:
                 self.forget()
                 new = set().union(*cut)
             self.learn(list(new))
-        for tokens in cut:
-            at = np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens))
-            yield gather(self.ids, self.start[at], self.size[at])
+        return cut
 
     def decode(self, ids: np.ndarray) -> bytes:
         parts = (self.piece[ids[k : k + SLICE]] for k in range(0, len(ids), SLICE))
