@@ -204,9 +204,12 @@ def _written(ends: Column) -> Column:
     return joined[0]
 
 
-def _aligned(parts: DataFrame) -> DataFrame:
-    """(batch, row, place, part's results) of each part at each of its places; parts: as `tokenized` has them."""
-    dealt = parts.repartition("batch").withColumn("u", F.monotonically_increasing_id())
+def _aligned(parts: DataFrame, batches: int) -> DataFrame:
+    """(batch, row, place, part's results) of each part at each of its places; parts: as `tokenized` has them, in about so many batches.
+
+    Twice as many tasks as batches leave most with one batch, which is sorted in memory.
+    """
+    dealt = parts.repartition(2 * batches, "batch").withColumn("u", F.monotonically_increasing_id())
     # a row for the places, of length 0, then one for each token; only the first has the places
     about = F.struct("ids", "places")
     flat = dealt.select("batch", "u", F.posexplode(F.concat(F.array(F.lit(0)), F.coalesce("tokens", F.lit([]).cast("array<int>")))).alias("k", "x"), about.alias("about"))
@@ -243,7 +246,8 @@ def align(docs: DataFrame, a: str, b: str, pattern: str, id: str = "doc_id", tex
     """
     spark = docs.sparkSession
     keyed = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("text != ''")
-    found = _aligned(tokenized(keyed, bpe.share(spark, a), bpe.share(spark, b), pattern))
+    size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    found = _aligned(tokenized(keyed, bpe.share(spark, a), bpe.share(spark, b), pattern), max(1, size // BATCH))
     here = F.col("place") >= 0
     whole = found.groupBy("batch", "row").agg(
         F.max("id").alias("id"), *(F.sum(n).alias(n) for n in ("n_a", "n_b", "n_groups")), (F.min(F.when(here, F.col("n_a"))) > 0).alias("valid"),
