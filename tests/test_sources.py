@@ -96,3 +96,23 @@ def test_streams(spark, sf, tmp_path):
     for k in range(2):
         roles.append_new(stream(), str(tmp_path / "out"), "event_id", str(tmp_path / f"check{k}")).awaitTermination(90)
     assert spark.read.parquet(str(tmp_path / "out")).count() == events.count()
+
+
+def test_a_bucketed_table_needs_no_shuffle(spark, sf):
+    from tidemark.operators import windows as W
+
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    tables.save_bucketed(orders, "orders_by_customer", ["o_custkey"], ["o_orderdate", "o_orderkey"], 4)
+    tables.save_bucketed(spark.read.parquet(f"{sf}/customer.parquet").withColumnRenamed("c_custkey", "o_custkey"), "customers", ["o_custkey"], [], 4)
+    read = spark.table("orders_by_customer")
+    history = read.withColumn("n", F.count(F.lit(1)).over(W.before(["o_custkey"], ["o_orderdate", "o_orderkey"])))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(history)
+    joined = history.hint("merge").join(spark.table("customers"), "o_custkey")
+    assert "Exchange" not in plan(joined) and joined.count() == orders.count()
+    by = orders.withColumn("n", F.count(F.lit(1)).over(W.before(["o_custkey"], ["o_orderdate", "o_orderkey"])))
+    assert {(r.o_orderkey, r.n) for r in history.collect()} == {(r.o_orderkey, r.n) for r in by.collect()}
+    tables.save_bucketed(orders.limit(10), "orders_by_customer", ["o_custkey"], ["o_orderdate"], 2)
+    assert spark.table("orders_by_customer").count() == 10
+    for name in ("orders_by_customer", "customers"):
+        spark.sql(f"DROP TABLE {name}")

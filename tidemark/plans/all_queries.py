@@ -1,3 +1,3 @@
 """Importing this registers all queries."""
 
-from tidemark.plans import features, graphs, history, labels, projections, relational, scalars, training  # noqa: F401
+from tidemark.plans import features, graphs, history, labels, projections, relational, scalars, table_functions, training  # noqa: F401

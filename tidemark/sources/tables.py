@@ -94,3 +94,8 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def save_bucketed(df: DataFrame, table: str, keys: Sequence[str], order: Sequence[str], buckets: int) -> None:
+    """df as a table of one file for each bucket of `keys`, sorted by keys and order: histories, as-of joins and joins by these keys then read it without a shuffle."""
+    df.repartition(buckets, *keys).sortWithinPartitions(*keys, *order).write.bucketBy(buckets, *keys).sortBy(*keys, *order).mode("overwrite").saveAsTable(table)
