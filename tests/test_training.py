@@ -46,3 +46,25 @@ def test_imputers_components_and_svd(spark):
     plain = np.array([r.v.toArray() for r in v.orderBy("id").collect()])
     _, want, vt = np.linalg.svd(plain, full_matrices=False)
     assert np.allclose(values, want[:2]) and np.allclose(np.abs([r.p for r in got.orderBy("id").collect()]), np.abs(plain @ vt[:2].T))
+
+
+def test_svd_of_many_columns(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    x = np.random.default_rng(1).normal(size=(300, 500)) * np.linspace(3, 0.1, 500)
+    df = spark.createDataFrame([(k, Vectors.dense(v) if k else None) for k, v in reversed(list(enumerate([x[0], *x])))], ["id", "v"])
+    done, values = training.truncated_svd(df, "v", 5, "p")
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(values, s[:5])
+    got = {r.id: r.p for r in done.select("id", "p").collect()}
+    assert got[0] is None
+    mine = np.array([got[k + 1] for k in range(300)])
+    assert np.allclose(np.abs(mine), np.abs(u[:, :5] * s[:5]), atol=1e-6)
+
+
+def test_attributions_of_the_test_split(spark, sf):
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["tree_attributions"](spark, sf).collect()
+    assert len(rows) == len({r.feature for r in rows}) > 3 and abs(sum(r.share for r in rows) - 1) < 1e-3

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import feature as mf
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -12,7 +14,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import evaluation
+from tidemark.operators import attribution, evaluation
 from tidemark.plans.registry import query, r
 
 SCALERS: dict[str, Callable] = {
@@ -73,24 +75,43 @@ def loadings(model: mf.PCAModel, names: Sequence[str], most: int) -> list[list[t
     return [sorted(zip(names, map(float, weights[:, k]), strict=True), key=lambda x: -abs(x[1]))[:most] for k in range(weights.shape[1])]
 
 
-def truncated_svd(df: DataFrame, column: str, k: int, out: str) -> tuple[DataFrame, list[float]]:
-    """df with its vectors projected on the first k right singular vectors, without centring, and the singular values.
+def gram(df: DataFrame, column: str, size: int) -> np.ndarray:
+    """The sum of x x^T over all vectors x: each task sums its own rows with numpy, the tasks' rows of the matrix are added by row, and the driver gets size x size numbers."""
 
-    The Gram matrix is one row: sums of products over all rows, combined before they are shuffled.
-    """
-    import numpy as np
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((size, size))
+        for batch in batches:
+            if len(batch):
+                x = np.stack(batch["v"].to_list())
+                total += x.T @ x
+        yield pd.DataFrame({"i": range(size), "g": list(total)})
 
-    size = len(df.select(column).first()[0])
-    v = df.select(vector_to_array(column).alias("v"))
-    sums = v.select(*(F.sum(F.col("v")[i] * F.col("v")[j]).alias(f"g{i}_{j}") for i in range(size) for j in range(i, size))).first()
-    gram = np.zeros((size, size))
-    for (i, j), x in zip(((i, j) for i in range(size) for j in range(i, size)), sums, strict=True):
-        gram[i, j] = gram[j, i] = x
-    values, vectors = np.linalg.eigh(gram)
+    def added(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": rows["i"].iloc[:1], "g": [np.sum(np.stack(rows["g"].to_list()), axis=0)]})
+
+    parts = df.where(F.col(column).isNotNull()).select(vector_to_array(column).alias("v")).mapInPandas(summed, "i int, g array<double>")
+    out = np.zeros((size, size))
+    for row in parts.groupBy("i").applyInPandas(added, "i int, g array<double>").collect():
+        out[row.i] = row.g
+    return out
+
+
+def truncated_svd(df: DataFrame, column: str, k: int, out: str) -> tuple[DataFrame, list[float]]:
+    """df with its vectors projected on the first k right singular vectors, without centring, and the singular values; a null vector has none."""
+    size = len(df.where(F.col(column).isNotNull()).select(column).first()[0])
+    values, vectors = np.linalg.eigh(gram(df, column, size))
     order = np.argsort(-values)[:k]
-    array = vector_to_array(column)
-    parts = [sum((array[i] * float(vectors[i, c]) for i in range(1, size)), array[0] * float(vectors[0, c])) for c in order]
-    return df.withColumn(out, F.array(*parts)), [float(np.sqrt(max(values[c], 0.0))) for c in order]
+    basis = vectors[:, order]
+
+    def projected(rows: pd.Series) -> pd.Series:
+        known = rows.notna().to_numpy()
+        done = pd.Series([None] * len(rows), dtype=object)
+        for at, v in zip(np.flatnonzero(known), np.stack(rows[known].to_list()) @ basis if known.any() else [], strict=True):
+            done.iat[at] = v
+        return done
+
+    on = F.pandas_udf(projected, "array<double>")(F.when(F.col(column).isNotNull(), vector_to_array(column)))
+    return df.withColumn(out, on), [float(np.sqrt(max(values[c], 0.0))) for c in order]
 
 
 def as_numbers(df: DataFrame, leave: Sequence[str]) -> DataFrame:
@@ -143,13 +164,29 @@ def feature_changes(before: Sequence[str], now: Sequence[str]) -> dict[str, list
     return {"added": sorted(set(now) - set(before)), "removed": sorted(set(before) - set(now))}
 
 
-@query()
-def trained_scores(t):
-    """Scores of the test split by trees that are fitted on the train split of the feature matrix."""
+def fitted(t):
+    """(feature matrix, trees that are fitted on its train split, names of the features)."""
     from tidemark.plans import features
 
     leave = ("o_orderkey", "y", "split")
     m = as_numbers(features.matrix(t), leave)
     numbers, texts = columns(m, leave)
     model = pipeline(numbers, texts).fit(m.where("split = 'train'"))
+    known = [x for stage in model.stages if isinstance(stage, mf.StringIndexerModel) for x in stage.labelsArray]
+    return m, model, [*numbers, *(f"{c}={v}" for c, labels in zip(texts, known, strict=True) for v in labels)]
+
+
+@query()
+def tree_attributions(t):
+    """What each feature adds to the margins of the test split: the mean absolute Shapley value, and its share."""
+    m, model, names = fitted(t)
+    found = attribution.leaves(m.sparkSession, model.stages[-1])
+    scored = model.transform(m.where("split = 'test'")).select(attribution.attributed(found, F.col("features")).alias("a"))
+    return attribution.mean_absolute(scored, "a", names).select("feature", r("attribution").alias("attribution"), r("share").alias("share"))
+
+
+@query()
+def trained_scores(t):
+    """Scores of the test split by trees that are fitted on the train split of the feature matrix."""
+    m, model, _ = fitted(t)
     return predict(model, m.where("split = 'test'"), "o_orderkey").select("o_orderkey", "y", r("score").alias("score"))
