@@ -7,7 +7,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import joins, running
+from tidemark.operators import evaluation, joins, running
 
 DAY = dt.date(2024, 1, 1)
 
@@ -86,3 +86,20 @@ def test_asof_of_a_key_with_most_rows(spark):
     plan = joins.asof_join(l, r, ["u"], "t", "s", ["k"], ["k"])._jdf.queryExecution().optimizedPlan().toString()
     rows = [y for y in plan.split("\n") if "Window [" in y and "_side#" in y.split("windowspecdefinition")[1]]
     assert rows and all("_piece#" in y.split("windowspecdefinition")[1].split("ASC")[0] for y in rows)
+
+
+def test_ties_of_a_score_are_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(evaluation, "TIED", 20)
+    rng = random.Random(9)
+    data = [(k * 7 - 900, rng.choice([0.5, 0.50001, 0.50003, 0.2, rng.random(), None]), int(rng.random() < 0.4)) for k in range(600)]
+    df = spark.createDataFrame(rng.sample(data, 600), "id long, s double, y int")
+    order = sorted(data, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    hits, want = 0, {}
+    for k, (i, _, y) in enumerate(order, 1):
+        hits += y
+        want[i] = (k, hits)
+    done = evaluation.ranked(df, "s", "y", "id")
+    assert done.columns == ["id", "s", "y", "place", "hits"]
+    assert {r.id: (r.place, r.hits) for r in done.collect()} == want
+    named = evaluation.ranked(df.withColumn("id", F.col("id").cast("string")), "s", "y", "id").collect()
+    assert sorted(r.place for r in named) == list(range(1, 601))

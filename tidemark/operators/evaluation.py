@@ -12,6 +12,8 @@ from tidemark.operators.shrink import ratio
 
 #: Buckets of a score from 0 to 1 that meet in one window.
 STEPS = 10_000
+#: Rows of one score that are ranked by one task at most.
+TIED = 100_000
 
 
 def temporal_split(df: DataFrame, time: str, id: str, cutoff: str, val: tuple[str, str], test: str, most_val: int | None = None, most_test: int | None = None) -> DataFrame:
@@ -56,11 +58,26 @@ def step_of(score: str) -> Column:
 
 
 def ranked(df: DataFrame, score: str, label: str, id: str) -> DataFrame:
-    """df with `place`, `hits` (positives so far) by descending score, then id."""
-    rows = W.with_offsets(df.withColumn("_one", F.lit(1)), step_of(score), ["_one", label], descending=True)
+    """df with `place`, `hits` (positives so far) by descending score, then id; null scores last.
+
+    Rows are ranked within steps of the score, whose sums are carried on. A score that more rows share than TIED (or than an even
+    step has, if that is more) gets buckets of its own, cut by ranges of the id where that is a number, so ties of any size
+    are many tasks; there are at most STEPS such scores.
+    """
+    limit = max(TIED, df.count() // STEPS)
+    number = df.schema[id].dataType.typeName() in ("long", "integer", "short", "byte")
+    tied = df.groupBy(score).agg(F.count("*").alias("n"), *((F.min(id).alias("low"), F.max(id).alias("high")) if number else (F.lit(0).alias("low"), F.lit(0).alias("high")))).where(F.col("n") > limit)
+    tied = tied.select(step_of(score).alias("_step"), F.struct(F.col(score).alias("score"), "n", "low", "high").alias("x")).groupBy("_step").agg(F.collect_list("x").alias("_tied"))
+    rows = df.withColumn("_one", F.lit(1)).withColumn("_s", step_of(score)).join(F.broadcast(tied), F.col("_s") == F.col("_step"), "left")  # a row for each step that has such scores
+    own = F.get(F.filter("_tied", lambda x: x["score"] == F.col(score)), F.lit(0))
+    above = F.coalesce(F.size(F.filter("_tied", lambda x: x["score"] > F.col(score))), F.lit(0))
+    width = F.greatest((own["high"] - own["low"] + 1) / F.ceil(own["n"] / limit), F.lit(1.0))
+    part = F.coalesce(F.floor((F.col(id) - own["low"]) / width), F.lit(0)) if number else F.lit(0)
+    bucket = F.struct(F.col(score).isNull().alias("last"), (-F.col("_s")).alias("step"), above.alias("above"), own.isNotNull().alias("tied"), part.alias("part"))
+    rows = W.with_offsets(rows.withColumn("_bucket", bucket).drop("_s", "_step", "_tied"), F.col("_bucket"), ["_one", label])
     inner = Window.partitionBy("_b").orderBy(F.desc(score), id)
     rows = rows.withColumn("place", F.col("_o__one") + F.row_number().over(inner)).withColumn("hits", F.col(f"_o_{label}") + F.sum(label).over(inner.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.drop("_b", "_one", "_o__one", f"_o_{label}")
+    return rows.drop("_b", "_bucket", "_one", "_o__one", f"_o_{label}")
 
 
 def curve_at(df: DataFrame, shares: Sequence[float], score: str, label: str, id: str) -> DataFrame:
