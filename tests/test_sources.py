@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.sources import http, tables
-from tidemark.streaming import roles
 
 
 def test_csv_with_bad_rows(spark, tmp_path):
@@ -70,32 +69,94 @@ def test_retry_waits_as_told_and_gives_up():
     assert client(lambda p: (500, {}, {}), empty_on_500=True)[0].call({})["results"] == []
 
 
-def test_landing(spark, tmp_path):
-    c, calls, _ = client(lambda p: (200, {}, {"results": [{"id": 7, "of": p["taxon"]}] if p["taxon"] != "x" else [], "total_results": 1 if p["taxon"] != "x" else 0}), per_minute=60000)
-    got = http.land(spark, c.one_by_one(["a", "x"], "taxon", placeholder=True), str(tmp_path / "raw"), "2024-01-01", "1", batch=1)
-    assert sorted((r.raw_id, r.raw_json and json.loads(r.raw_json)["of"]) for r in got.collect()) == [("7", "a"), ("x", None)]
-    assert list(c.by_chunks(["a", "b", "c"], "taxon", 2))[1]["of"] == "c"
+def web(folder, rows=(), broken=()):
+    """A fetch function for tasks: every call leaves a file; each parameter of `broken` fails with 429 at its first call."""
 
-
-def test_streams(spark, sf, tmp_path):
-    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
-    for k in range(3):
-        events.where(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = lambda: spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-
-    q = roles.running_totals(stream(), "user_id", "event_type", "value").writeStream.format("memory").queryName("totals").outputMode("update").trigger(availableNow=True).start()
-    q.awaitTermination(90)
-    last = spark.table("totals").groupBy("user_id").agg(F.max_by(F.struct("events", "kinds", F.round("total", 3).alias("total")), "events").alias("x")).select("user_id", "x.*")
-    want = events.groupBy("user_id").agg(F.count("*"), F.countDistinct("event_type"), F.round(F.sum("value"), 3))
-    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, want.collect()))
-
-    q = roles.windowed_counts(stream(), "ts", ["event_type"], "1 day", "60 days").writeStream.format("memory").queryName("days").outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination(90)
-    assert spark.table("days").agg(F.sum("n")).first()[0] == events.count()
-
-    for k in range(2):
-        roles.append_new(stream(), str(tmp_path / "out"), "event_id", str(tmp_path / f"check{k}")).awaitTermination(90)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == events.count()
+    def fetch(params):
+        import os
+        import time
+        import uuid
+
+        key = str(params.get("id", params.get("taxon", params.get("page"))))
+        seen = any(f.startswith("busy-" + key) for f in os.listdir(folder))
+        busy = key in broken and not seen
+        with open(f"{folder}/{'busy' if busy else 'call'}-{key.split(',')[0]}-{uuid.uuid4().hex}", "w") as f:
+            f.write(f"{os.getpid()} {time.time()}")
+        if busy:
+            return 429, {"Retry-After": "0"}, {}
+        if "id" in params:
+            got = [{"id": int(k), "v": "x" * (int(k) % 3)} for k in params["id"].split(",")]
+        elif "taxon" in params:
+            got = [] if params["taxon"] == "x" else [{"of": params["taxon"]}]
+        else:
+            n = int(open(f"{rows}").read())
+            a = (params["page"] - 1) * params["per_page"]
+            return 200, {}, {"results": [{"id": k, "q": params.get("q")} for k in range(a, min(n, a + params["per_page"]))], "total_results": n}
+        return 200, {}, {"results": got[: params["per_page"]], "total_results": len(got)}
+
+    return fetch
+
+
+def test_ids_are_fetched_in_lanes_and_resumed(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    calls = http.Calls(http.Client(web(str(tmp_path / "log"), broken=("5",)), per_minute=60000, first_wait=0.01), "2024-01-01", "1", chunk=1, lanes=4)
+    ids = spark.range(40).withColumn("id", F.when(F.col("id") < 38, F.col("id")))
+    got = http.land(ids.where("id < 10").unionAll(ids.where("id < 3")), "id", str(tmp_path / "raw"), calls)
+    assert sorted(int(r.raw_id) for r in got.collect()) == list(range(10))
+    assert len(list((tmp_path / "log").glob("call-*"))) == 10 and len(list((tmp_path / "log").glob("busy-5-*"))) == 1
+    got = http.land(ids, "id", str(tmp_path / "raw"), calls, rounds=3).collect()
+    assert sorted(int(r.raw_id) for r in got) == list(range(38)) and {r.scraped_at for r in got} == {"2024-01-01"}
+    assert len(list((tmp_path / "log").glob("call-*"))) == 38  # nothing was asked for twice
+    assert http.fetched(ids, "id", calls).rdd.getNumPartitions() == 4
+    assert http.land(ids.limit(0), "id", str(tmp_path / "none"), calls).count() == 0
+
+
+def test_chunks_placeholders_and_failures(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    client = http.Client(web(str(tmp_path / "log")), per_minute=60000)
+    got = http.fetched(spark.range(450).repartition(7), "id", http.Calls(client, "d", "1", chunk=100, lanes=3)).collect()
+    assert sorted(int(r.raw_id) for r in got) == list(range(450)) and len(list((tmp_path / "log").glob("call-*"))) <= 4 + 3
+    taxa = spark.createDataFrame([("a",), ("x",), (None,)], "taxon string")
+    single = http.Calls(client, "d", "1", param="taxon", chunk=None, placeholder=True, lanes=2)
+    assert sorted((r.raw_id, r.raw_json) for r in http.fetched(taxa, "taxon", single).collect()) == [("a", '{"of": "a"}'), ("x", None)]
+    with pytest.raises(Exception, match="status 404"):
+        http.fetched(taxa, "taxon", http.Calls(http.Client(lambda p: (404, {}, {})), "d", "1", param="taxon", chunk=None)).collect()
+
+
+def test_lanes_share_the_rate(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    calls = http.Calls(http.Client(web(str(tmp_path / "log")), per_minute=1200), "d", "1", chunk=1, lanes=4)
+    http.fetched(spark.range(24), "id", calls).collect()
+    times = sorted(float(f.read_text().split()[1]) for f in (tmp_path / "log").glob("call-*"))
+    assert len(times) == 24
+    for a in times:  # 4 calls at once, then at most 20 a second
+        assert sum(a <= b < a + 0.39 for b in times) <= 4 * 2
+
+
+def test_a_listing_as_batch_and_as_stream(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    (tmp_path / "rows").write_text("95")
+    client = http.Client(web(str(tmp_path / "log"), tmp_path / "rows", broken=("3",)), per_minute=60000, first_wait=0.01)
+    http.register_listing(spark, "listing_of_tests", http.Calls(client, "d", "1", lanes=4), per_page=10)
+    df = spark.read.format("listing_of_tests").option("q", "z").load()
+    assert df.rdd.getNumPartitions() == 4
+    got = df.collect()
+    assert sorted(int(r.raw_id) for r in got) == list(range(95)) and {json.loads(r.raw_json)["q"] for r in got} == {"z"}
+
+    def run():
+        stream = spark.readStream.format("listing_of_tests").load()
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        q.awaitTermination(90)
+        assert q.exception() is None
+        return sorted(int(r.raw_id) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert run() == list(range(95))
+    (tmp_path / "rows").write_text("123")
+    before = len(list((tmp_path / "log").glob("call-*")))
+    assert run() == list(range(123))
+    assert len(list((tmp_path / "log").glob("call-*"))) - before <= 4 + 3  # the pages of rows 95 to 122, and the size
+    (tmp_path / "rows").write_text("0")
+    assert spark.read.format("listing_of_tests").load().count() == 0
 
 
 def test_a_bucketed_table_needs_no_shuffle(spark, sf):
