@@ -14,8 +14,9 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import attribution, evaluation
+from tidemark.operators import attribution, evaluation, impute as im, tuning
 from tidemark.plans.registry import query, r
+from tidemark.sources.tables import materialized
 
 SCALERS: dict[str, Callable] = {
     "standard": lambda: mf.StandardScaler(inputCol="raw", outputCol="scaled", withMean=True),
@@ -27,6 +28,8 @@ CLASSIFIERS: dict[str, Callable] = {
     "logistic": lambda **kw: LogisticRegression(labelCol="y", featuresCol="features", **kw),
 }
 
+MOST_FREQUENT = "<most frequent>"
+
 
 def columns(df: DataFrame, leave: Sequence[str]) -> tuple[list[str], list[str]]:
     """(numbers and flags, texts) among the columns that aren't left out."""
@@ -37,16 +40,20 @@ def columns(df: DataFrame, leave: Sequence[str]) -> tuple[list[str], list[str]]:
 def pipeline(numbers: Sequence[str], texts: Sequence[str], impute: str | float = "median", missing: str = "missing", scale: str | None = None, components: int | None = None, classifier: str = "trees", **kw) -> Pipeline:
     """Imputes numbers and texts, encodes texts (unknown values get a slot of their own), scales and reduces if asked, classifies.
 
-    impute: "mean", "median", "mode" or a constant; missing texts are a value of their own.
+    impute: "mean", "median", "mode", "nearest" (the mean of the five nearest rows) or a constant. Missing texts are a value of their own, `missing`, or with
+    missing=MOST_FREQUENT the most frequent one. Further arguments are the classifier's: `validationIndicatorCol` stops boosting when those rows get
+    no better, `weightCol` weighs rows (see `class_weights`).
     """
-    if isinstance(impute, str):
-        stages: list = [mf.Imputer(strategy=impute, inputCols=list(numbers), outputCols=[f"{c}_i" for c in numbers])]
+    if impute == "nearest":
+        stages: list = [im.NearestImputer(numbers)]
+    elif isinstance(impute, str):
+        stages = [mf.Imputer(strategy=impute, inputCols=list(numbers), outputCols=[f"{c}_i" for c in numbers])]
     else:
         filled = ", ".join(f"coalesce(nullif(`{c}`, double('NaN')), double({impute!r})) AS `{c}_i`" for c in numbers)
         stages = [mf.SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")]
     if texts:
         known = ", ".join(f"coalesce(`{c}`, '{missing}') AS `{c}_f`" for c in texts)
-        stages.append(mf.SQLTransformer(statement=f"SELECT *, {known} FROM __THIS__"))
+        stages.append(im.FrequentImputer(texts) if missing == MOST_FREQUENT else mf.SQLTransformer(statement=f"SELECT *, {known} FROM __THIS__"))
         stages += [mf.StringIndexer(inputCols=[f"{c}_f" for c in texts], outputCols=[f"{c}_x" for c in texts], handleInvalid="keep"), mf.OneHotEncoder(inputCols=[f"{c}_x" for c in texts], outputCols=[f"{c}_o" for c in texts])]
     stages.append(mf.VectorAssembler(inputCols=[f"{c}_i" for c in numbers] + [f"{c}_o" for c in texts], outputCol="raw"))
     last = "raw"
@@ -123,22 +130,47 @@ def predict(model: PipelineModel, df: DataFrame, id: str) -> DataFrame:
     return model.transform(df).select(id, "y", vector_to_array("probability")[1].alias("score"))
 
 
+def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
+    """df with a weight by which both classes count alike; rows without a label get none."""
+    n, positives = df.agg(F.count(label), F.sum(F.col(label).cast("long"))).first()
+    each = F.when(F.col(label) > 0, n / (2 * max(positives or 0, 1))).when(F.col(label) <= 0, n / (2 * max(n - (positives or 0), 1)))
+    return df.withColumn(out, each)
+
+
+class Folds:
+    """The rows of each fold and role, written once for all settings (in spark.checkpoint.dir; where that is unset, kept by Spark)."""
+
+    def __init__(self, df: DataFrame, folds: DataFrame, id: str, leave: Sequence[str]):
+        df = as_numbers(df, leave)
+        self.id, (self.numbers, self.texts) = id, columns(df, leave)
+        parts = df.join(folds.select(id, F.col("fold").alias("_fold"), F.col("role").alias("_role")), id)
+        self.rows = materialized(parts, "folds")
+        if self.rows is parts:
+            self.rows = parts.persist()
+        self.names = sorted(row[0] for row in folds.select("fold").distinct().collect())  # a row for each fold
+
+    def score(self, settings: dict, k: int) -> float:
+        """The average precision on a fold of what is fitted with the settings on the rows before it."""
+        part = lambda role: self.rows.where((F.col("_fold") == self.names[k]) & (F.col("_role") == role)).drop("_fold", "_role")
+        model = pipeline(self.numbers, self.texts, **settings).fit(part("train"))
+        return evaluation.average_precision(predict(model, part("val"), self.id), "score", "y").first()[0] or 0.0
+
+
 def search(df: DataFrame, folds: DataFrame, id: str, grid: Sequence[dict], leave: Sequence[str]) -> tuple[dict, float]:
     """The settings with the best mean average precision over the folds, and that mean."""
-    df = as_numbers(df, leave)
-    numbers, texts = columns(df, leave)
-    best: tuple[dict, float] = ({}, -1.0)
-    names = sorted(row[0] for row in folds.select("fold").distinct().collect())
-    for settings in grid:
-        scores = []
-        for k in names:
-            part = lambda role, k=k: df.join(folds.where((F.col("fold") == k) & (F.col("role") == role)).select(id), id)
-            model = pipeline(numbers, texts, **settings).fit(part("train"))
-            scores.append(evaluation.average_precision(predict(model, part("val"), id), "score", "y").first()[0] or 0.0)
-        mean = sum(scores) / len(scores)
-        if mean > best[1]:
-            best = settings, mean
-    return best
+    held = Folds(df, folds, id, leave)
+    trials = [tuning.Trial(settings, [held.score(settings, k) for k in range(len(held.names))]) for settings in grid]
+    held.rows.unpersist()
+    found = tuning.best(trials)
+    return found.settings, found.mean
+
+
+def tuned(df: DataFrame, folds: DataFrame, id: str, space: tuning.Space, leave: Sequence[str], trials: int, **kw) -> list[tuning.Trial]:
+    """The trials of a search by tree-structured Parzen estimators, scored fold by fold; `tuning.best` picks one."""
+    held = Folds(df, folds, id, leave)
+    done = tuning.optimise(space, held.score, len(held.names), trials, **kw)
+    held.rows.unpersist()
+    return done
 
 
 def correlation(df: DataFrame, names: Sequence[str], least: float) -> list[tuple[str, str, float]]:
@@ -190,3 +222,44 @@ def trained_scores(t):
     """Scores of the test split by trees that are fitted on the train split of the feature matrix."""
     m, model, _ = fitted(t)
     return predict(model, m.where("split = 'test'"), "o_orderkey").select("o_orderkey", "y", r("score").alias("score"))
+
+
+@query()
+def tuned_settings(t):
+    """Trials of a search over the boosted trees' settings on expanding folds of the train split: settings, mean average precision, whether it was cut."""
+    from tidemark.plans import features
+
+    m = features.matrix(t).where("split = 'train'")
+    times = t("orders").select("o_orderkey", F.col("o_orderdate").alias("_time"))
+    folds = evaluation.expanding_folds(m.select("o_orderkey").join(times, "o_orderkey"), "_time", "o_orderkey", 2, 30)
+    space = {"maxIter": tuning.Range(2, 6, whole=True), "maxDepth": tuning.Range(2, 4, whole=True), "stepSize": tuning.Range(0.05, 0.5, log=True)}
+    done = tuned(m, folds, "o_orderkey", space, ("o_orderkey", "y", "split"), trials=4, start=3, prune_after=2, patience=3)
+    rows = [(k, x.settings["maxIter"], x.settings["maxDepth"], round(x.settings["stepSize"], 6), len(x.scores), round(x.mean, 6), x.cut) for k, x in enumerate(done)]
+    return m.sparkSession.createDataFrame(rows, "trial int, trees int, depth int, step double, folds int, mean_precision double, cut boolean")
+
+
+def lines_with_gaps(t) -> tuple[DataFrame, im.NearestModel]:
+    """(quantity, price and discount of every line, of which one is left out of some lines in turn; the imputer fitted on 2000 lines)."""
+    rows = t("lineitem").withColumn("k", F.pmod(F.col("l_orderkey") + F.col("l_linenumber"), F.lit(20)))
+    scaled = {"quantity": F.col("l_quantity").cast("double") / 50, "price": F.col("l_extendedprice").cast("double") / 100_000, "discount": F.col("l_discount").cast("double") * 10}
+    rows = rows.select("l_orderkey", "l_linenumber", *(F.when(F.col("k") != n, x).alias(name) for n, (name, x) in enumerate(scaled.items())))
+    return rows, im.NearestImputer(list(scaled), donors=2000, drawn_by=["l_orderkey", "l_linenumber"]).fit(rows)
+
+
+@query()
+def nearest_imputed(t):
+    """Quantity, price and discount of every line, with the gaps filled from the nearest lines."""
+    rows, model = lines_with_gaps(t)
+    return model.transform(rows).select("l_orderkey", "l_linenumber", *(r(f"{c}_i").alias(c) for c in ("quantity", "price", "discount")))
+
+
+@query("""
+    WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS p, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS s FROM orders),
+    most_p AS (SELECT p AS v FROM o WHERE p IS NOT NULL GROUP BY p ORDER BY count(*) DESC, p LIMIT 1),
+    most_s AS (SELECT s AS v FROM o WHERE s IS NOT NULL GROUP BY s ORDER BY count(*) DESC, s LIMIT 1)
+    SELECT o_orderkey, coalesce(p, (SELECT v FROM most_p)) AS priority, coalesce(s, (SELECT v FROM most_s)) AS status FROM o""")
+def frequent_imputed(t):
+    """Priority and status of every order, of which some are left out, filled with the most frequent value."""
+    rows = t("orders").select("o_orderkey", F.expr("CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END").alias("p"), F.expr("CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END").alias("s"))
+    done = im.FrequentImputer(["p", "s"]).fit(rows).transform(rows)
+    return done.select("o_orderkey", F.col("p_f").alias("priority"), F.col("s_f").alias("status"))
