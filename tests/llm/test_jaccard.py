@@ -110,6 +110,20 @@ def test_rows_of_one_id(spark):
     assert [r for r in got if r[0] == 7] == [(7, 0, 7), (7, 37, 7), (7, 37, 7)] and [r for r in got if r[0] == 9] == [(9, 37, 7)] * 2
 
 
+@pytest.mark.parametrize("sign", [1, -1])
+def test_links_of_texts_that_share_an_id(spark, sign):
+    rng = random.Random(4)
+    t1, t2, t3 = (" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(60)) for c in "xyz")
+    near = lambda t: t.rsplit(" ", 1)[0] + " end"
+    # a set that an ordinary id has too, one that only rows of the repeated id have, and one without partners
+    docs = [(5, t1), (5, t2), (5, t3), (5, ""), (5, t2), (9, t2), (10, near(t2)), (11, near(t3)), (12, near(t2) + " more")]
+    docs = [(sign * i, t) for i, t in docs]
+    got = {(i, n): c for i, n, c in run(spark, docs)}
+    least = 5 if sign > 0 else -12
+    assert got[sign * 9, 57] == got[sign * 10, 57] == got[sign * 12, 58] == least
+    assert got[sign * 11, 57] == min(sign * 5, sign * 11) and got[sign * 5, 0] == sign * 5
+
+
 def test_empty_table(spark):
     assert J.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

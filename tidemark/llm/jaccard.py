@@ -18,7 +18,7 @@ Pieces and groups of candidates with many points are dealt out in chunks, and ea
 tasks return are forests of links, never all pairs.
 
 Defined results: a null or wordless text has an empty set and links with nothing; fewer words than a shingle are one shingle;
-rows with the same id are one node, which links by the first of their texts that isn't null; a null id links with nothing; extra columns are not used; an empty table gives an empty result.
+rows with the same id and equal sets are one document, those with different sets are documents that share a number; a null id links with nothing; extra columns are not used; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import blocks, words
@@ -299,22 +299,47 @@ def _chunk(ids: np.ndarray, chunks: np.ndarray) -> np.ndarray:
     return (words.mix(ids.astype(np.uint64) + np.uint64(77)) % np.maximum(chunks, 1).astype(np.uint64)).astype(np.int64)
 
 
+def set_digests(texts: pa.ChunkedArray | pa.Array, shingle: int) -> tuple[np.ndarray, list[bytes | None]]:
+    """The size and a digest of the set of each text; an empty set has no digest."""
+    sizes, keys = [np.empty(0, np.int64)], []
+    for _, data, at in words.parts(texts, PART):
+        flat, size = shingle_sets(data, at, shingle)
+        cut = np.append(0, np.cumsum(size))
+        sizes.append(size)
+        keys += [hashlib.blake2b(flat[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return np.concatenate(sizes), keys
+
+
 def profiles(df: DataFrame, id: str, text: str, shingle: int) -> DataFrame:
     """(i, n, key): the size of each document's set and a digest of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys = [np.empty(0, np.int64)], []
-            for _, data, at in words.parts(batch.column(1), PART):
-                flat, size = shingle_sets(data, at, shingle)
-                cut = np.append(0, np.cumsum(size))
-                sizes.append(size)
-                keys += [hashlib.blake2b(flat[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes), pa.int64()), pa.array(keys, pa.binary())], names=["i", "n", "key"])
+            sizes, keys = set_digests(batch.column(1), shingle)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], names=["i", "n", "key"])
 
     return df.select(F.col(id).cast("long"), text).mapInArrow(words.trimmed(run), "i long, n long, key binary")
 
 
+def _nodes(t: pa.Table, most: int, shingle: int) -> np.ndarray:
+    """The node of each row: its id times `most`, plus the place of its set among the sets of its id, by digest. All rows of an id are here.
+
+    A row with an empty set has no node of its own and gets the least number, which isn't one.
+    """
+    ids = t.column("i").to_numpy()
+    _, back, times = np.unique(ids, return_inverse=True, return_counts=True)
+    out, again = ids * most, np.flatnonzero(times[back] > 1)
+    if most == 1 or not len(again):
+        return out
+    _, keys = set_digests(t.column("text").take(pa.array(again)), shingle)
+    sets: dict[int, set[bytes]] = {}
+    for i, key in zip(ids[again], keys, strict=True):
+        sets.setdefault(i, set()).add(key)
+    place = {i: {key: n for n, key in enumerate(sorted(x for x in found if x is not None))} for i, found in sets.items()}
+    out[again] = [np.iinfo(np.int64).min if key is None else i * most + place[i][key] for i, key in zip(ids[again], keys, strict=True)]
+    return out
+
+
 def _dealt(member: DataFrame, percent: int) -> DataFrame:
     """(component, l1, l2, c1, c2, own, i): the tasks that each document of a group of candidates goes to.
 
@@ -341,20 +366,26 @@ def _dealt(member: DataFrame, percent: int) -> DataFrame:
 
 
 def find(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4, percent: int = 85) -> DataFrame:
-    """(id, n_shingles, component_id) of each row."""
+    """(id, n_shingles, component_id) of each row.
+
+    Rows of one id with different sets are documents of their own that share its number. A document's node is its id times the largest number of
+    sets that an id has (one, where ids don't repeat), plus a place; if that overflows, the job fails.
+    """
     known = saved(profiles(df, id, text, shingle), "profiles")
     docs, size = blocks.batched(df.where(F.col(id).isNotNull()), id, text)
     count = max(1, -(-size // blocks.BATCH))
-    one = known.where("n > 0 AND i IS NOT NULL").groupBy("key").agg(F.min("i").alias("i"))
-    one = one.select(blocks.batch_of("i", count).alias("batch"), "i", F.lit(None).cast("long").alias("hash"), F.lit(None).cast("int").alias("count"))
-
-    def chosen(t: pa.Table, ids: pa.ChunkedArray) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]]:
-        """(ids, texts, hashes, sizes) of the chosen documents, once each, in parts."""
-        want = np.unique(np.array([x for x in ids.to_pylist() if x is not None], np.int64))
+    real = known.where("n > 0 AND i IS NOT NULL")
+    most = real.groupBy("i").agg(F.count_distinct("key").alias("sets")).agg(F.max("sets")).first()[0] or 1
+    place = F.lit(0) if most == 1 else F.dense_rank().over(Window.partitionBy("i").orderBy("key")) - 1
+    real = real.select("i", "n", "key", (F.col("i") * F.lit(most).cast("long") + place).alias("node"))
+    least = real.groupBy("key").agg(F.min(F.struct("node", "i")).alias("x")).select("key", "x.node", "x.i")
+    one = least.select(blocks.batch_of("i", count).alias("batch"), F.col("node").alias("i"), F.lit(None).cast("long").alias("hash"), F.lit(None).cast("int").alias("count"))
+
+    def chosen(t: pa.Table, nodes: pa.ChunkedArray) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]]:
+        """(nodes, texts, hashes, sizes) of the chosen documents, once each, in parts."""
+        want = np.unique(np.array([x for x in nodes.to_pylist() if x is not None], np.int64))
+        t = t.set_column(t.schema.get_field_index("i"), "i", pa.array(_nodes(t, most, shingle)))
         have, at = np.unique(t.column("i").to_numpy(), return_index=True)
-        if len(have) < len(t):  # of several rows of an id the first by its text
-            t = t.sort_by([("i", "ascending"), ("text", "ascending")])
-            have, at = np.unique(t.column("i").to_numpy(), return_index=True)
         at = np.sort(at[np.isin(have, want)])
         t = t.select(["i", "text"]).take(pa.array(at)).combine_chunks()
         for k, data, begins in words.parts(t.column("text"), PART):
@@ -396,15 +427,15 @@ def find(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4
     found = saved(blocks.in_runs(rows, ["piece", "c1", "c2"], lambda t, b: _candidates(t, b, percent), "a long, b long, text string"), "candidates")
 
     groups = components(found.where("b IS NOT NULL").select("a", "b"))
-    member = _dealt(groups.withColumnRenamed("node", "i").join(known.select("i", "n").distinct(), "i"), percent)
+    member = _dealt(groups.withColumnRenamed("node", "i").join(real.select(F.col("node").alias("i"), "n").distinct(), "i"), percent)
     texts = found.where("b IS NULL").select(F.col("a").alias("i"), "text").join(member, "i")
     links = blocks.in_runs(texts.select("component", "l1", "l2", "c1", "c2", "own", "i", "text"), ["component", "l1", "l2", "c1", "c2"], lambda t, b: _verified(t, b, percent, shingle), "a long, b long", rows=1500)
     parts = components(links)
     dropped(found)
 
-    # equal sets share the component of the smallest id among them
-    least = known.where("n > 0 AND i IS NOT NULL").groupBy("key").agg(F.min("i").alias("least"))
-    least = least.join(parts.withColumnRenamed("node", "least"), "least", "left").select("key", F.coalesce("component", "least").alias("component"))
+    # equal sets share the component of the least node among them, and a component is told by the id of its least node
+    least = least.drop("i").join(parts.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left")
+    least = least.select("key", F.coalesce("component", "node").alias("x")).select("key", F.expr(f"(x - pmod(x, {most}L)) div {most}L").alias("component"))
     same = known.join(least, "key", "left").select("i", "n", F.when(F.col("i").isNotNull(), F.coalesce("component", "i")).alias("component_id"))
     done = saved(same.select(F.col("i").alias(id), F.col("n").alias("n_shingles"), "component_id"), "jaccard")
     for table in (known, groups, parts):
