@@ -6,7 +6,7 @@ words that are frequent in the training texts. Transitions between labels are le
 for each label; the text gets the label with the largest mean posterior, and that mean as its score.
 
 Defined results: a text that is null or has no letter is `und` with score 0, and so is every text if nothing could be
-learned; every language is learned, however many there are, and texts of any length are drawn; copies are labelled alike; training rows with a null text or label are skipped; columns besides the text are passed on.
+learned; every language is learned, however many there are, and texts of any length are drawn and learned whole; copies are labelled alike; training rows with a null text or label are skipped; columns besides the text are passed on.
 """
 
 from __future__ import annotations
@@ -23,14 +23,16 @@ from tidemark.llm import words
 
 #: Training rows of each language at most, taken by a hash of the id, and of all languages together (but one of each).
 SAMPLE, ROWS = 300, 24_000
-#: Characters of a training row that are learned whole; of a longer one, PIECES of PIECE characters spread evenly over it.
-LONG, PIECES, PIECE = 16_000, 8, 2_000
+#: Bytes of training text of each language at most, and of all languages together (but one text of each). Texts are learned whole; one of more
+#: than EVEN bytes is drawn more seldom, in inverse proportion to its length, so that a few long ones don't take the place of all others.
+BYTES, ALL_BYTES, EVEN = 2 << 20, 64 << 20, 4096
 #: Slots of the n-gram table and of the lexicon, for WIDE languages or fewer; with more of them slots are fewer, so that a model keeps its size.
 BITS, LEXICON_BITS, WIDE = 17, 16, 64
 #: Times that a word occurs in the training texts to enter the lexicon.
 FREQUENT = 4
-#: A text of this many words or more is in no learned language if the lexicon has less than that part of the usual share of its words.
-MANY, STRANGE = 20, 0.1
+#: A text is in no learned language if the lexicon has less than STRANGE of the usual share of its words, and if a training text
+#: would have so few in as many words with a chance below CHANCE. Shares of training texts are drawn to the usual one by LEAN words.
+STRANGE, CHANCE, LEAN = 0.1, 1e-3, 10
 #: Words whose emissions are held at once.
 WORDS = 1 << 19
 
@@ -47,6 +49,7 @@ class Model:
     start: np.ndarray
     moves: np.ndarray
     usual: float = 0.0  # the share of the training texts' words that the lexicon has
+    shares: np.ndarray | None = None  # how many training texts have a share of so many hundredths
 
 
 def cut(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -88,6 +91,23 @@ def in_lexicon(model: Model, word: np.ndarray) -> np.ndarray:
     return model.tags[lexicon_slots(model, word)] == word
 
 
+def chance(model: Model, n: np.ndarray, have: np.ndarray) -> np.ndarray:
+    """A bound (Chernoff's) on the chance that the lexicon has `have` or fewer of n words of a text like the training texts."""
+    seen = np.flatnonzero(model.shares)
+    s, weight = np.clip((seen + 0.5) / 100, 0.005, 0.995), model.shares[seen] / model.shares.sum()
+    q = (have / n)[:, None]
+    far = np.where(q > 0, q * np.log(np.maximum(q, 1e-300) / s), 0) + np.where(q < 1, (1 - q) * np.log(np.maximum(1 - q, 1e-300) / (1 - s)), 0)
+    return np.where(q < s, np.exp(-n[:, None] * far), 1) @ weight
+
+
+def familiar(model: Model, n: np.ndarray, have: np.ndarray) -> np.ndarray:
+    """Whether texts of n words, of which the lexicon has `have`, are like the training texts; the fewer words, the more it takes to say no."""
+    out = have >= STRANGE * model.usual * n
+    few = np.flatnonzero(~out)
+    out[few] = chance(model, n[few], have[few]) >= CHANCE
+    return out
+
+
 def emissions(model: Model, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A score of each word for each label; equal words are scored once."""
     if not len(begin):
@@ -164,6 +184,8 @@ def train(texts: list[str], langs: list[str], rounds: int = 6, batch: int = 64,
     model.tags[lexicon_slots(model, kept)] = kept  # of words that meet in a slot, the most frequent
     model.usual = float(in_lexicon(model, word).mean()) if len(word) else 0.0
     size, first = words.place(text, len(texts))
+    have = np.bincount(text, in_lexicon(model, word), len(texts))
+    model.shares = np.bincount(((have + LEAN * model.usual) / (size + LEAN) * 100).astype(int), minlength=1)
     truth = np.array([names.index(x) for x in langs])
     sums = [np.full_like(x, 1e-2) for x in (model.grams, model.lexicon, model.start, model.moves)]
 
@@ -209,31 +231,29 @@ def train(texts: list[str], langs: list[str], rounds: int = 6, batch: int = 64,
     return model
 
 
-def training_text(text: F.Column) -> F.Column:
-    """The text itself, or of a long one pieces that are spread evenly over it."""
-    far = F.length(text) - PIECE
-    piece = lambda k: F.substring(text, (far * k / (PIECES - 1)).cast("int") + 1, F.lit(PIECE))
-    return F.when(F.length(text) <= LONG, text).otherwise(F.concat_ws(" ", *(piece(k) for k in range(PIECES))))
-
-
 def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE, total: int = ROWS) -> Model | None:
     """A model of the languages of the labelled rows, learned on at most `rows` texts of each language and about `total` in all.
 
-    A long text is cut down to LONG characters on the executors, so the driver gets total * LONG characters at most.
+    Texts are learned whole. They are taken by a hash of the id until a language has its share of bytes; its first one is taken
+    at any length, so the driver gets ALL_BYTES at most, and one text of each language. Of rows that share an id one is learned.
     """
     fair = F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(id).isNotNull()
     docs = docs.where(fair).select(F.col(id).alias("_i"), F.col(lang).alias("_l"), F.col(text).alias("_t"))
-    keys = docs.select("_i", "_l")
-    counts = keys.groupBy("_l").count().collect()  # one row for each language
+    size = F.octet_length("_t").cast("long")
+    keys = docs.select("_i", "_l", size.alias("_n"), F.greatest(F.lit(1.0), size / EVEN).alias("_long"))
+    counts = keys.groupBy("_l").agg(F.sum(1 / F.col("_long")).alias("even")).collect()  # one row for each language
     if not counts:
         return None
-    rows = max(1, min(rows, total // len(counts)))
+    rows, room = max(1, min(rows, total // len(counts))), min(BYTES, ALL_BYTES // len(counts))
     # a share of each language by hash, about twice what is asked for, so that the window gets few rows however many there are
-    share = keys.sparkSession.createDataFrame([(c["_l"], min(1.0, 2 * rows / c["count"] + 50 / c["count"])) for c in counts], "_l string, _share double")
-    part = F.pmod(F.xxhash64(F.lit(1), "_i"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = keys.join(F.broadcast(share), "_l").where(part < F.col("_share")).withColumn("_k", F.row_number().over(Window.partitionBy("_l").orderBy(F.xxhash64("_i"), "_i")))
-    chosen = chosen.where(F.col("_k") <= rows).select("_i").distinct()
-    got = docs.join(F.broadcast(chosen), "_i").select("_i", training_text(F.col("_t")).alias("_t"), "_l").toArrow()
+    share = keys.sparkSession.createDataFrame([(c["_l"], 2 * rows / c["even"] + 50 / c["even"]) for c in counts], "_l string, _share double")
+    part = F.pmod(F.xxhash64(F.lit(1), "_i"), F.lit(1 << 30)) / float(1 << 30) * F.col("_long")
+    chosen = keys.withColumn("_part", part).join(F.broadcast(share), "_l").where("_part < _share")
+    chosen = chosen.groupBy("_l", "_i").agg(F.max("_n").alias("_n"), F.min("_part").alias("_part"))
+    turn = Window.partitionBy("_l").orderBy("_part", "_i")
+    chosen = chosen.withColumn("_k", F.row_number().over(turn)).withColumn("_sum", F.sum("_n").over(turn.rowsBetween(Window.unboundedPreceding, 0)))
+    chosen = chosen.where((F.col("_k") <= rows) & ((F.col("_k") == 1) | (F.col("_sum") <= room))).select("_i").distinct()
+    got = docs.join(F.broadcast(chosen), "_i").groupBy("_i").agg(F.min(F.struct("_t", "_l")).alias("_x")).select("_i", "_x._t", "_x._l").toArrow()
     got = sorted(zip(*(got.column(k).to_pylist() for k in range(3)), strict=True))
     return train([t for _, t, _ in got], [c for _, _, c in got])
 
@@ -262,8 +282,7 @@ def _letters(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 def predict(df: DataFrame, model: Model | None, text: str = "text", label: str = "lang_pred", score: str = "score", known: str | None = None) -> DataFrame:
     """df with the predicted label and its score; columns of these names are replaced.
 
-    With `known`, that column says of each text whether its words are those of a learned language: not so if it has MANY
-    words or more and the lexicon has less than STRANGE of the share of them that it has in the training texts.
+    With `known`, that column says of each text whether its words are those of a learned language (see `familiar`).
     """
     added = [label, score, *([known] if known else [])]
     fields = [f for f in df.schema if f.name not in added]
@@ -287,7 +306,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", label: str =
                 sure += np.where(good, np.minimum(mean.max(1), 1), 0.0).tolist()
                 if known:
                     have = np.bincount(doc, in_lexicon(model, words.hashes(low, begin, end)), count)
-                    like += (good & ((n < MANY) | (have >= STRANGE * model.usual * n))).tolist()
+                    like += (good & familiar(model, n, have)).tolist()
             columns = [pa.array(found, pa.string()), pa.array(sure, pa.float64()), *([pa.array(like, pa.bool_())] if known else [])]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), *columns], names=[*(f.name for f in fields), *added])
 
