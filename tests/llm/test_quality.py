@@ -1,3 +1,6 @@
+import math
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -41,6 +44,36 @@ def test_ftrl_equals_the_published_update():
     assert np.allclose(model.z, z) and np.allclose(model.n, n)
 
 
+def test_scores_equal_plain_features(spark):
+    """Features and scores again, text by text with lists and dictionaries."""
+    texts = ["The quick, QUICK brown Fox!! 2024", None, "", "   ", "a", "x9 x9 x9 — é", "one two", "A" * 700 + " b"]
+    mask = 2**64 - 1
+    k = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
+    rng = np.random.default_rng(9)
+    weights = rng.normal(size=1 << Q.BITS).astype(np.float32)
+
+    def plain(text):
+        raw = (text or "").encode()
+        tokens = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[!-/:-@\[-`{-~]+", raw)
+        hashed = [int(words.hashes(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)]))[0]) for t in tokens]
+        shapes = []
+        for n, t in enumerate(tokens):
+            caps, digits = len(re.findall(rb"[A-Z]", t)), len(re.findall(rb"[0-9]", t))
+            kind = 0 if re.match(rb"[!-/:-@\[-`{-~]", t) else min(caps, 2) + 1
+            shapes.append(((kind * 3 + min(digits, 2)) * 8 + min(len(t).bit_length() - 1, 7)) * 2 + (n > 0 and t == tokens[n - 1]))
+        got = list(hashed)
+        got += [a * k[0] + b for a, b in zip(hashed, hashed[1:], strict=False)]
+        got += [a * k[1] + b * k[2] + k[3] for a, b in zip(shapes, shapes[1:], strict=False)]
+        got += [(a * k[1] + b) * k[2] + c * k[4] for a, b, c in zip(shapes, shapes[1:], shapes[2:], strict=False)]
+        got.append(min((len(raw) + 1).bit_length() - 1, 20) * k[4] + k[1])
+        slots = [int(words.mix(np.array([x & mask], np.uint64))[0]) >> (64 - Q.BITS) for x in got]
+        return 1 / (1 + math.exp(-16 * sum(float(weights[x]) for x in slots) / len(slots)))
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = [r.score for r in Q.score(df, weights).orderBy("doc_id").collect()]
+    assert np.allclose(got, [plain(t) for t in texts], atol=1e-5)
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "a b c"), (3, "a b c"), (4, "w " * 200000), (None, "!!")], "doc_id long, text string")
     labels = spark.createDataFrame([(3, 1), (4, 0), (None, 1), (2, None), (9, 1)], "doc_id long, quality int")
