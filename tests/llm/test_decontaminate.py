@@ -60,6 +60,19 @@ def test_items_with_several_texts_and_other_types(spark):
     assert got == sorted([("a", 1.5, 0, 28), ("b", 2.5, 0, 400_009), (None, 2.5, 0, 9)], key=str)
 
 
+def test_rows_without_items_are_kept_each_by_its_text(spark):
+    long = "word " * 300_000
+    rows = [(1, "a quick brown fox", "x"), (1, "see: the QUICK brown foxes jumped over", "y"), (None, "lazy dogs", None), (None, "clean", "z"), (2, None, "n"), (3, "", "e")]
+    rows += [(4, long + "the quick brown foxes jump over", "l"), (5, long, "m"), (5, long, "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame([(1, "the quick brown foxes jumped over"), (2, "lazy dogs"), (3, " "), (None, "nothing of the kind")], "item_id long, text string")
+    for block in (D.BLOCK, 10):
+        got = D.without(docs, bench, block=block)
+        assert got.schema == docs.schema
+        assert sorted((r.item_id for r in got.collect())) == ["e", "m", "m", "n", "x", "z"]
+    assert D.without(docs, bench.limit(0)).count() == len(rows) and D.without(docs.limit(0), bench).count() == 0
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

@@ -45,6 +45,9 @@ def test_stages_equal_brute_force(spark, sf):
 def test_stages_with_odd_rows(spark, sf):
     rows = [(1, None, "en", "s", 0), (2, "", None, "s", 0), (None, "the house and the cat", "en", None, 21), (7, "the house and the cat", "en", "s", 21), (9, "the house and the cat", "en", "s", 21)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 40").orderBy("item_id").first().text
+    two = spark.createDataFrame([(None, item, "en", "s", 0), (5, item, "en", "s", 0), (5, "the house and the cat", "en", "s", 21)], docs.schema)
+    assert [r.text for r in P.remove_benchmark(spark, two, sf).collect()] == ["the house and the cat"]
     for start in (docs, docs.limit(0)):
         df = start
         for name, stage in P.STAGES[:-1]:

@@ -5,12 +5,14 @@ is there unchanged. All pieces of a block of items are searched at once; around
 finds the smallest edit distance between the item and a part of the text. Case and kinds of white space don't count.
 Items too short for an edit have a budget of none and are found where they stand unchanged.
 
-Items come in blocks whose total size has a bound, so that what is sent to the executors doesn't grow; each block is a
-pass over the documents. A worker builds the automaton of a block once and keeps it for its later tasks.
+Items come in blocks whose total size has a bound, so that what is sent to the executors doesn't grow; for `find` each block
+is a pass over the documents, for `without` they are filters one after another in a single pass. A worker builds the automaton
+of a block once and keeps it for its later tasks.
 
 Defined results: null texts and items match nothing, nor do items of white space alone; copies of a document each get
 their own rows; an item that is given twice counts once, and of several texts of an item the nearest; other columns are not used;
-ids may have any type; an empty table on either side gives an empty result.
+ids may have any type; an empty table on either side gives an empty result. `without` looks at each row by itself, so rows that
+share an id, or have none, go or stay by their own texts; it keeps null texts and columns of any name.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,19 +138,22 @@ def _searcher(name: str, items: list[tuple], rate: float) -> Searcher:
     return _KEPT[name]
 
 
+def _blocks(bench: DataFrame, item: str, item_text: str, block: int) -> Iterator[tuple[Broadcast, str]]:
+    """The (item, text) pairs in blocks of about `block` characters, sent to the executors; all texts of an item are in one."""
+    good = bench.select(F.col(item).alias("_item"), F.col(item_text).alias("_text")).where(F.col("_text").rlike(r"\S")).distinct()
+    count = max(1, -(-(good.agg(F.sum(F.length("_text"))).first()[0] or 0) // block))
+    for n in range(count):
+        items = sorted((tuple(r) for r in good.where(F.pmod(F.xxhash64("_item"), F.lit(count)) == n).collect()), key=str)
+        yield bench.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
+
+
 def find(docs: DataFrame, bench: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = RATE, block: int = BLOCK) -> DataFrame:
     """(id, item, distance, end) for each document and item that it holds; `end` counts characters."""
-    good = bench.select(F.col(item).alias("_item"), F.col(item_text).alias("_text")).where(F.col("_text").rlike(r"\S")).distinct()
-    blocks = max(1, -(-(good.agg(F.sum(F.length("_text"))).first()[0] or 0) // block))
     id_type, item_type = docs.schema[id].dataType, bench.schema[item].dataType
     schema = T.StructType([T.StructField(id, id_type), T.StructField(item, item_type), T.StructField("distance", T.IntegerType()), T.StructField("end", T.LongType())])
     arrow = to_arrow_type(item_type)
 
-    def one(n: int) -> DataFrame:
-        # a block has about `block` characters; all texts of an item are in one
-        items = sorted((tuple(r) for r in good.where(F.pmod(F.xxhash64("_item"), F.lit(blocks)) == n).collect()), key=str)
-        sent, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
-
+    def one(sent: Broadcast, name: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             searcher = _searcher(name, sent.value, rate) if sent.value else None
             for batch in batches:
@@ -167,4 +173,20 @@ def find(docs: DataFrame, bench: DataFrame, id: str = "doc_id", text: str = "tex
 
         return docs.select(id, text).mapInArrow(words.trimmed(run), schema)
 
-    return reduce(DataFrame.unionAll, (one(n) for n in range(blocks)))
+    return reduce(DataFrame.unionAll, (one(*b) for b in _blocks(bench, item, item_text, block)))
+
+
+def without(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = RATE, block: int = BLOCK) -> DataFrame:
+    """The rows of docs whose texts hold no item, without a shuffle."""
+    at = docs.columns.index(text)
+
+    def one(left: DataFrame, sent: Broadcast, name: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            searcher = _searcher(name, sent.value, rate) if sent.value else None
+            for batch in batches:
+                clean = (not searcher or not x.is_valid or next(searcher.search(x.as_py()), None) is None for x in batch.column(at))
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return left.mapInArrow(words.trimmed(run), docs.schema)
+
+    return reduce(lambda left, b: one(left, *b), _blocks(bench, item, item_text, block), docs)
