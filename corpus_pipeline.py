@@ -1,7 +1,8 @@
 """A training corpus from raw documents in five stages; each reads what the one before it has written.
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns of `documents` but for the last, which
-returns the tokens' counts and digests. Rows without an id are never dropped as copies or for a benchmark item.
+returns the tokens' counts and digests. Rows without an id are never dropped as copies; for a benchmark item
+each row goes or stays by its own text.
 """
 
 from __future__ import annotations
@@ -41,8 +42,7 @@ def join_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark item."""
-    hit = decontaminate.find(docs, queries.table(spark, sf_dir, "benchmark")).select("doc_id")
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    return decontaminate.without(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
