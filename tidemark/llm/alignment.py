@@ -38,6 +38,9 @@ from tidemark.llm.shared import saved
 BATCH, BROADCAST = 16 << 20, 4_000_000
 #: Bits of an id in an id pair; a token is packed in one int, its length in the last bits below its id, and is negative on side B.
 BITS, SIZE = 31, 10
+#: Where a part stands: the last bits (LOW of them) of its row and of its place in the row as short numbers, what is above them, nearly
+#: always zeros that compress away, in one int.
+LOW, PLACES = 15, "struct<row:array<smallint>,place:array<smallint>,high:array<int>>"
 #: Between these characters a text is cut; all that comes before is neither white space nor control.
 CUT = r"(?<=[^\s\p{Z}\p{C}])(?= )"
 
@@ -135,16 +138,20 @@ class Batch:
         self.rows += len(texts)
 
     def tables(self, one: Bytes, two: Pieces, most: int = 20_000) -> Iterator[tuple[pa.Array, pa.Array]]:
-        """(packed tokens of both sides, places: row above 32 bits of the place in it) of all parts, `most` at a time; null tokens where either side doesn't spell a part."""
+        """(packed tokens of both sides, places as PLACES says) of all parts, `most` at a time; null tokens where either side doesn't spell a part."""
         part, row, place = map(np.concatenate, (self.part, self.row, self.place))
         order = np.argsort(part, kind="stable")
-        spot = row[order].astype(np.int64) << 32 | place[order]
+        row, place = row[order], place[order]
+        last = (1 << LOW) - 1
+        arrays = (row & last).astype(np.int16), (place & last).astype(np.int16), row >> LOW << 16 | place >> LOW
         at = np.append(0, np.cumsum(np.bincount(part, minlength=len(self.index))))
         names = list(self.index)
         for k in range(0, len(names), most):
             some = pa.array(names[k : k + most], pa.large_string())
             begin = at[k : k + len(some) + 1]
-            yield packed(some, one, two), pa.ListArray.from_arrays(pa.array((begin - begin[0]).astype(np.int32)), pa.array(spot[begin[0] : begin[-1]]))
+            cuts = pa.array((begin - begin[0]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x[begin[0] : begin[-1]])) for x in arrays]
+            yield packed(some, one, two), pa.StructArray.from_arrays(lists, names=["row", "place", "high"])
             one.codec.forget()
 
 
@@ -190,9 +197,9 @@ def tokenized(docs: DataFrame, a: str, b: str, pattern: str) -> DataFrame:
         if ids:
             yield from out()
 
-    longs = pa.list_(pa.int64())
-    schema = pa.schema([("batch", pa.int64()), ("ids", longs), ("tokens", pa.list_(pa.int32())), ("places", longs)])
-    return docs.select("id", "text").mapInArrow(words.trimmed(run), "batch long, ids array<long>, tokens array<int>, places array<long>")
+    places = pa.struct([("row", pa.list_(pa.int16())), ("place", pa.list_(pa.int16())), ("high", pa.list_(pa.int32()))])
+    schema = pa.schema([("batch", pa.int64()), ("ids", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int32())), ("places", places)])
+    return docs.select("id", "text").mapInArrow(words.trimmed(run), f"batch long, ids array<long>, tokens array<int>, places {PLACES}")
 
 
 def _written(ends: Column) -> Column:
@@ -233,7 +240,8 @@ def _aligned(parts: DataFrame, batches: int) -> DataFrame:
     # the ids of a batch go to place -1 of each row
     at = lambda row, place, id: F.struct(row.cast("int").alias("row"), place.cast("int").alias("place"), id.cast("long").alias("id"))
     named = F.transform("about.ids", lambda i, k: at(k, F.lit(-1), i))
-    spots = F.transform("about.places", lambda p: at(F.shiftright(p, 32), p.bitwiseAND((1 << 32) - 1), F.lit(None)))
+    low = lambda name, k: F.get(f"about.places.{name}", k).cast("int")
+    spots = F.transform("about.places.high", lambda h, k: at(low("row", k) + F.shiftleft(F.shiftright(h, 16), LOW), low("place", k) + F.shiftleft(h.bitwiseAND(65535), LOW), F.lit(None)))
     done = done.select("batch", F.coalesce(named, spots).alias("at"), "n_a", "n_b", "n_groups", "links", _written(F.col("ends")).alias("groups"))
     return done.select("batch", F.explode("at").alias("at"), "n_a", "n_b", "n_groups", "links", "groups").select("batch", "at.*", "n_a", "n_b", "n_groups", "links", "groups")
 
