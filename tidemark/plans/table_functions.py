@@ -16,11 +16,13 @@ CREATE OR REPLACE TEMPORARY FUNCTION consensus_within(days INT COMMENT 'votes co
 RETURNS TABLE (item BIGINT, node STRING, level INT, decided TIMESTAMP_NTZ, supporters BIGINT, total BIGINT)
 RETURN
 WITH v AS (SELECT * FROM {VOTES} WHERE time <= created + make_dt_interval(consensus_within.days)),
-at AS (SELECT item, time, sum(count(*)) OVER (PARTITION BY item ORDER BY time) AS total FROM v GROUP BY item, time),
-votes_for AS (SELECT item, p.node, p.level, time, count(*) AS n FROM v LATERAL VIEW explode(path) AS p GROUP BY ALL),
-candidate AS (SELECT DISTINCT item, node, level FROM votes_for),
-step AS (SELECT c.item, c.node, c.level, at.time, at.total, sum(coalesce(f.n, 0)) OVER (PARTITION BY c.item, c.node, c.level ORDER BY at.time) AS supporters
-  FROM candidate c JOIN at ON at.item = c.item LEFT JOIN votes_for f ON f.item = c.item AND f.node = c.node AND f.level = c.level AND f.time = at.time),
+each AS (SELECT item, time, p.node, p.level, count(place) AS for_it, count_if(coalesce(place, 0) = 0) AS votes FROM v LATERAL VIEW OUTER posexplode(path) AS place, p GROUP BY ALL),
+by_time AS (SELECT item, time, sum(votes) AS n, collect_list(CASE WHEN for_it > 0 THEN struct(node, level, for_it) END) AS held FROM each GROUP BY item, time),
+at AS (SELECT item, time, held, sum(n) OVER (PARTITION BY item ORDER BY time) AS total FROM by_time),
+candidate AS (SELECT item, node, level FROM each WHERE for_it > 0 GROUP BY item, node, level HAVING sum(for_it) >= 2),
+step AS (SELECT c.item, c.node, c.level, at.time, at.total,
+  sum(aggregate(filter(at.held, x -> x.node = c.node AND x.level = c.level), 0L, (n, x) -> n + x.for_it)) OVER (PARTITION BY c.item, c.node, c.level ORDER BY at.time) AS supporters
+  FROM candidate c JOIN at ON at.item = c.item),
 first AS (SELECT item, min_by(struct(*), struct(level, time, node)) AS x FROM step WHERE 3 * supporters >= 2 * total AND supporters >= 2 GROUP BY item)
 SELECT item, x.node, x.level, x.time, x.supporters, x.total FROM first
 """
