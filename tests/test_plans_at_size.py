@@ -33,6 +33,39 @@ def same(spark, sf, tmp_path):
     return run
 
 
+def exchanges(df):
+    """Shuffles that the plan asks for."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+@pytest.mark.parametrize("name, most", [("consensus_windowed", 4), ("settlement_curve", 6), ("role_features", 6)])
+def test_rows_are_dealt_out_few_times(spark, sf, name, most):
+    assert exchanges(entry.queries()[name](spark, sf)) <= most
+
+
+def test_votes_of_one_time_and_nodes_count_together(spark, sf, same):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    few = lines.withColumns({"l_orderkey": F.col("l_orderkey") % 40, "l_partkey": F.col("l_partkey") % 3, "l_shipdate": F.date_trunc("year", "l_shipdate").cast("timestamp_ntz")})
+    for name in ("consensus_windowed", "settlement_curve", "label_windowed"):
+        same(name, lineitem=few)
+
+
+def test_roles_of_one_user_on_one_day(spark, sf, same):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    hours = F.make_dt_interval(F.lit(0), F.col("l_linenumber") * 3)
+    flagged = F.when(F.col("l_partkey") % 7 != 0, F.col("l_returnflag"))
+    lines = lines.withColumns({"l_suppkey": F.col("l_suppkey") % 3, "l_shipdate": F.when(F.col("l_orderkey") % 9 != 0, F.col("l_shipdate") + hours), "l_returnflag": flagged})
+    orders = spark.read.parquet(f"{sf}/orders.parquet").withColumns({"o_custkey": F.col("o_custkey") % 5, "o_orderdate": F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(5)))})
+    same("role_features", lineitem=lines, orders=orders)
+
+
+def test_passes_of_a_fit_read_the_matrix_once_written(spark, sf):
+    from tidemark.plans import training
+
+    m, _, _ = training.fitted(lambda name: spark.read.parquet(f"{sf}/{name}.parquet"))
+    assert m.inputFiles() and all("/matrix-" in f for f in m.inputFiles())
+
+
 def test_half_seconds_go_to_the_even_one(spark, same):
     rows = [(k, 1, k // 2, float(k)) for k in range(20)]  # half seconds apart, then one, then two and a half
     rows += [(20 + k, 2, 0, 2.5 * k) for k in range(9)] + [(40 + k, 3, 0, 1.5 * k) for k in range(9)] + [(60 + k, 4, 0, 0.5 * k) for k in range(9)]
