@@ -34,9 +34,9 @@ def exclusive_two_hops(edges: DataFrame) -> DataFrame:
 
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, out_degree, in_degree, magnet): magnet is in - out, null for a node that lacks either."""
-    out = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out_degree"))
-    into = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("in_degree"))
-    return out.join(into, "node", "full").withColumn("magnet", F.col("in_degree") - F.col("out_degree"))
+    at = lambda node, out, into: F.struct(F.col(node).alias("node"), F.lit(out).alias("o"), F.lit(into).alias("i"))
+    ends = edges.select(F.explode(F.array(at("src", 1, 0), at("dst", 0, 1))).alias("x")).groupBy("x.node").agg(*(F.nullif(F.sum(f"x.{c}"), F.lit(0).cast("long")).alias(n) for c, n in (("o", "out_degree"), ("i", "in_degree"))))
+    return ends.withColumn("magnet", F.col("in_degree") - F.col("out_degree"))
 
 
 def triangles(edges: DataFrame) -> DataFrame:
