@@ -72,3 +72,16 @@ def test_half_seconds_go_to_the_even_one(spark, same):
     e = spark.createDataFrame(rows, "event_id long, user_id long, kind int, s double")
     e = e.select("event_id", F.timestamp_micros((F.col("s") * 1_000_000).cast("long") + 1_000_000_000_000_000).cast("timestamp_ntz").alias("ts"), "user_id", F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
     same("lag_interarrival", events=e)
+
+
+def test_graph_of_parts_that_are_not_there(spark, sf, same):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_orderkey < 400")
+    lines = lines.withColumn("l_orderkey", F.when(F.col("l_orderkey") % 7 != 0, F.col("l_orderkey"))).withColumn("l_partkey", F.col("l_partkey") % 150)
+    part = spark.read.parquet(f"{sf}/part.parquet").where("p_partkey % 4 != 0").withColumn("p_type", F.when(F.col("p_partkey") % 5 != 0, F.col("p_type")))
+    for name in ("one_hop", "two_hop_stats", "clustering_coefficient", "topology_aggregates", "neighbourhood_rates", "neighbourhood_pool_rank", "pool_shrunk_rates", "degree_asymmetry", "rank_distance"):
+        same(name, lineitem=lines, part=part)
+
+
+@pytest.mark.parametrize("name, most", [("topology_aggregates", 6), ("degree_asymmetry", 4), ("rank_distance", 5), ("bipartite_edges", 5), ("union_all_roles", 4)])
+def test_pairs_are_dealt_out_few_times(spark, sf, name, most):
+    assert exchanges(entry.queries()[name](spark, sf)) <= most
