@@ -78,3 +78,22 @@ def test_sql(spark, sf):
     want = con.execute(queries.ORACLES["op3_line_dedup"]).fetchall()
     got = [tuple(r) for r in queries.op3_line_dedup(spark, sf).collect()]
     assert sorted(got) == sorted(want) and sum(r[2] for r in got) > 0
+
+
+def test_plans_do_not_grow_with_depth_or_size(spark, monkeypatch):
+    plans = {}
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return saved(df, name)
+
+    saved = L.saved
+    monkeypatch.setattr(L, "saved", seen)
+    shuffles, docs = [], []
+    for n in (4, 40):
+        docs = [(k, "\n".join(f"line {m} of {n}" for m in range(n))) for k in range(3)]
+        assert {i: r.text for i, r in run(spark, docs).items()} == brute(docs)
+        shuffles.append(plans["line-runs"].count("Exchange"))
+    assert shuffles[0] == shuffles[1] <= 4
+    done = L.dedup(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert "SortMergeJoin" in done._jdf.queryExecution().executedPlan().toString()

@@ -41,49 +41,57 @@ def line_rows(df: DataFrame, id: str, text: str, words: int) -> DataFrame:
     return rows.select(*PLACE, "x.*")
 
 
-def ranked(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """(keys, n, rank) of the keys with two rows or more: ranks rise with the keys, and equal keys have equal ones."""
-    found = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+def ranked(rows: DataFrame, keys: list[str], name: str, *also: Column) -> DataFrame:
+    """(keys, n, also, rank) of the keys with two rows or more: ranks rise with the keys, and equal keys have equal ones."""
+    found = rows.groupBy(*keys).agg(F.count("*").alias("n"), *also).where("n > 1")
     # rows are in order over partitions and inside them, and so are these ids; writing them down fixes them
     return saved(found.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id()), name)
 
 
-def refined(suffixes: DataFrame, shift: int, total: int) -> tuple[DataFrame, DataFrame]:
-    """(place, r): the ranks of `suffixes` (place, r), refined by the rank of the suffix `shift` lines later; those alone are left out. Also the table of ranks."""
+def refined(suffixes: DataFrame, shift: int, total: int) -> DataFrame:
+    """(place, r, copy): the ranks of `suffixes` (place, r), refined by the rank of the suffix `shift` lines later, and whether an interval has an earlier suffix; those alone are left out."""
+    place = F.struct(*PLACE)
     later = Window.partitionBy("i", "h").orderBy("k").rangeBetween(shift, shift)
     pairs = suffixes.select(*PLACE, "r", F.max("r").over(later).alias("s")).where("s IS NOT NULL")
-    classes = ranked(pairs, ["r", "s"], "line-ranks")
-    return saved(spread(pairs, classes, ["r", "s"], total, PLACE).select(*PLACE, F.col("rank").alias("r")), "line-suffixes"), classes
+    classes = ranked(pairs, ["r", "s"], "line-ranks", F.min(place).alias("least"))
+    found = spread(pairs, classes, ["r", "s"], total, PLACE)
+    found = saved(found.select(*PLACE, F.col("rank").alias("r"), (place != F.col("least")).alias("copy")), "line-suffixes")
+    dropped(classes)
+    return found
 
 
-def copies(suffixes: DataFrame, depth: int, total: int) -> DataFrame:
-    """(i, h, first, end): the spans of `depth` lines of each interval's suffixes but the earliest."""
+def copies(suffixes: DataFrame, total: int) -> DataFrame:
+    """The suffixes (place, r) of each interval but the earliest."""
     place = F.struct(*PLACE)
     first = suffixes.groupBy("r").agg(F.min(place).alias("least"), F.count("*").alias("n"))
-    later = spread(suffixes, first, ["r"], total, PLACE).where(place != F.col("least"))
-    return later.select("i", "h", F.col("k").alias("first"), (F.col("k") + depth).alias("end"))
+    return spread(suffixes, first, ["r"], total, PLACE).where(place != F.col("least"))
+
+
+def spans(found: DataFrame, depth: int) -> DataFrame:
+    """(i, h, first, end): the lines that the copies found at a depth begin with."""
+    return found.select("i", "h", F.col("k").alias("first"), (F.col("k") + depth).alias("end"))
 
 
 def repeats(df: DataFrame, id: str = "doc_id", text: str = "text", run: int = RUN, words: int = WORDS) -> DataFrame:
-    """(id, text's hash, runs): the maximal runs of lines, as (first, end), of each document that copies earlier ones."""
+    """(id, text's hash, runs): the maximal runs of lines, as (first, end), of each document that copies earlier ones.
+
+    Each depth's table says which suffixes are copies, so what joins their spans is one pass over the tables, whatever their number.
+    """
     lines = line_rows(df, id, text, words)
     same = ranked(lines, ["a", "b"], "line-identities")
     total = same.agg(F.sum("n")).first()[0] or 0
     suffixes = saved(spread(lines, same, ["a", "b"], total, PLACE).select(*PLACE, F.col("rank").alias("r"), "long"), "line-suffixes")
-    spans = [copies(suffixes if run == 1 else suffixes.where("long"), 1, total)]
+    found = spans(copies(suffixes if run == 1 else suffixes.where("long"), total), 1)
     tables = [same, suffixes]
     suffixes, depth = suffixes.drop("long"), 1
     while total:
         # a power of two, or the least length of a repeat on the way
         shift = run - depth if depth < run < 2 * depth else depth
-        (suffixes, ranks), depth = refined(suffixes, shift, total), depth + shift
-        tables += [suffixes, ranks]
+        suffixes, depth = refined(suffixes, shift, total), depth + shift
+        tables.append(suffixes)
         total = suffixes.count()
         if total and depth >= run:
-            spans.append(copies(suffixes, depth, total))
-    found = spans[0]
-    for s in spans[1:]:
-        found = found.unionAll(s)
+            found = found.unionAll(spans(suffixes.where("copy"), depth))
     runs = saved(found.groupBy("i", "h").agg(joined(F.array_sort(F.collect_list(F.struct("first", "end")))).alias("runs")), "line-runs")
     for table in tables:
         dropped(table)
@@ -118,7 +126,8 @@ def dedup(df: DataFrame, id: str = "doc_id", text: str = "text", run: int = RUN,
         mark = f"_{mark}"
     i, h, r = (f"{mark}_{c}" for c in "ihr")
     found = repeats(df, id, text, run, words).toDF(i, h, r)
-    joined = df.join(found, df[id].eqNullSafe(F.col(i)) & (F.xxhash64(df[text]) == F.col(h)), "left")
+    # always a merge: what is found outgrows a broadcast, and the plan of small tables would be another one
+    joined = df.join(found.hint("merge"), df[id].eqNullSafe(F.col(i)) & (F.xxhash64(df[text]) == F.col(h)), "left")
     left = F.when(F.col(r).isNull(), F.col(text)).otherwise(F.array_join(kept_lines(F.split(F.col(text), "\n", -1), F.col(r)), "\n"))
     runs = F.coalesce(r, F.array().cast("array<struct<first:int,end:int>>"))
     columns = [left.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns if c != out]
