@@ -101,6 +101,20 @@ def test_nearest_equals_brute_force(spark):
     assert none.transform(df.where("id = 1")).first().b_i is None and none.transform(df.limit(0)).count() == 0
 
 
+def test_nearest_are_measured_by_the_block(monkeypatch):
+    rng = np.random.default_rng(3)
+    rows, donors = rng.integers(0, 9, (1000, 3)).astype(float), rng.integers(0, 9, (700, 3)).astype(float)
+    rows[np.arange(900), np.arange(900) % 3] = np.nan
+    donors[::7, 1] = np.nan
+    calls, summed = [], np.nansum
+    monkeypatch.setattr(np, "nansum", lambda *a, **b: calls.append(1) or summed(*a, **b))
+    means = np.nanmean(donors, 0)
+    got = impute.filled(rows, donors, 5, means)
+    none = lambda m: [[None if np.isnan(x) else float(x) for x in r] for r in m]
+    assert np.allclose(got, np.array(plain(none(rows), none(donors), 5, means)), rtol=1e-12)
+    assert len(calls) < 50
+
+
 def test_most_frequent_text(spark):
     df = spark.createDataFrame([("b", None), ("a", None), (None, None), ("b", None), ("a", None)], "s string, n string")
     model = impute.FrequentImputer(["s", "n"]).fit(df)
