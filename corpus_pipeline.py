@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, jaccard, language, lines, queries
-from tidemark.llm.shared import dropped, saved
+from tidemark.llm.shared import dropped, saved, sifted
 
 #: A text whose best language is less likely than this has none that was learned, nor has one of many words that hardly any learned text has.
 LEAST_SCORE = 0.3
@@ -37,7 +37,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def join_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of similar ones."""
     copies = jaccard.find(docs, shingle=SHINGLE, percent=SIMILAR).where("doc_id != component_id").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    told = sifted(docs, copies, "doc_id")  # most texts needn't be dealt out to learn that they stay
+    left = told.where("_maybe").join(copies, "doc_id", "left_anti")
+    return told.where("NOT _maybe").unionByName(left).select(docs.columns)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

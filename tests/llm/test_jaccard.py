@@ -7,6 +7,7 @@ import pytest
 
 from tidemark.llm import blocks, queries, words
 from tidemark.llm import jaccard as J
+from tidemark.llm.shared import sifted
 
 
 def sets(text, size=4):
@@ -133,3 +134,52 @@ def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = sorted(tuple(r) for r in queries.op8_ngram_jaccard(spark, sf).collect())
     assert got == sorted(brute(docs), key=lambda r: r[0])
+
+
+def met(a, b, percent):
+    """(whether two sets share a piece, whether the counts of a window with one allow a link)."""
+    parts = []
+    for value, of, flat, whole, size in J.windowed_pieces(np.concatenate([a, b]), np.array([len(a), len(b)]), percent):
+        counts = J.count_vectors(flat, size, J.GROUPS)
+        parts += [(v, whole[o], counts[o], size[o]) for v, o in zip(value.tolist(), of, strict=True)]
+    first = {v: (c, n) for v, s, c, n in parts if s == 0}
+    both = [(first[v], (c, n)) for v, s, c, n in parts if s == 1 and v in first]
+    return bool(both), any((100 + percent) * np.minimum(x, y).sum() >= percent * (n + m) for (x, n), (y, m) in both)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_windows_tell_long_sets_apart_and_miss_none(percent):
+    rng = np.random.default_rng(5)
+    draw = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    for n in (60, 700, 1023, 1024, 1100, 2047, 2600, 5000, 18_000):
+        base = draw(n)
+        apart = int(J.most_apart(np.array([n]), percent)[0])
+        for drop in (0, apart // 2, apart):
+            a, b = np.unique(base), np.unique(np.concatenate([base[drop:], draw(apart - drop)]))
+            assert not J.similar(a, b, percent) or met(a, b, percent) == (True, True), (n, drop)
+    for n in (5000, 18_000):  # a fifth in common, which counts of whole sets don't rule out
+        common = draw(n // 5)
+        a, b = (np.unique(np.concatenate([common, draw(n - len(common))])) for _ in range(2))
+        whole = J.count_vectors(np.concatenate([a, b]), np.array([n, n]), J.GROUPS)
+        assert (100 + percent) * np.minimum(*whole).sum() >= percent * 2 * n and not met(a, b, percent)[1], n
+
+
+def test_long_texts_that_share_passages(spark):
+    rng = random.Random(9)
+    write = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    passage = write(300)
+    texts = [" ".join(write(3000) + passage) for _ in range(4)]
+    near = texts[0].split()
+    for k in range(5, 2500, 100):
+        near[k] = "other"
+    rows = list(enumerate([*texts, " ".join(near), texts[1]]))
+    got = run(spark, rows, percent=85)
+    assert got == brute(rows) and [c for _, _, c in got] == [0, 1, 2, 3, 0, 1]
+
+
+def test_sifted_rows_are_in_no_key(spark):
+    keys = spark.range(0, 5000, 7).toDF("k")
+    rows = spark.createDataFrame([(k, "x") for k in range(-50, 5000)] + [(None, "y"), (2**40, "z")], "k long, t string")
+    got = {r.k: r._maybe for r in sifted(rows, keys, "k").collect()}
+    assert all(got[k] for k in range(0, 5000, 7)) and sum(got.values()) < 5000 // 7 + 60
+    assert not any(r._maybe for r in sifted(rows, keys.limit(0), "k").collect())

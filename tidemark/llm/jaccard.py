@@ -7,11 +7,14 @@ such points is at most the sum of minima with the node's maxima. Pairs that surv
 To bring points together that can survive, without comparing all with all:
 
 1. Documents with equal sets are one point from here on.
-2. If two sets are similar enough, they differ in few shingles, `most_apart` at most. A set is cut by hash into more
+2. Sets are cut by hash into windows of about WINDOW shingles. If two sets are similar enough, so are their parts in one window at least,
+   since the whole overlap is at most as large a share of the whole union as in the best window.
+   Such parts differ in few shingles, `most_apart` at most. A window is cut by hash into more
    pieces than that (see pieces()); each differing shingle spoils one piece, so that one of the first
    most_apart + 1 pieces that aren't empty is the same in both sets. The pieces that occur twice are found
-   first; the points that share one go to one task with their counts, and the R-tree bound leaves links between candidates.
-3. Documents that such links connect come together with their texts; an R-tree over finer counts gives
+   first; the points that share one go to one task with the window's counts, and the R-tree bound leaves links between candidates. Counts of
+   a window tell sets of any size apart; those of all of a long set would be alike for unrelated sets.
+3. Documents that such links connect come together with their texts, which are read again; an R-tree over finer counts gives
    candidates and the sets decide, by their hashes first and then by the shingles themselves. Points that are already connected needn't be verified against each other.
 
 Pieces and groups of candidates with many points are dealt out in chunks, and each pair of chunks is a task of its own. What
@@ -33,10 +36,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import blocks, words
-from tidemark.llm.shared import components, dropped, saved
+from tidemark.llm.shared import components, dropped, saved, sifted
 
 #: Groups of the count vectors with which points meet, and of those within a group of candidates.
 GROUPS, FINE = 128, 256
+#: Shingles of a window, a power of two: a set of a class of sizes has between this and twice as many in each of its windows, on average.
+WINDOW = 512
 #: Points that share a piece, and documents of a group of candidates, that one task compares on one side.
 CHUNK, DOCS = 512, 512
 #: Shingles of those documents, on average.
@@ -84,45 +89,51 @@ def most_apart(size: np.ndarray, percent: int) -> np.ndarray:
 
 
 def pieces(flat: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, set) of the first most_apart + 1 pieces of each set that aren't empty.
+    """(hash, set) of the pieces of all windows of each set, as windowed_pieces() has them."""
+    found = list(windowed_pieces(flat, size, percent))
+    return (np.concatenate([x[0] for x in found]), np.concatenate([x[3][x[1]] for x in found])) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
-    Pieces are ranges of hashes, as many as fit the class of the set's size (a power of two), so that pieces of two sets
+
+def windowed_pieces(flat: np.ndarray, size: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(hash and part of each piece; shingles, set and size of each part): parts of sets are windows that aren't empty, pieces the first most_apart + 1 of a part that aren't empty.
+
+    Windows and their pieces are ranges of hashes, as many as fit the class of the set's size (a power of two), so that those of two sets
     of a class can be compared; a set that may be similar to one of the next class is cut for that class too. A
-    class has about a quarter more pieces than the largest of its sets needs. Should a set still have too few that aren't empty,
-    two such sets might have all of them apart; then the n - ceil(n * percent / 100) + 1 least hashes are given as well, of which
-    two similar sets share one. Sets below TINY are cut into single shingles.
+    class has about a quarter more pieces than the largest of its sets needs. Should a part still have too few that aren't empty,
+    two such parts might have all of them apart; then the n - ceil(n * percent / 100) + 1 least hashes are given as well, of which
+    two similar parts share one. Sets below TINY are cut into single shingles.
     """
     first = np.cumsum(size) - size
     own = np.maximum(np.int64(np.log2(TINY)) - 1, np.log2(np.maximum(size, 1)).astype(np.int64))
-    out_hash, out_set = [], []
     for shift in (0, 1):
         chosen = size > 0 if shift == 0 else (size > 0) & (100 * size // percent >= 2 << own)
         some = np.flatnonzero(chosen)
         if not len(some):
             continue
-        n, kind = size[some], own[some] + shift
-        at = np.repeat(first[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        h, of, c = flat[at], np.repeat(np.arange(len(some)), n), np.repeat(kind, n)
-        count = (0.45 * percent_room(percent) * (1 << c)).astype(np.uint64) + np.uint64(4)
-        tiny = c < np.log2(TINY)
-        piece = np.where(tiny, h, (h >> np.uint64(32)) * count >> np.uint64(32))
+        whole = size[some]
+        at = np.repeat(first[some] - (np.cumsum(whole) - whole), whole) + np.arange(whole.sum())
+        h, of, c = flat[at], np.repeat(np.arange(len(some)), whole), np.repeat(own[some] + shift, whole)
+        halvings = np.maximum(c - int(np.log2(WINDOW)), 0).astype(np.uint64)
+        window = np.where(halvings > 0, h >> (np.uint64(64) - np.maximum(halvings, np.uint64(1))), np.uint64(0))
         new = np.ones(len(h), bool)
-        new[1:] = (piece[1:] != piece[:-1]) | (of[1:] != of[:-1])
+        new[1:] = (window[1:] != window[:-1]) | (of[1:] != of[:-1])
         begin = np.flatnonzero(new)
-        sums = np.add.reduceat(words.mix(h), begin) if len(begin) else h[:0]
-        owner = of[begin]
-        rank = np.arange(len(begin)) - np.searchsorted(owner, owner)
+        n, part = np.diff(np.append(begin, len(h))), np.cumsum(new) - 1
+        count = (0.45 * percent_room(percent) * (1 << np.minimum(c, int(np.log2(WINDOW))))).astype(np.uint64) + np.uint64(4)
+        tiny = c < np.log2(TINY)
+        piece = np.where(tiny, h, ((h << halvings) >> np.uint64(32)) * count >> np.uint64(32))
+        salt = words.mix(c.astype(np.uint64) * np.uint64(0x165667B19E3779F9) + window * np.uint64(0x9E3779B185EBCA87))
+        new[1:] |= piece[1:] != piece[:-1]
+        start = np.flatnonzero(new)
+        sums, owner = np.add.reduceat(words.mix(h), start), part[start]
+        rank = np.arange(len(start)) - np.searchsorted(owner, owner)
         keep = rank <= most_apart(n, percent)[owner]
-        value = words.mix(sums + piece[begin] * np.uint64(0xC2B2AE3D27D4EB4F) + c[begin].astype(np.uint64) * np.uint64(0x165667B19E3779F9))
-        out_hash.append(value[keep])
-        out_set.append(some[owner[keep]])
-        few = np.bincount(owner, minlength=len(some)) <= most_apart(n, percent)
+        value = words.mix(sums + piece[start] * np.uint64(0xC2B2AE3D27D4EB4F) + salt[start])
+        few = np.bincount(owner, minlength=len(n)) <= most_apart(n, percent)
         prefix = n + (-n * percent) // 100 + 1
-        inner = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-        keep = few[of] & (inner < prefix[of])
-        out_hash.append(words.mix(h[keep] + np.uint64(0x27D4EB2F165667C5)))
-        out_set.append(some[of[keep]])
-    return (np.concatenate(out_hash), np.concatenate(out_set)) if out_hash else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        least = few[part] & (np.arange(len(h)) - begin[part] < prefix[part])
+        least_value = words.mix((h[least] ^ salt[least]) + np.uint64(0x27D4EB2F165667C5))
+        yield np.concatenate([value[keep], least_value]), np.concatenate([owner[keep], part[least]]), h, some[of[begin]], n
 
 
 def percent_room(percent: int) -> float:
@@ -231,19 +242,17 @@ def forest(tree: Tree, sides: np.ndarray | None, verify=None) -> tuple[np.ndarra
 
 
 def _candidates(t: pa.Table, begins: np.ndarray, percent: int) -> pa.Table:
-    """Links between candidates in runs of points that share a piece; rows with a text pass through."""
+    """Links between candidates in runs of points that share a piece."""
     key = t.column("own").to_numpy()
     ends = np.append(begins[1:], len(t))
     ids, size = t.column("i").to_numpy(), t.column("n").to_numpy()
-    piece = key >= 0
-    counts = np.zeros((len(t), GROUPS), np.int32)
-    counts[piece] = widened(np.frombuffer(b"".join(x for x in t.column("counts").to_pylist() if x is not None), np.uint8).reshape(-1, GROUPS))
+    counts = widened(np.frombuffer(b"".join(t.column("counts").to_pylist()), np.uint8).reshape(-1, GROUPS))
     links = []
     run = np.repeat(np.arange(len(begins)), ends - begins)
     length = ends - begins
     cross = t.column("c1").to_numpy() != t.column("c2").to_numpy()
     # short runs together, by the distance of the two rows; long ones with a tree each
-    short = piece & (length[run] <= LEAF)
+    short = length[run] <= LEAF
     for d in range(1, LEAF):
         a = np.flatnonzero(short[:-d] & short[d:] & (run[:-d] == run[d:])) if len(t) > d else np.empty(0, np.int64)
         if not len(a):
@@ -253,7 +262,7 @@ def _candidates(t: pa.Table, begins: np.ndarray, percent: int) -> pa.Table:
         overlap = np.minimum(counts[a], counts[b]).sum(1, dtype=np.int64)
         good = (100 + percent) * overlap >= percent * (size[a].astype(np.int64) + size[b])
         links.append(np.stack([ids[a[good]], ids[b[good]]]))
-    for k in np.flatnonzero((length > LEAF) & piece[begins]):
+    for k in np.flatnonzero(length > LEAF):
         rows = slice(begins[k], ends[k])
         tree = Tree(counts[rows], size[rows], percent)
         some, root = forest(tree, key[rows] if cross[begins[k]] else None)
@@ -261,11 +270,7 @@ def _candidates(t: pa.Table, begins: np.ndarray, percent: int) -> pa.Table:
     links = np.concatenate(links, 1) if links else np.empty((2, 0), np.int64)
     links = np.stack([links.max(0), links.min(0)])
     links = np.unique(links[:, links[0] != links[1]], axis=1)
-    texts = t.filter(pa.array(~piece))
-    return pa.table({
-        "a": pa.array([*links[0], *texts.column("i").to_pylist()], pa.int64()), "b": pa.array([*links[1], *[None] * len(texts)], pa.int64()),
-        "text": pa.chunked_array([pa.nulls(links.shape[1], pa.string()), *texts.column("text").chunks]),
-    })
+    return pa.table({"a": pa.array(links[0], pa.int64()), "b": pa.array(links[1], pa.int64())})
 
 
 def _verified(t: pa.Table, begins: np.ndarray, percent: int, shingle: int) -> pa.Table:
@@ -321,6 +326,17 @@ def profiles(df: DataFrame, id: str, text: str, shingle: int) -> DataFrame:
     return df.select(F.col(id).cast("long"), text).mapInArrow(words.trimmed(run), "i long, n long, key binary")
 
 
+def keyed(df: DataFrame, shingle: int) -> DataFrame:
+    """(i, key, text) of each row of df (i, text): with the digest of its set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = set_digests(batch.column(1), shingle)[1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), batch.column(1)], names=["i", "key", "text"])
+
+    return df.select("i", "text").mapInArrow(words.trimmed(run), "i long, key binary, text string")
+
+
 def _nodes(t: pa.Table, most: int, shingle: int) -> np.ndarray:
     """The node of each row: its id times `most`, plus the place of its set among the sets of its id, by digest. All rows of an id are here.
 
@@ -381,8 +397,8 @@ def find(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4
     least = real.groupBy("key").agg(F.min(F.struct("node", "i")).alias("x")).select("key", "x.node", "x.i")
     one = least.select(blocks.batch_of("i", count).alias("batch"), F.col("node").alias("i"), F.lit(None).cast("long").alias("hash"), F.lit(None).cast("int").alias("count"))
 
-    def chosen(t: pa.Table, nodes: pa.ChunkedArray) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]]:
-        """(nodes, texts, hashes, sizes) of the chosen documents, once each, in parts."""
+    def chosen(t: pa.Table, nodes: pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(nodes, hashes, sizes) of the chosen documents, once each, in parts."""
         want = np.unique(np.array([x for x in nodes.to_pylist() if x is not None], np.int64))
         t = t.set_column(t.schema.get_field_index("i"), "i", pa.array(_nodes(t, most, shingle)))
         have, at = np.unique(t.column("i").to_numpy(), return_index=True)
@@ -390,48 +406,44 @@ def find(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4
         t = t.select(["i", "text"]).take(pa.array(at)).combine_chunks()
         for k, data, begins in words.parts(t.column("text"), PART):
             flat, n = shingle_sets(data, begins, shingle)
-            yield t.column("i").to_numpy()[k : k + len(n)], t.column("text").slice(k, len(n)), flat, n
+            yield t.column("i").to_numpy()[k : k + len(n)], flat, n
 
     def asking(docs: pa.Table, ones: pa.Table) -> pa.Table:
-        got = [pieces(flat, n, percent)[0] for _, _, flat, n in chosen(docs, ones.column("i"))] if len(docs) else []
+        got = [pieces(flat, n, percent)[0] for _, flat, n in chosen(docs, ones.column("i"))] if len(docs) else []
         return blocks.ask(docs.column("batch")[0].as_py() if len(docs) else 0, np.concatenate([np.empty(0, np.uint64), *got]))
 
     def emitting(docs: pa.Table, asked: pa.Table) -> pa.Table:
         answer, out = blocks.answers(asked), []
-        for ids, text, flat, n in chosen(docs, asked.column("i")) if len(docs) else ():
-            value, of = pieces(flat, n, percent)
-            times = blocks.known(value, answer)
-            value, of, times = value[times > 1], of[times > 1], times[times > 1]
-            chunks = -(-times // CHUNK)
-            own = _chunk(ids[of], chunks)
-            again = np.repeat(np.arange(len(of)), chunks)
-            other = np.arange(len(again)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
-            counts = narrowed(count_vectors(flat, n, GROUPS))
-            vec = [counts[k].tobytes() for k in range(len(n))]
-            out.append(pa.table({
-                "piece": value[again].view(np.int64), "c1": np.minimum(own[again], other), "c2": np.maximum(own[again], other), "own": own[again], "i": ids[of[again]],
-                "n": n[of[again]], "counts": pa.array([vec[k] for k in of[again]], pa.binary()), "text": pa.nulls(len(again), pa.string()),
-            }))
-            docs_with = np.unique(of)
-            m = len(docs_with)
-            out.append(pa.table({
-                "piece": words.mix(ids[docs_with].astype(np.uint64)).view(np.int64), "c1": np.zeros(m, np.int64), "c2": np.zeros(m, np.int64), "own": np.full(m, -1), "i": ids[docs_with],
-                "n": n[docs_with], "counts": pa.nulls(m, pa.binary()), "text": text.take(pa.array(docs_with)).cast(pa.string()),
-            }))
+        for ids, flat, n in chosen(docs, asked.column("i")) if len(docs) else ():
+            for value, of, shingles, whole, size in windowed_pieces(flat, n, percent):
+                times = blocks.known(value, answer)
+                value, of, times = value[times > 1], of[times > 1], times[times > 1]
+                chunks = -(-times // CHUNK)
+                own = _chunk(ids[whole[of]], chunks)
+                again = np.repeat(np.arange(len(of)), chunks)
+                other = np.arange(len(again)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+                vec = narrowed(count_vectors(shingles, size, GROUPS))
+                out.append(pa.table({
+                    "piece": value[again].view(np.int64), "c1": np.minimum(own[again], other), "c2": np.maximum(own[again], other), "own": own[again], "i": ids[whole[of[again]]],
+                    "n": size[of[again]], "counts": pa.array([vec[k].tobytes() for k in of[again]], pa.binary()),
+                }))
         return pa.concat_tables([x.combine_chunks() for x in out]) if out else _ROWS.empty_table()
 
     by = docs.groupBy("batch")
     asked = by.cogroup(one.groupBy("batch")).applyInArrow(asking, blocks.ASKED)
     replies = blocks.repeated(asked).select("batch", F.lit(None).cast("long").alias("i"), "hash", "count").unionAll(one)
-    rows = by.cogroup(replies.groupBy("batch")).applyInArrow(emitting, "piece long, c1 long, c2 long, own long, i long, n long, counts binary, text string")
-    found = saved(blocks.in_runs(rows, ["piece", "c1", "c2"], lambda t, b: _candidates(t, b, percent), "a long, b long, text string"), "candidates")
+    rows = by.cogroup(replies.groupBy("batch")).applyInArrow(emitting, "piece long, c1 long, c2 long, own long, i long, n long, counts binary")
+    found = saved(blocks.in_runs(rows, ["piece", "c1", "c2"], lambda t, b: _candidates(t, b, percent), "a long, b long"), "candidates")
 
-    groups = components(found.where("b IS NOT NULL").select("a", "b"))
+    groups = components(found)
+    dropped(found)
     member = _dealt(groups.withColumnRenamed("node", "i").join(real.select(F.col("node").alias("i"), "n").distinct(), "i"), percent)
-    texts = found.where("b IS NULL").select(F.col("a").alias("i"), "text").join(member, "i")
+    # the texts of the candidates, read again and taken once for each set of an id
+    named = real.select("i", "key", "node").distinct().join(groups.select("node"), "node")
+    again = sifted(df.select(F.col(id).cast("long").alias("i"), F.col(text).alias("text")), named, "i").where("_maybe")
+    texts = keyed(again, shingle).join(named, ["i", "key"]).select(F.col("node").alias("i"), "text").dropDuplicates(["i"]).join(member, "i")
     links = blocks.in_runs(texts.select("component", "l1", "l2", "c1", "c2", "own", "i", "text"), ["component", "l1", "l2", "c1", "c2"], lambda t, b: _verified(t, b, percent, shingle), "a long, b long", rows=1500)
     parts = components(links)
-    dropped(found)
 
     # equal sets share the component of the least node among them, and a component is told by the id of its least node
     least = least.drop("i").join(parts.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left")
@@ -443,4 +455,4 @@ def find(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4
     return done
 
 
-_ROWS = pa.schema([("piece", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("own", pa.int64()), ("i", pa.int64()), ("n", pa.int64()), ("counts", pa.binary()), ("text", pa.string())])
+_ROWS = pa.schema([("piece", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("own", pa.int64()), ("i", pa.int64()), ("n", pa.int64()), ("counts", pa.binary())])

@@ -62,6 +62,23 @@ def spread(rows: DataFrame, found: DataFrame, keys: list[str], total: int, by: l
     return dealt.drop("_shares").join(copies, [*keys, "_share"]).drop("_share")
 
 
+#: Bits by which sifted() tells keys apart (half a megabyte), and those of a row of them, which Spark fixes.
+SIEVE, BLOCK = 1 << 22, 1 << 15
+
+
+def sifted(rows: DataFrame, keys: DataFrame, by: str) -> DataFrame:
+    """rows with `_maybe`, which is false only where no row of keys has the value of `by` (an integer): what is false needs no join.
+
+    The bits of the keys' hashes are broadcast, as many whatever the number of keys; with a million keys a fifth of the other rows may be among them.
+    """
+    place = F.pmod(F.xxhash64(F.col(by).cast("long")), F.lit(SIEVE))
+    bit = place.bitwiseAND(BLOCK - 1)
+    bits = keys.select(place.alias("_at")).groupBy(F.floor(F.col("_at") / BLOCK).alias("_block")).agg(F.bitmap_construct_agg(F.col("_at").bitwiseAND(BLOCK - 1)).alias("_bits"))
+    found = rows.withColumn("_block", F.floor(place / BLOCK)).join(F.broadcast(bits), "_block", "left")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return found.withColumn("_maybe", F.coalesce(F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1, F.lit(False))).select(*rows.columns, "_maybe")
+
+
 #: Ranges that rows are dealt out to at most, rows looked at for each, and bounds that are compared at a time.
 RANGES, LOOKS, STEP = 16_384, 20, 128
 
