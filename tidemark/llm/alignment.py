@@ -2,16 +2,18 @@
 
 A text is cut where a space follows a character that is neither white space nor control. Both tokenizers end a
 token at every such place, and neither looks across it (`Pieces` checks that of its vocabulary), so a part
-gets the same tokens wherever it stands. Each distinct part of a batch of about BATCH characters, which never leaves its task, is tokenized and aligned once:
+gets the same tokens wherever it stands. Each distinct part of a batch of about BATCH bytes is tokenized once.
+
+Which tokens meet depends on their lengths alone, the part's shape. Each distinct shape of the corpus is aligned once:
 
 - tokens are exploded with their places, and a window sums their lengths to the byte at which each ends;
-- both tokenizers' tokens meet by an equi-join on part and end, written as one group-by of both lists;
+- both tokenizers' tokens meet by an equi-join on shape and end, written as one group-by of both lists;
 - a window from the last end back counts the common ends: the number of the group that a token is in;
 - the same window gives, for each end, the token of either side that covers the bytes up to it. Two tokens overlap
   just where both cover such a stretch, so a group's links are its ends: a range join without a join.
 
-Then the parts' results go back to the places they came from, and each document is put together in order. Distinct parts' tokens and
-places are shuffled once, by batch; texts never are, and all windows and groups up to the document's row stay in the task of the batch.
+Then the shapes' alignments go to the batches that have them, a row for each, and meet there the batch's tokens and places, which are
+one row: ids take the tokens' places, and each document is put together in order. Texts are never shuffled.
 
 Counts of linked id pairs are those of documents that hold them; they are broadcast after their number is checked, beyond BROADCAST joined
 by a shuffle.
@@ -23,23 +25,27 @@ tokens. Repeated rows each have their own row and count as documents of their ow
 from __future__ import annotations
 
 import json
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles, TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, words
 from tidemark.llm.shared import saved
 
-#: Characters of a batch's texts from which the next one begins, and entries that are broadcast at most.
+#: Bytes of a batch's texts from which the next one begins, and entries that are broadcast at most.
 BATCH, BROADCAST = 16 << 20, 4_000_000
-#: Bits of an id in an id pair; a token is packed in one int, its length in the last bits below its id, and is negative on side B.
+#: A token is packed in one int of so many bits, its length in the last SIZE bits below its id, and is negative on side B.
 BITS, SIZE = 31, 10
-#: Between these characters a text is cut; all that comes before is neither white space nor control.
-CUT = r"(?<=[^\s\p{Z}\p{C}])(?= )"
+#: Parts that are tokenized at once, and parts' places of documents that are put together at once.
+MOST, PLACES = 20_000, 1 << 19
+#: A character after which a space begins a new part.
+SEEN = r"[^\s\p{Z}\p{C}]"
 
 
 class Bytes:
@@ -109,47 +115,50 @@ def _spelled(tokenizer: Bytes | Pieces, parts: list[str], data: np.ndarray, at:
     return (ids << SIZE | size).astype(np.int32), n, right
 
 
-def cut(texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """(parts of all texts, each after a space; number of parts of each text)."""
+def _visible(codes: np.ndarray) -> np.ndarray:
+    """Whether each character is neither white space nor control."""
     import regex
 
-    found = [regex.split(CUT, " " + t, flags=regex.V0) for t in texts]
-    return [p for x in found for p in x], np.array([len(x) for x in found], np.int64)
-
-
-class Batch:
-    """The distinct parts of some documents, and where they stand."""
-
-    def __init__(self):
-        self.index: dict[str, int] = {}
-        self.part, self.row, self.place = [], [], []
-        self.rows, self.size = 0, 0
-
-    def add(self, texts: list[str]) -> None:
-        found, n = cut(texts)
-        for p in found:
-            self.index.setdefault(p, len(self.index))
-        self.part.append(np.fromiter(map(self.index.__getitem__, found), np.int32, len(found)))
-        self.row.append(np.repeat(np.arange(self.rows, self.rows + len(texts), dtype=np.int32), n))
-        self.place.append((np.arange(len(found)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32))
-        self.rows += len(texts)
-
-    def tables(self, one: Bytes, two: Pieces, most: int = 20_000) -> Iterator[tuple[pa.Array, pa.Array]]:
-        """(packed tokens of both sides, places: row above 32 bits of the place in it) of all parts, `most` at a time; null tokens where either side doesn't spell a part."""
-        part, row, place = map(np.concatenate, (self.part, self.row, self.place))
-        order = np.argsort(part, kind="stable")
-        spot = row[order].astype(np.int64) << 32 | place[order]
-        at = np.append(0, np.cumsum(np.bincount(part, minlength=len(self.index))))
-        names = list(self.index)
-        for k in range(0, len(names), most):
-            some = pa.array(names[k : k + most], pa.large_string())
-            begin = at[k : k + len(some) + 1]
-            yield packed(some, one, two), pa.ListArray.from_arrays(pa.array((begin - begin[0]).astype(np.int32)), pa.array(spot[begin[0] : begin[-1]]))
-            one.codec.forget()
-
-
-def packed(parts: pa.Array, one: Bytes, two: Pieces) -> pa.Array:
-    """The packed (side, id, length) of each part's tokens, A's first; null for a part that either side doesn't spell."""
+    once, which = np.unique(codes, return_inverse=True)
+    return np.array([regex.match(SEEN, chr(c), flags=regex.V0) is not None for c in once.tolist()], bool)[which]
+
+
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(parts of all texts, each after a space; number of parts of each text)."""
+    fixed = lambda x: pa.scalar(x, pa.large_string())
+    data, at = words.utf8(pc.binary_join_element_wise(fixed(" "), texts.cast(pa.large_string()), fixed("")))
+    space = np.flatnonzero(data == 32)[1:]
+    last = data[space - 1]
+    new = (last > 32) & (last < 127)
+    wide = np.flatnonzero(last > 127)
+    code, open = last[wide].astype(np.int64) & 63, np.ones(len(wide), bool)
+    for k in (1, 2, 3):
+        byte = data[np.maximum(space[wide] - 1 - k, 0)].astype(np.int64)
+        code |= np.where(open, (byte & np.where(byte < 0xC0, 63, 63 >> k)) << 6 * k, 0)
+        open &= byte < 0xC0
+    new[wide] = _visible(code)
+    begin = np.union1d(at[:-1], space[new])
+    return _spans(pa.large_string(), np.append(begin, len(data)), data), np.diff(np.append(np.searchsorted(begin, at[:-1]), len(begin)))
+
+
+def _spans(kind: pa.DataType, at: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(kind, len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(at, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _put(x: np.ndarray) -> bytes:
+    """The numbers as compressed 32-bit ones, their first bytes first; `_got` gives them back."""
+    raw = np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return struct.pack("<q", len(raw)) + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
+
+
+def _got(x: bytes) -> np.ndarray:
+    (size,) = struct.unpack("<q", x[:8])
+    raw = pa.decompress(x[8:], size, "zstd", asbytes=True) if size else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4")[:, 0].astype(np.int64)
+
+
+def packed(parts: pa.Array, one: Bytes, two: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(packed side, id, length of each part's tokens, A's first; number of tokens of each part; whether both sides spell it)."""
     data, at = words.utf8(parts)
     texts = parts.to_pylist()
     x, n, ok = _spelled(one, texts, data, at)
@@ -158,126 +167,186 @@ def packed(parts: pa.Array, one: Bytes, two: Pieces) -> pa.Array:
     begin = np.cumsum(n + m) - n - m
     both[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(len(x))] = x
     both[np.repeat(begin + n - (np.cumsum(m) - m), m) + np.arange(len(y))] = ~y
-    return pa.ListArray.from_arrays(pa.array(np.append(begin, len(both)).astype(np.int32)), pa.array(both), mask=pa.array(~(ok & also)))
+    return both, n + m, ok & also
+
+
+_TOKENS = pa.schema([("batch", pa.int64()), ("ids", pa.list_(pa.int64())), *((n, pa.binary()) for n in ("counts", "places", "shapes", "tokens")), ("asked", pa.list_(pa.list_(pa.int16())))])
+
+
+def _batch(number: int, texts: pa.ChunkedArray, ids: list[int | None], one: Bytes, two: Pieces) -> pa.RecordBatch:
+    """The row of a batch: see tokenized()."""
+    found, counts = cut(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts)
+    coded = found.dictionary_encode()
+    parts, places = coded.dictionary, coded.indices.to_numpy()
+    tokens, size, right = map(np.concatenate, zip(*(packed(parts.slice(k, MOST), one, two) for k in range(0, len(parts), MOST)), strict=True))
+    tokens, size = tokens[np.repeat(right, size)], size[right]
+    second, token = tokens < 0, np.where(tokens < 0, ~tokens, tokens)
+    length = token & (1 << SIZE) - 1
+    every = _spans(pa.large_binary(), np.append(0, np.cumsum(2 * size)), np.where(second, ~length, length).astype("<i2").view(np.uint8)).dictionary_encode()
+    shapes = np.full(len(parts), -1)
+    shapes[right] = every.indices.to_numpy()
+    data, at = words.utf8(every.dictionary)
+    asked = pa.ListArray.from_arrays(pa.array((at // 2).astype(np.int32)), pa.array(np.frombuffer(data, "<i2")))
+    asked = pa.ListArray.from_arrays(pa.array([0, len(asked)], pa.int32()), asked)
+    packs = [pa.array([_put(x)], pa.binary()) for x in (counts, places, shapes, token >> SIZE)]
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), *packs, asked], schema=_TOKENS)
 
 
 def tokenized(docs: DataFrame, a: str, b: str, pattern: str) -> DataFrame:
-    """(batch, ids, tokens, places): each distinct part of a batch of documents (id, text) with its tokens and where it stands.
+    """(batch, ids, counts, places, shapes, tokens, asked): one row for each batch of documents (id, text).
 
-    Besides, each batch has one row with the ids of its documents, in order.
+    It has the ids of its documents, the number of parts of each, and in order the numbers of these parts among the batch's distinct ones;
+    the number of each distinct part's shape among `asked`, the batch's distinct shapes (-1 where either side doesn't spell the part), and
+    the tokens' ids. A shape is the lengths of A's tokens and those of B's, the latter as -1 - length. Numbers are packed by `_put`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = _loaded(a, b, pattern)
         number = TaskContext.get().partitionId() << 32
-        held, ids = Batch(), []
+        held, size = [], 0
 
-        def out():
-            yield pa.RecordBatch.from_pylist([{"batch": number, "ids": ids}], schema)
-            for tokens, places in held.tables(one, two):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), number)), pa.nulls(len(tokens), schema.field("ids").type), tokens, places], schema=schema)
+        def out() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            return _batch(number, t.column("text"), t.column("id").to_pylist(), one, two)
 
         for batch in batches:
             for piece in bpe.groups(batch.column("text")):
                 some = batch.slice(piece.start, piece.stop - piece.start)
-                texts = some.column("text").to_pylist()
-                held.add(texts)
-                ids += some.column("id").to_pylist()
-                held.size += sum(map(len, texts))
-                if held.size >= BATCH:
-                    yield from out()
-                    number, held, ids = number + 1, Batch(), []
-        if ids:
-            yield from out()
-
-    longs = pa.list_(pa.int64())
-    schema = pa.schema([("batch", pa.int64()), ("ids", longs), ("tokens", pa.list_(pa.int32())), ("places", longs)])
-    return docs.select("id", "text").mapInArrow(words.trimmed(run), "batch long, ids array<long>, tokens array<int>, places array<long>")
-
-
-def _written(ends: Column) -> Column:
-    """`a1,a2|b1;a3|b2` of an array of (group, end, a, b)."""
-    side = lambda k, name: F.transform(F.filter(ends, lambda x: x[name].isNotNull()), lambda x: F.struct(x["g"].alias("g"), F.lit(k).alias("side"), x["end"].alias("end"), x[name].alias("id")))
-    every = F.array_sort(F.concat(side(0, "a"), side(1, "b")))
-    sign = lambda x, last: F.when(last.isNull(), "").when(last["g"] != x["g"], ";").when(last["side"] != x["side"], "|").otherwise(",")
-    joined = F.transform(F.array(every), lambda e: F.array_join(F.transform(e, lambda x, k: F.concat(sign(x, F.when(k > 0, F.get(e, k - 1))), x["id"].cast("string"))), ""))
-    return joined[0]
-
-
-def _aligned(parts: DataFrame, batches: int) -> DataFrame:
-    """(batch, row, place, part's results) of each part at each of its places; parts: as `tokenized` has them, in about so many batches.
-
-    Twice as many tasks as batches leave most with one batch, which is sorted in memory.
+                held.append(some)
+                size += pc.sum(pc.binary_length(some.column("text"))).as_py()
+                if size >= BATCH:
+                    yield out()
+                    number, held, size = number + 1, [], 0
+                    words.trim()
+        if held:
+            yield out()
+        one.codec.forget()
+
+    kind = "batch long, ids array<long>, counts binary, places binary, shapes binary, tokens binary, asked array<array<smallint>>"
+    return docs.select("id", "text").mapInArrow(words.trimmed(run), kind)
+
+
+def shapes_aligned(shapes: DataFrame) -> DataFrame:
+    """(u, wrote, links) of each shape (u, shape): (group, side B, token) in the order in which tokens are written, and (a, b) for each link.
+
+    Tokens are told by their place in the shape; groups are numbered up to -1.
     """
-    dealt = parts.repartition(2 * batches, "batch").withColumn("u", F.monotonically_increasing_id())
-    # a row for the places, of length 0, then one for each token; only the first has the places
-    about = F.struct("ids", "places")
-    flat = dealt.select("batch", "u", F.posexplode(F.concat(F.array(F.lit(0)), F.coalesce("tokens", F.lit([]).cast("array<int>")))).alias("k", "x"), about.alias("about"))
-    flat = flat.withColumn("about", F.when(F.col("k") == 0, F.col("about")))
+    flat = shapes.select("u", "shape").repartition("u").select("u", F.posexplode("shape").alias("k", "x"))
     second = F.col("x") < 0
-    token = F.when(second, -1 - F.col("x")).otherwise(F.col("x"))
-    own = Window.partitionBy("batch", "u", second).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    flat = flat.withColumn("end", F.sum(token.bitwiseAND((1 << SIZE) - 1)).over(own))
-    id_of = F.shiftright(token, SIZE).cast("long")
-    real = F.col("k") > 0
-    a, b = F.max(F.when(real & ~second, id_of)).alias("a"), F.max(F.when(real & second, id_of)).alias("b")
-    ends = flat.groupBy("batch", "u", "end").agg(a, b, F.first("about", ignorenulls=True).alias("about"))
-    back = Window.partitionBy("batch", "u").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy("u", second).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    flat = flat.withColumn("end", F.sum(F.when(second, -1 - F.col("x")).otherwise(F.col("x"))).over(own))
+    ends = flat.groupBy("u", "end").agg(F.max(F.when(~second, F.col("k"))).alias("a"), F.max(F.when(second, F.col("k"))).alias("b"))
+    back = Window.partitionBy("u").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
     common = F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).over(back)
-    cover = F.last("a", ignorenulls=True).over(back) * (1 << BITS) + F.last("b", ignorenulls=True).over(back)
-    ends = ends.withColumns({"g": -common, "link": F.when(F.col("end") > 0, cover)})
-    done = ends.groupBy("batch", "u").agg(
-        F.first("about", ignorenulls=True).alias("about"), F.count("a").alias("n_a"), F.count("b").alias("n_b"), (-F.min("g")).alias("n_groups"),
-        F.collect_list("link").alias("links"), F.collect_list(F.when(F.col("end") > 0, F.struct("g", "end", "a", "b"))).alias("ends"),
-    )
-    # the ids of a batch go to place -1 of each row
-    at = lambda row, place, id: F.struct(row.cast("int").alias("row"), place.cast("int").alias("place"), id.cast("long").alias("id"))
-    named = F.transform("about.ids", lambda i, k: at(k, F.lit(-1), i))
-    spots = F.transform("about.places", lambda p: at(F.shiftright(p, 32), p.bitwiseAND((1 << 32) - 1), F.lit(None)))
-    done = done.select("batch", F.coalesce(named, spots).alias("at"), "n_a", "n_b", "n_groups", "links", _written(F.col("ends")).alias("groups"))
-    return done.select("batch", F.explode("at").alias("at"), "n_a", "n_b", "n_groups", "links", "groups").select("batch", "at.*", "n_a", "n_b", "n_groups", "links", "groups")
+    cover = F.struct(F.last("a", ignorenulls=True).over(back).alias("a"), F.last("b", ignorenulls=True).over(back).alias("b"))
+    done = ends.withColumns({"g": -common.cast("int"), "link": cover}).groupBy("u").agg(F.collect_list("link").alias("links"), F.collect_list(F.struct("g", "a", "b")).alias("ends"))
+    side = lambda second, name: F.transform(F.filter("ends", lambda x: x[name].isNotNull()), lambda x: F.struct(x["g"].alias("g"), F.lit(second).alias("second"), x[name].alias("k")))
+    return done.select("u", F.array_sort(F.concat(side(False, "a"), side(True, "b"))).alias("wrote"), "links")
+
+
+def _numbers(max_id: int, kept: dict = {}) -> tuple[np.ndarray, np.ndarray, np.ndarray]:  # noqa: B006
+    """(bytes, beginnings, sizes) of each id before "," at 3 * id, "|" and ";" next to it, up to max_id at least."""
+    if kept.get("most", -1) < max_id:
+        most = max(max_id, 1 << 16)
+        every = [f"{i}{c}".encode() for i in range(most + 1) for c in ",|;"]
+        size = np.array([len(x) for x in every], np.int64)
+        kept.update(most=most, all=(np.frombuffer(b"".join(every), np.uint8), np.cumsum(size) - size, size))
+    return kept["all"]
+
+
+def _lists(column: pa.ChunkedArray, *names: str) -> tuple[np.ndarray, ...]:
+    """(beginnings, sizes, flat values of each name) of a column of arrays of structs."""
+    column = column.combine_chunks()
+    at = column.offsets.to_numpy().astype(np.int64)
+    flat = column.flatten()
+    return at[:-1] - at[0], np.diff(at), *(flat.field(n).to_numpy(zero_copy_only=False) for n in names)
+
+
+_TOLD = pa.schema([("id", pa.int64()), *((n, pa.int64()) for n in ("n_a", "n_b", "n_groups", "n_links")), ("groups", pa.string()), ("pairs", pa.list_(pa.struct([(n, pa.int32()) for n in ("a", "b", "n")])))])
+
+
+def _told(batch: pa.Table, answers: pa.Table) -> pa.Table:
+    """The documents of a batch's row, from the alignments of its shapes (s, wrote, links)."""
+    words.trim()
+    if not len(batch):
+        return _TOLD.empty_table()
+    ids = batch.column("ids").combine_chunks().flatten()
+    counts, places, shapes, tokens = (_got(batch.column(n)[0].as_py()) for n in ("counts", "places", "shapes", "tokens"))
+    answers = answers.sort_by("s")
+    begin, size, g, second, k = _lists(answers.column("wrote"), "g", "second", "k")
+    at, links, a, b = _lists(answers.column("links"), "a", "b")
+    # what follows a written token: "," on its side, "|" before the other one, ";" after a group or a part
+    edge = np.ones(len(g), bool)
+    edge[:-1] = g[1:] != g[:-1]
+    edge[begin[size > 0][1:] - 1] = True
+    sign = np.where(edge, 2, np.append(second[1:] != second[:-1], False) if len(g) else 0)
+    total = lambda x: np.diff(np.append(0, np.cumsum(x))[np.append(begin, len(x))])
+    n_b, n_groups = total(second), total(edge)
+    of = lambda values: np.where(shapes >= 0, values[shapes], 0) if len(values) else np.zeros(len(shapes), np.int64)
+    # of each distinct part: its tokens as they are written, and its links
+    first, n = of(begin), of(size)
+    base = np.cumsum(n) - n
+    key = 3 * tokens[bpe.gather(k, first, n) + np.repeat(base, n)] + bpe.gather(sign, first, n)
+    data, start, length = _numbers(int(tokens.max(initial=0)))
+    spelled = bpe.gather(data, start[key], length[key]).tobytes()
+    ends = np.append(0, np.cumsum(length[key]))[np.cumsum(n)].tolist()
+    written = [spelled[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+    first, m = of(at), of(links)
+    pair = tokens[bpe.gather(a, first, m) + np.repeat(base, m)] << BITS | tokens[bpe.gather(b, first, m) + np.repeat(base, m)]
+    pairs, pair = np.unique(pair, return_inverse=True)
+    linked, each = np.cumsum(m) - m, [of(size - n_b), of(n_b), of(n_groups), m]
+    out, stop = [], np.cumsum(counts)
+    i = 0
+    while i < len(counts):
+        low = stop[i] - counts[i]
+        j = max(i + 1, int(np.searchsorted(stop, low + PLACES, "right")))
+        p, to = places[low : stop[j - 1]], np.append(0, stop[i:j] - low)
+        valid = np.minimum.reduceat(shapes[p], to[:-1]) >= 0
+        told = [np.where(valid, np.add.reduceat(x[p], to[:-1]), 0) for x in each]
+        spots = p.tolist()
+        groups = [b"".join([written[x] for x in spots[x:y]])[:-1] if ok else None for ok, x, y in zip(valid.tolist(), to.tolist(), to[1:].tolist(), strict=False)]
+        some = m[p] * np.repeat(valid, counts[i:j])
+        row = np.repeat(np.repeat(np.arange(j - i), counts[i:j]), some)
+        once, times = np.unique(row * max(1, len(pairs)) + bpe.gather(pair, linked[p], some), return_counts=True)
+        row, once = once // max(1, len(pairs)), pairs[once % max(1, len(pairs))]
+        flat = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (once >> BITS, once & (1 << BITS) - 1, times)], ["a", "b", "n"])
+        listed = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)), flat)
+        out.append(pa.Table.from_arrays([ids.slice(i, j - i), *map(pa.array, told), pa.array(groups, pa.binary()).cast(pa.string()), listed], schema=_TOLD))
+        i = j
+    words.trim()
+    return pa.concat_tables(out)
 
 
 def align(docs: DataFrame, a: str, b: str, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_a, n_b, n_groups, n_links, groups, pairs) of each text; without tokens zeros, no groups (null) and no pairs.
 
     a: path of a byte-level BPE vocabulary of the `tokenizers` format, cut by `pattern`; b: path of a sentencepiece model. groups: text
-    as `a1,a2|b1;a3|b2,b3`; pairs: array of (pair, n), the id pairs (A's above B's 31 bits) that are linked with how often they are.
+    as `a1,a2|b1;a3|b2,b3`; pairs: array of (a, b, n), the ids that are linked with how often they are.
     """
     spark = docs.sparkSession
     keyed = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("text != ''")
-    size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
-    found = _aligned(tokenized(keyed, bpe.share(spark, a), bpe.share(spark, b), pattern), max(1, size // BATCH))
-    here = F.col("place") >= 0
-    whole = found.groupBy("batch", "row").agg(
-        F.max("id").alias("id"), *(F.sum(n).alias(n) for n in ("n_a", "n_b", "n_groups")), (F.min(F.when(here, F.col("n_a"))) > 0).alias("valid"),
-        F.collect_list(F.when(here, F.struct("place", "groups"))).alias("groups"), F.array_sort(F.flatten(F.collect_list("links"))).alias("links"),
-    )
-    none = F.lit([]).cast("array<struct<pair:bigint,n:int>>")
-    first = F.filter(F.sequence(F.lit(0), F.size("links") - 1), lambda k: (k == 0) | (F.get("links", k) != F.get("links", k - 1)))
-    counted = F.transform(F.array(first), lambda f: F.transform(f, lambda k, j: F.struct(F.get("links", k).alias("pair"), (F.coalesce(F.get(f, j + 1), F.size("links")) - k).alias("n"))))[0]
-    groups = F.array_join(F.transform(F.array_sort("groups"), lambda g: g["groups"]), ";")
-    zero = lambda c: F.when(F.col("valid"), c).otherwise(0).cast("long")
-    told = whole.select(
-        F.col("id").alias(id), *(zero(F.col(n)).alias(n) for n in ("n_a", "n_b", "n_groups")), zero(F.size("links")).alias("n_links"),
-        F.when(F.col("valid"), groups).alias("groups"), F.when(F.col("valid"), counted).otherwise(none).alias("pairs"),
-    )
+    found = saved(tokenized(keyed, bpe.share(spark, a), bpe.share(spark, b), pattern), "tokens")
+    asked = found.select("batch", F.posexplode("asked").alias("s", "shape"))
+    # a shape's row has as many places as there are batches, at most
+    shapes = saved(asked.groupBy("shape").agg(F.collect_list(F.struct("batch", "s")).alias("at")).withColumn("u", F.monotonically_increasing_id()), "shapes")
+    answers = shapes_aligned(shapes).join(shapes.select("u", "at"), "u").select(F.explode("at").alias("at"), "wrote", "links").select("at.batch", "at.s", "wrote", "links")
+    kind = "id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<struct<a:int,b:int,n:int>>"
+    told = found.drop("asked").groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_told, kind).withColumnRenamed("id", id)
     nothing = F.lit(0).cast("long")
-    empty = docs.where(F.col(text).isNull() | (F.col(text) == "")).select(F.col(id), nothing.alias("n_a"), nothing, nothing, nothing, F.lit(None).cast("string"), none)
+    empty = docs.where(F.col(text).isNull() | (F.col(text) == "")).select(F.col(id), nothing.alias("n_a"), nothing, nothing, nothing, F.lit(None).cast("string"), F.lit([]).cast(told.schema["pairs"].dataType))
     return told.unionAll(empty)
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
-    """(pair, docs, best): how many documents hold each linked id pair, and whether no other pair of its A id is in more."""
-    counts = aligned.select(F.explode("pairs").alias("p")).groupBy("p.pair").agg(F.count("*").alias("docs"))
-    counts = counts.withColumn("a", F.shiftright("pair", BITS))
-    return counts.select("pair", "docs", (F.col("docs") == F.max("docs").over(Window.partitionBy("a"))).alias("best"))  # as many rows of an A id as B has ids, at most
+    """(a, b, docs, best): how many documents hold each linked id pair, and whether no other pair of its A id is in more."""
+    counts = aligned.select(F.explode("pairs").alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("docs"))
+    return counts.withColumn("best", F.col("docs") == F.max("docs").over(Window.partitionBy("a")))  # as many rows of an A id as B has ids, at most
 
 
 def scored(aligned: DataFrame, keep: list[str]) -> DataFrame:
     """(keep, n_best, count_sum) of each row of `aligned`, a written table: links whose pair is the best of its A id, and the sum of all links' counts."""
     found = saved(pair_counts(aligned), "pairs")
-    flat = aligned.withColumn("row", F.monotonically_increasing_id()).select("row", *keep, F.explode_outer("pairs").alias("p")).select("row", *keep, "p.pair", "p.n")
-    told = flat.join(F.broadcast(found) if found.count() <= BROADCAST else found, "pair", "left")
+    flat = aligned.withColumn("row", F.monotonically_increasing_id()).select("row", *keep, F.explode_outer("pairs").alias("p")).select("row", *keep, "p.a", "p.b", "p.n")
+    told = flat.join(F.broadcast(found) if found.count() <= BROADCAST else found, ["a", "b"], "left")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     return told.groupBy("row", *keep).agg(total(F.when(F.col("best"), F.col("n"))).alias("n_best"), total(F.col("n") * F.col("docs")).alias("count_sum")).drop("row")
