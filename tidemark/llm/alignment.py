@@ -42,8 +42,8 @@ from tidemark.llm.shared import saved
 BATCH, BROADCAST = 16 << 20, 4_000_000
 #: A token is packed in one int of so many bits, its length in the last SIZE bits below its id, and is negative on side B.
 BITS, SIZE = 31, 10
-#: Parts that are tokenized at once, and parts' places of documents that are put together at once.
-MOST, PLACES = 20_000, 1 << 19
+#: Parts that are tokenized at once, parts' places of documents that are put together at once, and tokens of shapes in a task.
+MOST, PLACES, TOKENS = 20_000, 1 << 18, 250_000
 #: A character after which a space begins a new part.
 SEEN = r"[^\s\p{Z}\p{C}]"
 
@@ -154,7 +154,7 @@ def _put(x: np.ndarray) -> bytes:
 def _got(x: bytes) -> np.ndarray:
     (size,) = struct.unpack("<q", x[:8])
     raw = pa.decompress(x[8:], size, "zstd", asbytes=True) if size else b""
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4")[:, 0].astype(np.int64)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4")[:, 0]
 
 
 def packed(parts: pa.Array, one: Bytes, two: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,11 +173,13 @@ def packed(parts: pa.Array, one: Bytes, two: Pieces) -> tuple[np.ndarray, np.nda
 _TOKENS = pa.schema([("batch", pa.int64()), ("ids", pa.list_(pa.int64())), *((n, pa.binary()) for n in ("counts", "places", "shapes", "tokens")), ("asked", pa.list_(pa.list_(pa.int16())))])
 
 
-def _batch(number: int, texts: pa.ChunkedArray, ids: list[int | None], one: Bytes, two: Pieces) -> pa.RecordBatch:
-    """The row of a batch: see tokenized()."""
-    found, counts = cut(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts)
-    coded = found.dictionary_encode()
-    parts, places = coded.dictionary, coded.indices.to_numpy()
+def _batch(number: int, found: list[pa.Array], counts: np.ndarray, ids: list[int | None], one: Bytes, two: Pieces) -> pa.RecordBatch:
+    """The row of a batch, from its parts: see tokenized()."""
+    coded = pa.chunked_array(found).dictionary_encode().unify_dictionaries()
+    found.clear()
+    parts, packs = coded.chunk(0).dictionary, [_put(x) for x in (counts, np.concatenate([c.indices.to_numpy() for c in coded.chunks]))]
+    del coded
+    words.trim()
     tokens, size, right = map(np.concatenate, zip(*(packed(parts.slice(k, MOST), one, two) for k in range(0, len(parts), MOST)), strict=True))
     tokens, size = tokens[np.repeat(right, size)], size[right]
     second, token = tokens < 0, np.where(tokens < 0, ~tokens, tokens)
@@ -188,7 +190,7 @@ def _batch(number: int, texts: pa.ChunkedArray, ids: list[int | None], one: Byte
     data, at = words.utf8(every.dictionary)
     asked = pa.ListArray.from_arrays(pa.array((at // 2).astype(np.int32)), pa.array(np.frombuffer(data, "<i2")))
     asked = pa.ListArray.from_arrays(pa.array([0, len(asked)], pa.int32()), asked)
-    packs = [pa.array([_put(x)], pa.binary()) for x in (counts, places, shapes, token >> SIZE)]
+    packs = [pa.array([x], pa.binary()) for x in (*packs, _put(shapes), _put(token >> SIZE))]
     return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), *packs, asked], schema=_TOKENS)
 
 
@@ -203,35 +205,34 @@ def tokenized(docs: DataFrame, a: str, b: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = _loaded(a, b, pattern)
         number = TaskContext.get().partitionId() << 32
-        held, size = [], 0
-
-        def out() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
-            return _batch(number, t.column("text"), t.column("id").to_pylist(), one, two)
-
+        held, counts, ids, size = [], [], [], 0
         for batch in batches:
             for piece in bpe.groups(batch.column("text")):
                 some = batch.slice(piece.start, piece.stop - piece.start)
-                held.append(some)
-                size += pc.sum(pc.binary_length(some.column("text"))).as_py()
+                parts, n = cut(some.column("text"))
+                held.append(parts)
+                counts.append(n)
+                ids += some.column("id").to_pylist()
+                size += len(words.utf8(parts)[0])
                 if size >= BATCH:
-                    yield out()
-                    number, held, size = number + 1, [], 0
+                    yield _batch(number, held, np.concatenate(counts), ids, one, two)
+                    number, held, counts, ids, size = number + 1, [], [], [], 0
                     words.trim()
         if held:
-            yield out()
+            yield _batch(number, held, np.concatenate(counts), ids, one, two)
         one.codec.forget()
 
     kind = "batch long, ids array<long>, counts binary, places binary, shapes binary, tokens binary, asked array<array<smallint>>"
     return docs.select("id", "text").mapInArrow(words.trimmed(run), kind)
 
 
-def shapes_aligned(shapes: DataFrame) -> DataFrame:
-    """(u, wrote, links) of each shape (u, shape): (group, side B, token) in the order in which tokens are written, and (a, b) for each link.
+def shapes_aligned(shapes: DataFrame, tasks: int) -> DataFrame:
+    """(u, k, g, a, b) of each shape (u, shape): its tokens in the order in which they are written (-1 - token on side B), the group of each,
+    and A's and B's token of each link, as arrays of numbers, which take a fifth of the room of structs.
 
     Tokens are told by their place in the shape; groups are numbered up to -1.
     """
-    flat = shapes.select("u", "shape").repartition("u").select("u", F.posexplode("shape").alias("k", "x"))
+    flat = shapes.select("u", "shape").repartition(tasks, "u").select("u", F.posexplode("shape").alias("k", "x"))
     second = F.col("x") < 0
     own = Window.partitionBy("u", second).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     flat = flat.withColumn("end", F.sum(F.when(second, -1 - F.col("x")).otherwise(F.col("x"))).over(own))
@@ -241,7 +242,9 @@ def shapes_aligned(shapes: DataFrame) -> DataFrame:
     cover = F.struct(F.last("a", ignorenulls=True).over(back).alias("a"), F.last("b", ignorenulls=True).over(back).alias("b"))
     done = ends.withColumns({"g": -common.cast("int"), "link": cover}).groupBy("u").agg(F.collect_list("link").alias("links"), F.collect_list(F.struct("g", "a", "b")).alias("ends"))
     side = lambda second, name: F.transform(F.filter("ends", lambda x: x[name].isNotNull()), lambda x: F.struct(x["g"].alias("g"), F.lit(second).alias("second"), x[name].alias("k")))
-    return done.select("u", F.array_sort(F.concat(side(False, "a"), side(True, "b"))).alias("wrote"), "links")
+    done = done.select("u", F.array_sort(F.concat(side(False, "a"), side(True, "b"))).alias("wrote"), "links")
+    told = F.transform("wrote", lambda x: F.when(x["second"], -1 - x["k"]).otherwise(x["k"]))
+    return done.select("u", told.alias("k"), F.col("wrote.g").alias("g"), F.col("links.a").alias("a"), F.col("links.b").alias("b"))
 
 
 def _numbers(max_id: int, kept: dict = {}) -> tuple[np.ndarray, np.ndarray, np.ndarray]:  # noqa: B006
@@ -254,27 +257,40 @@ def _numbers(max_id: int, kept: dict = {}) -> tuple[np.ndarray, np.ndarray, np.n
     return kept["all"]
 
 
-def _lists(column: pa.ChunkedArray, *names: str) -> tuple[np.ndarray, ...]:
-    """(beginnings, sizes, flat values of each name) of a column of arrays of structs."""
-    column = column.combine_chunks()
-    at = column.offsets.to_numpy().astype(np.int64)
-    flat = column.flatten()
-    return at[:-1] - at[0], np.diff(at), *(flat.field(n).to_numpy(zero_copy_only=False) for n in names)
+def _lists(answers: pa.Table, *names: str) -> tuple[np.ndarray, ...]:
+    """(beginnings, sizes, flat values of each name) of columns of arrays of equal lengths."""
+    columns = [answers.column(n).combine_chunks() for n in names]
+    at = columns[0].offsets.to_numpy().astype(np.int64)
+    return at[:-1] - at[0], np.diff(at), *(c.flatten().to_numpy().astype(np.int64) for c in columns)
+
+
+def _written(ids: np.ndarray, k: np.ndarray, sign: np.ndarray, first: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """The ids of each part in the order k, with the signs that follow them; first, n: where a part's shape begins in k and sign, and its tokens."""
+    data, start, length = _numbers(int(ids.max(initial=0)))
+    base, out = np.cumsum(n) - n, []
+    for at in range(0, len(n), MOST):
+        f, m = first[at : at + MOST], n[at : at + MOST]
+        key = 3 * ids[bpe.gather(k, f, m) + np.repeat(base[at : at + MOST], m)] + bpe.gather(sign, f, m)
+        spelled = bpe.gather(data, start[key], length[key]).tobytes()
+        ends = np.append(0, np.cumsum(length[key]))[np.append(0, np.cumsum(m))].tolist()
+        out += [spelled[x:y] for x, y in zip(ends, ends[1:], strict=False)]
+    return out
 
 
 _TOLD = pa.schema([("id", pa.int64()), *((n, pa.int64()) for n in ("n_a", "n_b", "n_groups", "n_links")), ("groups", pa.string()), ("pairs", pa.list_(pa.struct([(n, pa.int32()) for n in ("a", "b", "n")])))])
 
 
-def _told(batch: pa.Table, answers: pa.Table) -> pa.Table:
-    """The documents of a batch's row, from the alignments of its shapes (s, wrote, links)."""
-    words.trim()
-    if not len(batch):
-        return _TOLD.empty_table()
+def _told(batch: pa.Table, answers: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The documents of a batch's row, from the alignments of its shapes (s, k, g, a, b).
+
+    An id has BITS - SIZE bits, so a document's number among PLACES and an id pair go into one number.
+    """
     ids = batch.column("ids").combine_chunks().flatten()
     counts, places, shapes, tokens = (_got(batch.column(n)[0].as_py()) for n in ("counts", "places", "shapes", "tokens"))
     answers = answers.sort_by("s")
-    begin, size, g, second, k = _lists(answers.column("wrote"), "g", "second", "k")
-    at, links, a, b = _lists(answers.column("links"), "a", "b")
+    begin, size, k, g = _lists(answers, "k", "g")
+    at, links, a, b = _lists(answers, "a", "b")
+    second, k = k < 0, np.where(k < 0, -1 - k, k)
     # what follows a written token: "," on its side, "|" before the other one, ";" after a group or a part
     edge = np.ones(len(g), bool)
     edge[:-1] = g[1:] != g[:-1]
@@ -286,16 +302,17 @@ def _told(batch: pa.Table, answers: pa.Table) -> pa.Table:
     # of each distinct part: its tokens as they are written, and its links
     first, n = of(begin), of(size)
     base = np.cumsum(n) - n
-    key = 3 * tokens[bpe.gather(k, first, n) + np.repeat(base, n)] + bpe.gather(sign, first, n)
-    data, start, length = _numbers(int(tokens.max(initial=0)))
-    spelled = bpe.gather(data, start[key], length[key]).tobytes()
-    ends = np.append(0, np.cumsum(length[key]))[np.cumsum(n)].tolist()
-    written = [spelled[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+    written = _written(tokens, k, sign, first, n)
     first, m = of(at), of(links)
-    pair = tokens[bpe.gather(a, first, m) + np.repeat(base, m)] << BITS | tokens[bpe.gather(b, first, m) + np.repeat(base, m)]
-    pairs, pair = np.unique(pair, return_inverse=True)
     linked, each = np.cumsum(m) - m, [of(size - n_b), of(n_b), of(n_groups), m]
-    out, stop = [], np.cumsum(counts)
+    wide = int(tokens.max(initial=0)) + 1
+    pair = np.empty(int(m.sum()), np.int64)
+    for k in range(0, len(m), MOST):
+        some = slice(k, k + MOST)
+        own = np.repeat(base[some], m[some])
+        ends = (tokens[bpe.gather(x, first[some], m[some]) + own] for x in (a, b))
+        pair[linked[k] : linked[k] + len(own)] = next(ends).astype(np.int64) * wide + next(ends)
+    stop = np.cumsum(counts)
     i = 0
     while i < len(counts):
         low = stop[i] - counts[i]
@@ -307,14 +324,34 @@ def _told(batch: pa.Table, answers: pa.Table) -> pa.Table:
         groups = [b"".join([written[x] for x in spots[x:y]])[:-1] if ok else None for ok, x, y in zip(valid.tolist(), to.tolist(), to[1:].tolist(), strict=False)]
         some = m[p] * np.repeat(valid, counts[i:j])
         row = np.repeat(np.repeat(np.arange(j - i), counts[i:j]), some)
-        once, times = np.unique(row * max(1, len(pairs)) + bpe.gather(pair, linked[p], some), return_counts=True)
-        row, once = once // max(1, len(pairs)), pairs[once % max(1, len(pairs))]
-        flat = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (once >> BITS, once & (1 << BITS) - 1, times)], ["a", "b", "n"])
+        once, times = np.unique(row * wide**2 + bpe.gather(pair, linked[p], some), return_counts=True)
+        row, once = once // wide**2, once % wide**2
+        flat = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (once // wide, once % wide, times)], ["a", "b", "n"])
         listed = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)), flat)
-        out.append(pa.Table.from_arrays([ids.slice(i, j - i), *map(pa.array, told), pa.array(groups, pa.binary()).cast(pa.string()), listed], schema=_TOLD))
+        yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), *map(pa.array, told), pa.array(groups, pa.binary()).cast(pa.string()), listed], schema=_TOLD)
         i = j
-    words.trim()
-    return pa.concat_tables(out)
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of all batches, whose rows and answers come one after another."""
+    held: list[pa.RecordBatch] = []
+
+    def told() -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        held.clear()
+        own = pc.is_null(t.column("s"))
+        yield from _told(t.filter(own).select(["ids", "counts", "places", "shapes", "tokens"]), t.filter(pc.invert(own)).select(["s", "k", "g", "a", "b"]))
+        words.trim()
+
+    for batch in batches:
+        number = batch.column("batch").to_numpy()
+        for some in np.split(np.arange(len(number)), np.flatnonzero(number[1:] != number[:-1]) + 1):
+            if held and len(some) and held[0].column("batch")[0].as_py() != number[some[0]]:
+                yield from told()
+            if len(some):
+                held.append(batch.slice(some[0], len(some)))
+    if held:
+        yield from told()
 
 
 def align(docs: DataFrame, a: str, b: str, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -329,9 +366,11 @@ def align(docs: DataFrame, a: str, b: str, pattern: str, id: str = "doc_id", tex
     asked = found.select("batch", F.posexplode("asked").alias("s", "shape"))
     # a shape's row has as many places as there are batches, at most
     shapes = saved(asked.groupBy("shape").agg(F.collect_list(F.struct("batch", "s")).alias("at")).withColumn("u", F.monotonically_increasing_id()), "shapes")
-    answers = shapes_aligned(shapes).join(shapes.select("u", "at"), "u").select(F.explode("at").alias("at"), "wrote", "links").select("at.batch", "at.s", "wrote", "links")
+    tasks = max(1, (shapes.agg(F.sum(F.size("shape").cast("long"))).first()[0] or 0) // TOKENS)
+    answers = shapes_aligned(shapes, tasks).join(shapes.select("u", "at"), "u").select(F.explode("at").alias("at"), "k", "g", "a", "b").select("at.batch", "at.s", "k", "g", "a", "b")
     kind = "id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<struct<a:int,b:int,n:int>>"
-    told = found.drop("asked").groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_told, kind).withColumnRenamed("id", id)
+    both = found.drop("asked").unionByName(answers, allowMissingColumns=True)
+    told = both.repartition("batch").sortWithinPartitions("batch").mapInArrow(words.trimmed(_each), kind).withColumnRenamed("id", id)
     nothing = F.lit(0).cast("long")
     empty = docs.where(F.col(text).isNull() | (F.col(text) == "")).select(F.col(id), nothing.alias("n_a"), nothing, nothing, nothing, F.lit(None).cast("string"), F.lit([]).cast(told.schema["pairs"].dataType))
     return told.unionAll(empty)
