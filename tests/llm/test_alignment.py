@@ -106,3 +106,38 @@ def test_query(spark, sf, both):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = queries.op12_token_alignment(spark, sf).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_best", "count_sum")
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(both, docs)
+
+
+def test_parts_are_cut_where_a_space_follows_a_visible_character():
+    import pyarrow as pa
+    import regex
+
+    texts = [*(t for t in TEXTS if t), "é ​ x  y　 z\U0001f469 \U000e0001 q́ \x7f \xad ñ  ", "힣 ￿ a", "  "]
+    found, n = alignment.cut(pa.array(texts))
+    want = [regex.split(r"(?<=[^\s\p{Z}\p{C}])(?= )", " " + t, flags=regex.V0) for t in texts]
+    assert n.tolist() == [len(x) for x in want]
+    assert found.to_pylist() == [p for x in want for p in x]
+
+
+def test_one_row_for_a_batch_and_one_shape_for_many_parts(spark):
+    """A row for each distinct part, as it was, took more disk than four times the input."""
+    rng = random.Random(3)
+    docs = [(i, " ".join("".join(rng.choices("aeiourstn", k=6)) for _ in range(200))) for i in range(50)]
+    df = spark.createDataFrame(docs, "id long, text string").coalesce(1)
+    (row,) = alignment.tokenized(df, bpe.share(spark, A), bpe.share(spark, B), public_tokenizers.PATTERN).collect()
+    assert sorted(row["ids"]) == list(range(50))
+    parts = {w for _, t in docs for w in t.split(" ")}
+    assert len(alignment._got(bytes(row["places"]))) == 50 * 200
+    assert len(alignment._got(bytes(row["shapes"]))) == len(parts) > 5 * len(row["asked"])
+
+
+def test_batch_in_which_no_part_is_spelled(spark, both):
+    docs = [(1, "▁"), (2, "▁▁")]
+    assert run(spark, docs) == brute(both, docs)
+
+
+def test_numbers_are_given_back():
+    import numpy as np
+
+    for x in ([], [0], [-1, 5, 1 << 30, 70_000]):
+        assert alignment._got(alignment._put(np.array(x, np.int64))).tolist() == x
