@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.operators import blocks, graph
@@ -30,3 +31,58 @@ def test_every_node_has_two_hops_and_no_pair_is_a_row(spark, sf):
     assert df.where(F.col("node") % 100 != 0).count() > 0 and df.count() == lines.select("l_partkey").distinct().count()
     plan = entry.queries()["clustering_coefficient"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "PythonMapInArrow" in plan or "MapInArrow" in plan
+
+
+def spread(spark, rng, count=150, step=10_000):
+    """(neighbours, edges) of nodes whose neighbours are spread over all ids; every seventh isn't to be told, so no edge leads to it."""
+    near = {x * step: set() for x in range(count)}
+    for _ in range(1500):
+        a, b = rng.choice([*near]), rng.choice([*near])
+        if a != b and (a % (7 * step) or b % (7 * step)):
+            near[a].add(b)
+            near[b].add(a)
+    return near, spark.createDataFrame([(a, b) for a, x in near.items() for b in x], "src long, dst long")
+
+
+def test_neighbours_spread_over_all_ids_are_few_rows(spark, monkeypatch):
+    """In many small blocks the same is found, and what is shuffled there are packed parts, not rows for each two ranges of ids."""
+    near, e = spread(spark, random.Random(3))
+    rows, sent = [], blocks._sent
+    monkeypatch.setattr(blocks, "_sent", lambda packed, tasks, count: rows.append(packed.select(F.sum(F.size(tasks))).first()[0]) or sent(packed, tasks, count))
+    for held in (blocks.HELD, 300):
+        monkeypatch.setattr(blocks, "HELD", held)
+        got = {r.node: r.connected for r in blocks.connected(e, 3_000).collect()}
+        assert got == {a: n for a in near if (n := sum(c in near[b] for b in near[a] for c in near[a]))}
+        assert rows[-1] < 20 * e.count()
+
+
+def test_large_lists_are_looked_at_piece_by_piece(monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(blocks, "PATHS", 7)
+    monkeypatch.setattr(blocks, "TOGETHER", 3)
+    monkeypatch.setattr(blocks, "SIDE", 4)
+    above = {a: sorted({b for b in range(a + 1, 40) if rng.random() < 0.4}) for a in range(40)}
+    want = np.zeros(40, np.int64)
+    for a in above:
+        for b in above[a]:
+            for c in above[a]:
+                if c in above[b]:
+                    want[[a, b, c]] += 2
+    found = np.zeros(40, np.int64)
+    held = [blocks._Lists(), blocks._Lists()]
+    for b in (0, 1):
+        mine = [a for a in above if a % 2 == b]
+        held[b].add(np.array(mine) // 2, np.array([len(above[a]) for a in mine]), np.array([c for a in mine for c in above[a]]))
+        held[b].end()
+    for a in (0, 1):
+        for b in (0, 1):
+            blocks._closed(held[a], a, held[b], b, 2, np.zeros(12, bool), found)
+    assert (found == want).all() and want.sum() > 100
+
+
+def test_lists_come_back_from_their_packed_parts():
+    lens, values = np.array([0, 3, 0, 1, 2, 0]), np.array([0, 5, 2**31 - 1, 7, 3, 300_000])
+    a, b = blocks._unpacked(blocks._packed(lens, blocks._gaps(values, lens)))
+    assert (a == lens).all() and (blocks._values(b, a) == values).all()
+    signed = np.array([-3, -1, 0, 4])
+    assert blocks._fold(signed).tolist() == [5, 1, 0, 8]
