@@ -4,6 +4,7 @@ import datetime as dt
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,29 @@ def test_ties_of_a_score_are_many_tasks(spark, monkeypatch):
     assert {r.id: (r.place, r.hits) for r in done.collect()} == want
     named = evaluation.ranked(df.withColumn("id", F.col("id").cast("string")), "s", "y", "id").collect()
     assert sorted(r.place for r in named) == list(range(1, 601))
+
+
+def test_medians_while_values_come_and_go():
+    """Of a line of which only the middle is held, with values that are there often."""
+    rng = random.Random(9)
+    for values in (range(1000), range(4)):
+        earlier_ones, new = sorted(rng.choice(values) for _ in range(200)), [rng.choice([*values, None]) for _ in range(30)]
+        low, high = 200 // 2 - 15 - 2, 200 // 2 + 15 + 3
+        got = running._medians(np.array(earlier_ones[low:high], float), low, 200, np.array([np.nan if x is None else x for x in new], float), np.array([x is not None for x in new]))
+        assert got.tolist() == [statistics.median(earlier_ones + [x for x in new[:k] if x is not None]) for k in range(30)]
+
+
+def test_rows_are_dealt_out_once_for_a_median(spark):
+    """What else is shuffled are lists of cells and the few values in the middle; rows without a day are the last."""
+    days = 400
+    rows = [(k, "ab"[k % 2], DAY + dt.timedelta(days=k * 7919 % days) if k % 13 else None, (k * 104729 % 10007) / 7) for k in range(6_000)]
+    df = spark.createDataFrame(rows, "id long, g string, day date, v double")
+    bucket = F.floor(F.datediff("day", F.lit(DAY)) / 40).cast("int")
+    done = running.median(df, ["g"], ["day", "id"], bucket, "v", "middle")
+    seen, want = {"a": [], "b": []}, {}
+    for k, g, day, v in sorted(rows, key=lambda r: (r[2] is None, r[2] or DAY, r[0])):
+        want[k] = statistics.median(seen[g]) if seen[g] else None
+        seen[g].append(v)
+    assert {r.id: r.middle for r in done.collect()} == want
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert "id#" in plan and not [x for x in plan.split("\n") if "Join" in x and "id#" in x]
