@@ -85,3 +85,31 @@ def test_graph_of_parts_that_are_not_there(spark, sf, same):
 @pytest.mark.parametrize("name, most", [("topology_aggregates", 6), ("degree_asymmetry", 4), ("rank_distance", 5), ("bipartite_edges", 5), ("union_all_roles", 4)])
 def test_pairs_are_dealt_out_few_times(spark, sf, name, most):
     assert exchanges(entry.queries()[name](spark, sf)) <= most
+
+
+def test_matrix_reads_lines_once_for_votes_and_once_for_roles(spark, sf):
+    """Each of them shuffles the lines once, however many sums are taken of them, and roles as of an order go by user only as sums of years."""
+    df = entry.queries()["training_matrix"](spark, sf)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey#") and sum("Relation" in x and "l_orderkey#" in x for x in plan.split("\n")) == 2
+    assert exchanges(entry.queries()["role_features"](spark, sf)) <= 4 and exchanges(entry.queries()["consensus_windowed"](spark, sf)) <= 2
+
+
+def test_votes_that_rise_and_fall(spark):
+    """What is agreed on is the same, told only at times that vote for a candidate or at all times."""
+    import random
+
+    from tidemark.operators import consensus
+
+    rng = random.Random(8)
+    node = lambda n, level: {"node": n, "level": level}
+    rows = []
+    for k in range(900):
+        leaf, kind = rng.choice("abc"), rng.choice("xy")
+        path = [] if k % 11 == 0 else [node(leaf, 10), node(kind, 20)][k % 2 :]
+        rows.append((k % 60, rng.randrange(40), path, k, k % 5))
+    v = spark.createDataFrame(rows, "item int, day int, path array<struct<node string, level int>>, vote int, user int")
+    v = v.select("item", F.timestamp_seconds(F.lit(0)).alias("created"), F.timestamp_seconds(F.col("day") * 86400).alias("time"), "path", "vote", "user")
+    for days in (None, 3, 12, 30):
+        a, b = (sorted(map(str, consensus.at(steps, days).collect())) for steps in (consensus.timeline(v, least=2), consensus.decisive(v, least=2)))
+        assert a == b and a
